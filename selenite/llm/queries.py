@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe
-from selenite.llm.common import read_table
+from selenite.llm import bpe, cdc, simhash
+from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,3 +29,27 @@ def op1_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", text_key().alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
+    found = cdc.with_spans(sizes, cdc.duplicate_spans(docs), key="key")
+    cut = F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(cut, F.lit(0)).alias("removed_bytes"),
+        F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
+        F.col("spans").isNotNull().alias("has_repeats"),
+        "spans",
+    )
+
+
+@query
+def op6_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    marks = materialize(simhash.fingerprints(docs, keep=["doc_id"]))
+    found = simhash.near_duplicates(marks, "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
