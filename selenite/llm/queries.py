@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, simhash
+from selenite.llm import bpe, cdc, crf, simhash
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -53,3 +53,16 @@ def op6_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = materialize(simhash.fingerprints(docs, keep=["doc_id"]))
     found = simhash.near_duplicates(marks, "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = crf.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = crf.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        crf.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
