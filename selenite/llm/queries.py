@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, simhash
+from selenite.llm import bpe, cdc, crf, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -66,3 +66,10 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op9_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = tiling.coverage(docs, read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.withColumn("contaminated", F.col("coverage") >= tiling.THRESHOLD)
