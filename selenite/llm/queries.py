@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, simhash, tiling
+from selenite.llm import bpe, cdc, crf, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -73,3 +73,15 @@ def op9_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     docs = read_table(spark, sf_dir, "documents")
     found = tiling.coverage(docs, read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.withColumn("contaminated", F.col("coverage") >= tiling.THRESHOLD)
+
+
+@query
+def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
+    )
+    dealt = sharding.shuffle(rows, 16)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
