@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, licenses, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op7_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licenses.scan(F.col("text")).alias("found")).select("doc_id", "found.*")
