@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, licenses, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, html_blocks, licenses, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -91,3 +91,10 @@ def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", licenses.scan(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
+@query
+def op5_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    found = html_blocks.extract(pages, keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
