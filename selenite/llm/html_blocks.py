@@ -56,7 +56,7 @@ FRAME_WORDS = frozenset(
 )
 
 #: The labelled table. Columns: words, link share, words before, link share before, words after, link share
-#: after, inside an article, inside a frame, label (1: main text).
+#: after, inside an article (0: the page has none, -1: it has one elsewhere), inside a frame, label (1: main text).
 FIELDS = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "frame"]
 LABELLED = """
 1 1.0 0 0.0 1 1.0 0 1 0
@@ -126,6 +126,13 @@ LABELLED = """
 30 0.0 0 0.0 25 0.0 0 0 1
 60 0.0 50 0.0 3 1.0 0 0 1
 70 0.05 40 0.0 1 1.0 0 0 1
+40 0.0 10 0.0 60 0.0 -1 0 0
+12 0.0 1 1.0 30 0.0 -1 0 0
+20 0.0 60 0.0 5 0.0 -1 0 0
+90 0.0 30 0.0 12 0.0 -1 0 0
+5 0.0 9 0.0 14 0.0 -1 0 0
+45 0.0 0 0.0 70 0.0 -1 0 0
+60 0.1 50 0.0 40 0.0 -1 0 0
 """
 
 
@@ -254,6 +261,8 @@ def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
     words = np.array([0, *(b[1] for b in found), 0], float)
     links = np.array([0, *(b[2] for b in found), 0], float) / np.maximum(words, 1)
     flags = np.array([b[3:] for b in found], float).reshape(-1, 2)
+    if flags[:, 0].any():
+        flags[flags[:, 0] == 0, 0] = -1
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], flags])
 
 
