@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, html_blocks, licenses, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -98,3 +98,8 @@ def op5_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     found = html_blocks.extract(pages, keep=["page_id", "url"])
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op8_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_vectors(read_table(spark, sf_dir, "embeddings"))
