@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -103,3 +103,8 @@ def op5_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read_table(spark, sf_dir, "documents"))
