@@ -1,11 +1,63 @@
-"""The corpus pipeline over ``documents``."""
+"""From raw documents to token ids: the stages of the corpus pipeline.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
+kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from selenite.llm import bpe, cdc, crf, simhash, tiling
+from selenite.llm.common import materialize, read_table
+
+#: The tokenizer's file; a parameter, never copied.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF scores under 0.3 go."""
+    return crf.filter_good(docs, crf.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of SimHash links the document with the least id stays."""
+    return simhash.keep_first(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of repeated chunks are cut out of the later texts; every document stays."""
+    cut = cdc.remove_spans(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in any order, go."""
+    return tiling.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document left."""
+    coded = bpe.encode(docs, bpe.prepare(docs, VOCABULARY), keep=["doc_id", "lang", "source"])
+    return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
+#: The stages' models and hashes are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's rows written to the shared folder for the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

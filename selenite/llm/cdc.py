@@ -157,7 +157,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", tex
 def remove_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``; the columns stay as they are."""
     joined = with_spans(docs, duplicate_spans(docs, id_column, text, min_words), id_column, text)
-    place = joined.columns.index(text)
+    names = docs.columns
+    place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +167,8 @@ def remove_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 if spans and raw[i] is not None:
                     edges = [0, *(x for s in spans for x in s), len(raw[i])]
                     raw[i] = b"".join(raw[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            columns = [batch.column(c) for c in docs.columns]
+            columns = [batch.column(c) for c in names]
             columns[place] = pa.array(raw, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import components, materialize, slices, text_bytes, whole_groups
+from selenite.llm.common import components, materialize, slices, text_bytes, text_key, whole_groups
 
 SLICE_BYTES = 8_000_000
 #: A key with more fingerprints is cut into blocks of about as many.
@@ -142,3 +142,33 @@ def near_duplicates(marks: DataFrame, id_column: str, distance: int = 4, mark: s
     own = own.join(root, mark, "left").withColumn("root", F.coalesce("root", F.col(mark)))
     least = own.groupBy("root").agg(F.min("selenite_least").alias("component_id"))
     return marks.join(own.select(mark, "root").join(least, "root").drop("root"), mark)
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4) -> DataFrame:
+    """The row of each component with the least id (then text key); the columns stay as they are.
+
+    Null ids come last. Of rows with equal id and text one stays.
+    """
+    named = docs.select(F.col(id_column).alias("selenite_id"), text_key(text).alias("text_key"), F.col(text).alias("selenite_of"))
+    marks = materialize(fingerprints(named, "selenite_of", ["selenite_id", "text_key"], words))
+    rank = F.struct(F.col("selenite_id").isNull().alias("none"), F.col("selenite_id").alias("id"), F.col("text_key").alias("key"))
+    own = marks.groupBy("fingerprint").agg(F.min(rank).alias("first"))
+    root = components(links(marks, distance)).withColumnRenamed("node", "fingerprint")
+    own = own.join(root, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    kept = own.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
+    copies = marks.groupBy("selenite_id", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
+    kept = materialize(
+        kept.join(copies, kept["id"].eqNullSafe(copies["selenite_id"]) & (kept["key"] == copies["text_key"]), "left").select("id", "key", "copies")
+    )
+    left = docs.withColumn("selenite_key", text_key(text))
+
+    def rows(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("id").alias("selenite_id"), F.col("key").alias("selenite_other"))
+        on = left[id_column].eqNullSafe(some["selenite_id"]) & (left["selenite_key"] == some["selenite_other"])
+        return left.join(some, on, "left_semi")
+
+    repeated = kept.where("copies is not null")
+    out = rows(kept.where("copies is null")).drop("selenite_key")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(rows(repeated).dropDuplicates([id_column, "selenite_key"]).drop("selenite_key"))
