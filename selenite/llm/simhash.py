@@ -2,9 +2,12 @@
 
 Fingerprints that differ in at most ``d`` bits are cut into ``d // 2 + 1``
 segments: at least one segment then differs in at most one bit. Each segment is
-indexed once for each of its bits left out (with the segment and the place of
-the gap in the key), so two such fingerprints share a key, and an equality join
-finds them. Every candidate pair is verified on the whole fingerprints.
+indexed as it is and once for each of its bits left out. Since so short a key
+is shared by chance, the other bits are cut into as many pieces as leave one of
+them equal (``d + 1`` beside an equal segment, ``d`` beside one with a bit left
+out), and each piece in turn joins the key. Two fingerprints within ``d`` bits so
+share a key, and an equality join finds them. Every candidate pair is verified on
+the whole fingerprints.
 
 Equal fingerprints are collapsed first, so exact copies cost one signature. A key
 that many fingerprints share is cut into blocks, each pair of blocks is compared
@@ -24,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import components, materialize, slices, text_bytes, text_key, whole_groups
+from selenite.llm.common import components, giving_way, materialize, slices, text_bytes, text_key, whole_groups
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: A key with more fingerprints is cut into blocks of about as many.
 BLOCK = 1024
 BITS = 64
@@ -56,6 +59,7 @@ def fingerprint(text: bytes, words: int) -> bytes:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] = (), words: int = 4) -> DataFrame:
     """Columns ``keep``, then ``fingerprint`` (64 bits as a signed long)."""
+    keep = giving_way(keep, "fingerprint")
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fingerprint", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,18 +71,36 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] = (), word
     return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
 
 
-def variant_keys(mark: str, distance: int) -> Column:
-    """The keys of a fingerprint: for each segment and each of its bits, the segment without that bit."""
+def key_table(distance: int) -> list[tuple[int, ...]]:
+    """One row for each key of a fingerprint: a segment, whole or without one of its bits, and a piece of the other bits.
+
+    (low, mask, gap, piece, piece_mask, piece_bits, tag): the fingerprint is turned so
+    that the segment's ``low`` bit comes first; ``gap`` is the bit left out, or -1.
+    """
     segments = distance // 2 + 1
     cuts = [BITS * i // segments for i in range(segments + 1)]
-    keys = []
-    for s, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+    rows: list[tuple[int, ...]] = []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         width = high - low
-        part = F.shiftrightunsigned(F.col(mark), low).bitwiseAND(F.lit((1 << width) - 1))
-        for gap in range(width):
-            rest = F.shiftleft(F.shiftright(part, gap + 1), gap).bitwiseOR(part.bitwiseAND(F.lit((1 << gap) - 1)))
-            keys.append(rest.bitwiseOR(F.lit((s * BITS + gap) << 48)) if width < 48 else F.xxhash64(rest, F.lit(low + gap)))
-    return F.array(*keys)
+        for gap in range(-1, width):
+            n = max(1, distance + 1 if gap < 0 else distance)
+            ends = [width + (BITS - width) * i // n for i in range(n + 1)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                rows.append((low, (1 << width) - 1, gap, a, (1 << (b - a)) - 1, b - a, len(rows) << 44))
+    return rows
+
+
+def variant_keys(marks: DataFrame, distance: int) -> DataFrame:
+    """(mark, key): each fingerprint with each of its keys."""
+    names = ["low", "mask", "gap", "piece", "piece_mask", "piece_bits", "tag"]
+    long = {"mask", "piece_mask", "tag"}
+    table = F.array(
+        *(F.struct(*(F.lit(v).cast("long" if n in long else "int").alias(n) for n, v in zip(names, r, strict=True))) for r in key_table(distance))
+    )
+    turned = marks.select("mark", F.inline(table)).withColumn("t", F.expr("shiftleft(mark, 64 - low) | shiftrightunsigned(mark, low)"))
+    part = turned.withColumn("p", F.expr("t & mask"))
+    whole = "if(gap < 0, p, shiftleft(shiftright(p, gap + 1), gap) | (p & (shiftleft(1L, gap) - 1)))"
+    return part.select("mark", F.expr(f"tag | shiftleft({whole}, piece_bits) | (shiftrightunsigned(t, piece) & piece_mask)").alias("key"))
 
 
 def forest(marks: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
@@ -100,39 +122,96 @@ def forest(marks: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def group_edges(key: np.ndarray, found: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all groups of equal keys in sorted arrays: pairs at once, larger groups by their forests."""
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(found)]]))
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count(found[two] ^ found[two + 1]) <= distance]
+    left, right = [found[two]], [found[two + 1]]
+    for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        own = found[at : at + size]
+        i, j = forest(own, distance)
+        left.append(own[i])
+        right.append(own[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def links(marks: DataFrame, distance: int, mark: str = "fingerprint") -> DataFrame:
-    """Edges (u, v) that connect exactly the distinct fingerprints linked at ``distance`` bits or fewer."""
-    keys = marks.select(F.col(mark).alias("mark")).distinct()
-    keys = materialize(keys).select("mark", F.explode(variant_keys("mark", distance)).alias("key"))
-    shared = keys.groupBy("key").count().where("count > 1")
-    rows = keys.join(shared, "key").withColumn("blocks", F.ceil(F.col("count") / BLOCK))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "mark")
-    group = ["key", "a", "b"]
+    """Edges (u, v) that connect exactly the distinct fingerprints linked at ``distance`` bits or fewer.
+
+    The keys are exchanged once and compared in sorted partitions. A group of more than
+    ``BLOCK`` fingerprints is not held there: its rows go on in blocks, and every pair
+    of its blocks is compared in a group of its own.
+    """
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = materialize(marks.select(F.col(mark).alias("mark")).distinct()).repartition(parts)
+    rows = variant_keys(keys, distance).repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(u=(), v=(), key=(), block=(), mark=()) -> pa.RecordBatch:
+            n, m = len(u), len(key)
+            pad = lambda x, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(x, pa.int64()), pa.nulls(after, pa.int64())])
+            columns = [pad(np.asarray(x).view(np.int64) if len(x) else [], 0, m) for x in (u, v)]
+            columns += [pad(x, n, 0) for x in (key, block, mark)]
+            return pa.RecordBatch.from_arrays(columns, ["u", "v", "key", "block", "mark"])
+
+        key, found, block = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # the open group's rows; blocks it has given away
+        for batch in batches:
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            found = np.concatenate([found, batch.column("mark").to_numpy()])
+            while len(key):
+                if block:  # a large group is open
+                    n = int(np.searchsorted(key, key[0], side="right"))
+                    ends = n < len(key)
+                    if not ends and n < BLOCK:
+                        break
+                    take = min(n, BLOCK)
+                    yield out(key=key[:take], block=np.full(take, block), mark=found[:take])
+                    block = 0 if ends and take == n else block + 1
+                    key, found = key[take:], found[take:]
+                    continue
+                last = int(np.searchsorted(key, key[-1], side="left"))
+                starts = np.concatenate([[0], np.flatnonzero(key[1:last] != key[: last - 1]) + 1]) if last else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(starts, last))
+                large = starts[sizes > BLOCK]
+                stop = int(large[0]) if len(large) else last
+                if stop:
+                    u, v = group_edges(key[:stop], found[:stop].view(np.uint64), distance)
+                    if len(u):
+                        yield out(u, v)
+                    key, found = key[stop:], found[stop:]
+                if len(large) or len(key) > BLOCK:
+                    yield out(key=key[:BLOCK], block=np.zeros(BLOCK, np.int64), mark=found[:BLOCK])
+                    key, found, block = key[BLOCK:], found[BLOCK:], 1
+                    continue
+                break
+        if len(key):
+            if block:
+                yield out(key=key, block=np.full(len(key), block), mark=found)
+            else:
+                u, v = group_edges(key, found.view(np.uint64), distance)
+                if len(u):
+                    yield out(u, v)
+
+    first = materialize(rows.mapInArrow(compare, "u long, v long, key long, block long, mark long"))
+    large = first.where("key is not null").select("key", "block", "mark")
+    blocks = large.groupBy("key").agg(F.max("block").alias("last"))
+    paired = large.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    paired = paired.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "mark")
+    group = ["key", "a", "b"]
+
+    def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, group):
             columns = [table.column(c).to_numpy() for c in group]
-            found = table.column("mark").to_numpy().view(np.uint64)
-            changed = np.zeros(len(found), bool)
+            number = np.zeros(table.num_rows, np.int64)
             for c in columns:
-                changed[1:] |= c[1:] != c[:-1]
-            starts = np.concatenate([[0], np.flatnonzero(changed)])
-            sizes = np.diff(np.concatenate([starts, [len(found)]]))
-            two = starts[sizes == 2]
-            two = two[np.bitwise_count(found[two] ^ found[two + 1]) <= distance]
-            left, right = [found[two]], [found[two + 1]]
-            for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                own = found[at : at + size]
-                i, j = forest(own, distance)
-                left.append(own[i])
-                right.append(own[j])
-            u, v = (np.concatenate(x).view(np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    parts = rows.repartition(*group).sortWithinPartitions(*group)
-    return parts.mapInArrow(compare, "u long, v long").distinct()
+                number[1:] |= c[1:] != c[:-1]
+            u, v = group_edges(np.cumsum(number), table.column("mark").to_numpy().view(np.uint64), distance)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], ["u", "v"])
+
+    more = paired.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare_blocks, "u long, v long")
+    return first.where("u is not null").select("u", "v").unionByName(more).distinct()
 
 
 def near_duplicates(marks: DataFrame, id_column: str, distance: int = 4, mark: str = "fingerprint") -> DataFrame:
