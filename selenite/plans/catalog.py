@@ -21,5 +21,5 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-for _module in ("track_queries", "raster_queries", "match_queries", "geometry_queries", "text_queries"):
+for _module in ("track_queries", "raster_queries", "match_queries", "geometry_queries", "text_queries", "more_queries"):
     import_module(f"selenite.plans.{_module}")
