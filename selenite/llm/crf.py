@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import slices, text_bytes
+from selenite.llm.common import giving_way, release, slices, text_bytes
 
 #: Most documents that are learned from; a stable hash of the id picks them.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 4_000
+TRAIN_SLICE = 1_000_000
 STEPS = 150
 RIDGE = 1e-3
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 UPPER, LOWER, DIGIT, BLANK, STOP, BANG, SYMBOL, OTHER = range(8)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -122,6 +123,21 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.column_stack([own, before, after, np.ones(len(own))]), at, weights
 
 
+def sliced_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As features, in single precision and a slice of the texts at a time."""
+    parts, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > TRAIN_SLICE:
+            parts.append(features(texts[first:i]))
+            parts[-1] = (parts[-1][0].astype(np.float32), *parts[-1][1:])
+            first, size = i, 0
+        size += len(t) + 1
+    rows, at, weights = features(texts[first:])
+    parts.append((rows.astype(np.float32), at, weights))
+    counts = np.concatenate([np.diff(p[1]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(counts)]), np.concatenate([p[2] for p in parts])
+
+
 def marginals(emission: np.ndarray, at: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every step, and the expected counts of (first good, last good, 4 pairs).
 
@@ -173,25 +189,26 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict:
     """Maximum likelihood with a ridge, by Adam over the whole sample; then the logistic fit."""
     if not len(labels) or labels.min() == labels.max():
         return {"constant": float(labels.mean()) if len(labels) else 0.5}
-    rows, at, weights = features(texts)
-    mean, spread = rows.mean(0), rows.std(0)
+    rows, at, weights = sliced_features(texts)
+    mean, spread = rows.mean(0, dtype=np.float64), rows.std(0, dtype=np.float64)
     mean[-1], spread[-1] = 0, 1
     spread[spread == 0] = 1
-    rows = (rows - mean) / spread
+    rows -= mean.astype(np.float32)
+    rows /= spread.astype(np.float32)
     sizes = np.diff(at)
     y = np.repeat(labels.astype(np.float64), sizes)
     seen = np.array([labels.sum(), labels.sum(), ((1 - labels) * (sizes - 1)).sum(), 0, 0, (labels * (sizes - 1)).sum()], float)
     w, c = np.zeros(rows.shape[1]), np.zeros(6)
     state = [np.zeros(len(w) + 6), np.zeros(len(w) + 6)]
     for step in range(1, STEPS + 1):
-        good, counts = marginals(rows @ w, at, c)
-        up = np.concatenate([rows.T @ (y - good), seen - counts]) / len(labels)
+        good, counts = marginals(rows @ w.astype(np.float32), at, c)
+        up = np.concatenate([rows.T @ (y - good).astype(np.float32), seen - counts]) / len(labels)
         up -= RIDGE * np.concatenate([w, c])
         state[0] = 0.9 * state[0] + 0.1 * up
         state[1] = 0.99 * state[1] + 0.01 * up**2
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         w, c = w + move[: len(w)], c + move[len(w) :]
-    good, _ = marginals(rows @ w, at, c)
+    good, _ = marginals(rows @ w.astype(np.float32), at, c)
     x = logit(mean_good(good, at, weights)) / 4
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps with a ridge
@@ -233,12 +250,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] = ()) -> DataFrame:
     """Columns ``keep``, then ``score``, the probability of label 1."""
+    keep = giving_way(keep, "score")
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "selenite_text", SLICE_BYTES):
             found = scores(text_bytes(batch.column("selenite_text")), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], schema.names)
+        release()
 
     return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
 
@@ -249,5 +268,6 @@ def filter_good(docs: DataFrame, model: dict, text: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE_BYTES):
             yield batch.filter(pa.array(scores(text_bytes(batch.column(text)), model) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
