@@ -108,3 +108,26 @@ def op8_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op8_epsilon_grid_join"] = """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+),
+ok as (
+    select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0
+),
+pairs as (
+    select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach as (
+    select vec_id as a, vec_id as b from v
+    union
+    select r.a, p.b from reach r join pairs p on p.a = r.b
+)
+select vec_id, (select count(*) from pairs where a = vec_id) as n_links,
+    (select min(b) from reach where a = vec_id) as component_id, vec_id = (select min(b) from reach where a = vec_id) as kept
+from v
+"""
