@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, slices
+from selenite.llm.common import concat_column, giving_way, slices
 
 SLICE_BYTES = 8_000_000
 MARKUP = re.compile(
@@ -275,6 +275,7 @@ def main_texts(pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] = ()) -> DataFrame:
     """Columns ``keep``, then ``text``, the main text."""
+    keep = giving_way(keep, "text")
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

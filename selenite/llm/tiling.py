@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import slices, text_bytes
+from selenite.llm.common import giving_way, slices, text_bytes
 
 MIN_TILE = 5
 THRESHOLD = 0.6
@@ -171,6 +171,7 @@ def coverage(
 
     ``n_items`` counts the items that share at least one seed.
     """
+    keep = giving_way(keep, "coverage", "item_id", "n_tiles", "n_items")
     found = docs.select(
         *keep,
         F.col(text).alias("selenite_text"),
