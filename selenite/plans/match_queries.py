@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from selenite.functions import geo
-from selenite.operators import matching, raster, registration
+from selenite.operators import matching, registration
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
 
