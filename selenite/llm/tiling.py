@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from selenite.llm.common import giving_way, slices, text_bytes
 
