@@ -28,22 +28,25 @@ columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, materialize, slices, text_bytes
+from selenite.llm.common import concat_column, materialize, release, slices, text_bytes
 
 ORDER = 5
 FOLDS = 10
 BLOCK_BYTES = 28_000_000
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 #: Bytes that no UTF-8 text holds mark the start and the end; the start is never predicted.
 START, END = b"\xff" * ORDER, b"\xfe"
 SYMBOLS = 255
@@ -52,7 +55,7 @@ TABLE_BITS = 22
 #: Grams that a task works out at a time, about.
 GROUP_GRAMS = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-DOC, GRAM, WORD = 0, 1, 2
+DOC, GRAM, SHORT, WORD = range(4)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,28 +87,26 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def block_counts(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray, Counter]:
-    """(grams, their counts in training texts, words with theirs) of a block; grams of other texts count 0."""
-    keys, counts = [], []
-    words: Counter = Counter()
+def block_grams(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block, ascending, and their counts in training texts (0 where only others hold them)."""
+    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for a, b in pieces(texts):
-        part = texts[a:b]
         for learn in (True, False):
-            chosen = [t for t, x in zip(part, train[a:b], strict=True) if bool(x) is learn]
+            chosen = [t for t, x in zip(texts[a:b], train[a:b], strict=True) if x is learn]
             if chosen:
                 k, n = np.unique(grams(chosen)[0], return_counts=True)
-                keys.append(k)
-                counts.append(n if learn else np.zeros(len(k), np.int64))
-    for t, x in zip(texts, train, strict=True):
-        if x:
-            words.update(t.split())
-    for t, x in zip(texts, train, strict=True):
-        if not x:
-            for w in set(t.split()):
-                if w not in words:
-                    words[w] = 0
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64), words
+                both, at = np.unique(np.concatenate([key, k]), return_inverse=True)
+                added = np.concatenate([count, n if learn else np.zeros(len(k), np.int64)])
+                key, count = both, np.bincount(at, weights=added, minlength=len(both)).astype(np.int64)
+    return key, count
+
+
+def block_words(texts: list[bytes]) -> list[bytes]:
+    """The distinct words of a block, ascending."""
+    found: set[bytes] = set()
+    for t in texts:
+        found.update(t.split())
+    return sorted(found)
 
 
 def sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -187,47 +188,72 @@ class Lookup:
 
 
 def corpus_table(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """The texts, and the grams and words of each block, in one table in the shared folder."""
+    """The packed texts, and the grams and words of each block, in one table in the shared folder.
+
+    A block's grams and words are numbered in ascending order; what comes back to the
+    block names them by number, in single precision.
+    """
+    id_type = docs.schema[id_column].dataType
     schema = T.StructType(
         [T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType())]
-        + [T.StructField("id", docs.schema[id_column].dataType), T.StructField("train", T.BooleanType())]
-        + [T.StructField("text", T.BinaryType()), T.StructField("gram", T.LongType())]
-        + [T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]
+        + [T.StructField("ids", T.ArrayType(id_type)), T.StructField("train", T.ArrayType(T.BooleanType()))]
+        + [T.StructField("packed", T.BinaryType()), T.StructField("number", T.IntegerType())]
+        + [T.StructField("gram", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]
     )
-    types = [pa.int32(), pa.int64(), None, pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
+        pack = zstandard.ZstdCompressor(level=6).compress
 
         def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
             whole = {"kind": pa.array(np.full(size, kind, np.int32)), "block": pa.array(np.full(size, block)), **columns}
+            kinds = [pa.int32(), pa.int64(), pa.list_(own_type), pa.list_(pa.bool_()), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays(
-                [whole.get(c, pa.nulls(size, t or id_type)) for c, t in zip(schema.names, types, strict=True)], schema.names
+                [whole.get(c, pa.nulls(size, t)) for c, t in zip(schema.names, kinds, strict=True)], schema.names
             )
 
         for group in grouped(slices(batches, "text", PIECE_BYTES), BLOCK_BYTES):
             texts, train = [], []
             for batch in group:
-                id_type = batch.column("id").type
-                own = [coded(t) for t in text_bytes(batch.column("text"))]
+                own_type = batch.column("id").type
+                own, learn = [coded(t) for t in text_bytes(batch.column("text"))], batch.column("train").to_pylist()
+                ids = pa.array([batch.column("id").to_pylist()], pa.list_(own_type))
+                yield rows(DOC, 1, ids=ids, train=pa.array([learn]), packed=pa.array([pack(b"\n".join(own))], pa.binary()))
                 texts += own
-                train += batch.column("train").to_pylist()
-                yield rows(DOC, len(own), id=concat_column(batch.column("id")), train=batch.column("train"), text=pa.array(own, pa.binary()))
-            key, count, words = block_counts(texts, np.array(train))
+                train += learn
+            key, count = block_grams(texts, train)
+            for i in range(0, len(key), 100_000):
+                part = key[i : i + 100_000]
+                number = pa.array(np.arange(i, i + len(part), dtype=np.int32))
+                yield rows(GRAM, len(part), gram=pa.array(part), number=number, n=pa.array(count[i : i + 100_000]))
+            short, at = np.unique(key & 0xFFFFFF, return_inverse=True)
+            total = np.bincount(at, weights=count, minlength=len(short)).astype(np.int64)
+            yield rows(SHORT, len(short), gram=pa.array(short), n=pa.array(total))
+            words: Counter = Counter()
+            for t, x in zip(texts, train, strict=True):
+                if x:
+                    words.update(t.split())
+            listed = block_words(texts)
             del texts
-            for i in range(0, len(key), 50_000):
-                yield rows(GRAM, len(key[i : i + 50_000]), gram=pa.array(key[i : i + 50_000]), n=pa.array(count[i : i + 50_000]))
-            listed = list(words)
-            for i in range(0, len(listed), 50_000):
-                part = listed[i : i + 50_000]
-                yield rows(WORD, len(part), word=pa.array(part, pa.binary()), n=pa.array([words[w] for w in part], pa.int64()))
+            for i in range(0, len(listed), 100_000):
+                part = listed[i : i + 100_000]
+                number = pa.array(np.arange(i, i + len(part), dtype=np.int32))
+                yield rows(WORD, len(part), word=pa.array(part, pa.binary()), number=number, n=pa.array([words[w] for w in part], pa.int64()))
+            del words, listed, key, count
             block += 1
+        release()
 
     train = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS != 0, F.lit(True))
     wanted = docs.select(F.col(id_column).alias("id"), train.alias("train"), F.col(text).alias("text"))
     return materialize(wanted.mapInArrow(run, schema))
 
 
+def first(table: pa.Table, column: str) -> np.ndarray:
+    """The list in a table's only row; empty where there is none."""
+    values = concat_column(table.column(column)).flatten()
+    return values.to_numpy() if len(values) else np.zeros(0, np.int64)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
     for batch in batches:
@@ -245,7 +271,8 @@ def model(table: DataFrame) -> DataFrame:
     """(gram, log10p): the predictions for all grams of the corpus, learned from the training counts."""
     total = materialize(table.where(F.col("kind") == GRAM).groupBy("gram").agg(F.sum("n").alias("n")))
     tail = lambda bits: F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
-    three = materialize(total.groupBy(tail(24).alias("g3")).agg(F.sum("n").alias("k2")))
+    short_rows = table.where(F.col("kind") == SHORT)
+    three = materialize(short_rows.groupBy(F.col("gram").alias("g3")).agg(F.sum("n").alias("k2")))
     two = three.groupBy(F.col("g3").bitwiseAND(F.lit(0xFFFF)).alias("g2")).agg(F.sum("k2").alias("k1"))
     pairs = three.withColumn("g2", F.col("g3").bitwiseAND(F.lit(0xFFFF))).join(materialize(two), "g2")
     pairs = pairs.groupBy(F.shiftright("g3", 8).alias("two")).agg(
@@ -272,51 +299,64 @@ def model(table: DataFrame) -> DataFrame:
 def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``."""
     table = corpus_table(docs, id_column, text)
-    of_block = table.where(F.col("kind") == GRAM).select("block", "gram").join(model(table), "gram")
+    of_block = table.where(F.col("kind") == GRAM).select("block", "number", "gram").join(model(table), "gram")
+    # a word has a row for each block at most, so its window holds no more rows than there are blocks
+    same = W.partitionBy("word")
     words = table.where(F.col("kind") == WORD)
-    count = materialize(words.groupBy("word").agg(F.sum("n").alias("c")))
-    ends = table.where((F.col("kind") == DOC) & F.col("train")).count()
-    n, v = count.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    n, v = n + ends, v + (ends > 0)
-    seen = words.select("block", "word").join(count, "word")
+    words = words.select("block", "number", F.sum("n").over(same).alias("c"), F.count("*").over(same).alias("blocks"))
+    ends = table.where(F.col("kind") == DOC).agg(F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()[0]
+    # tasks gather what they have for a block into arrays before the exchange; lists leave nulls out
     none = lambda t, name: F.lit(None).cast(t).alias(name)
-    given = of_block.select("block", "gram", "log10p", none("binary", "word"), none("long", "c")).unionByName(
-        seen.select("block", none("long", "gram"), none("double", "log10p"), "word", "c")
-    )
-    texts = table.where(F.col("kind") == DOC).select(F.col("block").alias("home"), "id", "train", "text")
+    of_grams = of_block.select("block", "number", F.col("log10p").cast("float").alias("log10p"), none("int", "word"), none("long", "c"), none("int", "blocks"))
+    of_words = words.select("block", none("int", "number"), none("float", "log10p"), F.col("number").alias("word"), "c", F.col("blocks").cast("int").alias("blocks"))
+    given = of_grams.unionByName(of_words).groupBy("block")
+    given = given.agg(*(F.collect_list(x).alias(x) for x in ("number", "log10p", "word", "c", "blocks")))
+    texts = table.where(F.col("kind") == DOC).select(F.col("block").alias("home"), "ids", "train", "packed")
     schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("held_out", T.BooleanType())])
-    for c in ("n_tokens", "n_known", "train_tokens"):
-        schema = schema.add(c, T.LongType())
-    schema = schema.add("base_score", T.DoubleType()).add("score", T.DoubleType())
-    unit = np.log10(n + SMOOTHING * (v + 1))
+    schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType())
+    schema = schema.add("logs", T.DoubleType()).add("score", T.DoubleType()).add("n_part", T.LongType()).add("v_part", T.DoubleType())
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        raw = text_bytes(own.column("text"))
-        train = own.column("train").to_pylist()
-        is_gram = found.column("gram").is_valid()
-        g = found.filter(is_gram)
-        ppm = Lookup(g.column("gram").to_numpy(), g.column("log10p").to_numpy())
-        w = found.filter(pa.compute.invert(is_gram))
-        c = w.column("c").to_numpy()
-        names = w.column("word").to_pylist()
-        logs = dict(zip(names, (np.log10(c + SMOOTHING) - unit).tolist(), strict=True))
-        unseen = {x for x, k in zip(names, c.tolist(), strict=True) if not k}
-        end = float(np.log10(ends + SMOOTHING) - unit)
+        unpack = zstandard.ZstdDecompressor().decompress
+        raw, train = [], [x for learn in own.column("train").to_pylist() for x in learn]
+        for packed, learn in zip(own.column("packed").to_pylist(), own.column("train").to_pylist(), strict=True):
+            raw += unpack(packed).split(b"\n") if learn else []
+        value = np.empty(len(listed := first(found, "number")))
+        value[listed] = first(found, "log10p")
+        ppm = Lookup(block_grams(raw, train)[0], value)
+        place = first(found, "word")
+        c, shared = np.empty(len(place), np.int64), np.ones(len(place), np.int64)
+        c[place], shared[place] = first(found, "c"), first(found, "blocks")
+        logs = dict(zip(block_words(raw), np.log10(c + SMOOTHING).tolist(), strict=True))
+        end, seen = float(np.log10(ends + SMOOTHING)), float(np.log10(SMOOTHING + 0.5))
         tokens, known, base, scores = [], [], [], []
         for a, b in pieces(raw):
             code, at = grams(raw[a:b])
             scores.append(np.add.reduceat(ppm(code), at[:-1]))
             for i in range(a, b):
-                x = raw[i].split()
+                x = list(map(logs.__getitem__, raw[i].split()))
                 tokens.append(len(x) + 1)
-                base.append(sum(map(logs.__getitem__, x)) + end)
-                known.append(len(x) - (0 if train[i] else sum(map(unseen.__contains__, x))) + (ends > 0))
+                base.append(sum(x) + end)
+                known.append((len(x) if train[i] else sum(v > seen for v in x)) + (ends > 0))
+        parts = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+        parts[0][0] = sum(t - 1 for t, x in zip(tokens, train, strict=True) if x)
+        parts[1][0] = ((c > 0) / shared).sum()
+        ids = concat_column(own.column("ids")).flatten()
+        del logs, ppm, raw
+        release()
         return pa.table(
             [
-                own.column("id"), pa.array([not x for x in train]), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(np.full(len(raw), n)), pa.array(base, pa.float64()), pa.array(np.concatenate(scores)),
+                ids, pa.array([not x for x in train]), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                pa.array(base, pa.float64()), pa.array(np.concatenate(scores)), *map(pa.array, parts),
             ],
             schema.names,
         )
 
-    return texts.groupBy("home").cogroup(given.groupBy("block")).applyInArrow(run, schema)
+    scored = materialize(texts.groupBy("home").cogroup(given.groupBy("block")).applyInArrow(run, schema))
+    n, v = scored.agg(F.coalesce(F.sum("n_part"), F.lit(0)), F.coalesce(F.round(F.sum("v_part")), F.lit(0))).first()
+    n, v = n + ends, int(v) + (ends > 0)
+    unit = math.log10(n + SMOOTHING * (v + 1))
+    return scored.select(
+        id_column, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score",
+    )
