@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, slices
+from selenite.llm.common import concat_column, giving_way, release, slices
 
 LEXICON_WORDS = 65_536
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 #: Units that a worker remembers between slices; encoding one anew gives the same ids.
-HELD_UNITS = 400_000
-COUNT_BYTES = 16_000_000
+HELD_UNITS = 150_000
+COUNT_BYTES = 8_000_000
 #: A longer word is merged with a heap; shorter ones many at a time, by width.
 WIDTHS = (8, 16, 32, 64)
 NONE = np.int32(2**31 - 1)
@@ -262,6 +262,9 @@ class Codec:
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         at, whole = t["piece_at"].tolist(), t["piece"].tobytes()
         self.pieces = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.forget()
+
+    def forget(self) -> None:
         self.units = {s: int(i).to_bytes(4, "little") for s, i in self.special.items()}
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
@@ -303,7 +306,7 @@ class Codec:
         """
         per_text = [split_units(t, self.split) for t in texts]
         if len(self.units) > HELD_UNITS:
-            self.units = {s: int(i).to_bytes(4, "little") for s, i in self.special.items()}
+            self.forget()
         new = list(set().union(*per_text).difference(self.units)) if per_text else []
         found = [WORD.findall(n) for n in normalized(new)]
         words = list(set().union(*found)) if found else []
@@ -356,6 +359,8 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "n"]
                 )
+            del units, words, rows
+        release()
 
     return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -403,6 +408,7 @@ def prepare(docs: DataFrame, vocabulary: str, text: str = "text", lexicon_words:
 
 def encode(docs: DataFrame, handle: dict, text: str = "text", keep: list[str] = (), decoded: bool = False) -> DataFrame:
     """Columns ``keep``, then ``ids`` (little-endian unsigned 32-bit) and, if asked for, ``decoded``."""
+    keep = giving_way(keep, "ids", *["decoded"] * decoded)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType())])
     if decoded:
         schema = schema.add("decoded", T.StringType())
@@ -416,12 +422,15 @@ def encode(docs: DataFrame, handle: dict, text: str = "text", keep: list[str] =
             if decoded:
                 out.append(pa.array(codec.decode(rows), pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(out, schema.names)
+        codec.forget()
+        release()
 
     return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, handle: dict, ids: str = "ids", keep: list[str] = ()) -> DataFrame:
     """Columns ``keep``, then ``decoded``. Null ids decode to the empty text."""
+    keep = giving_way(keep, "decoded")
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
