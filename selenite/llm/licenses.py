@@ -113,7 +113,8 @@ MAX_BLOCK = 256
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-TRIGGER = rf"(?i)licen[cs]|copyright|reserved|spdx|proprietary|redistribution|warranties|public{NO_WORD}+domain|dedicated|cc0|wtfpl|cc{NO_WORD}+by|historical{NO_WORD}+permission|nasa{NO_WORD}+open|sil{NO_WORD}+ofl|creative{NO_WORD}+commons|mit{NO_WORD}+no"
+#: Every match of every rule and base phrase holds a trigger.
+TRIGGER = rf"(?i)licen[cs]|gpl|bsd|cddl|cecill|as{NO_WORD}+is{NO_WORD}+without|copyright|reserved|spdx|proprietary|redistribution|warranties|public{NO_WORD}+domain|dedicated|cc0|wtfpl|cc{NO_WORD}+by|historical{NO_WORD}+permission|nasa{NO_WORD}+open|sil{NO_WORD}+ofl|creative{NO_WORD}+commons|mit{NO_WORD}+no"
 
 
 def versions() -> list[tuple[str, str, str]]:

@@ -3,13 +3,15 @@
 import itertools
 import math
 import random
+import re
+from re import _parser
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, ppm, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, sharding, simhash, tiling
 
 ODD = [
     "", "  ", "Hello's WORLD 123 <|endoftext|> it'S <|startoftext|>x", "ΑΣ ΑΣΒ İstanbul", "日本語テキスト　全角", "x" * 3000 + " ab" * 50,
@@ -219,3 +221,37 @@ def test_vector_blocks_equal_all_pairs():
         np.add.at(links, node, n)
         assert all(want[a, b] for a, b in zip(u, v, strict=True))
     assert links.tolist() == want.sum(1).tolist()
+
+
+def spellings(expression):
+    """All strings that an expression of literals, choices and optional parts matches."""
+
+    def strings(items):
+        out = [""]
+        for op, arg in items:
+            match str(op):
+                case "LITERAL":
+                    more = [chr(arg)]
+                case "IN":
+                    more = [chr(low if str(kind) == "LITERAL" else low[0]) for kind, low in arg]
+                case "BRANCH":
+                    more = [s for branch in arg[1] for s in strings(branch)]
+                case "SUBPATTERN":
+                    more = strings(arg[3])
+                case "MAX_REPEAT":
+                    more = [""] * (arg[0] == 0) + ["".join(x) for x in itertools.product(strings(arg[2]), repeat=arg[1])]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return strings(_parser.parse(expression))
+
+
+def license_names():
+    """(label, keyword, expression) of every rule without its grant."""
+    return [*licenses.FAMILIES, *licenses.versions(), *(n[:3] for n in licenses.NOTICES)]
+
+
+def test_every_spelling_of_a_license_passes_the_trigger():
+    trigger = re.compile(licenses.TRIGGER)
+    names = [s for _, _, e in license_names() for s in spellings(e)]
+    assert [s for s in [*names, *licenses.BASE] if not trigger.search(s)] == []
