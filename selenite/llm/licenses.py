@@ -1,9 +1,9 @@
 """Licence scans by ordered signature rules, with DataFrame functions only.
 
 A text is normalised to its words (A-Z lowered, joined by one blank). A rule is a
-regular expression over that string with a keyword, a label and a priority. A
-text without any trigger is never normalised; of the others, only the rules whose
-keyword is among the words are run. A detection is dropped where another of
+regular expression over that string with keywords, a label and a priority. A
+text without any trigger is never normalised; of the others, only the rules with
+a keyword among the words are run. A detection is dropped where another of
 higher priority covers its interval, or one of the same priority that is longer
 or, on the same interval, stands earlier in the table. What survives
 gives the labels and the score.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 LICENCE = "licen[cs]e"
 
-#: Fixed values, hand-written: label, keyword, name as a regular expression over words.
+#: Fixed values, hand-written: label, keywords (every match holds one of them), name as a regular expression over words.
 FAMILIES = [
     ("mit", "mit", f"mit(?: x11)? {LICENCE}"),
     ("mit-0", "mit", f"mit no attribution(?: {LICENCE})?"),
@@ -76,7 +76,7 @@ FAMILIES = [
     ("nasa-1.3", "nasa", "nasa open source agreement(?: 1 3)?"),
     ("ipa", "ipa", f"ipa font {LICENCE}"),
     ("intel", "intel", f"intel open source {LICENCE}"),
-    ("beerware", "beer", f"(?:the )?beer ?ware {LICENCE}"),
+    ("beerware", "beer beerware", f"(?:the )?beer ?ware {LICENCE}"),
     ("ecl-2.0", "educational", f"educational community {LICENCE}(?: version)?(?: 2 0)?"),
     ("cpal-1.0", "attribution", f"common public attribution {LICENCE}(?: 1 0)?"),
     ("cpl-1.0", "common", f"common public {LICENCE}(?: 1 0)?"),
@@ -87,7 +87,7 @@ FAMILIES = [
     ("blueoak-1.0.0", "oak", f"blue oak model {LICENCE}"),
     ("mulan-psl-2.0", "mulan", f"mulan(?: permissive software)? {LICENCE}(?: v2)?"),
     ("gpl", "gnu", f"gnu general public {LICENCE}"),
-    ("lgpl", "lesser", f"(?:gnu )?(?:lesser|library) general public {LICENCE}"),
+    ("lgpl", "lesser library", f"(?:gnu )?(?:lesser|library) general public {LICENCE}"),
     ("agpl", "affero", f"(?:gnu )?affero general public {LICENCE}"),
     ("gfdl", "documentation", f"(?:gnu )?free documentation {LICENCE}"),
     ("cc", "commons", f"creative commons(?: {LICENCE})?"),
@@ -97,14 +97,14 @@ GRANT = (
     "(?:licen[cs]ed|released|distributed|published|provided|offered|available|redistributed|covered) (?:under|by)"
     "(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the)? "
 )
-#: Signs of rights without a named licence: label, keyword, expression, priority.
+#: Signs of rights without a named licence: label, keywords, expression, priority.
 NOTICES = [
     ("all-rights-reserved", "reserved", "(?:all|some) rights (?:are )?reserved", 1),
     ("copyright", "copyright", "copyright(?: c)?(?: (?:19|20)[0-9]{2})", 1),
     ("proprietary", "proprietary", f"(?:proprietary and confidential|proprietary {LICENCE})", 2),
     ("no-redistribution", "redistribution", "redistribution (?:is )?(?:prohibited|not permitted|forbidden)", 2),
     ("eula", "user", f"end user {LICENCE} agreement", 2),
-    ("as-is", "warranties", "as is without (?:any )?warrant(?:y|ies)", 1),
+    ("as-is", "warranty warranties", "as is without (?:any )?warrant(?:y|ies)", 1),
 ]
 WEIGHTS = {1: 0.5, 2: 0.7, 3: 0.9, 4: 1.0}
 BASE_WEIGHT = 0.4
@@ -127,13 +127,13 @@ def versions() -> list[tuple[str, str, str]]:
         name = " ".join(long[t] for t in terms.split())
         out.append((label, "commons", f"creative commons {name}(?: {v.split()[0]} {v.split()[1]})(?: international| unported| generic)?"))
     for (label, key, name), v in product(
-        [("gpl", "gpl", f"(?:gpl|gnu gpl|gnu general public {LICENCE})"), ("lgpl", "lgpl", "(?:gnu )?lgpl"), ("agpl", "agpl", "(?:gnu )?agpl")],
+        [("gpl", "gpl general", f"(?:gpl|gnu gpl|gnu general public {LICENCE})"), ("lgpl", "lgpl", "(?:gnu )?lgpl"), ("agpl", "agpl", "(?:gnu )?agpl")],
         ["1", "2", "2 1", "3"],
     ):
         out.append((f"{label}-{v.replace(' ', '.')}", key, f"{name}(?: version)? v?{v}(?: 0)?"))
         out.append((f"{label}-{v.replace(' ', '.')}-or-later", key, f"{name}(?: version)? v?{v}(?: 0)? or(?: \\(?at your option\\)?)?(?: any)? later(?: version)?"))
     for (label, key, kind), v in product(
-        [("gpl", "gnu", "general"), ("lgpl", "lesser", "lesser general"), ("agpl", "affero", "affero general")], ["1", "2", "2 1", "3"]
+        [("gpl", "general", "general"), ("lgpl", "lesser", "lesser general"), ("agpl", "affero", "affero general")], ["1", "2", "2 1", "3"]
     ):
         name = f"(?:gnu )?{kind} public {LICENCE}(?: version)? v?{v}(?: 0)?"
         out.append((f"{label}-{v.replace(' ', '.')}", key, name))
@@ -162,7 +162,7 @@ def versions() -> list[tuple[str, str, str]]:
 
 
 def rules() -> list[tuple[int, str, str, str, int]]:
-    """(order, keyword, expression, label, priority): every name, the grants of it and its tag."""
+    """(order, keywords, expression, label, priority): every name, the grants of it and its tag."""
     out = []
     for label, key, name in [*FAMILIES, *versions()]:
         out.append((key, f"(?<= ){name}(?= )", label, 2))
@@ -205,14 +205,14 @@ def running_sums(numbers: Column) -> Column:
 def rule_table() -> Column:
     """The rules as an array literal of structs."""
     rows = [
-        F.struct(F.lit(o).alias("o"), F.lit(k).alias("k"), F.lit(e).alias("e"), F.lit(x).alias("x"), F.lit(p).alias("p"))
+        F.struct(F.lit(o).alias("o"), F.array(*map(F.lit, k.split())).alias("k"), F.lit(e).alias("e"), F.lit(x).alias("x"), F.lit(p).alias("p"))
         for o, k, e, x, p in rules()
     ]
     return F.array(*rows)
 
 
 def detections(norm: Column, words: Column) -> Column:
-    """All matches of the rules whose keyword is among the words, sorted: wider, higher, earlier first."""
+    """All matches of the rules with a keyword among the words, sorted: wider, higher, earlier first."""
 
     def of(rule: Column) -> Column:
         pair = F.struct(
@@ -225,10 +225,10 @@ def detections(norm: Column, words: Column) -> Column:
                 (end - m).alias("start"), (-end).alias("back"), (-rule["p"]).alias("down"), rule["o"].alias("o"), rule["x"].alias("x"))),
         ))
 
-    keys = sorted({r[1] for r in rules()})
+    keys = sorted({k for r in rules() for k in r[1].split()})
     own = F.array_intersect(words, F.array(*map(F.lit, keys)))
     return let(own, lambda k: F.array_sort(F.flatten(
-        F.transform(F.filter(rule_table(), lambda r: F.array_contains(k, r["k"])), of))))
+        F.transform(F.filter(rule_table(), lambda r: F.arrays_overlap(k, r["k"])), of))))
 
 
 def survivors(found: Column) -> Column:

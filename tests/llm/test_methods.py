@@ -247,7 +247,7 @@ def spellings(expression):
 
 
 def license_names():
-    """(label, keyword, expression) of every rule without its grant."""
+    """(label, keywords, expression) of every rule without its grant."""
     return [*licenses.FAMILIES, *licenses.versions(), *(n[:3] for n in licenses.NOTICES)]
 
 
@@ -255,3 +255,8 @@ def test_every_spelling_of_a_license_passes_the_trigger():
     trigger = re.compile(licenses.TRIGGER)
     names = [s for _, _, e in license_names() for s in spellings(e)]
     assert [s for s in [*names, *licenses.BASE] if not trigger.search(s)] == []
+
+
+def test_every_spelling_of_a_license_holds_a_keyword():
+    names = [(set(k.split()), s) for _, k, e in license_names() for s in spellings(e)]
+    assert [s for keys, s in names if not keys & set(re.sub("[()]", "", s).split())] == []

@@ -151,6 +151,26 @@ def test_licences(spark, docs, empty):
     assert {r.t: r.l for r in rows.collect()} == cases
 
 
+def test_licences_by_their_only_sign(spark):
+    cases = {
+        "as is without warranty": "as-is",
+        "as is, without any warranties": "as-is",
+        "library general public license": "gpl,lgpl",
+        "the beerware license": "beerware",
+        "the beer-ware licence": "beerware",
+        "general public license version 3": "gpl,gpl-3",
+        "GNU General Public License 2 or (at your option) any later version": "gpl,gpl-2-or-later",
+        "released under the GPL v3": "gpl-3",
+        "LGPL 2.1": "lgpl-2.1",
+        "AGPL-3.0": "agpl-3",
+        "3-clause BSD": "bsd-3-clause",
+        "CDDL 1.0": "cddl-1.0",
+        "CeCILL": "cecill",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", licenses.scan(F.col("t"))["labels"].alias("l"))
+    assert {r.t: r.l for r in rows.collect()} == cases
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 0.0]), (9, [1.0, None]), (10, [1.0, 0.0, 0.0]), (11, [])]
