@@ -18,8 +18,9 @@ CANDIDATES = "(select x, y, x * 1.0 as cx, y + 0.5 as cy, round(v, 6) * 10 as cz
 def features(spark, d, step: int = 4):
     rows = P.raster(spark, d).where((F.col("x") % step == 0) & (F.col("y") % step == 0))
     x, y = F.col("x"), F.col("y")
+    stride = max(1000, -(-P.height(spark, d) // step))  # no two features share an id
     return rows.select(
-        (x * 1000 + y).cast("long").alias("id"), x.alias("px"), y.alias("py"), (x * 1.0).cast("double").alias("fx"), (y * 1.0).cast("double").alias("fy"),
+        (x.cast("long") * stride + y).alias("id"), x.alias("px"), y.alias("py"), (x * 1.0).cast("double").alias("fx"), (y * 1.0).cast("double").alias("fy"),
         (F.round("v", 6) * 10).alias("fz"),
     )
 

@@ -1,7 +1,8 @@
 """The domain's tables, modelled on the driver's: in Spark and, alike, as SQL.
 
 ``SQL`` holds the common table expressions; ``with_views`` puts the named ones
-before a statement.
+before a statement. The rasters in SQL end at 500 rows (all there are up to sf0.01), those
+in Spark hold every vector.
 """
 
 from __future__ import annotations
@@ -67,16 +68,22 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "event_id", "ts", (F.col("event_id") % 5 + 1).cast("int").alias("s"), "value")
 
 
+def height(spark: SparkSession, d: str) -> int:
+    """Rows of the raster: one more than the last vector's number."""
+    last = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 0 if last is None else int(last) + 1
+
+
 def raster(spark: SparkSession, d: str) -> DataFrame:
-    """64 columns, a row for each of the first 500 vectors."""
-    rows = table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", F.posexplode("embedding").alias("x", "v"))
+    """64 columns, a row for each vector."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "v"))
     return rows.select("x", F.col("vec_id").cast("int").alias("y"), F.col("v").cast("double").alias("v"))
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Points with fractional pixel coordinates."""
-    rows = table(spark, d, "events")
-    return rows.select("event_id", (F.col("event_id") * 37 % 6300 / 100.0).alias("px"), (F.col("event_id") * 91 % 49900 / 100.0).alias("py"), "value")
+    """Points with fractional pixel coordinates, all over the raster."""
+    rows, span = table(spark, d, "events"), max(1, (height(spark, d) - 1) * 100)
+    return rows.select("event_id", (F.col("event_id") * 37 % 6300 / 100.0).alias("px"), (F.col("event_id") * 91 % span / 100.0).alias("py"), "value")
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -17,7 +17,7 @@ BILINEAR = """select p.event_id, sum(w * v) as value from (
 
 @query(P.with_views(f"select event_id, round(value, 8) as value from ({BILINEAR})", "v_pix", "v_raster"))
 def j01_bilinear_sample(spark, d):
-    return P.rounded(raster.bilinear(P.pixels(spark, d), P.raster(spark, d), ["event_id"], 64, 500), 8)
+    return P.rounded(raster.bilinear(P.pixels(spark, d), P.raster(spark, d), ["event_id"], 64, P.height(spark, d)), 8)
 
 
 @query(
@@ -30,7 +30,7 @@ def j01_bilinear_sample(spark, d):
 )
 def j02_f03_f04_gated_sample(spark, d):
     dem = P.raster(spark, d)
-    found = raster.bilinear(P.pixels(spark, d), dem, ["event_id"], 64, 500).withColumn("prec", (F.col("event_id") % 40).cast("double"))
+    found = raster.bilinear(P.pixels(spark, d), dem, ["event_id"], 64, P.height(spark, d)).withColumn("prec", (F.col("event_id") % 40).cast("double"))
     limits = raster.value_range(dem, -9999.0).select((F.col("v_min") * 0.3).alias("v_min"), (F.col("v_max") * 0.3).alias("v_max"))
     return P.rounded(raster.gate_by_range(found, limits, "prec").select("event_id", "value", "valid"), 8)
 

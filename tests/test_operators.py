@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from selenite.operators import matching, registration, stats, tracks
-from selenite.plans import catalog
+from selenite.plans import catalog, match_queries, proxies
 from selenite.sources import text
 from tests.conftest import SF
 
@@ -168,3 +168,22 @@ def test_lists_expand_in_place(spark):
     listed = spark.createDataFrame([("l.txt", 0, "File01 File02"), ("l.txt", 1, "File03.data")], "path string, line_no int, line string")
     got = [r.name for r in text.expand_inputs(names, text.tokens(listed)).collect()]
     assert got == ["A", "B", "C.data", "File01", "File02", "File03.data"]
+
+
+def test_rasters_hold_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    n = 4100
+    grid = rng.normal(size=(n, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(grid)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(500).selectExpr("id * 997 as event_id", "id * 1.0D as value").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    assert proxies.height(spark, d) == n and proxies.raster(spark, d).count() == n * 64
+    features = match_queries.features(spark, d)
+    assert features.select("id").distinct().count() == features.count() == 16 * 1025
+    got = {r.event_id: r.value for r in catalog.QUERIES["j01_bilinear_sample"](spark, d).collect()}
+    assert len(got) == 500
+    for k, v in got.items():
+        x, y = k * 37 % 6300 / 100, k * 91 % ((n - 1) * 100) / 100
+        i, j = int(x), int(y)
+        near = grid[np.ix_([j, min(j + 1, n - 1)], [i, min(i + 1, 63)])].astype(float)
+        assert v == pytest.approx(np.array([1 - y + j, y - j]) @ near @ np.array([1 - x + i, x - i]), abs=1e-7)
