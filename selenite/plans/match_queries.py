@@ -201,7 +201,7 @@ RANKED = "(select *, row_number() over (partition by q_id order by dist2, t_id)
 
 
 def keypoints(spark, d, side):
-    rows = P.table(spark, d, "embeddings").where((F.col("vec_id") < 600) & (F.col("vec_id") % 2 == side))
+    rows = P.table(spark, d, "embeddings").where(F.col("vec_id") % 2 == side)
     return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("desc"))
 
 

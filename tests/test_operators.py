@@ -187,3 +187,21 @@ def test_rasters_hold_every_vector(spark, tmp_path):
         i, j = int(x), int(y)
         near = grid[np.ix_([j, min(j + 1, n - 1)], [i, min(i + 1, 63)])].astype(float)
         assert v == pytest.approx(np.array([1 - y + j, y - j]) @ near @ np.array([1 - x + i, x - i]), abs=1e-7)
+
+
+def test_nearest_descriptors_search_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(900, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = ((v[1::2, None] - v[None, ::2]) ** 2).sum(2)
+    two = np.argsort(d, axis=1)[:, :2]
+    want = {(2 * q + 1, 2 * int(t), k + 1) for q, ts in enumerate(two) for k, t in enumerate(ts)}
+    got = {(r.q_id, r.t_id, r["rank"]) for r in catalog.QUERIES["j13_o03_nearest_descriptors"](spark, str(tmp_path)).collect()}
+    assert got == want
+    near = np.sort(d, axis=1)
+    ratio = {2 * int(q) + 1 for q in np.flatnonzero(np.sqrt(near[:, 0]) <= 0.97 * np.sqrt(near[:, 1]))}
+    assert {r.q_id for r in catalog.QUERIES["j13_o05_ratio_test"](spark, str(tmp_path)).collect()} == ratio
+    back = d.argmin(0)
+    mutual = {(2 * q + 1, 2 * int(t)) for q, t in enumerate(two[:, 0]) if back[t] == q}
+    assert {(r.q_id, r.t_id) for r in catalog.QUERIES["j14_mutual_nearest"](spark, str(tmp_path)).collect()} == mutual
