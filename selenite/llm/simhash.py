@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from selenite.llm import minhash
 from selenite.llm.common import components, giving_way, materialize, slices, text_bytes, text_key, whole_groups
 
 SLICE_BYTES = 4_000_000
@@ -223,9 +224,10 @@ def near_duplicates(marks: DataFrame, id_column: str, distance: int = 4, mark: s
     return marks.join(own.select(mark, "root").join(least, "root").drop("root"), mark)
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4, jaccard: float | None = None) -> DataFrame:
     """The row of each component with the least id (then text key); the columns stay as they are.
 
+    With ``jaccard``, texts whose sets of five-word shingles are that much alike are linked too.
     Null ids come last. Of rows with equal id and text one stays.
     """
     named = docs.select(F.col(id_column).alias("selenite_id"), text_key(text).alias("text_key"), F.col(text).alias("selenite_of"))
@@ -234,6 +236,11 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", d
     own = marks.groupBy("fingerprint").agg(F.min(rank).alias("first"))
     root = components(links(marks, distance)).withColumnRenamed("node", "fingerprint")
     own = own.join(root, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    if jaccard is not None:
+        own = materialize(own)
+        of = marks.select("fingerprint", "text_key").distinct().join(own.select("fingerprint", "root"), "fingerprint").select("text_key", "root")
+        wider = components(minhash.links(docs, of, jaccard, text)).select(F.col("node").alias("root"), F.col("root").alias("wider"))
+        own = own.join(wider, "root", "left").withColumn("root", F.coalesce("wider", "root")).drop("wider")
     kept = own.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
     copies = marks.groupBy("selenite_id", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
     kept = materialize(

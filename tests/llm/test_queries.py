@@ -134,6 +134,29 @@ def test_one_of_a_group_stays(docs, empty):
     assert simhash.keep_first(docs).columns == docs.columns and simhash.keep_first(empty).count() == 0
 
 
+def test_copies_at_jaccard_are_linked(spark, empty):
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 100_000, n)]
+    texts = []
+    for _ in range(12):
+        base = word(200)
+        texts.append(base)
+        for changes in (1, 3, 4, 8):  # similarities of about 0.95, 0.86, 0.82 and 0.66
+            near = list(base)
+            for at in rng.choice(np.arange(3, 197, 6), changes, replace=False):
+                near[at] = "changed"
+            texts.append(near)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root] if root[j] < root[i] else [root[i] if r == root[j] else r for r in root]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(rows, jaccard=0.8).collect()} == set(root)
+    assert simhash.keep_first(empty, jaccard=0.8).count() == 0
+
+
 def test_licences(spark, docs, empty):
     got = {r.doc_id: r.f for r in docs.select("doc_id", licenses.scan(F.col("text")).alias("f")).collect()}
     assert (got[5].n_words, got[5].n_base, got[5].first_word, got[5].last_word, got[5].base_labels) == (7, 2, 0, 3, "cc-by,reserved")
