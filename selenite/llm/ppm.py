@@ -1,21 +1,27 @@
 """Language-model scores by prediction with partial matching over bytes.
 
-The model is a byte-context trie of depth ``ORDER``: what followed every context of
-up to five bytes in the training texts, start and end included. A text is coded as
-its words, A-Z lowered, each with one blank after it, and then an end. A byte is
-predicted by its longest context; a context in which it has not been seen passes on
-its escape probability (method D: half of the distinct symbols), and the next
-shorter context excludes what the longer ones have ruled out. The last resort is
-uniform over the bytes never seen at all.
-
-Contexts are nested (a symbol seen in a long one was seen in its suffixes), so
-all a prediction needs are sums over a context and over its suffix. The trie is
-therefore stored as a table of six-byte grams with counts, worked out in groups
-that hold all grams of the same last three context bytes (at most 2**24 of them,
-whatever the corpus); only sums for the contexts of two bytes or fewer, at most
-2**16 rows, are handed to all groups. Texts are scored in blocks of about
-``BLOCK_BYTES``: each block gets the predictions of its own distinct grams by a
-join, so no task holds the whole model.
+The model is a byte-context trie. Its dense part holds what followed every context of up
+to ``ORDER`` bytes in the training texts, start and end included. Its deep part holds
+contexts of ``DEEP`` bytes behind a blank (one of ``SPARSE`` of them, by hash); an edge
+there is the whole word, or the end, that follows, so a path that occurs once costs one
+hashed entry. A text is coded as its words, A-Z lowered, each with one blank after it,
+and then an end; a score is the sum of log10 probabilities in double precision.
+
+A word behind a known deep context is predicted there as a whole or escapes to its bytes;
+the discount that goes to the escape is estimated from the counts of counts of the deep
+entries (Ney: once / (once + 2 twice)). A byte is predicted by its longest dense context;
+a context in which it has not been seen passes on its escape probability (method D: half
+of the distinct symbols), and the next shorter context excludes what the longer ones have
+ruled out. Below the longest order a symbol counts once for each longer context that holds
+it (update exclusion). The last resort is uniform over the bytes never seen at all.
+
+Texts are packed into blocks of about ``BLOCK_BYTES`` in the shared folder. A block sorts
+its distinct grams, deep entries and words into buckets by hash and sends each bucket one
+packed row; buckets sum the counts of all blocks, and send each block one row back, in the
+block's own order. Buckets grow in number with the text, so no task holds the whole model.
+Dense contexts are nested, so predictions need sums over a context and its suffix alone:
+grams with the same last three context bytes are worked out together, and only sums for
+contexts of two bytes or fewer, at most 2**16 rows, are handed to all tasks.
 
 The base score is a unigram model over words with additive smoothing; its counts
 come and go the same way.
@@ -29,6 +35,7 @@ columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,15 +44,19 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selenite.llm.common import concat_column, materialize, release, slices, text_bytes
 
 ORDER = 5
+DEEP = 16
+SPARSE = 2
 FOLDS = 10
 BLOCK_BYTES = 28_000_000
+#: Text for each bucket, about; a key's bucket takes 16 bits, so there are 65,536 at most.
+BUCKET_BYTES = 32_000_000
+LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
 PIECE_BYTES = 2_000_000
 #: Bytes that no UTF-8 text holds mark the start and the end; the start is never predicted.
 START, END = b"\xff" * ORDER, b"\xfe"
@@ -55,18 +66,65 @@ TABLE_BITS = 22
 #: Grams that a task works out at a time, about.
 GROUP_GRAMS = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-DOC, GRAM, SHORT, WORD = range(4)
+LOW48 = np.uint64((1 << 48) - 1)
+DOC, GRAM, ENTRY, WORD = range(4)
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams that end in each byte (and the end) of coded texts, and the texts' offsets."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The grams that end in each byte (and the end) of coded texts."""
     data = np.frombuffer(b"".join(START + t + END for t in texts), np.uint8)
     code = np.zeros(len(data), np.int64)
     for back in range(ORDER + 1):
         code[ORDER:] |= data[ORDER - back : len(data) - back].astype(np.int64) << (8 * back)
+    return code[data != 0xFF]
+
+
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words and ends of coded texts.
+
+    (offset of each among all bytes, each text's first, numbers of those with a deep
+    context, their entries: 32 bits of the context and 16 of the symbol, spread by ``placed``).
+    """
+    data = np.frombuffer(b"".join(t + END for t in texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    return code[data != 0xFF], at
+    begin = np.cumsum(sizes) - sizes
+    starts = np.flatnonzero(np.concatenate([[True], (data[:-1] == 0x20) | (data[:-1] == 0xFE)]))
+    first = np.searchsorted(starts, begin)
+    inside = starts - np.repeat(begin, np.diff(np.append(first, len(starts))))
+    at = np.flatnonzero(inside >= DEEP)
+    if not len(at):
+        return starts, first, at, np.zeros((0, 2), np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(data, DEEP)[starts[at] - DEEP]
+    halves = np.ascontiguousarray(windows).view("<u8")
+    context = mixed(halves[:, 0] * FACTOR + mixed(halves[:, 1] + FACTOR))
+    chosen = (context >> np.uint64(1)) % np.uint64(SPARSE) == 0
+    at, context = at[chosen], context[chosen]
+    # a word's polynomial is a difference of running sums, divided by the power at its start
+    inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, f)])) for f in (FACTOR, inverse))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)])
+    stops = np.append(starts[1:], len(data))
+    word = mixed((total[stops[at]] - total[starts[at]]) * down[starts[at]])
+    return starts, first, at, np.column_stack([context, word])
+
+
+def placed(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    """Deep entries as sort keys: bucket in the top 16 bits, then context, then symbol."""
+    context, word = pairs[:, 0], pairs[:, 1]
+    bucket = ((context >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)
+    return (bucket << np.uint64(48)) | ((context >> np.uint64(32)) << np.uint64(16)) | (word >> np.uint64(48))
+
+
+def placed_grams(key: np.ndarray, buckets: int) -> np.ndarray:
+    key = key.astype(np.uint64)
+    return ((mixed(key + FACTOR) >> np.uint64(8)) % np.uint64(buckets) << np.uint64(48)) | key
 
 
 def coded(text: bytes) -> bytes:
@@ -87,26 +145,53 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def block_grams(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of a block, ascending, and their counts in training texts (0 where only others hold them)."""
-    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def counted(texts: list[bytes], train: list[bool], keys) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``keys`` of a block, ascending, and their counts in training texts (0 where only others hold them)."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for a, b in pieces(texts):
         for learn in (True, False):
             chosen = [t for t, x in zip(texts[a:b], train[a:b], strict=True) if x is learn]
             if chosen:
-                k, n = np.unique(grams(chosen)[0], return_counts=True)
-                both, at = np.unique(np.concatenate([key, k]), return_inverse=True)
-                added = np.concatenate([count, n if learn else np.zeros(len(k), np.int64)])
-                key, count = both, np.bincount(at, weights=added, minlength=len(both)).astype(np.int64)
-    return key, count
+                k, n = np.unique(keys(chosen), return_counts=True)
+                found.append((k, n if learn else np.zeros(len(k), np.int64)))
+    return summed(*map(np.concatenate, zip(*found, strict=True)))
+
 
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
-def block_words(texts: list[bytes]) -> list[bytes]:
-    """The distinct words of a block, ascending."""
+
+def block_words(texts: list[bytes], train: list[bool], buckets: int) -> tuple[list[list[bytes]], Counter]:
+    """The distinct words of a block by bucket, ascending in each, and their counts in training texts."""
     found: set[bytes] = set()
-    for t in texts:
-        found.update(t.split())
-    return sorted(found)
+    words: Counter = Counter()
+    for t, x in zip(texts, train, strict=True):
+        (words if x else found).update(t.split())
+    dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in found.union(words):
+        dealt[zlib.crc32(w) % buckets].append(w)
+    return [sorted(x) for x in dealt], words
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte numbers of one length, byte by byte of their places, compressed."""
+    n = len(arrays[0])
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(n, 8).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(8, "little") + planes)
+
+
+def unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(len(kinds), 8, n)
+    return [np.ascontiguousarray(p.T).view(k).reshape(n) for p, k in zip(planes, kinds, strict=True)]
+
+
+def steps(key: np.ndarray) -> np.ndarray:
+    return np.diff(key, prepend=key.dtype.type(0))
 
 
 def sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -119,11 +204,12 @@ def predictions(key: np.ndarray, count: np.ndarray, after_two: np.ndarray, short
     ``key``: all grams of some last three context bytes, ``count``: theirs in
     training, ``after_two``: counts of the last byte after two bytes. ``short``: for
     contexts of two bytes the sum, kinds and what they rule out of the shorter
-    context (``n2``, ``d2``, ``x1``), counts after one byte (``one``).
+    context (``n2``, ``d2``, ``x1``), counts after one byte (``one``). All counts of shorter
+    contexts are numbers of longer contexts.
     """
     two, symbol = (key >> 8) & 0xFFFF, key & 255
     last, one = two & 255, short["one"]
-    zero = one.sum(0)
+    zero = (one > 0).sum(0)
     count = count.astype(np.float64)
     # per order: the contexts, and the (context, symbol) pairs one order below the longest
     c5, c4, c3 = (np.unique((key >> 8) & m, return_inverse=True)[1] for m in (0xFFFFFFFFFF, 0xFFFFFFFF, 0xFFFFFF))
@@ -131,8 +217,11 @@ def predictions(key: np.ndarray, count: np.ndarray, after_two: np.ndarray, short
     (_, first4, p4), (_, first3, p3) = (
         np.unique(key & m, return_index=True, return_inverse=True) for m in (0xFFFFFFFFFF, 0xFFFFFFFF)
     )
-    k4, k3 = sums(count, p4, len(first4)), sums(count, p3, len(first3))
-    seen5, seen4, seen3 = count > 0, k4 > 0, k3 > 0
+    seen5 = count > 0
+    k4 = sums(seen5, p4, len(first4))
+    seen4 = k4 > 0
+    k3 = sums(seen4, p3[first4], len(first3))
+    seen3 = k3 > 0
     own4, own3 = c4[first4], c3[first3]
     total = [
         zero.sum(), one.sum(1)[last], short["n2"][two],
@@ -187,60 +276,31 @@ class Lookup:
         return self.value[at]
 
 
-def corpus_table(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """The packed texts, and the grams and words of each block, in one table in the shared folder.
-
-    A block's grams and words are numbered in ascending order; what comes back to the
-    block names them by number, in single precision.
-    """
+def packed_texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(block, ids, train, packed, tokens): the coded texts in blocks, in the shared folder."""
     id_type = docs.schema[id_column].dataType
-    schema = T.StructType(
-        [T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType())]
-        + [T.StructField("ids", T.ArrayType(id_type)), T.StructField("train", T.ArrayType(T.BooleanType()))]
-        + [T.StructField("packed", T.BinaryType()), T.StructField("number", T.IntegerType())]
-        + [T.StructField("gram", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]
-    )
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type))])
+    schema = schema.add("train", T.ArrayType(T.BooleanType())).add("packed", T.BinaryType()).add("tokens", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=6).compress
-
-        def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
-            whole = {"kind": pa.array(np.full(size, kind, np.int32)), "block": pa.array(np.full(size, block)), **columns}
-            kinds = [pa.int32(), pa.int64(), pa.list_(own_type), pa.list_(pa.bool_()), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays(
-                [whole.get(c, pa.nulls(size, t)) for c, t in zip(schema.names, kinds, strict=True)], schema.names
-            )
-
-        for group in grouped(slices(batches, "text", PIECE_BYTES), BLOCK_BYTES):
-            texts, train = [], []
-            for batch in group:
-                own_type = batch.column("id").type
-                own, learn = [coded(t) for t in text_bytes(batch.column("text"))], batch.column("train").to_pylist()
-                ids = pa.array([batch.column("id").to_pylist()], pa.list_(own_type))
-                yield rows(DOC, 1, ids=ids, train=pa.array([learn]), packed=pa.array([pack(b"\n".join(own))], pa.binary()))
-                texts += own
-                train += learn
-            key, count = block_grams(texts, train)
-            for i in range(0, len(key), 100_000):
-                part = key[i : i + 100_000]
-                number = pa.array(np.arange(i, i + len(part), dtype=np.int32))
-                yield rows(GRAM, len(part), gram=pa.array(part), number=number, n=pa.array(count[i : i + 100_000]))
-            short, at = np.unique(key & 0xFFFFFF, return_inverse=True)
-            total = np.bincount(at, weights=count, minlength=len(short)).astype(np.int64)
-            yield rows(SHORT, len(short), gram=pa.array(short), n=pa.array(total))
-            words: Counter = Counter()
-            for t, x in zip(texts, train, strict=True):
-                if x:
-                    words.update(t.split())
-            listed = block_words(texts)
-            del texts
-            for i in range(0, len(listed), 100_000):
-                part = listed[i : i + 100_000]
-                number = pa.array(np.arange(i, i + len(part), dtype=np.int32))
-                yield rows(WORD, len(part), word=pa.array(part, pa.binary()), number=number, n=pa.array([words[w] for w in part], pa.int64()))
-            del words, listed, key, count
-            block += 1
+        compress = zstandard.ZstdCompressor(level=6).compress
+        size = 0
+        for batch in slices(batches, "text", PIECE_BYTES):
+            n = batch.column("text").nbytes
+            if size and size + n > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += n
+            own, learn = [coded(t) for t in text_bytes(batch.column("text"))], batch.column("train").to_pylist()
+            tokens = sum(t.count(b" ") + 1 for t, x in zip(own, learn, strict=True) if x)
+            ids = concat_column(batch.column("id"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([learn]),
+                    pa.array([compress(b"\n".join(own))], pa.binary()), pa.array([tokens]),
+                ],
+                schema.names,
+            )
         release()
 
     train = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS != 0, F.lit(True))
@@ -248,115 +308,221 @@ def corpus_table(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return materialize(wanted.mapInArrow(run, schema))
 
 
-def first(table: pa.Table, column: str) -> np.ndarray:
-    """The list in a table's only row; empty where there is none."""
-    values = concat_column(table.column(column)).flatten()
-    return values.to_numpy() if len(values) else np.zeros(0, np.int64)
+def unpacked(rows: pa.Table | pa.RecordBatch) -> tuple[list[bytes], list[bool]]:
+    """The coded texts of some rows, and which are learned from."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    texts, train = [], []
+    for packed, learn in zip(rows.column("packed").to_pylist(), rows.column("train").to_pylist(), strict=True):
+        texts += decompress(packed).split(b"\n") if learn else []
+        train += learn
+    return texts, train
+
+
+PARTS = "block long, kind int, bucket int, payload binary"
 
 
-def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
-    held, size = [], 0
+def parts(texts: DataFrame, kinds: tuple[int, ...], buckets: int) -> DataFrame:
+    """One row of packed keys and counts for each block, kind and bucket."""
+
+    def rows(block: int, kind: int, raw: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for bucket, payload in raw:
+            columns = [pa.array([block]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "payload"])
+
+    def dealt(key: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        edges = np.searchsorted(key >> np.uint64(48), np.arange(buckets + 1, dtype=np.uint64))
+        for bucket, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if b > a:
+                yield bucket, pack(steps(key[a:b] & LOW48), n[a:b])
+
+    def words(texts: list[bytes], train: list[bool]) -> Iterator[tuple[int, bytes]]:
+        found, count = block_words(texts, train, buckets)
+        for bucket, own in enumerate(found):
+            if own:
+                n = np.fromiter((count[w] for w in own), np.int64, len(own))
+                yield bucket, zstandard.ZstdCompressor(level=3).compress(len(own).to_bytes(8, "little") + n.view(np.uint8).reshape(-1, 8).T.tobytes() + b" ".join(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own in blocks(batches):
+            texts, train = unpacked(own)
+            if GRAM in kinds:
+                yield from rows(block, GRAM, dealt(*counted(texts, train, lambda x: placed_grams(grams(x), buckets))))
+            if ENTRY in kinds:
+                yield from rows(block, ENTRY, dealt(*counted(texts, train, lambda x: placed(symbols(x)[3], buckets))))
+            if WORD in kinds:
+                yield from rows(block, WORD, words(texts, train))
+            del texts
+        release()
+
+    return texts.select("block", "train", "packed").mapInArrow(run, PARTS)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a block stand together in its partition."""
+    held, now = [], None
     for batch in batches:
-        n = batch.column("text").nbytes
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append(batch)
-        size += n
+        ids = batch.column("block").to_pylist()
+        start = 0
+        for i in range(len(ids) + 1):
+            if i == len(ids) or ids[i] != now:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if i < len(ids):
+                    if held:
+                        yield now, pa.Table.from_batches(held)
+                    held, now = [], ids[i]
+                start = i
     if held:
-        yield held
-
-
-def model(table: DataFrame) -> DataFrame:
-    """(gram, log10p): the predictions for all grams of the corpus, learned from the training counts."""
-    total = materialize(table.where(F.col("kind") == GRAM).groupBy("gram").agg(F.sum("n").alias("n")))
-    tail = lambda bits: F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
-    short_rows = table.where(F.col("kind") == SHORT)
-    three = materialize(short_rows.groupBy(F.col("gram").alias("g3")).agg(F.sum("n").alias("k2")))
-    two = three.groupBy(F.col("g3").bitwiseAND(F.lit(0xFFFF)).alias("g2")).agg(F.sum("k2").alias("k1"))
-    pairs = three.withColumn("g2", F.col("g3").bitwiseAND(F.lit(0xFFFF))).join(materialize(two), "g2")
-    pairs = pairs.groupBy(F.shiftright("g3", 8).alias("two")).agg(
-        F.sum("k2").alias("n2"), F.count(F.when(F.col("k2") > 0, 1)).alias("d2"), F.sum(F.when(F.col("k2") > 0, F.col("k1"))).alias("x1")
-    )
+        yield now, pa.Table.from_batches(held)
+
+
+def packed_keys(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sorted keys and counts of each row of a bucket."""
+    found = [unpack(p, np.uint64, np.int64) for p in rows.column("payload").to_pylist()]
+    return [np.cumsum(k) for k, _ in found], [n for _, n in found]
+
+
+def dense(parts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, gram, log10p): the predictions for all grams of the corpus, learned from the training counts."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        key, n = summed(*map(np.concatenate, packed_keys(rows)))
+        return pa.table({"gram": key.astype(np.int64), "n": n})
+
+    total = materialize(parts.groupBy("bucket").applyInArrow(merge, "gram long, n long"))
+    tail = lambda c, bits: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
+    three = total.where("n > 0").select(tail("gram", 32).alias("g4")).distinct()
+    three = materialize(three.groupBy(tail("g4", 24).alias("g3")).agg(F.count("*").alias("k2")))
+    two = materialize(three.groupBy(tail("g3", 16).alias("g2")).agg(F.count("*").alias("k1")))
+    pairs = three.withColumn("g2", tail("g3", 16)).join(two, "g2")
+    pairs = pairs.groupBy(F.shiftright("g3", 8).alias("two")).agg(F.sum("k2").alias("n2"), F.count("*").alias("d2"), F.sum("k1").alias("x1"))
     short = {"one": np.zeros((256, 256))} | {c: np.zeros(1 << 16) for c in ("n2", "d2", "x1")}
     for r in two.collect():  # at most 2**16 rows, like the next
         short["one"][r["g2"] >> 8, r["g2"] & 255] = r["k1"]
     for r in pairs.collect():
         for c in ("n2", "d2", "x1"):
-            short[c][r["two"]] = r[c] or 0
+            short[c][r["two"]] = r[c]
 
     def run(group: pa.Table) -> pa.Table:
         key, count, after_two = (group.column(c).to_numpy() for c in ("gram", "n", "k2"))
-        return pa.table({"gram": key, "log10p": predictions(key, count, after_two, short)})
+        bucket = (placed_grams(key, buckets) >> np.uint64(48)).astype(np.int32)
+        return pa.table({"bucket": bucket, "gram": key, "log10p": predictions(key, count, after_two, short)})
 
     groups = total.count() // GROUP_GRAMS + 1
     context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
-    rows = total.withColumn("g3", tail(24)).join(three, "g3").drop("g3")
-    found = rows.groupBy(F.pmod(F.xxhash64(context), F.lit(groups)).alias("group")).applyInArrow(run, "gram long, log10p double")
-    return materialize(found)
+    rows = total.withColumn("g3", tail("gram", 24)).join(three, "g3", "left").drop("g3").withColumn("k2", F.coalesce("k2", F.lit(0)))
+    return rows.groupBy(F.pmod(F.xxhash64(context), F.lit(groups)).alias("group")).applyInArrow(run, "bucket int, gram long, log10p double")
+
+
+def answers(rows: pa.Table, payloads: list[bytes]) -> list[pa.Array]:
+    return [*(concat_column(rows.column(c)) for c in ("block", "kind", "bucket")), pa.array(payloads, pa.binary())]
+
+
+def dense_answers(parts: DataFrame, model: DataFrame) -> DataFrame:
+    """The predictions for the grams of each block, in the block's order."""
+
+    def run(rows: pa.Table, model: pa.Table) -> pa.Table:
+        gram, value = model.column("gram").to_numpy(), model.column("log10p").to_numpy()
+        order = np.argsort(gram)
+        gram, value = gram[order].astype(np.uint64), value[order]
+        return pa.table(answers(rows, [pack(value[np.searchsorted(gram, k)]) for k in packed_keys(rows)[0]]), ["block", "kind", "bucket", "payload"])
+
+    return parts.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(run, PARTS)
+
+
+def count_answers(parts: DataFrame) -> DataFrame:
+    """Counts for the words and deep entries of each block, in the block's order.
+
+    With each bucket's first row: the distinct words learned from, the entries seen once and twice.
+    """
+
+    def words(rows: pa.Table) -> tuple[list[bytes], tuple[int, int, int]]:
+        found, counts, sizes = [], [], []
+        for p in rows.column("payload").to_pylist():
+            raw = zstandard.ZstdDecompressor().decompress(p)
+            n = int.from_bytes(raw[:8], "little")
+            counts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.int64).reshape(n))
+            found.append(pa.array(raw[8 + 8 * n :].split(b" "), pa.binary()))
+            sizes.append(n)
+        code = pa.chunked_array(found).combine_chunks().dictionary_encode().indices.to_numpy()
+        total = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
+        return [pack(x) for x in np.split(total[code], np.cumsum(sizes)[:-1])], (int((total > 0).sum()), 0, 0)
+
+    def entries(rows: pa.Table) -> tuple[list[bytes], tuple[int, int, int]]:
+        keys, counts = packed_keys(rows)
+        key, n = summed(np.concatenate(keys), np.concatenate(counts))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(16) != key[:-1] >> np.uint64(16)]))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        total, kinds = np.add.reduceat(n, starts)[group], np.add.reduceat((n > 0).astype(np.int64), starts)[group]
+        at = [np.searchsorted(key, k) for k in keys]
+        return [pack(n[i], total[i], kinds[i]) for i in at], (0, int((n == 1).sum()), int((n == 2).sum()))
+
+    def run(rows: pa.Table) -> pa.Table:
+        kind = rows.column("kind")[0].as_py()
+        payloads, stats = (words if kind == WORD else entries)(rows)
+        extra = [pa.array([s] + [0] * (rows.num_rows - 1), pa.int64()) for s in stats]
+        return pa.table([*answers(rows, payloads), *extra], ["block", "kind", "bucket", "payload", "vocabulary", "once", "twice"])
+
+    return materialize(parts.groupBy("kind", "bucket").applyInArrow(run, PARTS + ", vocabulary long, once long, twice long"))
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``."""
-    table = corpus_table(docs, id_column, text)
-    of_block = table.where(F.col("kind") == GRAM).select("block", "number", "gram").join(model(table), "gram")
-    # a word has a row for each block at most, so its window holds no more rows than there are blocks
-    same = W.partitionBy("word")
-    words = table.where(F.col("kind") == WORD)
-    words = words.select("block", "number", F.sum("n").over(same).alias("c"), F.count("*").over(same).alias("blocks"))
-    ends = table.where(F.col("kind") == DOC).agg(F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()[0]
-    # tasks gather what they have for a block into arrays before the exchange; lists leave nulls out
-    none = lambda t, name: F.lit(None).cast(t).alias(name)
-    of_grams = of_block.select("block", "number", F.col("log10p").cast("float").alias("log10p"), none("int", "word"), none("long", "c"), none("int", "blocks"))
-    of_words = words.select("block", none("int", "number"), none("float", "log10p"), F.col("number").alias("word"), "c", F.col("blocks").cast("int").alias("blocks"))
-    given = of_grams.unionByName(of_words).groupBy("block")
-    given = given.agg(*(F.collect_list(x).alias(x) for x in ("number", "log10p", "word", "c", "blocks")))
-    texts = table.where(F.col("kind") == DOC).select(F.col("block").alias("home"), "ids", "train", "packed")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, int(size) // BUCKET_BYTES))
+    texts = packed_texts(docs, id_column, text)
+    counts = count_answers(parts(texts, (ENTRY, WORD), buckets))
+    none = F.lit(0)
+    v, once, twice = counts.agg(*(F.coalesce(F.sum(c), none) for c in ("vocabulary", "once", "twice"))).first()
+    n, ends = texts.agg(F.coalesce(F.sum("tokens"), none), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), none)).first()
+    unit = math.log10(n + SMOOTHING * (v + (ends > 0) + 1))
+    discount = (once + 1) / (once + 2 * twice + 2)
+    own_grams = materialize(parts(texts, (GRAM,), buckets))
+    given = dense_answers(own_grams, dense(own_grams, buckets)).unionByName(counts.select("block", "kind", "bucket", "payload"))
     schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("held_out", T.BooleanType())])
-    schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType())
-    schema = schema.add("logs", T.DoubleType()).add("score", T.DoubleType()).add("n_part", T.LongType()).add("v_part", T.DoubleType())
+    schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType()).add("train_tokens", T.LongType())
+    schema = schema.add("base_score", T.DoubleType()).add("score", T.DoubleType())
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        raw, train = [], [x for learn in own.column("train").to_pylist() for x in learn]
-        for packed, learn in zip(own.column("packed").to_pylist(), own.column("train").to_pylist(), strict=True):
-            raw += unpack(packed).split(b"\n") if learn else []
-        value = np.empty(len(listed := first(found, "number")))
-        value[listed] = first(found, "log10p")
-        ppm = Lookup(block_grams(raw, train)[0], value)
-        place = first(found, "word")
-        c, shared = np.empty(len(place), np.int64), np.ones(len(place), np.int64)
-        c[place], shared[place] = first(found, "c"), first(found, "blocks")
-        logs = dict(zip(block_words(raw), np.log10(c + SMOOTHING).tolist(), strict=True))
-        end, seen = float(np.log10(ends + SMOOTHING)), float(np.log10(SMOOTHING + 0.5))
+        raw, train = unpacked(own)
+        found = found.sort_by("bucket")
+
+        def of(kind: int, *kinds: type) -> list[np.ndarray]:
+            rows = [unpack(p, *kinds) for p, k in zip(found.column("payload").to_pylist(), found.column("kind").to_pylist(), strict=True) if k == kind]
+            return [np.concatenate([np.zeros(0, t), *c]) for t, c in zip(kinds, zip(*rows, strict=True) if rows else [()] * len(kinds), strict=True)]
+
+        key = counted(raw, train, lambda x: placed_grams(grams(x), buckets))[0]
+        ppm = Lookup((key & LOW48).astype(np.int64), of(GRAM, np.float64)[0])
+        entry = counted(raw, train, lambda x: placed(symbols(x)[3], buckets))[0]
+        seen, total, kinds = of(ENTRY, np.int64, np.int64, np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            deep = np.where(seen > 0, np.log10((seen - discount) / total), np.where(total > 0, np.log10(discount * kinds / total), 0.0))
+        of_word = of(WORD, np.int64)[0]
+        listed = [w for x in block_words(raw, train, buckets)[0] for w in x]
+        logs = dict(zip(listed, zip(np.log10(of_word + SMOOTHING).tolist(), (of_word > 0).tolist(), strict=True), strict=True))
+        del key, listed, of_word
+        end = math.log10(ends + SMOOTHING)
         tokens, known, base, scores = [], [], [], []
         for a, b in pieces(raw):
-            code, at = grams(raw[a:b])
-            scores.append(np.add.reduceat(ppm(code), at[:-1]))
-            for i in range(a, b):
-                x = list(map(logs.__getitem__, raw[i].split()))
+            starts, first, at, pairs = symbols(raw[a:b])
+            each = np.add.reduceat(ppm(grams(raw[a:b])), starts)
+            place = np.searchsorted(entry, placed(pairs, buckets))
+            each[at] = np.where(seen[place] > 0, 0.0, each[at]) + deep[place]
+            scores.append(np.add.reduceat(each, first))
+            for t in raw[a:b]:
+                x = [logs[w] for w in t.split()]
                 tokens.append(len(x) + 1)
-                base.append(sum(x) + end)
-                known.append((len(x) if train[i] else sum(v > seen for v in x)) + (ends > 0))
-        parts = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-        parts[0][0] = sum(t - 1 for t, x in zip(tokens, train, strict=True) if x)
-        parts[1][0] = ((c > 0) / shared).sum()
+                base.append(math.fsum(p for p, _ in x) + end - (len(x) + 1) * unit)
+                known.append(sum(k for _, k in x) + (ends > 0))
         ids = concat_column(own.column("ids")).flatten()
-        del logs, ppm, raw
+        del logs, ppm, raw, entry
         release()
         return pa.table(
             [
                 ids, pa.array([not x for x in train]), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(np.concatenate(scores)), *map(pa.array, parts),
+                pa.array(np.full(len(tokens), n, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(scores)),
             ],
             schema.names,
         )
 
-    scored = materialize(texts.groupBy("home").cogroup(given.groupBy("block")).applyInArrow(run, schema))
-    n, v = scored.agg(F.coalesce(F.sum("n_part"), F.lit(0)), F.coalesce(F.round(F.sum("v_part")), F.lit(0))).first()
-    n, v = n + ends, int(v) + (ends > 0)
-    unit = math.log10(n + SMOOTHING * (v + 1))
-    return scored.select(
-        id_column, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score",
-    )
+    return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
