@@ -35,8 +35,6 @@ columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +49,7 @@ from selenite.llm.common import concat_column, materialize, release, slices, tex
 
 ORDER = 5
 DEEP = 16
-SPARSE = 2
+SPARSE = 1
 FOLDS = 10
 BLOCK_BYTES = 28_000_000
 #: Text for each bucket, about; a key's bucket takes 16 bits, so there are 65,536 at most.
@@ -86,42 +84,47 @@ def grams(texts: list[bytes]) -> np.ndarray:
     return code[data != 0xFF]
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words and ends of coded texts.
 
-    (offset of each among all bytes, each text's first, numbers of those with a deep
-    context, their entries: 32 bits of the context and 16 of the symbol, spread by ``placed``).
+    (offset of each among all bytes, each text's first, their hashes, numbers of those with
+    a deep context, hashes of these contexts).
     """
     data = np.frombuffer(b"".join(t + END for t in texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.cumsum(sizes) - sizes
     starts = np.flatnonzero(np.concatenate([[True], (data[:-1] == 0x20) | (data[:-1] == 0xFE)]))
     first = np.searchsorted(starts, begin)
+    # a word's polynomial is a difference of running sums, divided by the power at its start
+    inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, f)])) for f in (FACTOR, inverse))
+    up *= data.astype(np.uint64) + np.uint64(1)
+    word = mixed(np.add.reduceat(up, starts) * down[starts])
+    del up, down
     inside = starts - np.repeat(begin, np.diff(np.append(first, len(starts))))
     at = np.flatnonzero(inside >= DEEP)
     if not len(at):
-        return starts, first, at, np.zeros((0, 2), np.uint64)
+        return starts, first, word, at, np.zeros(0, np.uint64)
     windows = np.lib.stride_tricks.sliding_window_view(data, DEEP)[starts[at] - DEEP]
     halves = np.ascontiguousarray(windows).view("<u8")
     context = mixed(halves[:, 0] * FACTOR + mixed(halves[:, 1] + FACTOR))
-    chosen = (context >> np.uint64(1)) % np.uint64(SPARSE) == 0
-    at, context = at[chosen], context[chosen]
-    # a word's polynomial is a difference of running sums, divided by the power at its start
-    inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
-    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, f)])) for f in (FACTOR, inverse))
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)])
-    stops = np.append(starts[1:], len(data))
-    word = mixed((total[stops[at]] - total[starts[at]]) * down[starts[at]])
-    return starts, first, at, np.column_stack([context, word])
+    if SPARSE > 1:
+        chosen = (context >> np.uint64(1)) % np.uint64(SPARSE) == 0
+        at, context = at[chosen], context[chosen]
+    return starts, first, word, at, context
 
 
-def placed(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    """Deep entries as sort keys: bucket in the top 16 bits, then context, then symbol."""
-    context, word = pairs[:, 0], pairs[:, 1]
+def placed(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    """Deep entries as sort keys: bucket in the top 16 bits, then 32 bits of the context, 16 of the symbol."""
     bucket = ((context >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(buckets)
     return (bucket << np.uint64(48)) | ((context >> np.uint64(32)) << np.uint64(16)) | (word >> np.uint64(48))
 
 
+def placed_words(word: np.ndarray, buckets: int) -> np.ndarray:
+    """Words as sort keys: bucket in the top 16 bits, then 48 bits of the hash."""
+    return ((word & np.uint64(0xFFFFFF)) % np.uint64(buckets) << np.uint64(48)) | (word >> np.uint64(16))
+
+
 def placed_grams(key: np.ndarray, buckets: int) -> np.ndarray:
     key = key.astype(np.uint64)
     return ((mixed(key + FACTOR) >> np.uint64(8)) % np.uint64(buckets) << np.uint64(48)) | key
@@ -164,18 +167,6 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def block_words(texts: list[bytes], train: list[bool], buckets: int) -> tuple[list[list[bytes]], Counter]:
-    """The distinct words of a block by bucket, ascending in each, and their counts in training texts."""
-    found: set[bytes] = set()
-    words: Counter = Counter()
-    for t, x in zip(texts, train, strict=True):
-        (words if x else found).update(t.split())
-    dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in found.union(words):
-        dealt[zlib.crc32(w) % buckets].append(w)
-    return [sorted(x) for x in dealt], words
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of 8-byte numbers of one length, byte by byte of their places, compressed."""
     n = len(arrays[0])
@@ -284,7 +275,7 @@ def packed_texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        compress = zstandard.ZstdCompressor(level=6).compress
+        compress = zstandard.ZstdCompressor(level=4).compress
         size = 0
         for batch in slices(batches, "text", PIECE_BYTES):
             n = batch.column("text").nbytes
@@ -335,22 +326,21 @@ def parts(texts: DataFrame, kinds: tuple[int, ...], buckets: int) -> DataFrame:
             if b > a:
                 yield bucket, pack(steps(key[a:b] & LOW48), n[a:b])
 
-    def words(texts: list[bytes], train: list[bool]) -> Iterator[tuple[int, bytes]]:
-        found, count = block_words(texts, train, buckets)
-        for bucket, own in enumerate(found):
-            if own:
-                n = np.fromiter((count[w] for w in own), np.int64, len(own))
-                yield bucket, zstandard.ZstdCompressor(level=3).compress(len(own).to_bytes(8, "little") + n.view(np.uint8).reshape(-1, 8).T.tobytes() + b" ".join(own))
+    def entries(texts: list[bytes]) -> np.ndarray:
+        _, _, word, at, context = symbols(texts)
+        return placed(context, word[at], buckets)
+
+    keys = {
+        GRAM: lambda x: placed_grams(grams(x), buckets),
+        ENTRY: entries,
+        WORD: lambda x: placed_words(symbols(x)[2], buckets),
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, own in blocks(batches):
             texts, train = unpacked(own)
-            if GRAM in kinds:
-                yield from rows(block, GRAM, dealt(*counted(texts, train, lambda x: placed_grams(grams(x), buckets))))
-            if ENTRY in kinds:
-                yield from rows(block, ENTRY, dealt(*counted(texts, train, lambda x: placed(symbols(x)[3], buckets))))
-            if WORD in kinds:
-                yield from rows(block, WORD, words(texts, train))
+            for kind in kinds:
+                yield from rows(block, kind, dealt(*counted(texts, train, keys[kind])))
             del texts
         release()
 
@@ -433,20 +423,13 @@ def dense_answers(parts: DataFrame, model: DataFrame) -> DataFrame:
 def count_answers(parts: DataFrame) -> DataFrame:
     """Counts for the words and deep entries of each block, in the block's order.
 
-    With each bucket's first row: the distinct words learned from, the entries seen once and twice.
+    With each bucket's first row: the distinct words (and the end) learned from, the entries seen once and twice.
     """
 
     def words(rows: pa.Table) -> tuple[list[bytes], tuple[int, int, int]]:
-        found, counts, sizes = [], [], []
-        for p in rows.column("payload").to_pylist():
-            raw = zstandard.ZstdDecompressor().decompress(p)
-            n = int.from_bytes(raw[:8], "little")
-            counts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.int64).reshape(n))
-            found.append(pa.array(raw[8 + 8 * n :].split(b" "), pa.binary()))
-            sizes.append(n)
-        code = pa.chunked_array(found).combine_chunks().dictionary_encode().indices.to_numpy()
-        total = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
-        return [pack(x) for x in np.split(total[code], np.cumsum(sizes)[:-1])], (int((total > 0).sum()), 0, 0)
+        keys, counts = packed_keys(rows)
+        key, n = summed(np.concatenate(keys), np.concatenate(counts))
+        return [pack(n[np.searchsorted(key, k)]) for k in keys], (int((n > 0).sum()), 0, 0)
 
     def entries(rows: pa.Table) -> tuple[list[bytes], tuple[int, int, int]]:
         keys, counts = packed_keys(rows)
@@ -474,8 +457,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     counts = count_answers(parts(texts, (ENTRY, WORD), buckets))
     none = F.lit(0)
     v, once, twice = counts.agg(*(F.coalesce(F.sum(c), none) for c in ("vocabulary", "once", "twice"))).first()
-    n, ends = texts.agg(F.coalesce(F.sum("tokens"), none), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), none)).first()
-    unit = math.log10(n + SMOOTHING * (v + (ends > 0) + 1))
+    n = texts.agg(F.coalesce(F.sum("tokens"), none)).first()[0]
+    unit = math.log10(n + SMOOTHING * (v + 1))
     discount = (once + 1) / (once + 2 * twice + 2)
     own_grams = materialize(parts(texts, (GRAM,), buckets))
     given = dense_answers(own_grams, dense(own_grams, buckets)).unionByName(counts.select("block", "kind", "bucket", "payload"))
@@ -493,36 +476,34 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
         key = counted(raw, train, lambda x: placed_grams(grams(x), buckets))[0]
         ppm = Lookup((key & LOW48).astype(np.int64), of(GRAM, np.float64)[0])
-        entry = counted(raw, train, lambda x: placed(symbols(x)[3], buckets))[0]
+        del key
+        found_in = [symbols(raw[a:b]) for a, b in pieces(raw)]
+        edges = np.cumsum([0, *(len(x[2]) for x in found_in)])
+        deep_edges = np.cumsum([0, *(len(x[3]) for x in found_in)])
+        entry = np.unique(np.concatenate([placed(c, word[at], buckets) for _, _, word, at, c in found_in]), return_inverse=True)[1].astype(np.int32)
+        of_word = np.unique(np.concatenate([placed_words(x[2], buckets) for x in found_in]), return_inverse=True)[1].astype(np.int32)
         seen, total, kinds = of(ENTRY, np.int64, np.int64, np.int64)
         with np.errstate(divide="ignore", invalid="ignore"):
             deep = np.where(seen > 0, np.log10((seen - discount) / total), np.where(total > 0, np.log10(discount * kinds / total), 0.0))
-        of_word = of(WORD, np.int64)[0]
-        listed = [w for x in block_words(raw, train, buckets)[0] for w in x]
-        logs = dict(zip(listed, zip(np.log10(of_word + SMOOTHING).tolist(), (of_word > 0).tolist(), strict=True), strict=True))
-        del key, listed, of_word
-        end = math.log10(ends + SMOOTHING)
+        c = of(WORD, np.int64)[0]
+        logs, known_word = np.log10(c + SMOOTHING) - unit, (c > 0).astype(np.int64)
         tokens, known, base, scores = [], [], [], []
-        for a, b in pieces(raw):
-            starts, first, at, pairs = symbols(raw[a:b])
+        for i, (a, b) in enumerate(pieces(raw)):
+            starts, first, _, at, _ = found_in[i]
             each = np.add.reduceat(ppm(grams(raw[a:b])), starts)
-            place = np.searchsorted(entry, placed(pairs, buckets))
+            place = entry[deep_edges[i] : deep_edges[i + 1]]
             each[at] = np.where(seen[place] > 0, 0.0, each[at]) + deep[place]
             scores.append(np.add.reduceat(each, first))
-            for t in raw[a:b]:
-                x = [logs[w] for w in t.split()]
-                tokens.append(len(x) + 1)
-                base.append(math.fsum(p for p, _ in x) + end - (len(x) + 1) * unit)
-                known.append(sum(k for _, k in x) + (ends > 0))
+            place = of_word[edges[i] : edges[i + 1]]
+            base.append(np.add.reduceat(logs[place], first))
+            known.append(np.add.reduceat(known_word[place], first))
+            tokens.append(np.diff(np.append(first, len(starts))))
+            found_in[i] = None
         ids = concat_column(own.column("ids")).flatten()
-        del logs, ppm, raw, entry
+        del logs, ppm, raw, entry, of_word
         release()
-        return pa.table(
-            [
-                ids, pa.array([not x for x in train]), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(np.full(len(tokens), n, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(scores)),
-            ],
-            schema.names,
-        )
+        tokens, known, base, scores = map(np.concatenate, (tokens, known, base, scores))
+        train_tokens = np.full(len(tokens), n, np.int64)
+        return pa.table([ids, pa.array([not x for x in train]), *map(pa.array, (tokens, known, train_tokens, base, scores))], schema.names)
 
     return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
