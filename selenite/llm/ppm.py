@@ -379,7 +379,7 @@ def dense(parts: DataFrame, buckets: int) -> DataFrame:
         key, n = summed(*map(np.concatenate, packed_keys(rows)))
         return pa.table({"gram": key.astype(np.int64), "n": n})
 
-    total = materialize(parts.groupBy("bucket").applyInArrow(merge, "gram long, n long"))
+    total = materialize(parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "gram long, n long"))
     tail = lambda c, bits: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
     three = total.where("n > 0").select(tail("gram", 32).alias("g4")).distinct()
     three = materialize(three.groupBy(tail("g4", 24).alias("g3")).agg(F.count("*").alias("k2")))
@@ -408,7 +408,7 @@ def answers(rows: pa.Table, payloads: list[bytes]) -> list[pa.Array]:
     return [*(concat_column(rows.column(c)) for c in ("block", "kind", "bucket")), pa.array(payloads, pa.binary())]
 
 
-def dense_answers(parts: DataFrame, model: DataFrame) -> DataFrame:
+def dense_answers(parts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
     """The predictions for the grams of each block, in the block's order."""
 
     def run(rows: pa.Table, model: pa.Table) -> pa.Table:
@@ -417,10 +417,11 @@ def dense_answers(parts: DataFrame, model: DataFrame) -> DataFrame:
         gram, value = gram[order].astype(np.uint64), value[order]
         return pa.table(answers(rows, [pack(value[np.searchsorted(gram, k)]) for k in packed_keys(rows)[0]]), ["block", "kind", "bucket", "payload"])
 
-    return parts.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(run, PARTS)
+    parts, model = (x.repartition(buckets, "bucket").groupBy("bucket") for x in (parts, model))
+    return parts.cogroup(model).applyInArrow(run, PARTS)
 
 
-def count_answers(parts: DataFrame) -> DataFrame:
+def count_answers(parts: DataFrame, buckets: int) -> DataFrame:
     """Counts for the words and deep entries of each block, in the block's order.
 
     With each bucket's first row: the distinct words (and the end) learned from, the entries seen once and twice.
@@ -446,6 +447,7 @@ def count_answers(parts: DataFrame) -> DataFrame:
         extra = [pa.array([s] + [0] * (rows.num_rows - 1), pa.int64()) for s in stats]
         return pa.table([*answers(rows, payloads), *extra], ["block", "kind", "bucket", "payload", "vocabulary", "once", "twice"])
 
+    parts = parts.repartition(2 * buckets, "kind", "bucket")
     return materialize(parts.groupBy("kind", "bucket").applyInArrow(run, PARTS + ", vocabulary long, once long, twice long"))
 
 
@@ -454,14 +456,14 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, int(size) // BUCKET_BYTES))
     texts = packed_texts(docs, id_column, text)
-    counts = count_answers(parts(texts, (ENTRY, WORD), buckets))
+    counts = count_answers(parts(texts, (ENTRY, WORD), buckets), buckets)
     none = F.lit(0)
     v, once, twice = counts.agg(*(F.coalesce(F.sum(c), none) for c in ("vocabulary", "once", "twice"))).first()
-    n = texts.agg(F.coalesce(F.sum("tokens"), none)).first()[0]
+    n, n_blocks = texts.agg(F.coalesce(F.sum("tokens"), none), F.countDistinct("block")).first()
     unit = math.log10(n + SMOOTHING * (v + 1))
     discount = (once + 1) / (once + 2 * twice + 2)
     own_grams = materialize(parts(texts, (GRAM,), buckets))
-    given = dense_answers(own_grams, dense(own_grams, buckets)).unionByName(counts.select("block", "kind", "bucket", "payload"))
+    given = dense_answers(own_grams, dense(own_grams, buckets), buckets).unionByName(counts.select("block", "kind", "bucket", "payload"))
     schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("held_out", T.BooleanType())])
     schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType()).add("train_tokens", T.LongType())
     schema = schema.add("base_score", T.DoubleType()).add("score", T.DoubleType())
@@ -506,4 +508,6 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
         train_tokens = np.full(len(tokens), n, np.int64)
         return pa.table([ids, pa.array([not x for x in train]), *map(pa.array, (tokens, known, train_tokens, base, scores))], schema.names)
 
-    return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
+    # partitions follow the blocks, twice as many so that few hold two
+    texts, given = (x.repartition(2 * n_blocks + 1, "block").groupBy("block") for x in (texts, given))
+    return texts.cogroup(given).applyInArrow(run, schema)

@@ -53,15 +53,21 @@ def test_merging_many_equals_one_at_a_time(merges):
     assert [list(x) for x in merges.merge(words)] == [merges.merge_one(w) for w in words]
 
 
-def trie_probability(texts, context, symbol, order):
+def trie_counts(texts, context, longest):
+    """What follows a context: occurrences under the longest, numbers of longer contexts under the others."""
+    seen = {}
+    for t in texts:
+        x = b"\xff" * 5 + t + b"\xfe"
+        for i in range(5, len(x)):
+            if x[i - len(context) : i] == context:
+                seen.setdefault(x[i], []).append(x[i - len(context) - 1 : i])
+    return {s: len(v) if longest else len(set(v)) for s, v in seen.items()}
+
+
+def trie_probability(texts, context, symbol):
     p, out = 1.0, set()
-    for k in range(order, -1, -1):
-        seen = {}
-        for t in texts:
-            x = b"\xff" * order + t + b"\xfe"
-            for i in range(order, len(x)):
-                if x[i - k : i] == context[order - k :]:
-                    seen[x[i]] = seen.get(x[i], 0) + 1
+    for k in range(5, -1, -1):
+        seen = trie_counts(texts, context[5 - k :], k == 5)
         n, d = sum(v for s, v in seen.items() if s not in out), sum(s not in out for s in seen)
         if not n:
             continue
@@ -73,27 +79,52 @@ def trie_probability(texts, context, symbol, order):
     return p / (255 - len(kinds))
 
 
+def ppm_score(train, text):
+    """log10 probability of a coded text: words behind 16 bytes by what followed these, the rest byte by byte."""
+    edges = {}
+    for t in train:
+        places = [0, *(i + 1 for i in range(len(t)) if t[i] == 32)]
+        for a, b in zip(places, [*places[1:], len(t) + 1]):
+            if a >= 16:
+                follows = edges.setdefault(t[a - 16 : a], {})
+                word = (t + b"\xfe")[a:b]
+                follows[word] = follows.get(word, 0) + 1
+    counts = [n for f in edges.values() for n in f.values()]
+    discount = (counts.count(1) + 1) / (counts.count(1) + 2 * counts.count(2) + 2)
+    total, padded = 0.0, b"\xff" * 5 + text + b"\xfe"
+    places = [0, *(i + 1 for i in range(len(text)) if text[i] == 32)]
+    for a, b in zip(places, [*places[1:], len(text) + 1]):
+        if a >= 16 and text[a - 16 : a] in edges:
+            follows, word = edges[text[a - 16 : a]], (text + b"\xfe")[a:b]
+            if word in follows:
+                total += math.log10((follows[word] - discount) / sum(follows.values()))
+                continue
+            total += math.log10(discount * len(follows) / sum(follows.values()))
+        total += sum(math.log10(trie_probability(train, padded[i : i + 5], padded[i + 5])) for i in range(a, b))
+    return total
+
+
 def test_ppm_predictions_equal_a_trie():
     train, other = [b"abab abc ", b"abcd ", b""], [b"abd zz "]
-    key, count = ppm.block_grams(train + other, [True] * 3 + [False])
-    sums = {}
-    for k, n in zip(key.tolist(), count.tolist(), strict=True):
-        for bits in (16, 24):
-            sums[bits, k & ((1 << bits) - 1)] = sums.get((bits, k & ((1 << bits) - 1)), 0) + n
+    key, count = ppm.counted(train + other, [True] * 3 + [False], lambda x: ppm.grams(x).astype(np.uint64))
+    key = key.astype(np.int64)
+    held = key[count > 0]
+    one, two = {k & 0xFFFF for k in held.tolist()}, {k & 0xFFFFFF for k in held.tolist()}
+    three = {k & 0xFFFFFFFF for k in held.tolist()}
+    k2 = {g: sum(q & 0xFFFFFF == g for q in three) for g in two}
+    k1 = {g: sum(q & 0xFFFF == g for q in two) for g in one}
     short = {"one": np.zeros((256, 256))} | {c: np.zeros(1 << 16) for c in ("n2", "d2", "x1")}
-    for (bits, k), n in sums.items():
-        if bits == 16:
-            short["one"][k >> 8, k & 255] = n
-    for (bits, k), n in sums.items():
-        if bits == 24:
-            short["n2"][k >> 8] += n
-            short["d2"][k >> 8] += n > 0
-            short["x1"][k >> 8] += short["one"][(k >> 8) & 255, k & 255] if n else 0
-    after_two = np.array([sums[24, k & 0xFFFFFF] for k in key.tolist()], float)
+    for k, n in k1.items():
+        short["one"][k >> 8, k & 255] = n
+    for k, n in k2.items():
+        short["n2"][k >> 8] += n
+        short["d2"][k >> 8] += 1
+        short["x1"][k >> 8] += k1[k & 0xFFFF]
+    after_two = np.array([k2.get(k & 0xFFFFFF, 0) for k in key.tolist()], float)
     got = ppm.predictions(key, count, after_two, short)
     for k, p in zip(key.tolist(), got, strict=True):
         gram = k.to_bytes(6, "big")
-        assert p == pytest.approx(math.log10(trie_probability(train, gram[:5], gram[5], 5)))
+        assert p == pytest.approx(math.log10(trie_probability(train, gram[:5], gram[5])))
 
 
 def test_chunks_resist_shifts():

@@ -14,6 +14,7 @@ import corpus_pipeline
 from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, sharding, simhash, tiling
 from selenite.llm.common import components
 from tests.conftest import SF
+from tests.llm.test_methods import ppm_score
 
 PASSAGE = " ".join(f"word{i} of the passage" for i in range(16))
 TEXTS = [
@@ -62,6 +63,21 @@ def test_ppm(docs, empty):
     assert ppm.score(empty).count() == 0
 
 
+def test_ppm_scores_of_whole_texts_equal_a_trie(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 100)
+    texts = [
+        "The cat sat on the mat and the cat ran", "the cat sat on the mat and the dog ran", "A  dog\nsat on the mat and the cat slept", "", None,
+        "the cat sat on the mat and the cat ran", "Größe und ñandú on the mat and the", "the cat sat on the mat and the cat ran",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").repartition(3)
+    train = [ppm.coded((t or "").encode()) for i, t in enumerate(texts * 3) if zlib.crc32(str(i).encode()) % 10]
+    rows = ppm.score(docs).collect()
+    assert {r.held_out for r in rows} == {True, False} and len(rows) == 24
+    for r in rows:
+        assert r.score == pytest.approx(ppm_score(train, ppm.coded((texts[r.doc_id % 8] or "").encode())))
+
+
 def test_passages_are_cut_from_later_texts(docs, empty):
     out = {(r.doc_id, r.text) for r in cdc.remove_spans(docs).collect()}
     assert cdc.remove_spans(docs).columns == docs.columns and cdc.remove_spans(docs).count() == len(TEXTS)
