@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-The lexicon of frequent words (the most frequent ``LEXICON_WORDS`` of the whole
-corpus) is compiled on the driver into a minimal acyclic automaton: equal
+The lexicon of frequent words (the most frequent of the whole corpus, at most
+``LEXICON_WORDS``) is compiled on the driver into a minimal acyclic automaton: equal
 suffixes share states, and each arc carries the number of words that sort before
 those behind it, so the outputs along a path add up to the word's rank, which
 names its ids. The tables are plain arrays in files that Spark distributes to
@@ -38,9 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, giving_way, release, slices
+from selenite.llm.common import concat_column, giving_way, materialize, release, slices
 
 LEXICON_WORDS = 65_536
+#: Steps of the histogram of word counts in an octave.
+STEPS = 16
 SLICE_BYTES = 3_000_000
 #: Units that a worker remembers between slices; encoding one anew gives the same ids.
 HELD_UNITS = 150_000
@@ -397,11 +399,21 @@ def held_codec(names: dict) -> Codec:
 def prepare(docs: DataFrame, vocabulary: str, text: str = "text", lexicon_words: int = LEXICON_WORDS) -> dict:
     """Learn the frequent words of the corpus, compile and distribute; the handle is for encode and decode.
 
-    At most ``lexicon_words`` words come to the driver; ties go to the smaller word.
+    A histogram of the counts (at most ``STEPS`` rows an octave) gives the least step of which
+    no more than ``lexicon_words`` words are left at or above; these alone come to the driver.
+    Words that occur once are never frequent.
     """
     merges = Merges.load(vocabulary)
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_words)
-    words = [bytes(r["word"]) for r in top.select("word").collect()]
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    counts = materialize(word_counts(docs, text).where("n > 1").select("word", step.alias("step")))
+    least, held = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > lexicon_words:
+            break
+        least = r["step"]
+    frequent = counts.where(F.col("step") >= least) if least is not None else counts.limit(0)
+    words = sorted(bytes(r["word"]) for r in frequent.select("word").collect())
     lexicon = compile_lexicon(words, merges.merge(words))
     return distribute(docs.sparkSession, {"merges": merges.tables, "lexicon": lexicon})
 
