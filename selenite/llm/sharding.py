@@ -1,22 +1,23 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 The rows lie in parts (the partitions they were read in). The cells of the matrix
-say how many rows of each part go to each target; they are drawn from the
+say how many rows of each part go to each shard; they are drawn from the
 multivariate hypergeometric law, which is what a uniform shuffle of all rows
-would give, so every row sum is a part's size and every column sum a target's
+would give, so every row sum is a part's size and every column sum a shard's
 size exactly. Each part is permuted locally and dealt out by its row of the
-matrix, the rows are exchanged once, and each target is permuted again. Targets
-are slices of shards of about ``TARGET_ROWS`` rows: their sizes are exact, so each
-knows its first slot, and no shard is ever sorted in one task.
+matrix. The exchange deals a shard's rows to stretches by a seeded hash, about
+``TARGET_ROWS`` rows to each, and every stretch is permuted again: a shard's order is
+that of independent random keys, whose leading digit is the stretch, so it is uniform and no
+shard is ever sorted in one task. The counts of the stretches give their first slots.
 
-Only counts come to the driver: parts x targets cells, drawn a part at a time and
-distributed as a table. Permutations sort by a seeded hash of the row's content and part, so
-a task that runs again deals its rows out alike.
+Only the sizes of the parts come to the driver: the matrix has parts x shards cells, drawn
+a part at a time and distributed as a table. Permutations sort by a seeded hash of the
+row's content and part, so a task that runs again deals its rows out alike.
 
 Defined results: null texts have size 1 and the checksum of no bytes (0); shard
 sizes differ by at most one row whatever the rows hold; equal rows are
-interchangeable and each gets a slot of its own; ids may be null; an empty table
-gives an empty table.
+interchangeable and each gets a slot of its own; ids may be null; columns of the input
+named ``shard`` or ``slot`` give way to the results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from selenite.llm.common import materialize
+from selenite.llm.common import giving_way, materialize
 
-TARGET_ROWS = 8_192
+TARGET_ROWS = 16_384
 
 
 def communication_matrix(parts: list[int], targets: list[int], seed: int) -> np.ndarray:
@@ -52,31 +53,26 @@ def shuffle(rows: DataFrame, shards: int = 16, seed: int = 42, target_rows: int
     All columns are permuted and exchanged; hand in ids and sizes rather than texts.
     """
     spark = rows.sparkSession
-    columns = rows.columns
+    columns = giving_way(rows.columns, "shard", "slot")
     named = rows.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
     held = materialize(named.withColumn("part", F.spark_partition_id()))
     sizes = sorted((r["part"], r["count"]) for r in held.groupBy("part").count().collect())
-    total = sum(n for _, n in sizes)
-    of_shard = even(total, shards)
-    targets, first, shard_of = [], [], []
-    for k, n in enumerate(of_shard):
-        at = 0
-        for size in even(n, max(1, -(-n // target_rows))):
-            targets.append(size)
-            first.append(at)
-            shard_of.append(k)
-            at += size
-    matrix = communication_matrix([n for _, n in sizes], targets, seed)
-    ends = np.cumsum(matrix, axis=1)
+    of_shard = even(sum(n for _, n in sizes), shards)
+    ends = np.cumsum(communication_matrix([n for _, n in sizes], of_shard, seed), axis=1)
     deal = spark.createDataFrame([(p, e.tolist()) for (p, _), e in zip(sizes, ends, strict=True)], "part int, ends array<long>")
-    where = spark.createDataFrame(list(zip(range(len(targets)), shard_of, first, strict=True)), "target int, shard int, first long")
+    stretches = max(1, -(-of_shard[0] // target_rows))
 
     content = [F.col(f"c{i}") for i in range(len(columns))]
-    order = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "part", *content)
-    local = W.partitionBy("part").orderBy(order(1), *content)
+    local = W.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "part", *content), *content)
     dealt = held.withColumn("n", F.row_number().over(local)).join(deal, "part")
-    dealt = dealt.withColumn("target", F.size(F.filter("ends", lambda e: e < F.col("n")))).drop("ends")
-    again = W.partitionBy("target").orderBy(order(2), *content, "n")
-    placed = dealt.withColumn("n", F.row_number().over(again)).join(F.broadcast(where), "target")
-    slot = (F.col("first") + F.col("n") - 1).alias("slot")
+    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("n")))).drop("ends")
+    # a part and a place in it name a row, so these hashes are draws of its own
+    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "part", "n")
+    dealt = dealt.withColumn("stretch", F.pmod(draw(2), F.lit(stretches)).cast("int"))
+    first = dealt.groupBy("shard", "stretch").agg(F.count("*").alias("rows"))
+    before = W.partitionBy("shard").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    first = first.select("shard", "stretch", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    again = W.partitionBy("shard", "stretch").orderBy(draw(3), "part", "n")
+    placed = dealt.withColumn("place", F.row_number().over(again)).join(first, ["shard", "stretch"])
+    slot = (F.col("first") + F.col("place") - 1).alias("slot")
     return placed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "shard", slot)
