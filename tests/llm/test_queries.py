@@ -88,6 +88,62 @@ def test_passages_are_cut_from_later_texts(docs, empty):
     assert cdc.remove_spans(empty).count() == 0
 
 
+def plain_spans(rows):
+    """What ``duplicate_spans`` finds, in one process."""
+    found = {}
+    for i, t in dict.fromkeys((i, t) for i, t in rows if t):
+        raw = t.encode()
+        ends = cdc.cuts(raw)
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+            found.setdefault(raw[a:b], []).append((i, t, k, a, b))
+    later = {}
+    for piece, own in found.items():
+        least = min(own, key=lambda x: (x[0], key_of(x[1]), x[2]))
+        for x in own:
+            if x is not least:
+                later.setdefault((x[0], x[1]), []).append((*x[3:], len(piece.split()), len(piece.decode())))
+    out = {}
+    for doc, pieces in later.items():
+        runs = []
+        for a, b, w, n in sorted(pieces):
+            if runs and runs[-1][1] == a:
+                runs[-1] = (runs[-1][0], b, runs[-1][2] + w, runs[-1][3] + n)
+            else:
+                runs.append((a, b, w, n))
+        if runs := [[a, b] for a, b, w, n in runs if w >= cdc.MIN_WORDS or n >= cdc.MIN_CHARACTERS]:
+            out[doc] = runs
+    return out
+
+
+def key_of(text):
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)
+
+
+def test_spans_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.where("doc_id % 40 = 0").withColumn("doc_id", F.col("doc_id") + 100000))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    text_of = {(i, int(key_of(t))): t for i, t in rows if t}
+    got = {(r.id, text_of[r.id, r.text_key]): r.spans for r in cdc.duplicate_spans(docs).collect()}
+    assert got and got == plain_spans(rows)
+
+
+def test_texts_without_blanks_are_cut(spark):
+    shared = "".join(chr(0x4E00 + (i * i * 31 + i * 7) % 20000) for i in range(2600))
+    odd = "".join(chr(0xAC00 + (i * i * 17 + i) % 11000) for i in range(300))
+    rows = [(1, shared, "a"), (2, odd + shared + odd, "b"), (3, "a" * 9000, "c"), (4, None, "d"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in cdc.remove_spans(docs).collect()}
+    assert got[1].text == shared and 600 <= len(got[2].text) < 1000 and got[2].text.startswith(odd)
+    assert (got[4].text, got[5].text) == (None, "") and [got[i].spans for i in range(1, 6)] == list("abcde")
+    assert len(got[3].text) < 9000  # its own chunks repeat
+
+
+def test_one_hot_passage_is_dealt_out(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit(PASSAGE + " tail "), F.col("id").cast("string")).alias("text"))
+    assert cdc.duplicate_spans(docs).count() == 399
+
+
 def test_shards_are_exact(spark, docs, empty):
     rows = docs.select("doc_id", F.length("text").alias("size"))
     got = sharding.shuffle(rows, 4, target_rows=2).collect()
