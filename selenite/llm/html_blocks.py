@@ -1,11 +1,15 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat blocks: runs of text between block-level tags, without
-scripts, styles, comments and the head. Each block knows its words, the
-share of its words inside links, the same of its neighbours, and whether an
-enclosing element is an article or a page frame (navigation, footer, sidebar,
-form, advert, notice, reader comments ...). A decision tree, grown on the small
-labelled table below, classifies the blocks; the kept ones are joined in order.
+scripts, styles, comments and the head. A block's features are its words and the share of
+them inside links, the same of the block before and the block after, and two hints from
+its enclosing elements: whether it stands in an article (0 where articles hold less than
+``ARTICLE_SHARE`` of the page's plain words, as teasers do; -1 elsewhere on a page whose text is in
+articles) and whether in a page frame (navigation, footer, sidebar, form, advert, notice,
+reader comments ...). Names of classes and ids are read whole: ``site-footer`` is a frame,
+``layout-sidebar-left`` and ``related-work`` are not, and an element that its class calls a frame
+but that holds the page's heading or main element is none. A decision tree, grown on the
+small labelled table below, classifies the blocks; the kept ones are joined in order.
 
 Defined results: null or empty pages give the empty text; broken markup (unclosed
 or stray tags, a page that ends inside a tag) is read as far as it goes; character
@@ -19,7 +23,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from selenite.llm.common import concat_column, giving_way, slices
 SLICE_BYTES = 8_000_000
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title|annotation|annotation-xml|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
@@ -42,97 +47,180 @@ TOKEN = re.compile(r"[A-Za-z]+")
 #: Elements of HTML that do not break a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span"
-    " strike strong sub sup time tt u var wbr".split()
+    " strike strong sub sup time tt u var wbr"
+    " math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded semantics".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 BODY_TAGS = frozenset("article main".split())
+ARTICLE_SHARE = 0.3
 #: Words in class, id and role that mark the frame of a page.
 FRAME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr"
     " notice notices alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs"
-    " pagination pager sidebar side aside rail widget footer header masthead topbar toolbar comment comments reply replies disqus"
+    " pagination pager sidebar aside rail widget widgets footer header masthead topbar toolbar comment comments reply replies disqus"
     " respond discussion related recommended share sharing social follow search skip copyright legal disclaimer tags".split()
 )
+#: Words that may stand before a frame word in a name (``site-footer``), and behind one (``comment-list``).
+BEFORE = frozenset("site page main global top bottom left right primary secondary post entry user reader blog sub sticky mobile js wp the".split())
+BEHIND = frozenset(
+    "area bar block box button buttons container content form group header inner items left links list menu panel posts right section"
+    " title top bottom wrap wrapper slot unit stories articles footer message text icons".split()
+)
 
 #: The labelled table. Columns: words, link share, words before, link share before, words after, link share
-#: after, inside an article (0: the page has none, -1: it has one elsewhere), inside a frame, label (1: main text).
+#: after, inside an article (0: none or teasers, -1: the text is in articles elsewhere), inside a frame, label (1: main text).
 FIELDS = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "frame"]
 LABELLED = """
 1 1.0 0 0.0 1 1.0 0 1 0
-1 1.0 1 1.0 1 1.0 0 1 0
 2 1.0 1 1.0 9 0.0 0 1 0
-1 1.0 1 1.0 12 0.0 0 1 0
-3 1.0 2 1.0 1 1.0 0 0 0
-2 1.0 3 1.0 2 1.0 0 0 0
-1 1.0 4 1.0 8 0.0 0 0 0
 9 0.0 1 1.0 7 0.0 0 1 0
-12 0.0 2 1.0 5 0.0 0 1 0
 14 0.0 1 1.0 40 0.0 0 1 0
 6 0.0 1 1.0 30 0.0 0 1 0
+13 0.0 60 0.0 0 0.0 0 1 0
+15 0.1 200 0.0 0 0.0 0 1 0
+40 0.0 80 0.0 13 0.0 0 1 0
+30 0.0 25 0.0 45 0.0 0 1 0
+60 0.0 30 0.0 20 0.0 0 1 0
+90 0.0 40 0.0 10 0.0 0 1 0
+20 0.0 60 0.0 2 1.0 1 1 0
+4 0.0 50 0.0 6 1.0 1 1 0
+45 0.0 60 0.0 5 0.0 1 1 0
+5 1.0 40 0.0 4 1.0 1 1 0
+12 0.0 70 0.0 65 0.0 1 1 0
 7 0.0 12 0.0 35 0.0 1 0 1
-4 0.0 9 0.0 22 0.0 1 0 1
 10 0.0 8 0.0 1 0.0 1 0 1
 1 0.0 10 0.0 40 0.0 1 0 1
-1 0.0 70 0.0 60 0.0 1 0 1
 2 0.0 45 0.0 3 0.0 1 0 1
-3 0.0 2 0.0 90 0.0 1 0 1
 5 0.0 30 0.0 12 0.0 1 0 1
-35 0.0 7 0.0 80 0.0 1 0 1
 80 0.0 35 0.0 20 0.0 1 0 1
-120 0.02 80 0.0 60 0.0 1 0 1
 60 0.1 120 0.0 40 0.05 1 0 1
 25 0.2 40 0.0 50 0.0 1 0 1
-18 0.0 90 0.0 14 0.0 1 0 1
 40 0.0 25 0.2 11 0.0 1 0 1
 200 0.01 60 0.0 15 0.0 1 0 1
 6 0.5 80 0.0 70 0.0 1 0 1
 3 1.0 60 0.0 75 0.0 1 0 1
-13 0.0 60 0.0 0 0.0 0 1 0
-11 0.0 25 0.0 0 0.0 0 1 0
-15 0.1 200 0.0 0 0.0 0 1 0
-40 0.0 80 0.0 13 0.0 0 1 0
-25 0.0 3 0.0 30 0.0 0 1 0
-30 0.0 25 0.0 45 0.0 0 1 0
-60 0.0 30 0.0 20 0.0 0 1 0
-90 0.0 40 0.0 10 0.0 0 1 0
-20 0.0 60 0.0 2 1.0 1 1 0
-4 0.0 50 0.0 6 1.0 1 1 0
-45 0.0 60 0.0 5 0.0 1 1 0
-5 1.0 40 0.0 4 1.0 1 1 0
-3 0.0 20 0.0 3 0.0 1 1 0
-12 0.0 70 0.0 65 0.0 1 1 0
+3 0.0 0 0.0 0 0.0 1 0 1
+40 0.0 10 0.0 60 0.0 -1 0 0
+12 0.0 1 1.0 30 0.0 -1 0 0
+20 0.0 60 0.0 5 0.0 -1 0 0
+90 0.0 30 0.0 12 0.0 -1 0 0
+5 0.0 9 0.0 14 0.0 -1 0 0
+60 0.1 50 0.0 40 0.0 -1 0 0
+3 1.0 2 1.0 1 1.0 0 0 0
+2 1.0 3 1.0 2 1.0 0 0 0
+1 1.0 4 1.0 8 0.0 0 0 0
+5 1.0 60 0.0 3 1.0 0 0 0
+20 0.8 40 0.0 10 0.9 0 0 0
+15 0.9 12 0.9 9 1.0 0 0 0
+30 0.7 5 1.0 20 0.8 0 0 0
+10 0.5 3 1.0 2 1.0 0 0 0
+12 0.5 4 1.0 60 0.0 0 0 0
+20 0.6 60 0.0 55 0.0 0 0 1
+12 0.5 45 0.0 70 0.0 0 0 1
+4 0.6 80 0.0 60 0.0 0 0 1
 45 0.0 8 0.0 60 0.0 0 0 1
 60 0.05 45 0.0 30 0.0 0 0 1
 30 0.0 60 0.0 12 0.0 0 0 1
-22 0.0 50 0.0 55 0.0 0 0 1
 150 0.1 5 0.0 40 0.0 0 0 1
 18 0.1 70 0.0 45 0.0 0 0 1
+50 0.0 40 0.0 0 0.0 0 0 1
+80 0.0 0 0.0 0 0.0 0 0 1
+30 0.0 0 0.0 25 0.0 0 0 1
+60 0.0 50 0.0 3 1.0 0 0 1
+70 0.05 3 1.0 1 1.0 0 0 1
+40 0.0 2 1.0 4 1.0 0 0 1
+25 0.0 2 1.0 3 1.0 0 0 1
 8 0.0 4 1.0 45 0.0 0 0 1
 6 0.0 2 1.0 60 0.0 0 0 1
+3 0.0 1 1.0 35 0.0 0 0 1
 9 0.0 40 0.0 50 0.0 0 0 1
+4 0.0 60 0.0 70 0.0 0 0 1
+2 0.0 30 0.0 40 0.0 0 0 1
+10 0.0 50 0.0 12 0.0 0 0 1
+7 0.0 14 0.0 20 0.0 0 0 1
 5 0.0 3 1.0 4 1.0 0 0 0
+9 0.0 2 1.0 3 1.0 0 0 0
+12 0.0 4 1.0 2 1.0 0 0 0
 4 0.0 50 0.0 3 1.0 0 0 0
+6 0.0 45 0.0 2 1.0 0 0 0
 7 0.0 2 1.0 0 0.0 0 0 0
-20 0.8 40 0.0 10 0.9 0 0 0
-15 0.9 12 0.9 9 1.0 0 0 0
-30 0.7 5 1.0 20 0.8 0 0 0
-6 0.6 60 0.0 5 0.7 0 0 0
-10 0.5 3 1.0 2 1.0 0 0 0
+8 0.0 3 0.0 2 1.0 0 0 0
 3 0.0 0 0.0 2 1.0 0 0 0
-50 0.0 40 0.0 0 0.0 0 0 1
-80 0.0 0 0.0 0 0.0 0 0 1
-16 0.0 45 0.0 0 0.0 0 0 1
-30 0.0 0 0.0 25 0.0 0 0 1
-60 0.0 50 0.0 3 1.0 0 0 1
-70 0.05 40 0.0 1 1.0 0 0 1
-40 0.0 10 0.0 60 0.0 -1 0 0
-12 0.0 1 1.0 30 0.0 -1 0 0
-20 0.0 60 0.0 5 0.0 -1 0 0
-90 0.0 30 0.0 12 0.0 -1 0 0
-5 0.0 9 0.0 14 0.0 -1 0 0
-45 0.0 0 0.0 70 0.0 -1 0 0
-60 0.1 50 0.0 40 0.0 -1 0 0
+5 0.0 2 0.0 1 1.0 0 0 0
+1 0.0 0 0.0 1 1.0 0 0 0
+2 0.0 40 0.0 0 0.0 0 0 0
+5 0.0 60 0.0 0 0.0 0 0 0
+14 0.0 50 0.0 0 0.0 0 0 1
+11 0.0 30 0.0 2 1.0 0 0 1
+6 0.0 0 0.0 40 0.0 0 0 1
+18 0.0 2 0.0 1 1.0 0 0 1
+16 0.0 20 0.0 2 1.0 0 0 1
+13 0.0 40 0.0 1 1.0 0 0 1
+20 0.0 9 0.0 3 1.0 0 0 1
+18 0.0 3 1.0 2 1.0 0 0 0
+1 1.0 0 0.0 60 0.0 0 0 0
+4 1.0 0 0.0 40 0.0 0 0 0
+6 1.0 3 1.0 50 0.0 0 0 0
+2 1.0 60 0.0 45 0.0 0 0 0
+3 0.9 50 0.0 60 0.0 0 0 0
+10 0.9 30 0.0 20 0.0 0 0 0
+1 1.0 0 0.0 90 0.0 0 0 0
+5 1.0 1 1.0 150 0.0 0 0 0
+3 1.0 80 0.0 200 0.0 0 0 0
+4 1.0 30 0.0 40 0.0 1 0 1
+2 1.0 12 0.0 9 0.0 1 0 1
+60 0.0 2 1.0 60 0.0 0 0 1
+40 0.05 3 1.0 50 0.0 0 0 1
+25 0.0 5 1.0 30 0.0 0 0 1
+60 0.0 1 1.0 12 0.0 0 0 1
+15 0.6 8 1.0 30 0.0 0 0 0
+20 0.5 3 1.0 50 0.0 0 0 0
+60 0.0 27 1.0 29 0.0 1 0 1
+30 0.0 4 1.0 12 0.0 1 0 1
+20 0.0 6 1.0 3 1.0 1 0 1
+12 0.0 9 1.0 0 0.0 1 0 1
+5 0.0 4 1.0 6 1.0 1 0 1
+20 0.0 20 0.0 0 0.0 0 0 1
+16 0.0 18 0.0 0 0.0 0 0 1
+12 0.0 14 0.0 0 0.0 0 0 1
+13 0.0 9 0.0 4 1.0 0 0 1
+12 0.0 3 0.0 2 0.0 0 0 1
+1 0.0 0 0.0 20 0.0 1 0 1
+1 0.0 12 0.0 0 0.0 1 0 1
+1 0.0 3 1.0 40 0.0 1 0 1
+1 0.0 40 0.0 2 1.0 1 0 1
+1 0.0 5 1.0 6 1.0 1 0 1
+1 0.0 9 0.0 5 0.0 1 0 1
+1 0.0 0 0.0 0 0.0 1 0 1
+4 0.0 0 0.0 20 0.0 1 0 1
+4 0.0 12 0.0 0 0.0 1 0 1
+4 0.0 3 1.0 40 0.0 1 0 1
+4 0.0 40 0.0 2 1.0 1 0 1
+4 0.0 5 1.0 6 1.0 1 0 1
+4 0.0 9 0.0 5 0.0 1 0 1
+4 0.0 0 0.0 0 0.0 1 0 1
+9 0.0 0 0.0 20 0.0 1 0 1
+9 0.0 12 0.0 0 0.0 1 0 1
+9 0.0 3 1.0 40 0.0 1 0 1
+9 0.0 40 0.0 2 1.0 1 0 1
+9 0.0 5 1.0 6 1.0 1 0 1
+9 0.0 9 0.0 5 0.0 1 0 1
+9 0.0 0 0.0 0 0.0 1 0 1
+14 0.0 0 0.0 20 0.0 1 0 1
+14 0.0 12 0.0 0 0.0 1 0 1
+14 0.0 3 1.0 40 0.0 1 0 1
+14 0.0 40 0.0 2 1.0 1 0 1
+14 0.0 5 1.0 6 1.0 1 0 1
+14 0.0 9 0.0 5 0.0 1 0 1
+14 0.0 0 0.0 0 0.0 1 0 1
+30 0.0 0 0.0 20 0.0 1 0 1
+30 0.0 12 0.0 0 0.0 1 0 1
+30 0.0 3 1.0 40 0.0 1 0 1
+30 0.0 40 0.0 2 1.0 1 0 1
+30 0.0 5 1.0 6 1.0 1 0 1
+30 0.0 9 0.0 5 0.0 1 0 1
+30 0.0 0 0.0 0 0.0 1 0 1
 """
 
 
@@ -172,20 +260,24 @@ def classify(rows: np.ndarray, tree: tuple | int) -> np.ndarray:
     return out
 
 
-def framed(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element belongs to the page's frame. A header does unless it is an article's own."""
-    if tag in FRAME_TAGS or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+def frame_name(name: str) -> bool:
+    """Whether a class, id or role, read whole, names a page's frame."""
+    words = TOKEN.findall(name)
+    at = next((i for i, w in enumerate(words) if w in FRAME_WORDS), None)
+    if at is None:
         return False
+    return BEFORE.issuperset(words[:at]) and all(w in FRAME_WORDS or w in BEHIND for w in words[at + 1 :])
+
+
+@lru_cache(maxsize=100_000)
+def named_frame(attributes: str, inside: bool) -> bool:
+    """Whether attributes call their element a frame. An article's own header is none."""
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             for one in value.lower().split():
-                words = TOKEN.findall(one)
-                marks = FRAME_WORDS.intersection(words)
-                if marks and words[0] not in ("has", "with", "no") and not (inside and marks == {"header"}):
+                if frame_name(one) and not (inside and "header" in TOKEN.findall(one)):
                     return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -194,21 +286,42 @@ def framed(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat blocks in order: (text, words, words in links, in an article, in a frame)."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+def framed(tag: str, attributes: str, inside: bool) -> str:
+    """What makes an element a frame: its "tag", its "name", or nothing."""
+    if tag in FRAME_TAGS or (tag == "header" and not inside):
+        return "tag"
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return ""
+    return "name" if named_frame(attributes, inside) else ""
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    linked: int
+    #: The outermost article (a number), -1 without; all frames around (numbers).
+    article: int
+    frames: tuple[int, ...]
+
+
+def blocks(page: str) -> tuple[list[Block], set[int]]:
+    """Flat blocks in order, and the frames that are none since they hold the page's heading or main element."""
+    out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []
-    link = 0
+    open_tags: list[tuple[str, int, tuple[int, ...]]] = []
+    by_name: list[bool] = []
+    released: set[int] = set()
+    link = articles = 0
+    outside = ("", -1, ())
 
     def flush() -> None:
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                article, frame = open_tags[-1][1:] if open_tags else (False, False)
-                out.append((" ".join(words), len(words), min(n, len(words)), article, frame))
+                _, article, frames = open_tags[-1] if open_tags else outside
+                out.append(Block(" ".join(words), len(words), min(n, len(words)), article, frames))
             parts.clear()
             linked.clear()
 
@@ -237,40 +350,49 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag in EMPTY or m[4].rstrip().endswith("/"):
             continue
         if not m[2]:
-            article, frame = open_tags[-1][1:] if open_tags else (False, False)
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == tag:
                 open_tags.pop()
-                article, frame = open_tags[-1][1:] if open_tags else (False, False)
-            own = framed(tag, m[4], article)
-            if own and tag in INLINE:
+            _, article, frames = open_tags[-1] if open_tags else outside
+            if tag in ("h1", "main"):
+                released.update(f for f in frames if by_name[f])
+            why = framed(tag, m[4], article >= 0)
+            if why and tag in INLINE:
                 flush()
-            open_tags.append((tag, article or tag in BODY_TAGS, frame or own))
+            if why:
+                frames = (*frames, len(by_name))
+                by_name.append(why == "name")
+            if article < 0 and tag in BODY_TAGS:
+                article, articles = articles, articles + 1
+            open_tags.append((tag, article, frames))
         else:
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == tag:
-                    if tag in INLINE and open_tags[i][2] != (open_tags[i - 1][2] if i else False):
+                    if tag in INLINE and open_tags[i][2] != (open_tags[i - 1][2] if i else ()):
                         flush()
                     del open_tags[i:]
                     break
     text(page[at:])
     flush()
-    return out
+    return out, released
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    words = np.array([0, *(b[1] for b in found), 0], float)
-    links = np.array([0, *(b[2] for b in found), 0], float) / np.maximum(words, 1)
-    flags = np.array([b[3:] for b in found], float).reshape(-1, 2)
-    if flags[:, 0].any():
-        flags[flags[:, 0] == 0, 0] = -1
-    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], flags])
+def features(found: list[Block], released: set[int]) -> np.ndarray:
+    words = np.array([0, *(b.words for b in found), 0], float)
+    links = np.array([0, *(b.linked for b in found), 0], float) / np.maximum(words, 1)
+    frame = np.array([any(f not in released for f in b.frames) for b in found], float)
+    article = np.array([b.article >= 0 for b in found], float)
+    plain = words[1:-1] * (1 - links[1:-1]) * (1 - frame)
+    if article.any():
+        inside = plain @ article >= ARTICLE_SHARE * plain.sum()
+        article = 2 * article - 1 if inside else np.zeros(len(found))
+    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], article, frame])
 
 
 def main_texts(pages: list[str]) -> list[str]:
     found = [blocks(p) for p in pages]
-    rows = np.concatenate([features(f) for f in found]) if found else np.zeros((0, len(FIELDS)))
+    rows = np.concatenate([features(*f) for f in found]) if found else np.zeros((0, len(FIELDS)))
     kept = iter(classify(rows, trained()).tolist())
-    return [" ".join(b[0] for b in f if next(kept)) for f in found]
+    return [" ".join(b.text for b in f if next(kept)) for f, _ in found]
 
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] = ()) -> DataFrame:

@@ -167,6 +167,69 @@ def test_page_without_article_keeps_long_blocks():
     assert html_blocks.main_texts([f"<ul><li><a>one</a></li></ul><div>{body}{body}</div><footer>end</footer>"]) == [("word " * 120).strip()]
 
 
+PROSE = "This is the main text of the page, which tells of many things and goes on for a while, as texts do."
+PAGES = [
+    # a teaser in an article, the text outside of any
+    (f"<article><a href=x>Other</a></article><div id='content'><h1>Title of it</h1><p>{PROSE}</p><p>{PROSE}</p></div>", f"Title of it {PROSE} {PROSE}"),
+    # names that only hold a frame word
+    (f"<div class='layout-sidebar-left'><nav><a>Home</a></nav><h1>Head line</h1><p>{PROSE} {PROSE}</p></div>", f"Head line {PROSE} {PROSE}"),
+    (f"<div class='post search-friendly'><h1>Head</h1><p>{PROSE} {PROSE}</p></div>", f"Head {PROSE} {PROSE}"),
+    (f"<article><h1>T</h1><p>{PROSE}</p><div class='related-work'>{PROSE}</div><div class='related-posts'>More to read</div></article>", f"T {PROSE} {PROSE}"),
+    # a frame by name that holds the page's heading
+    (f"<div class='sidebar'><h1>Head</h1><p>{PROSE} {PROSE}</p><div class='share-buttons'>Tell it on</div></div>", f"Head {PROSE} {PROSE}"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x</annotation></math> be ten.</p></article>", "Let x=2 be ten."),
+    (
+        f"<header><h1>Site</h1></header><article><header><h1>Real</h1></header><p>{PROSE}</p></article><section id=comments><p>I liked {PROSE}</p>"
+        f"<form><label>Say</label></form></section><div class='cookie-banner'>We use {PROSE}</div><footer>x</footer>",
+        f"Real {PROSE}",
+    ),
+    (
+        f"<ul><li><a>Home</a><li><a>News</a></ul><h1>Big news</h1><p>{PROSE} {PROSE}</p><h2>Sub</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>"
+        "<ul><li><a>prev</a><li><a>next</a></ul><p>All kept by us</p>",
+        f"Big news {PROSE} {PROSE} Sub {PROSE} Short one. {PROSE}",
+    ),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_odd_pages(page, text):
+    assert html_blocks.main_texts([page]) == [text]
+
+
+def test_tree_reads_words_and_links_of_the_neighbours():
+    def fields(tree):
+        return {html_blocks.FIELDS[tree[0]]} | fields(tree[2]) | fields(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert {"words", "links", "links_before", "words_after"} <= fields(html_blocks.trained())
+
+
+def test_tree_agrees_with_its_table():
+    table = np.array([line.split() for line in html_blocks.LABELLED.strip().splitlines()], float)
+    assert (html_blocks.classify(table[:, :-1], html_blocks.trained()) == (table[:, -1] == 1)).all()
+
+
+def test_pages_of_many_kinds_equal_a_plain_reading():
+    """Pages drawn with their main text known: every frame goes, all of the article stays."""
+    rng = random.Random(5)
+    sentence = lambda n: " ".join(rng.choice(["ant", "bee &amp; wasp", "caf\u00e9", "d&eacute;j\u00e0", "elk", "x &lt; y"]) for _ in range(n))
+    plain = lambda s: s.replace("&amp;", "&").replace("&eacute;", "\u00e9").replace("&lt;", "<")
+    frames = [
+        "<nav><ul><li><a href=1>{}</a></li></ul></nav>", "<aside>{}</aside>", "<div class='ad'>{}</div>", "<div id=cookie-notice>{}</div>", "<form>{}</form>",
+        "<script>var a='<p>{}</p>'</script>", "<style>p{{}} /* {} */</style>", "<!-- {} -->", "<section class='comments'><p>{}</p></section>", "<footer>{}</footer>",
+    ]
+    for _ in range(200):
+        wanted, page = [], ""
+        for f in rng.choices(frames, k=3):
+            page += f.format(sentence(rng.randint(1, 30)))
+        page += "<article>"
+        for tag in rng.choices(["p", "h2", "li", "blockquote", "td"], k=6):
+            s = sentence(rng.randint(1, 60))
+            wanted.append(plain(s))
+            page += f"<{tag}>\n  {s.replace(' ', '  ', 1)} </{tag}>" + (rng.choice(frames).format(sentence(8)) if rng.random() < 0.4 else "")
+        page += "</article>" + rng.choice(frames).format(sentence(20))
+        assert html_blocks.main_texts([page]) == [" ".join(wanted)]
+
+
 def test_variant_keys_share_every_close_pair():
     rng = random.Random(4)
 
