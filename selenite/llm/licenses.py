@@ -3,7 +3,8 @@
 A text is normalised to its words (A-Z lowered, joined by one blank). A rule is a
 regular expression over that string with keywords, a label and a priority. A
 text without any trigger is never normalised; of the others, only the rules with
-a keyword among the words are run. A detection is dropped where another of
+a keyword among the words are run. Tags with SPDX ids are read by an expression of their own,
+operand by operand, so ``Apache-2.0 OR MIT`` gives both. A detection is dropped where another of
 higher priority covers its interval, or one of the same priority that is longer
 or, on the same interval, stands earlier in the table. What survives
 gives the labels and the score.
@@ -92,6 +93,79 @@ FAMILIES = [
     ("gfdl", "documentation", f"(?:gnu )?free documentation {LICENCE}"),
     ("cc", "commons", f"creative commons(?: {LICENCE})?"),
 ]
+#: Wordings of license texts and headers: label, keywords (every match holds one of them), expression.
+WORDINGS = [
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission", "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising"),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clause-clear", "express", "no express or implied licenses to any party s patent rights are granted"),
+    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", "permission", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose"),
+    ("0bsd", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("apache-2.0", "apache", f"you may not use this file except in compliance with the {LICENCE} you may obtain a copy of the {LICENCE} at http(?:s)? www apache org licenses license 2 0"),
+    ("apache-2.0", "apache", "http(?:s)? www apache org licenses license 2 0"),
+    ("apache-2.0", "contributor", f"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright {LICENCE}"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software redistribution"),
+    ("bsl-1.0", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "copying", "terms and conditions for copying distribution and modification 0 you just do what the fuck you want to public license"),
+    ("gpl", "software", f"this program is free software you can redistribute it and or modify it under the terms of the gnu general public {LICENCE}"),
+    ("gpl", "gnu", f"you should have received a copy of the gnu general public {LICENCE}"),
+    ("lgpl", "gnu", f"you should have received a copy of the gnu (?:lesser|library) general public {LICENCE}"),
+    ("agpl", "gnu", f"you should have received a copy of the gnu affero general public {LICENCE}"),
+    ("gpl-classpath-exception", "classpath", "(?:with the )?classpath exception"),
+    ("gpl-linking-exception", "exception", "as a special exception the copyright holders (?:of this library )?give you permission to link this library"),
+    ("gcc-exception", "gcc", "gcc runtime library exception"),
+    ("gfdl", "document", f"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation {LICENCE}"),
+    ("mpl-1.1", "mozilla", f"the contents of this file are subject to the mozilla public {LICENCE} version 1 1"),
+    ("mpl-2.0", "mozilla", f"this source code form is subject to the terms of the mozilla public {LICENCE} v 2 0"),
+    ("mpl-2.0-no-copyleft", "incompatible", "this source code form is incompatible with secondary licenses"),
+    ("epl", "eclipse", f"this program and the accompanying materials are made available under the terms of the eclipse public {LICENCE}"),
+    ("cddl", "cddl", "the contents of this file are subject to the terms of the common development and distribution license cddl"),
+    ("ofl-1.1", "font", f"this font software is licensed under the sil open font {LICENCE}"),
+    ("ofl-1.1", "font", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself license"),
+    ("cc0-1.0", "waived", "to the extent possible under law .{1,60} (?:has|have) waived all copyright and related or neighboring rights"),
+    ("cc", "commons", f"this work is licensed under (?:a|the) creative commons .{{1,80}} {LICENCE}"),
+    ("public-domain", "domain", "(?:this (?:file|work|code|software) is|has been placed|i hereby place it) (?:in|into) the public domain"),
+    ("no-copyright", "copyright", "the author disclaims copyright to this source code"),
+    ("postgresql", "agreement", "without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("ncsa", "license", "permission is hereby granted free of charge .{1,80} to deal with the software without restriction .{1,400} ncsa open source license"),
+    ("python-2.0", "python", f"this {LICENCE} agreement is between the python software foundation"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit copyright"),
+    ("w3c", "w3c", "by obtaining(?: using and or copying)? this work you the licensee agree that you have read understood and will comply with .{1,80} w3c"),
+    ("ms-pl", "microsoft", f"this {LICENCE} governs use of the accompanying software .{{1,200}} microsoft public {LICENCE}"),
+    ("artistic", "perl", "this (?:library|program) is free software you (?:can|may) redistribute it and or modify it under the same terms as perl(?: itself)? license"),
+    ("unicode", "unicode", f"unicode inc {LICENCE} agreement data files and software"),
+    ("commons-clause", "clause", f"commons clause {LICENCE} condition"),
+    ("non-commercial", "commercial noncommercial", f"licensed? for non ?commercial (?:use|purposes) only"),
+    ("redistributable", "copies", "permission is granted to make and distribute verbatim copies of this (?:manual|document|license)"),
+]
+#: Ids of the SPDX list.
+SPDX_IDS = """
+0BSD AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1
+Apache-2.0 APSL-1.0 APSL-1.1 APSL-1.2 APSL-2.0 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause
+BSD-2-Clause-Patent BSD-2-Clause-Views BSD-3-Clause BSD-3-Clause-Attribution BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-4-Clause BSD-4-Clause-UC
+BSD-Protection BSD-Source-Code BSL-1.0 BUSL-1.1 bzip2-1.0.6 CAL-1.0 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-1.0 CC-BY-NC-2.0
+CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-2.5
+CC-BY-SA-3.0 CC-BY-SA-4.0 CC-PDDC CC0-1.0 CDDL-1.0 CDDL-1.1 CDLA-Permissive-1.0 CDLA-Permissive-2.0 CDLA-Sharing-1.0 CECILL-1.0 CECILL-1.1
+CECILL-2.0 CECILL-2.1 CECILL-B CECILL-C CERN-OHL-P-2.0 CERN-OHL-S-2.0 CERN-OHL-W-2.0 CPAL-1.0 CPL-1.0 curl ECL-1.0 ECL-2.0 EFL-1.0 EFL-2.0
+Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.0 EUPL-1.1 EUPL-1.2 FSFAP FTL GFDL-1.1-only GFDL-1.1-or-later GFDL-1.2-only GFDL-1.2-or-later GFDL-1.3-only
+GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IJG
+ImageMagick Info-ZIP Intel IPA IPL-1.0 ISC JSON LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only
+LGPL-3.0-or-later Libpng libtiff LPL-1.02 LPPL-1.0 LPPL-1.1 LPPL-1.2 LPPL-1.3a LPPL-1.3c MIT MIT-0 MIT-CMU MIT-Modern-Variant MPL-1.0 MPL-1.1
+MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-1.0 MulanPSL-2.0 NASA-1.3 NCSA Net-SNMP NPL-1.0 NPL-1.1 NTP ODbL-1.0 ODC-By-1.0
+OFL-1.0 OFL-1.1 OLDAP-2.8 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Sleepycat
+SSPL-1.0 TCL Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib zlib-acknowledgement ZPL-2.0 ZPL-2.1
+Classpath-exception-2.0 GCC-exception-3.1 LLVM-exception
+""".split()
 #: Forms of a name that carry terms; with the priority of what they find.
 GRANT = (
     "(?:licen[cs]ed|released|distributed|published|provided|offered|available|redistributed|covered) (?:under|by)"
@@ -114,7 +188,34 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Every match of every rule and base phrase holds a trigger.
-TRIGGER = rf"(?i)licen[cs]|gpl|bsd|cddl|cecill|as{NO_WORD}+is{NO_WORD}+without|copyright|reserved|spdx|proprietary|redistribution|warranties|public{NO_WORD}+domain|dedicated|cc0|wtfpl|cc{NO_WORD}+by|historical{NO_WORD}+permission|nasa{NO_WORD}+open|sil{NO_WORD}+ofl|creative{NO_WORD}+commons|mit{NO_WORD}+no"
+TRIGGER = rf"(?i)licen[cs]|gpl|permission|redistributions|advertising{NO_WORD}+materials|advertising{NO_WORD}+or|(?:promote|endorse){NO_WORD}|classpath|gcc{NO_WORD}+runtime|consortium|unencumbered|apache|bsd|cddl|cecill|as{NO_WORD}+is{NO_WORD}+without|copyright|reserved|spdx|proprietary|redistribution|warranties|public{NO_WORD}+domain|dedicated|cc0|wtfpl|cc{NO_WORD}+by|historical{NO_WORD}+permission|nasa{NO_WORD}+open|sil{NO_WORD}+ofl|creative{NO_WORD}+commons|mit{NO_WORD}+no"
+
+
+#: The versions that exist.
+GNU_VERSIONS = {"gpl": {"1", "2", "3"}, "lgpl": {"2", "2 1", "3"}, "agpl": {"1", "3"}}
+PRODUCTS = [
+    ("mpl", "mozilla", f"mozilla public {LICENCE}", "1.0 1.1 2.0"),
+    ("epl", "eclipse", f"eclipse public {LICENCE}", "1.0 2.0"),
+    ("eupl", "european", f"european union public {LICENCE}", "1.0 1.1 1.2"),
+    ("cddl", "cddl", f"(?:common development and distribution {LICENCE} )?cddl", "1.0 1.1"),
+    ("osl", "open", f"open software {LICENCE}", "1.0 1.1 2.0 2.1 3.0"),
+    ("afl", "academic", f"academic free {LICENCE}", "1.1 1.2 2.0 2.1 3.0"),
+    ("artistic", "artistic", f"artistic {LICENCE}", "1.0 2.0"),
+    ("lppl", "latex", f"latex project public {LICENCE}", "1.0 1.1 1.2 1.3"),
+    ("cecill", "cecill", "cecill(?: free software licen[cs]e)?", "1.0 1.1 2.0 2.1"),
+    ("apsl", "apple", f"apple public source {LICENCE}", "1.0 1.1 1.2 2.0"),
+    ("gfdl", "documentation", f"(?:gnu )?free documentation {LICENCE}", "1.1 1.2 1.3"),
+]
+
+
+def tag_words(spdx_id: str) -> str:
+    return spdx_id.lower().replace("-", " ").replace(".", " ")
+
+
+def tag_label(spdx_id: str) -> str:
+    """An id's label: the id in small letters; of the GNU licenses as their names give it."""
+    label = spdx_id.lower()
+    return label.replace(".0", "", 1) if label.startswith(("gpl-", "lgpl-", "agpl-")) else label
 
 
 def versions() -> list[tuple[str, str, str]]:
@@ -130,46 +231,37 @@ def versions() -> list[tuple[str, str, str]]:
         [("gpl", "gpl general", f"(?:gpl|gnu gpl|gnu general public {LICENCE})"), ("lgpl", "lgpl", "(?:gnu )?lgpl"), ("agpl", "agpl", "(?:gnu )?agpl")],
         ["1", "2", "2 1", "3"],
     ):
+        if v not in GNU_VERSIONS[label]:
+            continue
         out.append((f"{label}-{v.replace(' ', '.')}", key, f"{name}(?: version)? v?{v}(?: 0)?"))
+        out.append((f"{label}-{v.replace(' ', '.')}-only", key, f"{name}(?: version)? v?{v}(?: 0)? only"))
         out.append((f"{label}-{v.replace(' ', '.')}-or-later", key, f"{name}(?: version)? v?{v}(?: 0)? or(?: \\(?at your option\\)?)?(?: any)? later(?: version)?"))
     for (label, key, kind), v in product(
         [("gpl", "general", "general"), ("lgpl", "lesser", "lesser general"), ("agpl", "affero", "affero general")], ["1", "2", "2 1", "3"]
     ):
+        if v not in GNU_VERSIONS[label]:
+            continue
         name = f"(?:gnu )?{kind} public {LICENCE}(?: version)? v?{v}(?: 0)?"
+        out.append((f"{label}-{v.replace(' ', '.')}-only", key, f"{name} only"))
         out.append((f"{label}-{v.replace(' ', '.')}", key, name))
         out.append((f"{label}-{v.replace(' ', '.')}-or-later", key, f"{name} or(?: any)? later(?: version)?"))
     for n, word in ((0, "zero"), (1, "one"), (2, "two"), (3, "three"), (4, "four")):
         out.append((f"bsd-{n}-clause", "bsd", f"(?:bsd (?:{n}|{word}) clause|(?:{n}|{word}) clause bsd)(?: {LICENCE})?"))
     out.append(("bsd", "bsd", f"(?:new |modified |simplified |revised )?bsd(?: style)? {LICENCE}"))
-    for (label, key, name), v in product(
-        [
-            ("mpl", "mozilla", f"mozilla public {LICENCE}"),
-            ("epl", "eclipse", f"eclipse public {LICENCE}"),
-            ("eupl", "european", f"european union public {LICENCE}"),
-            ("cddl", "cddl", f"(?:common development and distribution {LICENCE} )?cddl"),
-            ("osl", "open", f"open software {LICENCE}"),
-            ("afl", "academic", f"academic free {LICENCE}"),
-            ("artistic", "artistic", f"artistic {LICENCE}"),
-            ("lppl", "latex", f"latex project public {LICENCE}"),
-            ("cecill", "cecill", "cecill(?: free software licen[cs]e)?"),
-            ("apsl", "apple", f"apple public source {LICENCE}"),
-            ("gfdl", "documentation", f"(?:gnu )?free documentation {LICENCE}"),
-        ],
-        ["", "1 0", "1 1", "1 2", "1 3", "2 0", "2 1", "3 0"],
-    ):
-        out.append((f"{label}-{v.replace(' ', '.')}".rstrip("-"), key, name + (f"(?: version)? v?{v}" if v else "")))
+    for label, key, name, known in PRODUCTS:
+        for v in ["", *known.split()]:
+            spaced = v.replace(".", " ")
+            out.append((f"{label}-{v}".rstrip("-"), key, name + (f"(?: version)? v?{spaced}" if v else "")))
     return out
 
 
 def rules() -> list[tuple[int, str, str, str, int]]:
-    """(order, keywords, expression, label, priority): every name, the grants of it and its tag."""
+    """(order, keywords, expression, label, priority): every name and the grants of it, wordings, notices."""
     out = []
     for label, key, name in [*FAMILIES, *versions()]:
         out.append((key, f"(?<= ){name}(?= )", label, 2))
         out.append((key, f"(?<= ){GRANT}(?:an? )?(?:{name})(?= )", label, 3))
-    for label in dict.fromkeys(x[0] for x in [*FAMILIES, *versions()]):
-        tag = label.replace("-", " ").replace(".", " ")
-        out.append(("spdx", f"(?<= )spdx licen[cs]e identifier {tag}(?= )", label, 4))
+    out += [(key, f"(?<= ){e}(?= )", label, 3) for label, key, e in WORDINGS]
     out += [(key, f"(?<= ){e}(?= )", label, p) for label, key, e, p in NOTICES]
     return [(i, *r) for i, r in enumerate(out)]
 
@@ -211,24 +303,52 @@ def rule_table() -> Column:
     return F.array(*rows)
 
 
+def matches(norm: Column, expression: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` the end and the text of every match, as an array."""
+    pair = F.struct(
+        F.regexp_extract_all(norm, expression, F.lit(0)).alias("m"),
+        F.transform(F.split(norm, expression, -1), F.length).alias("s"),
+    )
+    return let(pair, lambda x: let(
+        running_sums(F.zip_with(x["m"], F.slice(x["s"], F.lit(1), F.size(x["m"])), lambda m, s: F.length(m) + s)),
+        lambda ends: F.zip_with(ends, x["m"], of),
+    ))
+
+
+def detection(end: Column, size: Column, order: Column, priority: Column, label: Column) -> Column:
+    return F.struct((end - size).alias("start"), (-end).alias("back"), (-priority).alias("down"), order.alias("o"), label.alias("x"))
+
+
+def tags(norm: Column) -> Column:
+    """A detection for each operand of each tag; the first holds the tag's opening words."""
+    ids = sorted(map(tag_words, SPDX_IDS), key=lambda x: (-len(x), x))
+    one = f"(?:{'|'.join(ids)})"
+    opening = f"spdx {LICENCE} identifier "
+    # a plus sign behind an id is no word, so "or later" ids with one end there
+    expression = F.lit(f"(?<= ){opening}{one}(?= )(?: (?:or|and|with) {one}(?= ))*")
+    table = F.create_map(*(F.lit(x) for i in SPDX_IDS for x in (tag_words(i), tag_label(i))))
+    between = " (?:or|and|with) (?!later )(?!later$)"
+
+    def operands(end: Column, text: Column) -> Column:
+        parts, joins = F.split(text, between, -1), F.regexp_extract_all(text, F.lit(between), F.lit(0))
+        return let(F.struct(parts.alias("p"), F.array_append(F.transform(joins, F.length), F.lit(0)).alias("j")), lambda x: let(
+            running_sums(F.zip_with(x["p"], x["j"], lambda p, j: F.length(p) + j)),
+            lambda sums: F.transform(x["p"], lambda p, i: detection(
+                end - F.length(text) + sums[i] - x["j"][i], F.length(p), F.lit(-1), F.lit(4), F.element_at(table, F.regexp_replace(p, F.lit("^" + opening), F.lit("")))))))
+
+    return F.flatten(matches(norm, expression, operands))
+
+
 def detections(norm: Column, words: Column) -> Column:
     """All matches of the rules with a keyword among the words, sorted: wider, higher, earlier first."""
 
     def of(rule: Column) -> Column:
-        pair = F.struct(
-            F.transform(F.regexp_extract_all(norm, rule["e"], F.lit(0)), F.length).alias("m"),
-            F.transform(F.split(norm, rule["e"], -1), F.length).alias("s"),
-        )
-        return let(pair, lambda x: let(
-            running_sums(F.zip_with(x["m"], F.slice(x["s"], F.lit(1), F.size(x["m"])), lambda m, s: m + s)),
-            lambda ends: F.zip_with(ends, x["m"], lambda end, m: F.struct(
-                (end - m).alias("start"), (-end).alias("back"), (-rule["p"]).alias("down"), rule["o"].alias("o"), rule["x"].alias("x"))),
-        ))
+        return matches(norm, rule["e"], lambda end, m: detection(end, F.length(m), rule["o"], rule["p"], rule["x"]))
 
     keys = sorted({k for r in rules() for k in r[1].split()})
     own = F.array_intersect(words, F.array(*map(F.lit, keys)))
-    return let(own, lambda k: F.array_sort(F.flatten(
-        F.transform(F.filter(rule_table(), lambda r: F.arrays_overlap(k, r["k"])), of))))
+    plain = let(own, lambda k: F.flatten(F.transform(F.filter(rule_table(), lambda r: F.arrays_overlap(k, r["k"])), of)))
+    return F.array_sort(F.when(F.array_contains(words, "spdx"), F.concat(plain, tags(norm))).otherwise(plain))
 
 
 def survivors(found: Column) -> Column:

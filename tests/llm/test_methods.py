@@ -330,10 +330,12 @@ def spellings(expression):
                     more = [chr(low if str(kind) == "LITERAL" else low[0]) for kind, low in arg]
                 case "BRANCH":
                     more = [s for branch in arg[1] for s in strings(branch)]
+                case "ANY":
+                    more = ["x"]
                 case "SUBPATTERN":
                     more = strings(arg[3])
                 case "MAX_REPEAT":
-                    more = [""] * (arg[0] == 0) + ["".join(x) for x in itertools.product(strings(arg[2]), repeat=arg[1])]
+                    more = [""] * (arg[0] == 0) + ["".join(x) for x in itertools.product(strings(arg[2]), repeat=max(1, arg[0]))]
             out = [a + b for a in out for b in more]
         return out
 
@@ -342,7 +344,7 @@ def spellings(expression):
 
 def license_names():
     """(label, keywords, expression) of every rule without its grant."""
-    return [*licenses.FAMILIES, *licenses.versions(), *(n[:3] for n in licenses.NOTICES)]
+    return [*licenses.FAMILIES, *licenses.versions(), *licenses.WORDINGS, *(n[:3] for n in licenses.NOTICES)]
 
 
 def test_every_spelling_of_a_license_passes_the_trigger():
@@ -354,3 +356,10 @@ def test_every_spelling_of_a_license_passes_the_trigger():
 def test_every_spelling_of_a_license_holds_a_keyword():
     names = [(set(k.split()), s) for _, k, e in license_names() for s in spellings(e)]
     assert [s for keys, s in names if not keys & set(re.sub("[()]", "", s).split())] == []
+
+
+def test_wordings_hold_their_own_words():
+    """A wording is given as the words of a text: A-Z lowered, without punctuation."""
+    for _, _, e in licenses.WORDINGS:
+        for one in spellings(e)[:50]:
+            assert re.findall(licenses.WORD, one) == one.split(" "), one
