@@ -45,7 +45,7 @@ LEXICON_WORDS = 65_536
 STEPS = 16
 SLICE_BYTES = 3_000_000
 #: Units that a worker remembers between slices; encoding one anew gives the same ids.
-HELD_UNITS = 150_000
+HELD_UNITS = 220_000
 COUNT_BYTES = 8_000_000
 #: A longer word is merged with a heap; shorter ones many at a time, by width.
 WIDTHS = (8, 16, 32, 64)
@@ -303,13 +303,17 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
-        A unit is encoded when it is first met; the worker remembers up to
-        ``HELD_UNITS`` of them between slices.
+        A unit is encoded when it is first met; the worker remembers up to about
+        ``HELD_UNITS`` of them between slices, then those of the slice at hand.
         """
         per_text = [split_units(t, self.split) for t in texts]
-        if len(self.units) > HELD_UNITS:
+        distinct = set().union(*per_text)
+        new = list(distinct.difference(self.units))
+        if len(self.units) + len(new) > HELD_UNITS:
+            held = self.units
             self.forget()
-        new = list(set().union(*per_text).difference(self.units)) if per_text else []
+            self.units.update((u, held[u]) for u in distinct.intersection(held))
+            del held
         found = [WORD.findall(n) for n in normalized(new)]
         words = list(set().union(*found)) if found else []
         at, ids = self.encode_words([w.encode() for w in words])
