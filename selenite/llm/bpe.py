@@ -21,6 +21,7 @@ asked for with ``keep``. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
@@ -29,6 +30,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ from pyspark.sql import types as T
 from selenite.llm.common import concat_column, giving_way, materialize, release, slices
 
 LEXICON_WORDS = 65_536
+#: Marks that the pattern sets apart from a word before them.
+MARKS = frozenset(".,;:!?")
 #: Steps of the histogram of word counts in an octave.
 STEPS = 16
 SLICE_BYTES = 3_000_000
@@ -314,7 +318,7 @@ class Codec:
             self.forget()
             self.units.update((u, held[u]) for u in distinct.intersection(held))
             del held
-        found = [WORD.findall(n) for n in normalized(new)]
+        found = list(map(unit_words, normalized(new)))
         words = list(set().union(*found)) if found else []
         at, ids = self.encode_words([w.encode() for w in words])
         raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
@@ -341,6 +345,28 @@ def split_units(text: str, special: regex.Pattern | None) -> list[str]:
     return text.split()
 
 
+def unit_words(unit: str) -> list[str]:
+    """The pattern's words of a normalized unit; plain letters, and these before one mark, need no search."""
+    if unit.isascii():
+        if unit.isalpha():
+            return [unit]
+        if unit[-1:] in MARKS and unit[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+    return WORD.findall(unit)
+
+
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """Many small lists and no cycles: the collector would only walk them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def normalized(units: list[str]) -> list[str]:
     """NFC and each character's own lower case, as the vocabulary's normalizer does."""
     joined = unicodedata.normalize("NFC", "\n".join(units))
@@ -353,12 +379,13 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, COUNT_BYTES):
             units: Counter = Counter()
-            for t in concat_column(batch.column(text)).to_pylist():
-                units.update(t.split() if t else ())
             words: Counter = Counter()
-            for n, u in zip(units.values(), normalized(list(units)), strict=True):
-                for w in WORD.findall(u):
-                    words[w.encode()] += n
+            with without_collector():
+                for t in concat_column(batch.column(text)).to_pylist():
+                    units.update(t.split() if t else ())
+                for n, u in zip(units.values(), normalized(list(units)), strict=True):
+                    for w in unit_words(u):
+                        words[w.encode()] += n
             rows = list(words.items())
             for i in range(0, len(rows), 100_000):
                 part = rows[i : i + 100_000]
@@ -433,7 +460,8 @@ def encode(docs: DataFrame, handle: dict, text: str = "text", keep: list[str] =
         codec = held_codec(handle)
         for batch in slices(batches, "selenite_text", SLICE_BYTES):
             texts = [t or "" for t in concat_column(batch.column("selenite_text")).to_pylist()]
-            rows = codec.encode(texts)
+            with without_collector():
+                rows = codec.encode(texts)
             out = [*(batch.column(c) for c in keep), pa.array(rows, pa.binary())]
             if decoded:
                 out.append(pa.array(codec.decode(rows), pa.binary()).cast(pa.string()))
