@@ -21,10 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (local tests) is one made and set.
+    Only a local session that names none (tests) gets one of its own; a cluster must name it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="selenite-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut lineage: write to the shared folder, read the table back.
 
-    Survives the loss of any executor, unlike a local checkpoint. The tables
-    stay until the cluster clears its checkpoint folder.
+    Survives the loss of any executor, unlike a local checkpoint. The table
+    goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/selenite-{uuid.uuid4().hex}"
@@ -42,6 +44,9 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
