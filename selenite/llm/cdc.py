@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, giving_way, materialize, slices, text_bytes, text_key
+from selenite.llm.common import concat_column, giving_way, materialize, release, slices, text_bytes, text_key
 
 SLICE_BYTES = 4_000_000
 MIN_CHUNK = 24
@@ -123,6 +123,7 @@ def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
                 ],
                 schema.names,
             )
+        release()
 
     return docs.select(
         F.col(id_column).alias("selenite_id"), text_key(text).alias("text_key"), F.col(text).alias("selenite_text")
@@ -211,5 +212,6 @@ def remove_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             columns = [batch.column(c) for c in names]
             columns[place] = pa.array(raw, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return joined.mapInArrow(run, docs.schema)

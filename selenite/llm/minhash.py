@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selenite.llm.common import materialize, slices, text_bytes, text_key, whole_groups
+from selenite.llm.common import components, materialize, release, slices, text_bytes, text_key, whole_groups
 
 WORDS = 5
 BANDS, ROWS = 20, 5
 SLICE_BYTES = 4_000_000
-STEP = 20_000
+STEP = 5_000
+#: Shingles whose sets a task compares at a time, about.
+PART_SHINGLES = 400_000
 _rng = np.random.default_rng(20_240_608)
 #: Drawn from the seed: odd factors and offsets of the min-hashes.
 FACTOR = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,14 +59,16 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, keys): the band keys of each row's text."""
+    """(text_key, n, keys): the number of shingles and the band keys of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "selenite_text", SLICE_BYTES):
-            keys = [band_keys(shingles(t)) for t in text_bytes(batch.column("selenite_text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(keys, pa.list_(pa.int64()))], ["text_key", "keys"])
+            found = [shingles(t) for t in text_bytes(batch.column("selenite_text"))]
+            sizes, keys = pa.array([len(x) for x in found], pa.int64()), pa.array(list(map(band_keys, found)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), sizes, keys], ["text_key", "n", "keys"])
+        release()
 
-    return docs.select(text_key(text).alias("text_key"), F.col(text).alias("selenite_text")).mapInArrow(run, "text_key long, keys array<long>")
+    return docs.select(text_key(text).alias("text_key"), F.col(text).alias("selenite_text")).mapInArrow(run, "text_key long, n long, keys array<long>")
 
 
 def forest(roots: np.ndarray, sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
@@ -91,33 +95,68 @@ def forest(roots: np.ndarray, sets: list[np.ndarray], jaccard: float) -> list[tu
     return edges
 
 
-def links(docs: DataFrame, roots: DataFrame, jaccard: float, text: str = "text") -> DataFrame:
-    """Edges (u, v) of roots that hold texts at ``jaccard`` or more. ``roots``: distinct (text_key, root).
-
-    Keys whose texts have one root end here; equal groups of several keys are compared once,
-    and only the texts of such groups are read for their sets.
-    """
-    rows = keyed(docs, text).select("text_key", F.explode("keys").alias("key")).join(roots, "text_key")
-    groups = rows.groupBy("key").agg(F.sort_array(F.collect_set("text_key")).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    groups = groups.where("lo <> hi").select("members").distinct()
-    members = materialize(groups.select(F.xxhash64("members").alias("group"), F.explode("members").alias("text_key")).join(roots, "text_key"))
-    wanted = members.select("text_key").distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(text_key, set): the sets of the texts in ``wanted``, in the shared folder."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "selenite_text", SLICE_BYTES):
             found = [shingles(t).tobytes() for t in text_bytes(batch.column("selenite_text"))]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(found, pa.binary())], ["text_key", "set"])
+        release()
 
     own = docs.select(text_key(text).alias("text_key"), F.col(text).alias("selenite_text")).join(wanted, "text_key", "left_semi")
-    own = own.mapInArrow(sets, "text_key long, set binary").groupBy("text_key").agg(F.first("set").alias("set"))
+    return materialize(own.dropDuplicates(["text_key"]).mapInArrow(sets, "text_key long, set binary"))
+
+
+def compared(rows: DataFrame, group: list[str], jaccard: float) -> DataFrame:
+    """Edges (u, v) between the roots of alike texts of a group; ``rows`` hold ``root`` and ``set``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["group"]):
-            group, root = (table.column(c).to_numpy() for c in ("group", "root"))
+        for table in whole_groups(batches, group):
+            columns, root = [table.column(c).to_numpy() for c in group], table.column("root").to_numpy()
             found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            changed = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(root)]
             edges = [e for a, b in zip(cuts[:-1], cuts[1:], strict=True) for e in forest(root[a:b], found[a:b], jaccard)]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+        release()
 
-    rows = members.join(own, "text_key").select("group", "root", "set").repartition("group").sortWithinPartitions("group")
-    return rows.mapInArrow(compare, "u long, v long").distinct()
+    rows = rows.select(*group, "root", "set").repartition(*group).sortWithinPartitions(*group)
+    return materialize(rows.mapInArrow(compare, "u long, v long").distinct())
+
+
+def links(docs: DataFrame, roots: DataFrame, jaccard: float, text: str = "text") -> DataFrame:
+    """Edges (u, v) of roots that hold texts at ``jaccard`` or more. ``roots``: distinct (text_key, root).
+
+    Keys whose texts have one root end here; equal groups of several keys are compared once,
+    and only the texts of such groups are read for their sets. A group is dealt by hash into
+    parts of about ``PART_SHINGLES``, each with the group's least text, and compared within
+    them. Where that leaves a group of several parts with several components, every text
+    outside its largest component is compared with all of the group, again in parts.
+    """
+    rows = materialize(keyed(docs, text).select("text_key", "n", F.explode("keys").alias("key")).distinct().join(roots, "text_key"))
+    groups = rows.groupBy("key").agg(
+        F.count("*").alias("members"), F.sum(F.xxhash64("text_key").cast("decimal(38,0)")).alias("sign"), F.sum("n").alias("shingles"),
+        F.min("text_key").alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+    )
+    parts = F.ceil(F.col("shingles") / PART_SHINGLES).cast("int")
+    groups = groups.where("lo <> hi").groupBy("members", "sign", "lead").agg(F.min("key").alias("key"), F.max(parts).alias("parts"))
+    groups = materialize(groups.select("key", "lead", "parts"))
+    members = materialize(rows.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int")))
+    sets = shingle_sets(docs, members.select("text_key").distinct(), text)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = members.withColumn("part", F.explode(F.when(F.col("text_key") == F.col("lead"), every("parts")).otherwise(F.array("part"))))
+    edges = compared(dealt.join(sets, "text_key"), ["key", "part"], jaccard)
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return edges
+    now = components(edges)
+    large = large.join(now.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root"))
+    large = materialize(large.select("key", "text_key", "n", "part", "parts", "root"))
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("major"))
+    minor = large.join(sizes, "key").where("root <> major")
+    counts = minor.groupBy("key").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("blocks"))
+    left = minor.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")).withColumn("part", F.explode(every("parts")))
+    right = large.join(counts, "key").withColumn("block", F.explode(every("blocks")))
+    both = left.select("key", "block", "part", "text_key", "root").unionByName(right.select("key", "block", "part", "text_key", "root")).distinct()
+    return edges.unionByName(compared(both.join(sets, "text_key"), ["key", "block", "part"], jaccard))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selenite.llm import minhash
-from selenite.llm.common import components, giving_way, materialize, slices, text_bytes, text_key, whole_groups
+from selenite.llm.common import components, giving_way, materialize, release, slices, text_bytes, text_key, whole_groups
 
 SLICE_BYTES = 4_000_000
 #: A key with more fingerprints is cut into blocks of about as many.
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] = (), word
             raw = b"".join(fingerprint(t, words) for t in text_bytes(batch.column("selenite_text")))
             marks = np.frombuffer(raw, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(marks)], schema.names)
+        release()
 
     return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
 
@@ -194,6 +195,7 @@ def links(marks: DataFrame, distance: int, mark: str = "fingerprint") -> DataFra
                 u, v = group_edges(key, found.view(np.uint64), distance)
                 if len(u):
                     yield out(u, v)
+        release()
 
     first = materialize(rows.mapInArrow(compare, "u long, v long, key long, block long, mark long"))
     large = first.where("key is not null").select("key", "block", "mark")
@@ -210,6 +212,7 @@ def links(marks: DataFrame, distance: int, mark: str = "fingerprint") -> DataFra
                 number[1:] |= c[1:] != c[:-1]
             u, v = group_edges(np.cumsum(number), table.column("mark").to_numpy().view(np.uint64), distance)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], ["u", "v"])
+        release()
 
     more = paired.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare_blocks, "u long, v long")
     return first.where("u is not null").select("u", "v").unionByName(more).distinct()

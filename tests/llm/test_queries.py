@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, minhash, ppm, sharding, simhash, tiling
 from selenite.llm.common import components
 from tests.conftest import SF
 from tests.llm.test_methods import ppm_score
@@ -206,7 +206,9 @@ def test_one_of_a_group_stays(docs, empty):
     assert simhash.keep_first(docs).columns == docs.columns and simhash.keep_first(empty).count() == 0
 
 
-def test_copies_at_jaccard_are_linked(spark, empty):
+@pytest.mark.parametrize("shingles", [400_000, 500])
+def test_copies_at_jaccard_are_linked(spark, empty, monkeypatch, shingles):
+    monkeypatch.setattr(minhash, "PART_SHINGLES", shingles)  # 500: groups of several parts
     rng = np.random.default_rng(12)
     word = lambda n: [f"w{i}" for i in rng.integers(0, 100_000, n)]
     texts = []
