@@ -11,8 +11,9 @@ from selenite.operators import matching, registration
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
 
-FEATURES = "(select x * 1000 + y as id, x as px, y as py, x * 1.0 as fx, y * 1.0 as fy, round(v, 6) * 10 as fz from v_raster where x % 4 = 0 and y % 4 = 0)"
-CANDIDATES = "(select x, y, x * 1.0 as cx, y + 0.5 as cy, round(v, 6) * 10 as cz from v_raster where v > -0.05)"
+STRIDE = "(select greatest(1000, cast(ceil((max(vec_id) + 1) / 4.0) as bigint)) from embeddings)"
+FEATURES = f"(select x * {STRIDE} + y as id, x as px, y as py, x * 1.0 as fx, y * 1.0 as fy, round(v, 6) * 10 as fz from v_raster where x % 4 = 0 and y % 4 = 0)"
+CANDIDATES = "(select x, y, x + (y % 3) * 0.25 as cx, y + 0.5 as cy, round(v, 6) * 10 as cz from v_raster where v > -0.05)"
 
 
 def features(spark, d, step: int = 4):
@@ -28,13 +29,14 @@ def features(spark, d, step: int = 4):
 def candidates(spark, d):
     x, y = F.col("x"), F.col("y")
     rows = P.raster(spark, d).where("v > -0.05")
-    return rows.select("x", "y", (x * 1.0).cast("double").alias("cx"), (y + F.lit(0.5)).cast("double").alias("cy"), (F.round("v", 6) * 10).alias("cz"))
+    return rows.select("x", "y", (x + (y % 3) * 0.25).cast("double").alias("cx"), (y + F.lit(0.5)).cast("double").alias("cy"), (F.round("v", 6) * 10).alias("cz"))
 
 
 NEAREST = f"""select f.id, fx, fy, fz, b.cx, b.cy, b.cz, b.dist, b.y, b.x from {FEATURES} f left join (
     select *, row_number() over (partition by id order by dist, y, x) as k from (select f.id, c.x, c.y, cx, cy, cz,
     sqrt((fx - cx) * (fx - cx) + (fy - cy) * (fy - cy) + (fz - cz) * (fz - cz)) as dist
-    from {FEATURES} f join {CANDIDATES} c on abs(c.x - f.px) <= 2 and abs(c.y - f.py) <= 2)) b on b.id = f.id and b.k = 1"""
+    from (select *, px + i as jx, py + j as jy from {FEATURES}, range(-2, 3) a(i), range(-2, 3) b(j)) f join {CANDIDATES} c on c.x = f.jx and c.y = f.jy)) b
+    on b.id = f.id and b.k = 1"""
 
 
 @query(P.with_views(f"select cast(id as bigint) as id, y, x, round(dist, 8) as dist from ({NEAREST})", "v_raster"))
@@ -83,17 +85,12 @@ def a12_displacement_statistics(spark, d):
 @query(
     P.with_views(
         f"""select cast(id as bigint) as id from {PAIRS}, (select {", ".join(f"avg(r_{c} - m_{c}) as a_{c}, stddev_pop(r_{c} - m_{c}) as b_{c}" for c in "xyz")} from {PAIRS})
-        where {" and ".join(f"abs(r_{c} - m_{c} - a_{c}) < b_{c}" for c in "yz")}""",
+        where {" and ".join(f"abs(r_{c} - m_{c} - a_{c}) < b_{c}" for c in "xyz")}""",
         "v_raster",
     )
 )
 def f15_remove_outliers(spark, d):
-    some = pairs(spark, d)
-    # the x displacements are whole pixels; the test goes by y and z
-    stats = registration.displacement_statistics(some)
-    rows = some.join(F.broadcast(stats))  # one row
-    near = [F.abs(F.col(f"r_{c}") - F.col(f"m_{c}") - F.col(f"mean_{c}")) < F.col(f"dev_{c}") for c in "yz"]
-    return rows.where(near[0] & near[1]).select("id")
+    return registration.remove_outliers(pairs(spark, d)).select("id")
 
 
 @query(
@@ -126,10 +123,27 @@ def a16_a17_normal_sums(spark, d):
     return P.rounded(registration.normal_sums(rows, terms), 4)
 
 
-@query("select 2.0::double as a, 0.5::double as b, 3.0::double as c, 0.0::double as d, 1.0::double as e, -1.0::double as f")
+NOISY = "(select l_quantity as x, l_discount * 100 as y, l_quantity * 2 + l_discount * 50 + 3 + l_tax as u, l_discount * 100 - 1 + l_linenumber % 3 as v from lineitem)"
+DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+NORMAL = ["xx", "xy", "x1", "xy", "yy", "y1", "x1", "y1", "n"]
+
+
+def _cramer(column: int, target: str) -> str:
+    right = [f"x{target}", f"y{target}", f"s{target}"]
+    return DET.format(*(right[i // 3] if i % 3 == column else m for i, m in enumerate(NORMAL))) + " / " + DET.format(*NORMAL)
+
+
+@query(
+    "select " + ", ".join(f"round({_cramer(k % 3, 'uv'[k // 3])}, 6) as {c}" for k, c in enumerate("abcdef")) + " from (select sum(x * x) as xx, sum(x * y) as xy,"
+    " sum(x) as x1, sum(y * y) as yy, sum(y) as y1, cast(count(*) as double) as n, sum(x * u) as xu, sum(y * u) as yu, sum(u) as su, sum(x * v) as xv, sum(y * v) as yv,"
+    f" sum(v) as sv from {NOISY})"
+)
 def a16_solve_affine(spark, d):
+    """The affine map of least squares under residues that are no map's."""
     q, c = F.col("l_quantity"), F.col("l_discount") * 100
-    rows = P.table(spark, d, "lineitem").select(q.alias("x"), c.alias("y"), (q * 2 + c * 0.5 + 3).alias("u"), (c - 1).alias("v"))
+    rows = P.table(spark, d, "lineitem").select(
+        q.alias("x"), c.alias("y"), (q * 2 + c * 0.5 + 3 + F.col("l_tax")).alias("u"), (c - 1 + F.col("l_linenumber") % 3).alias("v")
+    )
     m = registration.solve_affine(rows).ravel().tolist()
     return spark.createDataFrame([tuple(round(v, 6) + 0.0 for v in m)], "a double, b double, c double, d double, e double, f double")
 
@@ -194,7 +208,7 @@ def j09_p08_overlay(spark, d):
     return P.rounded(moved.join(other, ["tx", "ty"]).select("x", "y", ((F.col("v") + F.col("u")) / 2).alias("v")), 8)
 
 
-KEYS = "(select vec_id, embedding, vec_id % 2 as side from embeddings where vec_id < 600)"
+KEYS = "(select vec_id, embedding, vec_id % 2 as side from embeddings)"
 DISTANCES = f"""(select a.vec_id as q_id, b.vec_id as t_id, list_sum(list_transform(range(1, 65), lambda i: power(cast(a.embedding[i] as double) - cast(b.embedding[i] as double), 2))) as dist2
     from {KEYS} a join {KEYS} b on a.side = {{q}} and b.side = {{t}})"""
 RANKED = "(select *, row_number() over (partition by q_id order by dist2, t_id) as rank from {0})"
@@ -257,24 +271,32 @@ def o13_search_grid(spark, d):
     return P.rounded(search_grid(spark), 8)
 
 
+SIZES = (3, 3, 9, 3, 3, 9)
+
+
 @query(
-    "select count(*) as n, count(distinct (a.i, b.i, c.i, d.i, e.i, f.i)) as kinds from range(0, 3) a(i), range(0, 3) b(i), range(0, 9) c(i), range(0, 3) d(i), range(0, 3) e(i), range(0, 9) f(i)"
+    "select ((((p0 * 3 + p1) * 9 + p2) * 3 + p3) * 3 + p4) * 9 + p5 as cand, cast(1 + (p0 - 1) * 0.1 as double) as a, cast((p1 - 1) * 0.1 as double) as b, cast((p2 - 4) * 5 as double) as tx,"
+    " cast((p3 - 1) * 0.1 as double) as c, cast(1 + (p4 - 1) * 0.1 as double) as d, cast((p5 - 4) * 5 as double) as ty from "
+    + ", ".join(f"range(0, {n}) r{k}(p{k})" for k, n in enumerate(SIZES))
 )
 def o12_affine_grid(spark, d):
-    """3 x 3 x 9 x 3 x 3 x 9 candidates."""
-    sizes, i = [3, 3, 9, 3, 3, 9], F.col("id")
-    parts, at = [], 1
-    for k, n in enumerate(reversed(sizes)):
-        parts.append((F.floor(i / at) % n).alias(f"p{5 - k}"))
+    """3 x 3 x 9 x 3 x 3 x 9 affine candidates around the identity."""
+    i, parts, at = F.col("id"), {}, 1
+    for k, n in reversed(list(enumerate(SIZES))):
+        parts[k] = F.floor(i / at) % n
         at *= n
-    return spark.range(at).select(*parts).agg(F.count("*").alias("n"), F.count_distinct(*(f"p{k}" for k in range(6))).alias("kinds"))
+    one = lambda k: (1 + (parts[k] - 1) * 0.1).cast("double")
+    small, shift = (lambda k: ((parts[k] - 1) * 0.1).cast("double")), (lambda k: ((parts[k] - 4) * 5).cast("double"))
+    return spark.range(at).select(
+        i.alias("cand"), one(0).alias("a"), small(1).alias("b"), shift(2).alias("tx"), small(3).alias("c"), one(4).alias("d"), shift(5).alias("ty")
+    )
 
 
 @query(
     P.with_views(
         f"""select cand, round(err, 6) as err from (select cand, err, row_number() over (order by err, cand) as k from (
-        select cand, avg(power(p.value - r.v * 100, 2)) as err from (select * from v_pix where event_id % 50 = 0) p, {GRID} g join v_raster r
-        on r.x = cast(trunc(cos(theta) * px - sin(theta) * py + dx) as integer) and r.y = cast(trunc(sin(theta) * px + cos(theta) * py + dy) as integer)
+        select cand, avg(power(p.value - r.v * 100, 2)) as err from (select cand, value, cast(trunc(cos(theta) * px - sin(theta) * py + dx) as integer) as x,
+        cast(trunc(sin(theta) * px + cos(theta) * py + dy) as integer) as y from v_pix cross join {GRID}) p join v_raster r on r.x = p.x and r.y = p.y
         group by cand having avg(power(p.value - r.v * 100, 2)) > 0)) where k = 1""",
         "v_pix",
         "v_raster",
@@ -282,7 +304,7 @@ def o12_affine_grid(spark, d):
 )
 def j22_a09_best_transform(spark, d):
     """The candidate of least error: every point under every candidate of the stated grid, joined on its pixel."""
-    points = P.pixels(spark, d).where("event_id % 50 = 0")
+    points = P.pixels(spark, d)
     rows = points.join(F.broadcast(search_grid(spark)))  # 729 candidates
     c, s = F.cos("theta"), F.sin("theta")
     x = (c * F.col("px") - s * F.col("py") + F.col("dx")).cast("int").alias("x")
@@ -300,16 +322,3 @@ def i08_compose_poses(spark, d):
     rotation = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.sin(a), F.cos(a), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     rows = P.table(spark, d, "events").select("user_id", "event_id", rotation.alias("r"), F.array("value", F.lit(1.0), F.lit(0.0)).alias("t"))
     return registration.compose_poses(rows, ["user_id"], "event_id", "r", "t")
-
-
-@query(
-    """select track_id, shot_id, pos, z from (select o_custkey as track_id, l_orderkey as shot_id, row_number() over (partition by o_custkey order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos,
-    l_extendedprice as z from lineitem join orders on l_orderkey = o_orderkey) where pos % 10 = 1"""
-)
-def j17_j19_j20_ordinal_join(spark, d):
-    from pyspark.sql import Window as W
-
-    lines, orders = P.table(spark, d, "lineitem"), P.table(spark, d, "orders")
-    w = W.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).withColumn("pos", F.row_number().over(w).cast("long"))
-    return rows.where("pos % 10 = 1").select(F.col("o_custkey").alias("track_id"), F.col("l_orderkey").alias("shot_id"), "pos", F.col("l_extendedprice").alias("z"))

@@ -1,8 +1,7 @@
 """The domain's tables, modelled on the driver's: in Spark and, alike, as SQL.
 
 ``SQL`` holds the common table expressions; ``with_views`` puts the named ones
-before a statement. The rasters in SQL end at 500 rows (all there are up to sf0.01), those
-in Spark hold every vector.
+before a statement. Rasters hold every vector.
 """
 
 from __future__ import annotations
@@ -22,8 +21,9 @@ SQL = {
         min_by(z, pt_idx) as z, count(*) as n_pts from v_return group by track_id, shot_id)""",
     "v_event": """select user_id, event_id, ts, cast(event_id % 5 + 1 as integer) as s, value from events""",
     "v_raster": """select cast(i - 1 as integer) as x, cast(vec_id as integer) as y, cast(embedding[i] as double) as v
-        from embeddings, range(1, 65) t(i) where vec_id < 500""",
-    "v_pix": """select event_id, (event_id * 37 % 6300) / 100.0 as px, (event_id * 91 % 49900) / 100.0 as py, value from events""",
+        from embeddings, range(1, 65) t(i)""",
+    "v_pix": """select event_id, (event_id * 37 % 6300) / 100.0 as px, (event_id * 91 % (select greatest(1, max(vec_id) * 100) from embeddings)) / 100.0 as py,
+        value from events""",
 }
 _NEEDS = {"v_shot": ["v_return"]}
 
@@ -32,7 +32,7 @@ def with_views(statement: str, *names: str) -> str:
     ordered: list[str] = []
     for n in names:
         ordered += [*_NEEDS.get(n, []), n]
-    return "with " + ", ".join(f"{n} as ({SQL[n]})" for n in dict.fromkeys(ordered)) + " " + statement
+    return "with " + ", ".join(f"{n} as materialized ({SQL[n]})" for n in dict.fromkeys(ordered)) + " " + statement
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

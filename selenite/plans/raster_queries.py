@@ -10,9 +10,9 @@ from selenite.plans import proxies as P
 from selenite.plans.catalog import query
 
 BILINEAR = """select p.event_id, sum(w * v) as value from (
-    select event_id, greatest(0, least(63, cast(floor(px) as integer) + i)) as x, greatest(0, least(499, cast(floor(py) as integer) + j)) as y,
+    select event_id, greatest(0, least(63, cast(floor(px) as integer) + i)) as x, greatest(0, least(h, cast(floor(py) as integer) + j)) as y,
     (case when i = 1 then px - floor(px) else 1 - (px - floor(px)) end) * (case when j = 1 then py - floor(py) else 1 - (py - floor(py)) end) as w
-    from v_pix, range(0, 2) a(i), range(0, 2) b(j) where px <= 63 and py <= 499) p join v_raster r on r.x = p.x and r.y = p.y group by p.event_id"""
+    from v_pix, (select cast(max(vec_id) as integer) as h from embeddings), range(0, 2) a(i), range(0, 2) b(j) where px <= 63 and py <= h) p join v_raster r on r.x = p.x and r.y = p.y group by p.event_id"""
 
 
 @query(P.with_views(f"select event_id, round(value, 8) as value from ({BILINEAR})", "v_pix", "v_raster"))
