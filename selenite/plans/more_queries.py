@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from selenite.functions import photometry
@@ -121,18 +120,6 @@ def j17_track_transform(spark, d):
     return P.rounded(rows.select(F.col("o_custkey").alias("track_id"), F.col("o_orderkey").alias("shot_id"), (2 * F.col("o_totalprice") + 0.5 * F.col("c_acctbal")).alias("v")), 4)
 
 
-@query(
-    """select user_id, event_id, cast(sum(fresh) over (partition by user_id order by event_id rows unbounded preceding) as bigint) as chain from (
-    select user_id, event_id, case when event_type = lag(event_type) over (partition by user_id order by event_id) then 0 else 1 end as fresh from events)"""
-)
-def j16_chain_links(spark, d):
-    """A match continues the chain of the one before if it starts where that ended."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    fresh = F.coalesce((F.col("event_type") != F.lag("event_type").over(w)).cast("long"), F.lit(1))
-    rows = P.table(spark, d, "events").withColumn("fresh", fresh)
-    return rows.select("user_id", "event_id", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("chain"))
-
-
 @query("select s_suppkey as id, cast(s_suppkey % 7 as double) as min_err, cast(s_suppkey % 7 + 90 as double) as max_err, cast(s_suppkey as bigint) as n, cast(2 as integer) as n_bins from supplier")
 def sc08_statistics_file(spark, d):
     k = F.col("s_suppkey")
