@@ -30,14 +30,18 @@ def lunar_lambertian(mu0: Column, mu: Column, phase_degrees: Column) -> Column:
     return F.when((mu0 < 0) | (mu0 + up == 0), F.lit(0.0)).otherwise(F.greatest(value, F.lit(0.0)))
 
 
-def reflectance(point: geo.Vec, normal: geo.Vec, light: Sequence[float], camera: Sequence[float]) -> Column:
-    """Lunar-Lambertian reflectance of a surface point seen from ``camera`` under ``light``."""
+def angles(point: geo.Vec, normal: geo.Vec, light: Sequence[float], camera: Sequence[float]) -> list[Column]:
+    """Cosines of incidence and emission and the phase in degrees, of a surface point seen from ``camera`` under ``light``."""
     to_light = geo.sub([F.lit(float(v)) for v in light], point)
     to_camera = geo.sub([F.lit(float(v)) for v in camera], point)
-    unit = lambda v: geo.scale(v, 1 / geo.norm(v))
-    sun, eye = unit(to_light), unit(to_camera)
-    phase = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), geo.dot(sun, eye)))))
-    return lunar_lambertian(geo.dot(normal, sun), geo.dot(normal, eye), phase)
+    far, near = geo.norm(to_light), geo.norm(to_camera)
+    phase = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), geo.dot(to_light, to_camera) / (far * near)))))
+    return [geo.dot(normal, to_light) / far, geo.dot(normal, to_camera) / near, phase]
+
+
+def reflectance(point: geo.Vec, normal: geo.Vec, light: Sequence[float], camera: Sequence[float]) -> Column:
+    """Lunar-Lambertian reflectance of a surface point."""
+    return lunar_lambertian(*angles(point, normal, light, camera))
 
 
 def gain_bias(reflectance: Column, gain: Column, bias: Column) -> Column:

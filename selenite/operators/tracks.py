@@ -151,6 +151,10 @@ def gain(rows: DataFrame, track: Sequence[str], reflectance: str, image: str, le
     return sums.select(*track, value.alias("gain"), F.lit(0.0).alias("bias"), "n_points")
 
 
+#: The faces around the centre beam.
+RING = ((2, 3), (3, 4), (4, 5), (5, 2))
+
+
 def ring_reflectance(returns: DataFrame, shot: Sequence[str], detector: str, p: Sequence[str], light: Sequence[float], camera: Sequence[float]) -> DataFrame:
     """Reflectance of each shot from the normals of the faces around the centre beam (ring 2-3-4-5-2).
 
@@ -162,12 +166,21 @@ def ring_reflectance(returns: DataFrame, shot: Sequence[str], detector: str, p:
     beam = [F.min_by(F.struct(*p), F.when(F.col(detector) == k, F.col("pt_idx"))) for k in range(1, 6)]
     shots = returns.groupBy(*shot).agg(F.count("*").alias("n_returns"), *(b.alias(f"b{k}") for k, b in enumerate(beam, 1)))
     point = {k: [F.col(f"b{k}")[c] for c in p] for k in range(1, 6)}
-    faces = []
-    for a, b in ((2, 3), (3, 4), (4, 5), (5, 2)):
-        n = photometry.face_normal(point[1], point[a], point[b])
-        faces.append([F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)) for c in n])
-    total = [sum((f[i] for f in faces[1:]), faces[0][i]) for i in range(3)]
-    size = geo.norm(total)
-    value = photometry.reflectance(point[1], geo.scale(total, 1 / size), light, camera)
-    usable = (F.col("n_returns") <= 5) & F.col("b1").isNotNull() & (size > 0)
-    return shots.select(*shot, "n_returns", F.when(usable, value).otherwise(F.lit(-1.0)).alias("reflectance"))
+    # every step is a projection of its own: what several columns use is worked out once
+    rows = shots
+    for f, (a, b) in enumerate(RING):
+        cross = geo.cross(geo.sub(point[a], point[1]), geo.sub(point[b], point[1]))
+        rows = rows.withColumns({f"_c{f}{i}": c for i, c in enumerate(cross)})
+    vectors = [[F.col(f"_c{f}{i}") for i in range(3)] for f in range(len(RING))]
+    rows = rows.withColumns({f"_l{f}": geo.norm(v) for f, v in enumerate(vectors)})
+    part = lambda f, i: F.coalesce(F.when(F.col(f"_l{f}") != 0, -vectors[f][i] / F.col(f"_l{f}")), F.lit(0.0))
+    rows = rows.withColumns({f"_t{i}": sum((part(f, i) for f in range(1, len(RING))), part(0, i)) for i in range(3)})
+    total = [F.col(f"_t{i}") for i in range(3)]
+    rows = rows.withColumn("_size", geo.norm(total))
+    usable = (F.col("n_returns") <= 5) & F.col("b1").isNotNull() & (F.col("_size") > 0)
+    normal = [F.when(usable, c / F.col("_size")) for c in total]
+    rows = rows.withColumns({f"_n{i}": c for i, c in enumerate(normal)})
+    seen = photometry.angles(point[1], [F.col(f"_n{i}") for i in range(3)], light, camera)
+    rows = rows.withColumns(dict(zip(("_mu0", "_mu", "_phase"), seen, strict=True)))
+    value = photometry.lunar_lambertian(F.col("_mu0"), F.col("_mu"), F.col("_phase"))
+    return rows.select(*shot, "n_returns", F.coalesce(F.when(usable, value), F.lit(-1.0)).alias("reflectance"))

@@ -252,11 +252,40 @@ def a04_a06_bounds_and_centroid(spark, d):
     )
 
 
-@query()
+LIGHT, CAMERA = (1e6, 2e6, 3e7), (0, 0, 1e6)
+
+
+def ring_sql() -> str:
+    """Beams, then crosses and lengths of the four faces, their sum, the angles, the law."""
+    beam = ", ".join(f"min_by({c}, pt_idx) filter (where s = {k}) as {c}{k}" for k in range(1, 6) for c in "xyz")
+    axes = {"x": "yz", "y": "zx", "z": "xy"}
+    side = lambda c, k: f"(({c}{k} - {c}1)::double)"
+    cross = ", ".join(
+        f"{side(p, a)} * {side(q, b)} - {side(q, a)} * {side(p, b)} as c{f}{c}" for f, (a, b) in enumerate(tracks.RING) for c, (p, q) in axes.items()
+    )
+    size = ", ".join(f"sqrt(c{f}x * c{f}x + c{f}y * c{f}y + c{f}z * c{f}z) as l{f}" for f in range(4))
+    total = ", ".join(" + ".join(f"coalesce(case when l{f} <> 0 then -c{f}{c} / l{f} end, 0.0)" for f in range(4)) + f" as t{c}" for c in "xyz")
+    to = {n: {c: f"({float(v)} - {c}1)" for c, v in zip("xyz", at, strict=True)} for n, at in (("sun", LIGHT), ("eye", CAMERA))}
+    dot = lambda a, b: " + ".join(f"{a[c]} * {b[c]}" for c in "xyz")
+    normal = {c: f"t{c} / size" for c in "xyz"}
+    far, near = (f"sqrt({dot(v, v)})" for v in to.values())
+    weight = " + ".join(f"{c!r} * power(phase, {i}.0)" for i, c in enumerate(photometry.PHASE))
+    up = "greatest(mu, 0.0)"
+    return f"""select track_id, shot_id, n_returns, round(case when ok then case when mu0 < 0 or mu0 + {up} = 0 then 0.0
+        else greatest(2 * ({weight}) * mu0 / (mu0 + {up}) + (1 - ({weight})) * mu0, 0.0) end else -1.0 end, 6) as reflectance from (
+        select *, ({dot(normal, to["sun"])}) / {far} as mu0, ({dot(normal, to["eye"])}) / {near} as mu,
+        degrees(acos(greatest(-1.0, least(1.0, ({dot(*to.values())}) / ({far} * {near}))))) as phase from (
+        select *, size > 0 and n_returns <= 5 and x1 is not null as ok from (select *, sqrt(tx * tx + ty * ty + tz * tz) as size from (select *, {total} from (
+        select *, {size} from (select *, {cross} from (select track_id, shot_id, count(*) as n_returns, {beam} from v_return group by track_id, shot_id)))))
+        ) where ok union all by name select track_id, shot_id, count(*) as n_returns, false as ok from v_return group by track_id, shot_id
+        ) qualify row_number() over (partition by track_id, shot_id order by ok desc) = 1"""
+
+
+@query(P.with_views(ring_sql(), "v_return"))
 def i14_ring_reflectance(spark, d):
-    """Reflectances of all shots; tested against a plain implementation."""
+    """Reflectances of all shots."""
     rows = P.returns(spark, d)
-    return tracks.ring_reflectance(rows, ["track_id", "shot_id"], "s", ["x", "y", "z"], (1e6, 2e6, 3e7), (0, 0, 1e6))
+    return P.rounded(tracks.ring_reflectance(rows, ["track_id", "shot_id"], "s", ["x", "y", "z"], LIGHT, CAMERA))
 
 
 @query(
