@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selenite.functions import geo
+from selenite.operators import matching, raster
 
 
 def centroid(points: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,26 +117,140 @@ def solve_homography(rows: DataFrame) -> np.ndarray:
     return h / h[2, 2]
 
 
-def gauss_newton_affine(rows: Callable[[np.ndarray], DataFrame], start: np.ndarray, steps: int = 200) -> tuple[np.ndarray, list[float]]:
-    """Six parameters by Gauss-Newton. ``rows(m)`` gives j0 .. j5 and the residual r; stops and reverts when the error does not fall."""
-    now, errors = start.astype(float).copy(), []
+def moved_candidates(dem: DataFrame, rotation: np.ndarray, translation: np.ndarray, center: Sequence[float]) -> DataFrame:
+    """DEM points (x, y, cx, cy, cz) turned about ``center`` and shifted; they keep their pixels."""
+    p = geo.sub([F.col(f"c{c}") for c in "xyz"], [F.lit(float(v)) for v in center])
+    moved = geo.rigid(p, rotation.tolist(), (np.asarray(translation, float) + np.asarray(center, float)).tolist())
+    return dem.select("x", "y", *(v.alias(f"c{c}") for c, v in zip("xyz", moved, strict=True)))
+
+
+def lidar_to_dem(
+    features: DataFrame, dem: DataFrame, half: int, center: Sequence[float], most: int = 10, threshold: float = 0.01
+) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The motion of a DEM onto lidar points (id, px, py, fx, fy, fz): (R, t, mean errors).
+
+    Each round matches every point to the nearest DEM point of its window, under the motion so
+    far, and fits a shift and a rotation to the matches; rotations are multiplied and shifts added
+    up. Stops at ``threshold``, after ``most`` rounds or without a match.
+    """
+    rotation, translation, errors = np.eye(3), np.zeros(3), []
+    while len(errors) < most and (not errors or errors[-1] > threshold):
+        found = matching.window_nearest(features, moved_candidates(dem, rotation, translation, center), ["id"], half).where("cx is not null")
+        pairs = features.select("id", *(F.col(f"f{c}").alias(f"r_{c}") for c in "xyz")).join(
+            found.select("id", *(F.col(f"c{c}").alias(f"m_{c}") for c in "xyz")), "id"
+        )
+        row = cross_covariance(pairs).join(matching_errors(pairs).agg(F.avg("err").alias("err"))).first()  # one row each
+        if not row or not row["n"]:
+            break
+        errors.append(row["err"])
+        rotation = rotation @ (kabsch(np.array([[row[f"s_{i}{j}"] for j in "xyz"] for i in "xyz"])) if row["n"] >= 3 else np.eye(3))
+        translation = translation + np.array([row[f"cr_{c}"] - row[f"cm_{c}"] for c in "xyz"])
+    return rotation, translation, errors
+
+
+def multi_start(
+    features: DataFrame, candidates: DataFrame, half: int, starts: Sequence[tuple[np.ndarray, np.ndarray]], rounds: int = 10
+) -> tuple[int, list[tuple[np.ndarray, np.ndarray, float]]]:
+    """Closest-point iteration from several motions at once: (number of the best, (R, t, mean error) of each).
+
+    The start is a column, so every round is one job over all of them; what comes back is one
+    row a start. A start without matches keeps its motion and an infinite error; ties go to the first.
+    """
+    spark = features.sparkSession
+    state = [(np.asarray(r, float), np.asarray(t, float), float("inf")) for r, t in starts]
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)] + [f"t{i}" for i in range(3)]
+    schema = "start int, " + ", ".join(f"{n} double" for n in names)
+    for _ in range(rounds + 1):  # the last only measures
+        motions = spark.createDataFrame([(k, *map(float, r.ravel()), *map(float, t)) for k, (r, t, _) in enumerate(state)], schema)
+        rows = features.join(F.broadcast(motions))  # a row for each start
+        p = [F.col(f"f{c}") for c in "xyz"]
+        moved = [geo.dot([F.col(f"r{i}{j}") for j in range(3)], p) + F.col(f"t{i}") for i in range(3)]
+        rows = rows.select("start", "id", *(v.alias(f"f{c}") for c, v in zip("xyz", moved, strict=True)))
+        rows = rows.withColumn("px", F.round("fx").cast("int")).withColumn("py", F.round("fy").cast("int"))
+        found = matching.window_nearest(rows, candidates, ["start", "id"], half).where("cx is not null")
+        found = found.select("start", "id", *(F.col(f"c{c}").alias(f"r_{c}") for c in "xyz"))
+        pairs = found.join(rows.select("start", "id", *(F.col(f"f{c}").alias(f"m_{c}") for c in "xyz")), ["start", "id"])
+        errors = {r["start"]: r["err"] for r in matching_errors(pairs).groupBy("start").agg(F.avg("err").alias("err")).collect()}
+        state = [(r, t, errors.get(k, float("inf"))) for k, (r, t, _) in enumerate(state)]
+        if _ == rounds:
+            break
+        for row in cross_covariance(pairs, ["start"]).collect():
+            r, t, error = state[row["start"]]
+            step = kabsch(np.array([[row[f"s_{i}{j}"] for j in "xyz"] for i in "xyz"])) if row["n"] >= 3 else np.eye(3)
+            shift = np.array([row[f"cr_{c}"] for c in "xyz"]) - step @ np.array([row[f"cm_{c}"] for c in "xyz"])
+            state[row["start"]] = (step @ r, step @ t + shift, error)
+    return int(np.argmin([e for _, _, e in state])), state
+
+
+def gauss_newton(rows: Callable[[np.ndarray], DataFrame], start: np.ndarray, steps: int = 200) -> tuple[np.ndarray, list[float]]:
+    """As many parameters as ``start`` has by Gauss-Newton: 6 of an affine map, 9 of a homography.
+
+    ``rows(m)`` gives j0 .. and the residual r; stops and reverts when the error does not fall.
+    """
+    now, errors, n = np.array(start, float).ravel(), [], np.size(start)
+    before = now
     for _ in range(steps):
-        terms = {f"j{i}": F.col(f"j{i}") for i in range(6)} | {"r": F.col("r")}
+        terms = {f"j{i}": F.col(f"j{i}") for i in range(n)} | {"r": F.col("r")}
         s = normal_sums(rows(now), terms).first()
         if not s["n"]:
+            now = before
             break
         error = s["r_r"] / s["n"]
         if errors and error >= errors[-1]:
             now = before
             break
         errors.append(error)
-        a = np.array([[s[f"j{min(i, j)}_j{max(i, j)}"] for j in range(6)] for i in range(6)])
-        b = np.array([s[f"j{i}_r"] for i in range(6)])
-        before = now.copy()
+        a = np.array([[s[f"j{min(i, j)}_j{max(i, j)}"] for j in range(n)] for i in range(n)])
+        b = np.array([s[f"j{i}_r"] for i in range(n)])
+        before = now
         now = now + np.linalg.pinv(a, rcond=1e-14) @ b
     return now, errors
 
 
+gauss_newton_affine = gauss_newton
+
+
+def image_gradients(image: DataFrame) -> DataFrame:
+    """(x, y, v, gx, gy): an image with its central differences."""
+    gx = raster.derivative(image, "x").withColumnRenamed("d", "gx")
+    return raster.derivative(gx, "y").withColumnRenamed("d", "gy")
+
+
+def alignment_rows(points: DataFrame, image: DataFrame, m: np.ndarray) -> DataFrame:
+    """Derivatives j0 .. and residuals r of points (px, py, value) on an image with gradients under a map of 6 or 9 parameters.
+
+    A point takes the pixel that it falls on; points outside the image or where a map's denominator vanishes are left out.
+    """
+    x, y, h = F.col("px"), F.col("py"), [float(v) for v in m]
+    w = x * h[6] + y * h[7] + h[8] if len(h) == 9 else F.lit(1.0)
+    u, v = (x * h[0] + y * h[1] + h[2]) / w, (x * h[3] + y * h[4] + h[5]) / w
+    at = points.where(w != 0).select("px", "py", "value", w.alias("w"), u.alias("u"), v.alias("t"), F.round(u).cast("int").alias("x"), F.round(v).cast("int").alias("y"))
+    seen = at.join(image, ["x", "y"])
+    gx, gy, w = F.col("gx"), F.col("gy"), F.col("w")
+    parts = [g * c / w for g in (gx, gy) for c in (x, y, F.lit(1.0))]
+    if len(h) == 9:
+        pull = -(gx * F.col("u") + gy * F.col("t")) / w
+        parts += [pull * x, pull * y, pull]
+    return seen.select(*(c.alias(f"j{i}") for i, c in enumerate(parts)), (F.col("value") - F.col("v")).alias("r"))
+
+
+def coarse_to_fine(points: DataFrame, image: DataFrame, start: np.ndarray, zooms: Sequence[int] = (8, 4, 2, 1), steps: int = 20) -> tuple[np.ndarray, list[float]]:
+    """An affine map of points (px, py, value) onto an image, level by level: (2 x 3 map, the last errors).
+
+    A level pools the image by its zoom; the map goes there and back between pixels of both sizes,
+    whose centres lie at (z - 1) / 2 of the level above.
+    """
+    now, errors = np.vstack([np.asarray(start, float).reshape(2, 3), [0, 0, 1]]), []
+    for z in zooms:
+        small = image_gradients(raster.pool(image, z) if z > 1 else image.select("x", "y", "v"))
+        down = np.array([[1 / z, 0, -(z - 1) / 2 / z], [0, 1 / z, -(z - 1) / 2 / z], [0, 0, 1]])
+        near = points.select((F.col("px") * down[0, 0] + float(down[0, 2])).alias("px"), (F.col("py") * down[1, 1] + float(down[1, 2])).alias("py"), "value")
+        level = (down @ now @ np.linalg.inv(down))[:2].ravel()
+        found, errors = gauss_newton(lambda m, p=near, i=small: alignment_rows(p, i, m), level, steps)
+        now = np.linalg.inv(down) @ np.vstack([found.reshape(2, 3), [0, 0, 1]]) @ down
+    return now[:2], errors
+
+
 def displacement_statistics(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and population deviation of reference minus match, per axis."""
     d = {c: F.col(f"r_{c}") - F.col(f"m_{c}") for c in "xyz"}

@@ -6,6 +6,9 @@ before a statement. Rasters hold every vector.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,3 +92,18 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of sums does not show."""
     return df.select(*(F.round(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names; a local session without any gets one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="selenite-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/selenite-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
