@@ -155,3 +155,11 @@ def quad_digits(h: Column, v: Column, levels: int) -> Column:
     return F.array(
         *(F.shiftright(h, k).bitwiseAND(F.lit(1)) + 2 * F.shiftright(v, k).bitwiseAND(F.lit(1)) for k in range(levels))
     )
+
+
+def axis_angle(r: Sequence[Vec]) -> list[Column]:
+    """A rotation's axis and its angle in radians, 0 to pi; without a turn the axis is null."""
+    turn = [r[2][1] - r[1][2], r[0][2] - r[2][0], r[1][0] - r[0][1]]
+    size = norm(turn)
+    angle = F.atan2(size, r[0][0] + r[1][1] + r[2][2] - 1)
+    return [*(F.when(size > 0, c / size) for c in turn), angle]

@@ -156,3 +156,61 @@ def assemble(background: DataFrame, foreground: DataFrame, keys: Sequence[str],
         F.coalesce(w * F.col("fv") + (1 - w) * F.col("v"), F.col("v")).alias("v"),
         F.coalesce(1 / (w / F.col("fa") + (1 - w) / F.col("acc")), F.col("acc")).alias("acc"),
     )
+
+
+#: Fixed value: what pixels outside a resampled image hold.
+FILL = -3.4028226550889e38
+
+
+def padded_pyramid(raster: DataFrame, width: int, height: int, tile: int, pad: int, levels: int, factor: int = 2, fill: float = FILL) -> DataFrame:
+    """(level, tx, ty, i, j, v): tiles with a border of ``pad`` pixels, each level ``factor`` times smaller than the one before.
+
+    A pixel takes the bilinear value at its place in the image; ``fill`` outside.
+    """
+    spark = raster.sparkSession
+    scales = [factor**k for k in range(levels)]
+    tiles = spark.createDataFrame([(k, s, -(-(-(-width // s)) // tile), -(-(-(-height // s)) // tile)) for k, s in enumerate(scales)], "level int, scale int, nx int, ny int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = F.explode(F.sequence(F.lit(-pad), F.lit(tile + pad - 1)))
+    rows = tiles.withColumn("tx", upto("nx")).withColumn("ty", upto("ny")).repartition("level", "tx", "ty").withColumn("i", side).withColumn("j", side)
+    place = [((F.col(t) * tile + F.col(o)) * F.col("scale")).cast("double").alias(p) for t, o, p in (("tx", "i", "px"), ("ty", "j", "py"))]
+    key = ["level", "tx", "ty", "i", "j"]
+    found = bilinear(rows.select(*key, *place), raster, key, width, height)
+    return rows.select(*key).join(found, key, "left").select(*key, F.coalesce("value", F.lit(fill)).alias("v"))
+
+
+def tiles_in_box(parameters: DataFrame, tile: int, box: Sequence[float]) -> DataFrame:
+    """(image, level, h, v): tiles of every level that touch a box (left, top, right, bottom) in pixels of the image.
+
+    Level 0 is one tile of the padded side; each level halves the ground that a tile covers.
+    """
+    rows = parameters.select("*", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+    ground = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
+    last = (F.pow(F.lit(2.0), F.col("level")) - 1).cast("int")
+    clamp = lambda c: F.greatest(F.lit(0), F.least(last, F.floor(c / ground).cast("int")))
+    span = lambda a, b, o: F.explode(F.sequence(clamp(F.lit(float(a)) + F.col(o)), clamp(F.lit(float(b)) + F.col(o))))
+    inside = (F.lit(float(box[2])) + F.col("offset_x") >= 0) & (F.lit(float(box[0])) + F.col("offset_x") <= F.col("side"))
+    inside = inside & (F.lit(float(box[3])) + F.col("offset_y") >= 0) & (F.lit(float(box[1])) + F.col("offset_y") <= F.col("side"))
+    rows = rows.where(inside).withColumn("h", span(box[0], box[2], "offset_x"))
+    return rows.withColumn("v", span(box[1], box[3], "offset_y")).select("image", "level", "h", "v")
+
+
+def crop(raster: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
+    """The pixels of a window, counted from its corner."""
+    inside = raster.where(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1))
+    return inside.withColumn("x", F.col("x") - x).withColumn("y", F.col("y") - y)
+
+
+def assemble_at(background: DataFrame, foreground: DataFrame, keys: Sequence[str], fx: Column, fy: Column, weighted: bool = False) -> DataFrame:
+    """Background pixels (keys, v, acc ...) under the foreground pixel at (fx, fy), the inverse of the foreground's motion.
+
+    ``fx`` and ``fy`` may use any column of the background, such as the height that carries an image's pixel back.
+    """
+    at = background.withColumn("_x", F.floor(fx + 0.5).cast("int")).withColumn("_y", F.floor(fy + 0.5).cast("int"))
+    fore = foreground.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("v").alias("fv"), F.col("acc").alias("fa"))
+    rows = at.join(fore, ["_x", "_y"], "left")
+    if not weighted:
+        return rows.select(*keys, F.coalesce("fv", "v").alias("v"), F.coalesce("fa", "acc").alias("acc"))
+    w = F.col("acc") / (F.col("fa") + F.col("acc"))
+    blended, accuracy = w * F.col("fv") + (1 - w) * F.col("v"), 1 / (w / F.col("fa") + (1 - w) / F.col("acc"))
+    return rows.select(*keys, F.coalesce(blended, "v").alias("v"), F.coalesce(accuracy, "acc").alias("acc"))

@@ -162,3 +162,18 @@ def patch_match(shots: DataFrame, image: DataFrame, half_x: int, half_y: int, sa
     best = matching.argmin(errors, ["track_id", "at"], "err", ["dy", "dx"], []).withColumnRenamed("at", "shot_idx")
     out = wanted.select("track_id", "shot_idx").join(best, ["track_id", "shot_idx"], "left")
     return out.select("track_id", "shot_idx", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dx", "dy")), F.coalesce("err", F.lit(NO_MATCH)).alias("err"))
+
+
+def projection_lines(chains: DataFrame, chain: str, frame: str) -> DataFrame:
+    """(chain, value): a point's mean place, its number of frames, then frame and pixel of each, for bundle adjustment."""
+    number = lambda c: F.format_string("%.6f", c)
+    seen = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col("px").alias("px"), F.col("py").alias("py"))))
+    rows = chains.groupBy(chain).agg(*(F.avg(c).alias(c) for c in "xyz"), seen.alias("s"))
+    each = F.transform("s", lambda p: F.concat_ws(" ", p["f"].cast("string"), number(p["px"]), number(p["py"])))
+    return rows.select(chain, F.concat_ws(" ", *(number(F.col(c)) for c in "xyz"), F.size("s").cast("string"), F.array_join(each, " ")).alias("value"))
+
+
+def paired_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x, y, u, v): shots valid in both images, paired by track and shot, as the rows of a homography."""
+    a = left.where("valid").select(*keys, "x", "y")
+    return a.join(right.where("valid").select(*keys, F.col("x").alias("u"), F.col("y").alias("v")), list(keys))

@@ -184,3 +184,11 @@ def ring_reflectance(returns: DataFrame, shot: Sequence[str], detector: str, p:
     rows = rows.withColumns(dict(zip(("_mu0", "_mu", "_phase"), seen, strict=True)))
     value = photometry.lunar_lambertian(F.col("_mu0"), F.col("_mu"), F.col("_phase"))
     return rows.select(*shot, "n_returns", F.coalesce(F.when(usable, value), F.lit(-1.0)).alias("reflectance"))
+
+
+def profile_lines(profile: DataFrame, track: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """(track, line_no, value): a line for each named value of a track's points in order, six decimals."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order), *(F.col(c).cast("double").alias(c) for c in values))))
+    rows = profile.groupBy(*track).agg(listed.alias("p"))
+    line = lambda c: F.array_join(F.transform("p", lambda q: F.format_string("%.6f", q[c])), " ")
+    return rows.select(*track, F.posexplode(F.array(*map(line, values))).alias("line_no", "value"))
