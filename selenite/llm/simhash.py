@@ -16,8 +16,8 @@ emitted: links grow with the rows, and none between different groups is lost.
 
 Defined results: null texts count as empty; a text without words has fingerprint
 zero and links like any other; ids may be null, repeated or tied (a component's
-id is its least non-null id); equal rows get equal results; other columns are
-not read; an empty table gives an empty table.
+id is its least non-null id); equal rows get equal results; a column of the
+input with a result's name gives way to it; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -220,11 +220,13 @@ def links(marks: DataFrame, distance: int, mark: str = "fingerprint") -> DataFra
 
 def near_duplicates(marks: DataFrame, id_column: str, distance: int = 4, mark: str = "fingerprint") -> DataFrame:
     """The rows of ``marks`` with ``component_id``, the least id reachable by links."""
-    own = marks.groupBy(mark).agg(F.min(id_column).alias("selenite_least"))
-    root = components(links(marks, distance, mark)).withColumnRenamed("node", mark)
-    own = own.join(root, mark, "left").withColumn("root", F.coalesce("root", F.col(mark)))
+    own = marks.groupBy(F.col(mark).alias("selenite_mark")).agg(F.min(id_column).alias("selenite_least"))
+    root = components(links(marks, distance, mark)).select(F.col("node").alias("selenite_mark"), "root")
+    own = own.join(root, "selenite_mark", "left").withColumn("root", F.coalesce("root", "selenite_mark"))
     least = own.groupBy("root").agg(F.min("selenite_least").alias("component_id"))
-    return marks.join(own.select(mark, "root").join(least, "root").drop("root"), mark)
+    found = own.select("selenite_mark", "root").join(least, "root").select("selenite_mark", "component_id")
+    rows = marks.select(*giving_way(marks.columns, "component_id"))
+    return rows.join(found, rows[mark] == found["selenite_mark"]).drop("selenite_mark")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4, jaccard: float | None = None) -> DataFrame:

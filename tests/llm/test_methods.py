@@ -261,6 +261,40 @@ def test_tiles_catch_reordered_passages():
     assert bench.best(b"") == (0.0, None, 0, 0)
 
 
+def plain_tiles(text, item, least):
+    """Mark the longest run of unmarked words that both share, again and again."""
+    in_text, in_item, out = set(), set(), []
+    while True:
+        best = None
+        for p in range(len(text)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(text) and q + n < len(item) and text[p + n] == item[q + n] and p + n not in in_text and q + n not in in_item:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (p, q, n)
+        if best is None:
+            return out
+        p, q, n = best
+        in_text.update(range(p, p + n))
+        in_item.update(range(q, q + n))
+        out.append(best)
+
+
+def test_tiles_equal_plain_tiling():
+    rng = random.Random(8)
+    for _ in range(60):
+        item = [rng.choice("abcdefgh").encode() for _ in range(rng.randint(1, 30))]
+        parts = [item[i : i + 7] for i in range(0, len(item), 7)]
+        rng.shuffle(parts)
+        text = [w for part in parts for w in (*part, *([b"zz"] * rng.randint(0, 2)))] + rng.choices(item, k=6)
+        bench = tiling.Bench([(1, b" ".join(item))], 3)
+        found = bench.hits(bench.numbers(text)).get(0, {})
+        want = plain_tiles(text, item, min(3, len(item)))
+        assert sorted(tiling.tile(found)) == sorted(want)
+        assert bench.best(b" ".join(text))[0] == pytest.approx(sum(n for _, _, n in want) / len(item))
+
+
 def test_tiles_never_overlap():
     rng = random.Random(3)
     for _ in range(50):

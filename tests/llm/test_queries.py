@@ -325,6 +325,66 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert isinstance(last.schema["ids"].dataType, T.BinaryType)
 
 
+def test_columns_of_the_results_names_give_way(spark, docs):
+    rows = docs.withColumns({c: F.lit("old") for c in ("ids", "decoded", "fingerprint", "component_id", "shard", "slot", "score", "coverage", "item_id", "spans", "root", "node")})
+    bench = spark.createDataFrame([(9, "of the passage word4 of the passage")], "item_id long, text string")
+    handle = bpe.prepare(docs, corpus_pipeline.VOCABULARY, lexicon_words=5)
+    every = rows.columns
+    results = [
+        (bpe.encode(rows, handle, keep=every, decoded=True), ["ids", "decoded"]),
+        (simhash.fingerprints(rows, keep=every), ["fingerprint"]),
+        (simhash.near_duplicates(simhash.fingerprints(rows, keep=every), "doc_id"), ["fingerprint", "component_id"]),
+        (sharding.shuffle(rows, 4), ["shard", "slot"]),
+        (html_blocks.extract(rows, "text", keep=every), ["text"]),
+        (crf.score(rows, {"constant": 0.5}, keep=every), ["score"]),
+        (tiling.coverage(rows, bench, keep=every), ["coverage", "item_id"]),
+        (cdc.with_spans(rows, cdc.duplicate_spans(rows)), ["spans"]),
+    ]
+    for got, new in results:
+        assert len(got.columns) == len(set(got.columns)) and set(every) <= set(got.columns)
+        found = got.collect()
+        assert len(found) == len(TEXTS) and all(r[c] != "old" for r in found for c in new)
+    for kept in (cdc.remove_spans(rows), simhash.keep_first(rows), simhash.keep_first(rows, jaccard=0.8), tiling.clean(rows, bench)):
+        assert kept.columns == every and {r.root for r in kept.collect()} == {"old"}
+    assert ppm.score(rows).count() == len(TEXTS)
+
+
+def test_empty_tables_give_empty_tables(spark, empty):
+    assert html_blocks.extract(empty, "text", keep=["doc_id"]).count() == 0
+    assert simhash.near_duplicates(simhash.fingerprints(empty, keep=["doc_id"]), "doc_id").count() == 0
+    assert cdc.remove_spans(empty).count() == 0 and cdc.duplicate_spans(empty).count() == 0
+    assert empty.select(licenses.scan(F.col("text")).alias("f")).count() == 0
+    assert crf.score(empty, {"constant": 0.5}, keep=["doc_id"]).count() == 0
+    assert minhash.links(empty, spark.createDataFrame([], "text_key long, root long"), 0.8).count() == 0
+
+
+def small_tables(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_pipeline_over_nulls_and_empty_tables(spark, docs, empty, tmp_path):
+    small_tables(spark, tmp_path / "a", docs)
+    got = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert 0 < got.count() <= len(TEXTS) and got.columns == ["doc_id", "lang", "source", "ids", "n_tokens"]
+    small_tables(spark, tmp_path / "b", empty)
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_very_long_texts(spark):
+    phrase = "of the passage word4 of the passage "
+    texts = ["w " * 400_000, phrase * 20_000, "x" * 700_000, "<p>" + "<b>y</b> " * 60_000, "<" * 50_000, "a\n" * 100_000, "\n".join(f"line {i} of many" for i in range(60_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(9, phrase)], "item_id long, text string")
+    assert {r.doc_id: r.coverage for r in tiling.coverage(docs, bench, keep=["doc_id"]).collect()} == {i: float(i == 1) for i in range(len(texts))}
+    assert html_blocks.extract(docs, "text").count() == len(texts)
+    model = crf.fit(docs, spark.createDataFrame([(0, 0), (6, 1)], "doc_id long, quality int"))
+    assert all(0 <= r.score <= 1 for r in crf.score(docs, model).collect())
+    assert cdc.remove_spans(docs).count() == len(texts) and simhash.fingerprints(docs).count() == len(texts)
+    assert all(r.score < 0 for r in ppm.score(docs).collect())
+
+
 def base_columns(text):
     words = re.findall(licenses.WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places = []
