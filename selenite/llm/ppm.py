@@ -51,7 +51,7 @@ ORDER = 5
 DEEP = 16
 SPARSE = 1
 FOLDS = 10
-BLOCK_BYTES = 28_000_000
+BLOCK_BYTES = 20_000_000
 #: Text for each bucket, about; a key's bucket takes 16 bits, so there are 65,536 at most.
 BUCKET_BYTES = 32_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
