@@ -316,8 +316,8 @@ def j22_a09_best_transform(spark, d):
 
 
 @query(
-    """select user_id, count(*) as n, [round(cos(sum(a)), 6) + 0.0, round(-sin(sum(a)), 6) + 0.0, 0.0, round(sin(sum(a)), 6) + 0.0, round(cos(sum(a)), 6) + 0.0, 0.0, 0.0, 0.0, 1.0] as r,
-    [round(sum(cos(p) * value - sin(p)), 4) + 0.0, round(sum(sin(p) * value + cos(p)), 4) + 0.0, 0.0] as t from (select user_id, value, value / 1000 as a,
+    """select user_id, count(*) as n, [round(cos(sum(a)), 9) + 0.0, round(-sin(sum(a)), 9) + 0.0, 0.0, round(sin(sum(a)), 9) + 0.0, round(cos(sum(a)), 9) + 0.0, 0.0, 0.0, 0.0, 1.0] as r,
+    [round(sum(cos(p) * value - sin(p)), 6) + 0.0, round(sum(sin(p) * value + cos(p)), 6) + 0.0, 0.0] as t from (select user_id, value, value / 1000 as a,
     coalesce(sum(value / 1000) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as p from events) group by user_id"""
 )
 def i08_compose_poses(spark, d):
@@ -327,4 +327,4 @@ def i08_compose_poses(spark, d):
     rows = P.table(spark, d, "events").select("user_id", "event_id", rotation.alias("r"), F.array("value", F.lit(1.0), F.lit(0.0)).alias("t"))
     found = registration.compose_poses(rows, ["user_id"], "event_id", "r", "t")
     near = lambda c, n: F.transform(c, lambda v: F.round(v, n) + 0.0).alias(c)
-    return found.select("user_id", "n", near("r", 6), near("t", 4))
+    return found.select("user_id", "n", near("r", 9), near("t", 6))
