@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, rns_whiten, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -110,6 +110,12 @@ def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rns_whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 ORACLE_SQL["op8_epsilon_grid_join"] = """
 with recursive v as (
     select vec_id, cast(embedding as double[]) as e from embeddings
