@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, rns_whiten, sharding, simhash, tiling
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, rns_whiten, rp_forest, sharding, simhash, tiling
 from selenite.llm.common import materialize, read_table, text_key
 
 QUERIES: dict = {}
@@ -110,6 +110,11 @@ def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op13_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rns_whiten.whiten(read_table(spark, sf_dir, "embeddings"))
