@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, rns_whiten, rp_forest, sharding, simhash, tiling
-from selenite.llm.common import materialize, read_table, text_key
+from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, late_overwrite, licenses, ppm, rns_whiten, rp_forest, sharding, simhash, tiling
+from selenite.llm.common import materialize, read_table, shared_dir, text_key
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,6 +117,37 @@ def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+#: 2024-04-10 00:00 UTC in microseconds: rows that arrived before are early.
+EARLY = 1_712_707_200_000_000
+
+
+@query
+def op12_late_arrival_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = read_table(spark, sf_dir, "sales")
+    h = F.crc32(F.col("sale_id").cast("string"))
+    day = F.floor(late_overwrite.micros(sales, "sold_at") / late_overwrite.DAY)
+    copied = F.coalesce((h % 3 == 0) & (day % 7 == 0), F.lit(False))
+    copies = sales.where(copied).withColumns({
+        "total": F.col("total") + 1,
+        "sold_at": F.col("sold_at") + F.make_dt_interval((h % 2).cast("int")),
+        "arrived_at": F.col("arrived_at") + F.make_dt_interval((1 + h % 97).cast("int")),
+    })
+    rows = sales.unionByName(copies)
+    arrived = late_overwrite.micros(rows, "arrived_at")
+    early = F.coalesce(arrived < EARLY, F.lit(False))
+    path = f"{shared_dir(spark)}/selenite-sales-{uuid.uuid4().hex}"
+    layout = late_overwrite.Layout(path, sales.schema, "sale_id", "sold_at", "arrived_at", 1 + sales.count() // 700)
+    late_overwrite.create(rows.where(early), layout)
+    days = late_overwrite.overwrite_late(spark, rows.where(~early), layout)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    moments = [text(late_overwrite.micros(sales, c)) for c in ("sold_at", "arrived_at")]
+    sums = {
+        "cents": F.coalesce(F.floor(100 * F.col("total") + 0.5), F.lit(0)),
+        "rows_crc": F.crc32(F.concat_ws(":", text(F.col("sale_id")), *moments)),
+    }
+    return late_overwrite.file_report(spark, layout, sums).withColumn("rewritten", F.col("day").isin(days))
+
+
 @query
 def op13_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rns_whiten.whiten(read_table(spark, sf_dir, "embeddings"))
