@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, giving_way, materialize, release, slices
+from selenite.llm.common import concat_column, giving_way, materialize, release, slices, spare
 
 LEXICON_WORDS = 65_536
 #: Marks that the pattern sets apart from a word before them.
@@ -452,14 +452,15 @@ def prepare(docs: DataFrame, vocabulary: str, text: str = "text", lexicon_words:
 def encode(docs: DataFrame, handle: dict, text: str = "text", keep: list[str] = (), decoded: bool = False) -> DataFrame:
     """Columns ``keep``, then ``ids`` (little-endian unsigned 32-bit) and, if asked for, ``decoded``."""
     keep = giving_way(keep, "ids", *["decoded"] * decoded)
+    own = spare("selenite_text", keep)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType())])
     if decoded:
         schema = schema.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held_codec(handle)
-        for batch in slices(batches, "selenite_text", SLICE_BYTES):
-            texts = [t or "" for t in concat_column(batch.column("selenite_text")).to_pylist()]
+        for batch in slices(batches, own, SLICE_BYTES):
+            texts = [t or "" for t in concat_column(batch.column(own)).to_pylist()]
             with without_collector():
                 rows = codec.encode(texts)
             out = [*(batch.column(c) for c in keep), pa.array(rows, pa.binary())]
@@ -469,20 +470,21 @@ def encode(docs: DataFrame, handle: dict, text: str = "text", keep: list[str] =
         codec.forget()
         release()
 
-    return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, handle: dict, ids: str = "ids", keep: list[str] = ()) -> DataFrame:
     """Columns ``keep``, then ``decoded``. Null ids decode to the empty text."""
     keep = giving_way(keep, "decoded")
+    own = spare("selenite_ids", keep)
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held_codec(handle)
-        for batch in slices(batches, "selenite_ids", SLICE_BYTES):
-            rows = [x or b"" for x in concat_column(batch.column("selenite_ids")).to_pylist()]
+        for batch in slices(batches, own, SLICE_BYTES):
+            rows = [x or b"" for x in concat_column(batch.column(own)).to_pylist()]
             text = codec.decode(rows)
             out = [*(batch.column(c) for c in keep), pa.array(text, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return encoded.select(*keep, F.col(ids).alias("selenite_ids")).mapInArrow(run, schema)
+    return encoded.select(*keep, F.col(ids).alias(own)).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, giving_way, materialize, release, slices, text_bytes, text_key
+from selenite.llm.common import concat_column, giving_way, materialize, release, slices, spare, text_bytes, text_key
 
 SLICE_BYTES = 4_000_000
 MIN_CHUNK = 24
@@ -190,22 +190,24 @@ def runs(lists: DataFrame, min_words: int) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text: str = "text", key: str | None = None, name: str = "spans") -> DataFrame:
     """The rows of ``docs`` with their spans in a column ``name`` (null: none)."""
-    spans = spans.select(F.col("id").alias("selenite_id"), F.col("text_key").alias("selenite_key"), F.col("spans").alias(name))
-    left = docs.select(*giving_way(docs.columns, name)).withColumn("selenite_own", F.col(key) if key else text_key(text))
-    on = left[id_column].eqNullSafe(spans["selenite_id"]) & (left["selenite_own"] == spans["selenite_key"])
-    return left.join(spans, on, "left").drop("selenite_id", "selenite_key", "selenite_own")
+    new = [spare(c, [*docs.columns, name]) for c in ("selenite_id", "selenite_key", "selenite_own")]
+    spans = spans.select(F.col("id").alias(new[0]), F.col("text_key").alias(new[1]), F.col("spans").alias(name))
+    left = docs.select(*giving_way(docs.columns, name)).withColumn(new[2], F.col(key) if key else text_key(text))
+    on = left[id_column].eqNullSafe(spans[new[0]]) & (left[new[2]] == spans[new[1]])
+    return left.join(spans, on, "left").drop(*new)
 
 
 def remove_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``; the columns stay as they are."""
-    joined = with_spans(docs, duplicate_spans(docs, id_column, text, min_words), id_column, text, name="selenite_spans")
     names = docs.columns
+    own = spare("selenite_spans", names)
+    joined = with_spans(docs, duplicate_spans(docs, id_column, text, min_words), id_column, text, name=own)
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = concat_column(batch.column(text)).cast(pa.binary()).to_pylist()
-            for i, spans in enumerate(batch.column("selenite_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(own).to_pylist()):
                 if spans and raw[i] is not None:
                     edges = [0, *(x for s in spans for x in s), len(raw[i])]
                     raw[i] = b"".join(raw[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

@@ -74,6 +74,14 @@ def giving_way(keep: Sequence[str], *results: str) -> list[str]:
     return [c for c in keep if c not in results]
 
 
+def spare(name: str, taken: Sequence[str]) -> str:
+    """``name``, lengthened until no column in ``taken`` has it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def concat_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import giving_way, release, slices, text_bytes
+from selenite.llm.common import giving_way, release, slices, spare, text_bytes
 
 #: Most documents that are learned from; a stable hash of the id picks them.
 TRAIN_DOCS = 4_000
@@ -251,15 +251,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] = ()) -> DataFrame:
     """Columns ``keep``, then ``score``, the probability of label 1."""
     keep = giving_way(keep, "score")
+    own = spare("selenite_text", keep)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "selenite_text", SLICE_BYTES):
-            found = scores(text_bytes(batch.column("selenite_text")), model)
+        for batch in slices(batches, own, SLICE_BYTES):
+            found = scores(text_bytes(batch.column(own)), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], schema.names)
         release()
 
-    return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def filter_good(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.llm.common import concat_column, giving_way, slices
+from selenite.llm.common import concat_column, giving_way, slices, spare
 
 SLICE_BYTES = 8_000_000
 MARKUP = re.compile(
@@ -398,11 +398,12 @@ def main_texts(pages: list[str]) -> list[str]:
 def extract(pages: DataFrame, page: str = "html", keep: list[str] = ()) -> DataFrame:
     """Columns ``keep``, then ``text``, the main text."""
     keep = giving_way(keep, "text")
+    own = spare("selenite_page", keep)
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "selenite_page", SLICE_BYTES):
-            texts = main_texts([p or "" for p in concat_column(batch.column("selenite_page")).to_pylist()])
+        for batch in slices(batches, own, SLICE_BYTES):
+            texts = main_texts([p or "" for p in concat_column(batch.column(own)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 
-    return pages.select(*keep, F.col(page).alias("selenite_page")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(page).alias(own)).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selenite.llm import minhash
-from selenite.llm.common import components, giving_way, materialize, release, slices, text_bytes, text_key, whole_groups
+from selenite.llm.common import components, giving_way, materialize, release, slices, spare, text_bytes, text_key, whole_groups
 
 SLICE_BYTES = 4_000_000
 #: A key with more fingerprints is cut into blocks of about as many.
@@ -61,16 +61,17 @@ def fingerprint(text: bytes, words: int) -> bytes:
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] = (), words: int = 4) -> DataFrame:
     """Columns ``keep``, then ``fingerprint`` (64 bits as a signed long)."""
     keep = giving_way(keep, "fingerprint")
+    own = spare("selenite_text", keep)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fingerprint", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "selenite_text", SLICE_BYTES):
-            raw = b"".join(fingerprint(t, words) for t in text_bytes(batch.column("selenite_text")))
+        for batch in slices(batches, own, SLICE_BYTES):
+            raw = b"".join(fingerprint(t, words) for t in text_bytes(batch.column(own)))
             marks = np.frombuffer(raw, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(marks)], schema.names)
         release()
 
-    return docs.select(*keep, F.col(text).alias("selenite_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def key_table(distance: int) -> list[tuple[int, ...]]:
@@ -220,13 +221,14 @@ def links(marks: DataFrame, distance: int, mark: str = "fingerprint") -> DataFra
 
 def near_duplicates(marks: DataFrame, id_column: str, distance: int = 4, mark: str = "fingerprint") -> DataFrame:
     """The rows of ``marks`` with ``component_id``, the least id reachable by links."""
-    own = marks.groupBy(F.col(mark).alias("selenite_mark")).agg(F.min(id_column).alias("selenite_least"))
-    root = components(links(marks, distance, mark)).select(F.col("node").alias("selenite_mark"), "root")
-    own = own.join(root, "selenite_mark", "left").withColumn("root", F.coalesce("root", "selenite_mark"))
-    least = own.groupBy("root").agg(F.min("selenite_least").alias("component_id"))
-    found = own.select("selenite_mark", "root").join(least, "root").select("selenite_mark", "component_id")
+    own = marks.groupBy(F.col(mark).alias("mark")).agg(F.min(id_column).alias("least"))
+    root = components(links(marks, distance, mark)).select(F.col("node").alias("mark"), "root")
+    own = own.join(root, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    name = spare("selenite_mark", marks.columns)
+    found = own.select(F.col("mark").alias(name), "root").join(least, "root").select(name, "component_id")
     rows = marks.select(*giving_way(marks.columns, "component_id"))
-    return rows.join(found, rows[mark] == found["selenite_mark"]).drop("selenite_mark")
+    return rows.join(found, rows[mark] == found[name]).drop(name)
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4, jaccard: float | None = None) -> DataFrame:
@@ -251,15 +253,16 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", d
     kept = materialize(
         kept.join(copies, kept["id"].eqNullSafe(copies["selenite_id"]) & (kept["key"] == copies["text_key"]), "left").select("id", "key", "copies")
     )
-    left = docs.withColumn("selenite_key", text_key(text))
+    own_key = spare("selenite_key", docs.columns)
+    left = docs.withColumn(own_key, text_key(text))
 
     def rows(some: DataFrame) -> DataFrame:
         some = some.select(F.col("id").alias("selenite_id"), F.col("key").alias("selenite_other"))
-        on = left[id_column].eqNullSafe(some["selenite_id"]) & (left["selenite_key"] == some["selenite_other"])
+        on = left[id_column].eqNullSafe(some["selenite_id"]) & (left[own_key] == some["selenite_other"])
         return left.join(some, on, "left_semi")
 
     repeated = kept.where("copies is not null")
-    out = rows(kept.where("copies is null")).drop("selenite_key")
+    out = rows(kept.where("copies is null")).drop(own_key)
     if repeated.isEmpty():
         return out
-    return out.unionByName(rows(repeated).dropDuplicates([id_column, "selenite_key"]).drop("selenite_key"))
+    return out.unionByName(rows(repeated).dropDuplicates([id_column, own_key]).drop(own_key))

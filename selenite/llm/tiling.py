@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selenite.llm.common import giving_way, slices, text_bytes
+from selenite.llm.common import giving_way, slices, spare, text_bytes
 
 MIN_TILE = 5
 THRESHOLD = 0.6
@@ -171,9 +171,10 @@ def coverage(
     ``n_items`` counts the items that share at least one seed.
     """
     keep = giving_way(keep, "coverage", "item_id", "n_tiles", "n_items")
+    own = spare("selenite_text", keep)
     found = docs.select(
         *keep,
-        F.col(text).alias("selenite_text"),
+        F.col(text).alias(own),
         F.lit(0.0).alias("coverage"),
         F.lit(None).cast("long").alias("item_id"),
         F.lit(0).cast("long").alias("n_tiles"),
@@ -181,16 +182,16 @@ def coverage(
     )
     for block in blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most about BLOCK_BYTES
-        found = found.mapInArrow(search(shared, min_tile, found.columns), found.schema)
-    return found.drop("selenite_text")
+        found = found.mapInArrow(search(shared, min_tile, found.columns, own), found.schema)
+    return found.drop(own)
 
 
-def search(shared, min_tile: int, columns: list[str]):
+def search(shared, min_tile: int, columns: list[str], own: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Bench(shared.value, min_tile)
-        for batch in slices(batches, "selenite_text", SLICE_BYTES):
+        for batch in slices(batches, own, SLICE_BYTES):
             rows = batch.select(columns[-4:]).to_pylist()
-            for i, text in enumerate(text_bytes(batch.column("selenite_text"))):
+            for i, text in enumerate(text_bytes(batch.column(own))):
                 share, item, tiles, items = bench.best(text)
                 old, held = rows[i], rows[i]["item_id"]
                 if items and (-share, item is None, item or 0) < (-old["coverage"], held is None, held or 0):

@@ -349,6 +349,27 @@ def test_columns_of_the_results_names_give_way(spark, docs):
     assert ppm.score(rows).count() == len(TEXTS)
 
 
+def test_columns_of_the_operators_own_names_stay(spark, docs):
+    names = [f"selenite_{c}" for c in "text page ids id key own of spans mark least other 0 1".split()]
+    rows = docs.withColumns({c: F.lit("old") for c in [*names, "SELENITE_TEXT_"]})
+    bench = spark.createDataFrame([(9, "of the passage word4 of the passage")], "item_id long, text string")
+    handle = bpe.prepare(docs, corpus_pipeline.VOCABULARY, lexicon_words=5)
+    every = rows.columns
+    coded = bpe.encode(rows, handle, keep=every, decoded=True)
+    results = [
+        coded, bpe.decode(coded, handle, keep=every), simhash.fingerprints(rows, keep=every),
+        simhash.near_duplicates(simhash.fingerprints(rows, keep=every), "doc_id"), sharding.shuffle(rows, 4), html_blocks.extract(rows, "text", keep=every),
+        crf.score(rows, {"constant": 0.5}, keep=every), tiling.coverage(rows, bench, keep=every),
+        cdc.with_spans(rows, cdc.duplicate_spans(rows)), cdc.remove_spans(rows),
+    ]
+    for got in results:
+        found = got.collect()
+        assert set(every) - {"text"} <= set(got.columns) and len(found) == len(TEXTS) and all(r[c] == "old" for r in found for c in names)
+    for kept in (simhash.keep_first(rows), simhash.keep_first(rows, jaccard=0.8), tiling.clean(rows, bench)):
+        assert kept.columns == every and all(r[c] == "old" for r in kept.collect() for c in names)
+    assert ppm.score(rows).count() == len(TEXTS)
+
+
 def test_empty_tables_give_empty_tables(spark, empty):
     assert html_blocks.extract(empty, "text", keep=["doc_id"]).count() == 0
     assert simhash.near_duplicates(simhash.fingerprints(empty, keep=["doc_id"]), "doc_id").count() == 0
