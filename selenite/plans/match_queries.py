@@ -75,11 +75,11 @@ def a11_cross_covariance(spark, d):
 
 @query(
     P.with_views(
-        f"select {', '.join(f'round(avg(r_{c} - m_{c}), 8) as mean_{c}, round(stddev_pop(r_{c} - m_{c}), 8) as dev_{c}' for c in 'xyz')} from {PAIRS}", "v_raster"
+        f"select {', '.join(f'round(avg(r_{c} - m_{c}), 6) as mean_{c}, round(stddev_pop(r_{c} - m_{c}), 6) as dev_{c}' for c in 'xyz')} from {PAIRS}", "v_raster"
     )
 )
 def a12_displacement_statistics(spark, d):
-    return P.rounded(registration.displacement_statistics(pairs(spark, d)), 8)
+    return P.rounded(registration.displacement_statistics(pairs(spark, d)), 6)
 
 
 @query(
