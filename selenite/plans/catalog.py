@@ -21,5 +21,5 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-for _module in ("track_queries", "raster_queries", "match_queries", "geometry_queries", "text_queries", "more_queries", "stereo_queries", "registration_queries", "assembly_queries"):
+for _module in ("track_queries", "raster_queries", "match_queries", "geometry_queries", "text_queries", "more_queries", "stereo_queries", "registration_queries", "assembly_queries", "file_queries"):
     import_module(f"selenite.plans.{_module}")

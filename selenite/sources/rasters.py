@@ -1,9 +1,8 @@
 """Georeferenced rasters (TIFF) and planetary images (PDS) as long tables, and back.
 
-Files come through Spark's ``binaryFile`` source, one row a file, and are decoded in Arrow
-batches a strip at a time, so a task holds one file and a strip of its pixels. Files written
-are tiles of a raster, each encoded where its pixels meet and moved into place when whole, so a
-task that runs again writes the same file.
+Files are read by ranges of bytes (``ranged``), so their size has no bound and a window costs only its
+rows; of headers only the pages that hold them are read. Files written are tiles of a raster, each
+encoded where its pixels meet; they appear when all are written, or none does.
 
 Defined results: a file that is neither raises ``ValueError`` with its path; pixels that equal
 the file's no-data value are kept and can be told by the header's ``nodata``.
@@ -11,219 +10,148 @@ the file's no-data value are kept and can be told by the header's ``nodata``.
 
 from __future__ import annotations
 
-import re
-import struct
-import uuid
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: TIFF's field types (format, bytes) and the tags that are read.
-FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
-TAGS = {
-    256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "strip", 279: "sizes", 284: "planar", 317: "predictor",
-    322: "tile_w", 323: "tile_h", 324: "offsets", 325: "sizes", 339: "format", 33550: "scale", 33922: "tie", 42113: "nodata",
-}
-DEFLATE = (8, 32946)
-HEADER = "path string, width int, height int, bands int, nodata double, x0 double, y0 double, dx double, dy double"
-PIXELS = "path string, band int, x int, y int, v double"
-
-
-def tiff_tags(raw: bytes) -> dict:
-    """The first image's tags, by name."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
-        raise ValueError("not a TIFF file")
-    (at,) = struct.unpack(order + "I", raw[4:8])
-    (n,) = struct.unpack(order + "H", raw[at : at + 2])
-    out = {"order": order, "compression": (1,), "bands": (1,), "planar": (1,), "format": (1,), "predictor": (1,), "bits": (1,)}
-    for i in range(n):
-        tag, kind, count = struct.unpack(order + "HHI", raw[at + 2 + 12 * i : at + 10 + 12 * i])
-        if tag not in TAGS or kind not in FIELDS:
-            continue
-        letter, size = FIELDS[kind]
-        start = at + 10 + 12 * i
-        if size * count > 4:
-            (start,) = struct.unpack(order + "I", raw[start : start + 4])
-        out[TAGS[tag]] = struct.unpack(f"{order}{count}{letter}", raw[start : start + size * count])
-    return out
-
-
-def tiff_header(raw: bytes) -> tuple:
-    """(width, height, bands, nodata, x0, y0, dx, dy); null where the file does not say."""
-    t = tiff_tags(raw)
-    nodata = t["nodata"][0].rstrip(b"\0 ").decode() if "nodata" in t else ""
-    place = (None,) * 4
-    if "scale" in t and "tie" in t:
-        dx, dy = t["scale"][0], -t["scale"][1]
-        place = (t["tie"][3] - t["tie"][0] * dx, t["tie"][4] - t["tie"][1] * dy, dx, dy)
-    return t["width"][0], t["height"][0], t["bands"][0], float(nodata) if nodata else None, *place
-
-
-def tiff_blocks(raw: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(band, x, y, pixels) of each strip or tile."""
-    t = tiff_tags(raw)
-    width, height, bands = t["width"][0], t["height"][0], t["bands"][0]
-    letter = {1: "u", 2: "i", 3: "f"}.get(t["format"][0])
-    if t["predictor"][0] != 1 or t["compression"][0] not in (1, *DEFLATE) or letter is None or t["bits"][0] % 8:
-        raise ValueError("a TIFF form that is not read")
-    kind = np.dtype(f"{t['order']}{letter}{t['bits'][0] // 8}")
-    w, h = (t["tile_w"][0], t["tile_h"][0]) if "tile_w" in t else (width, min(t.get("strip", (height,))[0], height))
-    across, down = -(-width // w), -(-height // h)
-    samples = bands if t["planar"][0] == 1 else 1
-    for i, (at, size) in enumerate(zip(t["offsets"], t["sizes"], strict=True)):
-        data = raw[at : at + size]
-        if t["compression"][0] in DEFLATE:
-            data = zlib.decompress(data)
-        y, x = i // across % down * h, i % across * w
-        rows = h if "tile_w" in t else min(h, height - y)
-        block = np.frombuffer(data, kind, rows * w * samples).reshape(rows, w, samples)[: height - y, : width - x]
-        for k in range(samples):
-            yield (k if samples > 1 else i // (across * down)), x, y, block[:, :, k]
-
-
-def encode_tiff(pixels: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None) -> bytes:
-    """One band of 32-bit reals, a deflated strip, with its place and no-data value."""
-    data = zlib.compress(np.ascontiguousarray(pixels, "<f4").tobytes(), 6)
-    height, width = pixels.shape
-    doubles = struct.pack("<3d", dx, -dy, 0.0), struct.pack("<6d", 0, 0, 0, x0, y0, 0)
-    mark = (f"{nodata:.17g}" if nodata is not None else "").encode() + b"\0"
-    entries = [
-        (256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 32), (259, 3, 1, 8), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, height),
-        (279, 4, 1, len(data)), (284, 3, 1, 1), (339, 3, 1, 3), (33550, 12, 3, doubles[0]), (33922, 12, 6, doubles[1]), (42113, 2, len(mark), mark),
-    ]
-    start = 8 + len(data) + len(data) % 2
-    extra, table, behind = b"", b"", start + 2 + 12 * len(entries) + 4
-    for tag, kind, count, value in entries:
-        if isinstance(value, bytes) and len(value) > 4:
-            table += struct.pack("<HHII", tag, kind, count, behind + len(extra))
-            extra += value + b"\0" * (len(value) % 2)
-        elif isinstance(value, bytes):
-            table += struct.pack("<HHI", tag, kind, count) + value.ljust(4, b"\0")
-        else:
-            table += struct.pack("<HHI", tag, kind, count) + struct.pack("<I", value)
-    return b"II*\0" + struct.pack("<I", start) + data + b"\0" * (len(data) % 2) + struct.pack("<H", len(entries)) + table + b"\0" * 4 + extra
-
-
-def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
-def decoded(rows: DataFrame, blocks, schema: str = PIXELS) -> DataFrame:
-    """The pixels of each file, a block at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                try:
-                    for band, x, y, block in blocks(raw.as_py()):
-                        h, w = block.shape
-                        ys, xs = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([path] * (h * w), pa.string()), pa.array(np.full(h * w, band, np.int32)), pa.array(xs + np.int32(x)),
-                                pa.array(ys + np.int32(y)), pa.array(np.ascontiguousarray(block).astype(np.float64).ravel()),
-                            ],
-                            ["path", "band", "x", "y", "v"],
-                        )
-                except (ValueError, struct.error, zlib.error) as e:
-                    raise ValueError(f"{path}: {e}") from e
-
-    return rows.mapInArrow(run, schema)
+from selenite.sources import ranged
+from selenite.sources.formats import HEADER, encode_pds, encode_tiff, tiff_header
 
 
-def read_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """(path, band, x, y, v): the pixels of all TIFF files of a path or pattern."""
-    return decoded(files(spark, path), tiff_blocks)
+def read_rasters(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, band, x, y, v): the pixels of all TIFF files of a path or pattern, or of a window (x, y, width, height)."""
+    return ranged.read_images(spark, ranged.TiffSource, path, **options)
 
 
 def raster_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Sizes, no-data values and places of the TIFF files."""
+    """Sizes, no-data values and places of the TIFF files; no content is read but the headers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(p, *tiff_header(raw.as_py())) for p, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)]
+            found = [(p, *tiff_header(ranged.RangedFile(p))) for p in map(ranged.address, batch.column("path").to_pylist())]
             names = [c.split()[0] for c in HEADER.split(", ")]
             kinds = [pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
 
-    return files(spark, path).mapInArrow(run, HEADER)
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, HEADER)
 
 
-def write_rasters(raster: DataFrame, folder: str, tile: int, place: tuple[float, float, float, float], nodata: float, keys: Sequence[str] = ()) -> int:
-    """Write (keys, x, y, v) as tiles of ``tile`` x ``tile`` pixels; missing pixels hold ``nodata``. Returns the number of files.
+def tiles_of(raster: DataFrame, tile: int, keys: Sequence[str], encode, nodata: float, whole: bool = False) -> DataFrame:
+    """(keys, tx, ty, content): (keys, x, y, v) as tiles, each encoded from its pixels; missing pixels hold ``nodata``.
 
-    ``place``: (x0, y0, dx, dy) of the whole raster. Names are ``keys_tilex_tiley.tif``.
+    ``encode(pixels, tx, ty)`` gives the file. A tile ends at its last pixel, or is ``tile`` wide and high if ``whole``.
+    Columns of ``raster`` beside keys, x, y and v are not read.
     """
-    group = [*keys, "_tx", "_ty"]
-    rows = raster.withColumn("_tx", F.floor(F.col("x") / tile).cast("long")).withColumn("_ty", F.floor(F.col("y") / tile).cast("long"))
+    tx, ty = (F.floor(F.col(c) / tile).cast("long") for c in "xy")
+    rows = raster.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), tx.alias("tx"), ty.alias("ty"), "x", "y", F.col("v").cast("double").alias("v"))
+    group = [*(f"k{i}" for i in range(len(keys))), "tx", "ty"]
+    schema = T.StructType([*(rows.schema[c] for c in group), T.StructField("content", T.BinaryType())])
 
-    def write(rows: pa.Table) -> pa.Table:
-        tx, ty = (rows.column(c)[0].as_py() for c in ("_tx", "_ty"))
+    def run(rows: pa.Table) -> pa.Table:
+        tx, ty = (rows.column(c)[0].as_py() for c in ("tx", "ty"))
         x, y = (rows.column(c).to_numpy() - t * tile for c, t in (("x", tx), ("y", ty)))
-        pixels = np.full((int(y.max()) + 1, int(x.max()) + 1), nodata, np.float32)
+        shape = (tile, tile) if whole else (int(y.max()) + 1, int(x.max()) + 1)
+        pixels = np.full(shape, nodata, np.float64)
         v = rows.column("v").to_numpy(zero_copy_only=False).astype(float)
         pixels[y, x] = np.where(np.isnan(v), nodata, v)
-        x0, y0, dx, dy = place
-        raw = encode_tiff(pixels, x0 + tx * tile * dx, y0 + ty * tile * dy, dx, dy, nodata)
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        name = "_".join(str(rows.column(c)[0].as_py()) for c in group) + ".tif"
-        part = f"{base}/.{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(part) as out:
-            out.write(raw)
-        store.move(part, f"{base}/{name}")
-        return pa.table({"name": [name]})
-
-    return rows.groupBy(*group).applyInArrow(write, "name string").count()
-
-
-def pds_label(raw: bytes) -> dict[str, str]:
-    """The label's keywords and values, up to its end; of repeated ones the first counts."""
-    end = re.search(rb"(?m)^\s*END\s*$", raw)
-    text = raw[: end.end() if end else 65_536].decode("latin-1")
-    out: dict[str, str] = {}
-    for m in re.finditer(r"(?m)^\s*(\^?[A-Z_:0-9]+)\s*=\s*(.*?)\s*$", text):
-        out.setdefault(m[1], m[2].strip('"'))
-    return out
-
-
-def pds_bands(raw: bytes, tile: tuple[int, int, int, int] | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(band, x, y, pixels) of an image of 8, 16 or 32 bits, band after band; of a tile (x, y, w, h) only its rows are read.
-
-    A tile outside the image, or of an image with neither one nor three bands, raises.
+        content = pa.array([encode(pixels, tx, ty)], pa.binary())
+        return pa.table([*(rows.column(c).slice(0, 1) for c in group), content], names=schema.names)
+
+    return rows.groupBy(*group).applyInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
+
+
+def write_rasters(raster: DataFrame, folder: str, tile: int, place: tuple[float, float, float, float], nodata: float, keys: Sequence[str] = ()) -> None:
+    """Write (keys, x, y, v) as TIFF tiles of ``tile`` x ``tile`` pixels.
+
+    ``place``: (x0, y0, dx, dy) of the whole raster. Names are ``keys_tilex_tiley.tif``.
+    """
+    x0, y0, dx, dy = place
+    encode = lambda p, tx, ty: encode_tiff(p, x0 + tx * tile * dx, y0 + ty * tile * dy, dx, dy, nodata)
+    found = tiles_of(raster, tile, keys, encode, nodata)
+    name = F.concat(F.concat_ws("_", *(F.col(c).cast("string") for c in (*keys, "tx", "ty"))), F.lit(".tif"))
+    ranged.save_files(found.select(name.alias("name"), "content"), folder)
+
+
+def quad_path(level: Column, tx: Column, ty: Column) -> Column:
+    """Folders of a tile in its level's quad tree: of each pair of bits, from the highest, 1 + x bit + 2 y bit."""
+    bits = F.transform(F.reverse(F.sequence(F.lit(0), level - 1)), lambda k: (F.call_function("shiftright", tx, k).bitwiseAND(1) + 2 * F.call_function("shiftright", ty, k).bitwiseAND(1) + 1).cast("string"))
+    return F.when(level > 0, F.array_join(bits, "/")).otherwise(F.lit(""))
+
+
+def write_quad_tiles(pyramid: DataFrame, folder: str, tile: int, fill: float, elevation: bool = True) -> None:
+    """Write (level, x, y, v) as raw tiles of ``tile`` x ``tile`` pixels, ``level/quad folders/0``.
+
+    Elevations are big-endian 32-bit reals, images unsigned bytes (cut off, held to 0 .. 255). A level's
+    tiles are numbered from its corner, so that level k has at most 2 ** k of them on a side.
+    """
+
+    def encode(p: np.ndarray, tx: int, ty: int) -> bytes:
+        return (p.astype(">f4") if elevation else np.clip(np.trunc(p), 0, 255).astype("u1")).tobytes()
+
+    found = tiles_of(pyramid, tile, ["level"], encode, fill, whole=True)
+    path = quad_path(F.col("level").cast("int"), F.col("tx").cast("int"), F.col("ty").cast("int"))
+    name = F.concat_ws("/", F.col("level").cast("string"), F.when(path != "", path), F.lit("0"))
+    ranged.save_files(found.select(name.alias("name"), "content"), folder)
+
+
+def read_quad_tiles(spark: SparkSession, folder: str, tile: int, elevation: bool = True) -> DataFrame:
+    """(level, x, y, v) of the tiles that ``write_quad_tiles`` wrote."""
+    at = F.split(F.regexp_extract("path", r"/(\d+(?:/[1-4])*)/0$", 1), "/")
+    digits = F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0)))
+    step = lambda bit: F.aggregate(digits, F.lit(0), lambda s, d: 2 * s + (((d.cast("int") - 1) / bit).cast("int") % 2))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = rows.select(at[0].cast("int").alias("level"), step(1).alias("tx"), step(2).alias("ty"), "content")
+    kind = ">f4" if elevation else "u1"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                level, tx, ty = (batch.column(c)[r].as_py() for c in ("level", "tx", "ty"))
+                v = np.frombuffer(batch.column("content")[r].as_buffer(), kind).astype(np.float64)
+                ys, xs = np.divmod(np.arange(v.size, dtype=np.int32), np.int32(tile))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(v.size, level, np.int32)), pa.array(xs + np.int32(tx * tile)), pa.array(ys + np.int32(ty * tile)), pa.array(v)], ["level", "x", "y", "v"]
+                )
+
+    return rows.mapInArrow(run, "level int, x int, y int, v double")
+
+
+def write_pds(pixels: DataFrame, folder: str, keys: Sequence[str]) -> None:
+    """Write (keys, x, y, v) as planetary images of unsigned 16-bit samples, ``keys.img``; each is whole, from (0, 0) on."""
+    found = tiles_of(pixels, 1 << 20, keys, lambda p, tx, ty: encode_pds(p), 0.0)
+    name = F.concat(F.concat_ws("_", *(F.col(c).cast("string") for c in keys)), F.lit(".img"))
+    ranged.save_files(found.select(name.alias("name"), "content"), folder)
+
+
+def write_mosaic_tiles(pixels: DataFrame, folder: str, tile: int) -> None:
+    """Write (x, y, v, px, py, pz) as an eight-bit image and a cloud for each tile with points.
+
+    ``tile_i_j.tif`` holds the values (0: none), ``tile_i_j_point_cloud.txt`` a line
+    ``x y z value value value`` for each point, in rows, with six decimals.
+    """
+    encode = lambda p, tx, ty: encode_tiff(np.clip(np.trunc(p), 0, 255), tx * tile, ty * tile, 1.0, 1.0, 0.0)
+    tx, ty = (F.floor(F.col(c) / tile).cast("long").cast("string") for c in "xy")
+    name = F.concat(F.lit("tile_"), F.col("tx").cast("string"), F.lit("_"), F.col("ty").cast("string"))
+    images = tiles_of(pixels, tile, [], encode, 0.0, whole=True).select(F.concat(name, F.lit(".tif")).alias("name"), "content")
+    grey = F.greatest(F.lit(0), F.least(F.lit(255), F.col("v").cast("int"))).cast("string")
+    line = F.concat_ws(" ", *(F.format_string("%.6f", F.col(c).cast("double")) for c in ("px", "py", "pz")), grey, grey, grey)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", line.alias("line")))), lambda s: s["line"])
+    clouds = pixels.where("px is not null").groupBy(tx.alias("tx"), ty.alias("ty")).agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    clouds = clouds.select(F.concat(name, F.lit("_point_cloud.txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    ranged.save_files(images.unionByName(clouds), folder)
+
+
+def read_pds(spark: SparkSession, path: str, tile: tuple[int, int, int, int] | None = None, **options) -> DataFrame:
+    """(path, band, x, y, v): raw samples of planetary images, or of a tile (x, y, width, height) of each.
+
+    A tile outside an image, or of one with neither one nor three bands, raises.
     """
-    label = pds_label(raw)
-    number = lambda k, d=None: int(re.match(r"-?\d+", label.get(k, str(d)))[0])
-    height, width, bits, bands = number("LINES"), number("LINE_SAMPLES"), number("SAMPLE_BITS"), number("BANDS", 1)
-    if bits not in (8, 16, 32):
-        raise ValueError(f"{bits} bits a sample")
-    at = label.get("^IMAGE", "1")
-    start = int(re.search(r"\d+", at)[0]) - 1
-    if "BYTES" not in at.upper():
-        start *= number("RECORD_BYTES", 1)
-    kind = label.get("SAMPLE_TYPE", "")
-    order = "<" if kind.startswith(("LSB", "PC")) else ">"
-    letter = "f" if bits == 32 and "REAL" in kind else "i" if "UNSIGNED" not in kind and "INTEGER" in kind else "u"
-    dtype = np.dtype(f"{order}{letter}{bits // 8}")
-    x, y, w, h = tile or (0, 0, width, height)
-    if tile and (x < 0 or y < 0 or w <= 0 or h <= 0 or x + w > width or y + h > height):
-        raise ValueError("the tile is not inside the image")
-    if tile and bands not in (1, 3):
-        raise ValueError(f"{bands} bands")
-    for band in range(bands):
-        first = start + (band * height + y) * width * dtype.itemsize
-        yield band, x, y, np.frombuffer(raw, dtype, h * width, first).reshape(h, width)[:, x : x + w]
-
-
-def read_pds(spark: SparkSession, path: str, tile: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """(path, band, x, y, v): raw samples of planetary images, or of a tile of each."""
-    return decoded(files(spark, path), lambda raw: pds_bands(raw, tile))
+    window = dict(zip(("x", "y", "width", "height"), tile, strict=True)) if tile else {}
+    return ranged.read_images(spark, ranged.PdsSource, path, **window, **options)
 
 
 def eight_bits(pixels: DataFrame, bits: int) -> DataFrame:

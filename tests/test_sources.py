@@ -14,7 +14,8 @@ def test_rasters_round_trip(spark, tmp_path):
     rows = [(x, y, None if (x, y) == (3, 2) else float(x * 100 + y) / 7) for x in range(13) for y in range(9)]
     df = spark.createDataFrame(rows, "x int, y int, v double")
     place = (3.5, 27.5, 0.25, -0.5)
-    assert rasters.write_rasters(df, f"file://{tmp_path}/out", 8, place, -9999.0) == 4
+    rasters.write_rasters(df, f"file://{tmp_path}/out", 8, place, -9999.0)
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["0_0.tif", "0_1.tif", "1_0.tif", "1_1.tif"]
     heads = {r.path.rsplit("/", 1)[1]: r for r in rasters.raster_headers(spark, f"{tmp_path}/out").collect()}
     assert set(heads) == {"0_0.tif", "1_0.tif", "0_1.tif", "1_1.tif"}
     r = heads["1_1.tif"]
