@@ -6,11 +6,13 @@ number of sums (at most 45), a 3 x 3 matrix or a vector.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from selenite.functions import geo
 from selenite.operators import matching, raster
@@ -272,17 +274,106 @@ def weighted_translation(pairs: DataFrame, weight: str, keys: Sequence[str] = ()
     return pairs.groupBy(*keys).agg(*((F.sum(w * (F.col(f"r_{c}") - F.col(f"m_{c}"))) / F.sum(w)).alias(f"t_{c}") for c in "xyz"))
 
 
-def compose_poses(poses: DataFrame, keys: Sequence[str], order: str, rotation: str, translation: str) -> DataFrame:
-    """Rg = Rp Rr, Tg = Rp Tr + Tp down each sequence, as an ordered fold; poses with nulls are passed over."""
-    rows = poses.where(F.col(rotation).isNotNull() & F.col(translation).isNotNull())
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(rotation).alias("r"), F.col(translation).alias("t"))))
-    identity = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
-    start = F.struct(identity.alias("r"), F.array(*(F.lit(0.0) for _ in range(3))).alias("t"))
+#: Poses that are multiplied together at once.
+BLOCK = 4096
+
+
+def running_products(group: np.ndarray, motions: np.ndarray) -> np.ndarray:
+    """Products of 4 x 4 motions from the start of each run of equal ``group`` on, by doubling the reach."""
+    out = motions.copy()
+    starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+    first = np.repeat(starts, np.diff([*starts, len(group)]))
+    reach = 1
+    while reach < len(out):
+        rows = np.arange(reach, len(out))
+        rows = rows[rows - reach >= first[rows]]
+        if not len(rows):
+            break
+        out[rows] = out[rows - reach] @ out[rows]
+        reach *= 2
+    return out
+
 
-    def step(s: Column, p: Column) -> Column:
-        row = lambda i: [s["r"][3 * i + k] for k in range(3)]
-        r = [geo.dot(row(i), [p["r"][3 * k + j] for k in range(3)]) for i in range(3) for j in range(3)]
-        t = [geo.dot(row(i), [p["t"][k] for k in range(3)]) + s["t"][i] for i in range(3)]
-        return F.struct(F.array(*r).alias("r"), F.array(*t).alias("t"))
+def motions(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """4 x 4 motions of rotations and translations, in rows or flat."""
+    r, t = np.reshape(r, (-1, 3, 3)), np.reshape(t, (-1, 3))
+    out = np.zeros((len(r), 4, 4))
+    out[:, :3, :3], out[:, :3, 3], out[:, 3, 3] = r, t, 1
+    return out
 
-    return rows.groupBy(*keys).agg(F.aggregate(listed, start, step).alias("pose"), F.count("*").alias("n")).select(*keys, "n", "pose.r", "pose.t")
+
+def global_poses(poses: DataFrame, keys: Sequence[str], order: str, rotation: str, translation: str, folder: str) -> DataFrame:
+    """(keys, order, n, r, t): Rg = Rp Rr, Tg = Rp Tr + Tp down each sequence; ``n`` counts the poses so far.
+
+    Poses are dealt out by ranges of (keys, order), so that a long sequence spreads over many tasks. Each
+    task multiplies its stretch, a block at a time; the stretches' products, one row a task and
+    sequence end, are multiplied in turn and go in front. Poses with nulls are passed over; equal orders are taken in
+    the order of their values. ``folder`` (new, shared): the stretches are written there, so that the ranges stay as they are if an executor is lost.
+    """
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    rows = poses.where(F.col(rotation).isNotNull() & F.col(translation).isNotNull())
+    rows = rows.select(*named, F.col(order).alias("o"), F.col(rotation).alias("r"), F.col(translation).alias("t"))
+    own = [f"k{i}" for i in range(len(keys))]
+    sequence = F.xxhash64(F.lit(0), *own)
+    rows = rows.withColumn("sequence", sequence).repartitionByRange("sequence", *own, "o").sortWithinPartitions("sequence", *own, "o", "r", "t")
+    rows = rows.withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*rows.schema, T.StructField("n", T.LongType())])
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried, n = None, np.eye(4), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                of = [batch.column(c).to_pylist() for c in own]
+                of = list(zip(*of, strict=True)) if own else [()] * batch.num_rows
+                changed = np.array([a != b for a, b in zip(of, [last, *of[:-1]], strict=True)])
+                group = np.cumsum(changed)
+                flat = lambda c: batch.column(c).flatten().to_numpy().astype(float)
+                m = motions(flat("r"), flat("t"))
+                if not changed[0]:
+                    m[0] = carried @ m[0]
+                m = running_products(group, m)
+                place = np.arange(len(m))
+                count = place + 1 - np.maximum.accumulate(np.where(changed, place, -n))
+                last, carried, n = of[-1], m[-1], int(count[-1])
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), k).cast(pa.list_(pa.float64())) for v, k in ((m[:, :3, :3], 9), (m[:, :3, 3], 3))]
+                columns = [batch.column(c) if c not in "rt" else lists["rt".index(c)] for c in schema.names[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int64))], schema.names)
+
+    held = rows.mapInArrow(along, schema)
+    held.write.parquet(folder)
+    held = poses.sparkSession.read.schema(schema).parquet(folder)
+    ends = held.groupBy("part", "sequence", *own).agg(F.max(F.struct("n", "r", "t")).alias("x"))
+    spread = F.count("*").over(Window.partitionBy("sequence", *own))
+    ends = ends.withColumn("parts", spread).where("parts > 1").select("sequence", *own, "part", "x.n", "x.r", "x.t")
+
+    def fronts(stretches: pa.Table) -> pa.Table:  # of one sequence, a row for each task that it spreads over
+        stretches = stretches.sort_by("part")
+        flat = lambda c: stretches.column(c).combine_chunks().flatten().to_numpy().astype(float)
+        m = running_products(np.zeros(stretches.num_rows), motions(flat("r"), flat("t")))
+        m = np.concatenate([np.eye(4)[None], m[:-1]])
+        n = np.concatenate([[0], np.cumsum(stretches.column("n").to_numpy())[:-1]])
+        new = {"n": pa.array(n), "r": pa.array(m[:, :3, :3].reshape(-1, 9).tolist(), pa.list_(pa.float64())), "t": pa.array(m[:, :3, 3].tolist(), pa.list_(pa.float64()))}
+        return pa.table({c: new.get(c, stretches.column(c)) for c in stretches.column_names})
+
+    front = ends.groupBy("sequence", *own).applyInArrow(fronts, ends.schema)
+    front = front.select(F.col("part").alias("fpart"), *(F.col(k).alias(f"f{k}") for k in own), F.struct("n", "r", "t").alias("p"))
+    same = [F.col(k).eqNullSafe(F.col(f"f{k}")) for k in own]
+    out = held.join(front, [F.col("part") == F.col("fpart"), *same], "left")
+    whole = F.when(F.col("p").isNull(), F.struct("n", "r", "t")).otherwise(next_pose(F.col("p"), F.struct("n", "r", "t")))
+    names = [F.col(k).alias(c) for k, c in zip(own, keys, strict=True)]
+    return out.select(*names, F.col("o").alias(order), whole.alias("w")).select(*keys, order, "w.n", "w.r", "w.t")
+
+
+def next_pose(s: Column, p: Column) -> Column:
+    """The pose (n, r, t) behind another."""
+    row = lambda i: [s["r"][3 * i + k] for k in range(3)]
+    r = [geo.dot(row(i), [p["r"][3 * k + j] for k in range(3)]) for i in range(3) for j in range(3)]
+    t = [geo.dot(row(i), [p["t"][k] for k in range(3)]) + s["t"][i] for i in range(3)]
+    return F.struct((s["n"] + p["n"]).alias("n"), F.array(*r).alias("r"), F.array(*t).alias("t"))
+
+
+def compose_poses(poses: DataFrame, keys: Sequence[str], order: str, rotation: str, translation: str, folder: str) -> DataFrame:
+    """(keys, n, r, t): the last global pose of each sequence."""
+    every = global_poses(poses, keys, order, rotation, translation, folder)
+    return every.groupBy(*keys).agg(F.max(F.struct("n", "r", "t")).alias("w")).select(*keys, "w.n", "w.r", "w.t")

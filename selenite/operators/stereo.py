@@ -2,13 +2,15 @@
 
 Images are long tables (x, y, v). A disparity is a join on a shifted column, sums over
 windows are two one-dimensional windows, so no pixel's neighbourhood is ever gathered.
+Semi-global matching follows the scan lines in order, with one pixel of a line in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,11 +18,8 @@ from pyspark.sql import functions as F
 from selenite.operators import raster
 
 
-def block_match(left: DataFrame, right: DataFrame, disparities: int, least: int = 0, half: int = 2) -> DataFrame:
-    """(x, y, d, sad): the disparity of least absolute difference over a square window; ties go to the smaller.
-
-    Only windows that lie whole in both images count; pixels without any are left out.
-    """
+def cost_volume(left: DataFrame, right: DataFrame, disparities: int, least: int = 0, half: int = 2) -> DataFrame:
+    """(x, y, d, sad): sums of absolute differences over square windows that lie whole in both images."""
     shifted = left.select("x", "y", "v", F.explode(F.sequence(F.lit(least), F.lit(least + disparities - 1))).alias("d"))
     other = right.select(F.col("x").alias("xr"), "y", F.col("v").alias("u"))
     both = shifted.withColumn("xr", F.col("x") - F.col("d")).join(other, ["xr", "y"])
@@ -29,11 +28,107 @@ def block_match(left: DataFrame, right: DataFrame, disparities: int, least: int
     rows = both.select("x", "y", "d", F.abs(F.col("v") - F.col("u")).alias("ad"))
     rows = rows.select("x", "y", "d", F.sum("ad").over(along).alias("ad"), F.count("*").over(along).alias("n"))
     rows = rows.select("x", "y", "d", F.sum("ad").over(down).alias("sad"), F.sum("n").over(down).alias("n"))
-    whole = rows.where(F.col("n") == (2 * half + 1) ** 2)
-    best = whole.groupBy("x", "y").agg(F.min(F.struct("sad", "d")).alias("b"))
+    return rows.where(F.col("n") == (2 * half + 1) ** 2).drop("n")
+
+
+def block_match(left: DataFrame, right: DataFrame, disparities: int, least: int = 0, half: int = 2) -> DataFrame:
+    """(x, y, d, sad): the disparity of least absolute difference over a square window; ties go to the smaller.
+
+    Only windows that lie whole in both images count; pixels without any are left out.
+    """
+    best = cost_volume(left, right, disparities, least, half).groupBy("x", "y").agg(F.min(F.struct("sad", "d")).alias("b"))
     return best.select("x", "y", F.col("b.d").alias("d"), F.col("b.sad").alias("sad"))
 
 
+#: Steps of the scan lines that end in a pixel; the first four, or all.
+DIRECTIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
+#: What a disparity without a whole window costs.
+NO_WINDOW = 1_000_000
+#: Scan lines that are followed together in one task.
+LINES = 64
+
+
+def follow(before: np.ndarray | None, costs: np.ndarray, p1: int, p2: int) -> np.ndarray:
+    """Path costs (lines x disparities) of pixels whose lines come from ``before``: a step of one costs p1, any other p2."""
+    if before is None:
+        return costs
+    least = before.min(1, keepdims=True)
+    edge = np.full((len(costs), 1), np.iinfo(np.int64).max // 2)
+    down, up = np.hstack([edge, before[:, :-1]]), np.hstack([before[:, 1:], edge])
+    return costs + np.minimum(np.minimum(before, np.minimum(down, up) + p1), least + p2) - least
+
+
+def path_costs(volume: DataFrame, p1: int, p2: int, directions: int) -> DataFrame:
+    """(x, y, path): the costs of the best paths to each pixel (x, y, costs), a row for each direction.
+
+    Lines are dealt out in bundles; a task goes along its bundles pixel by pixel in sorted order and holds
+    one pixel of each line. A line starts anew behind a missing pixel.
+    """
+    steps = DIRECTIONS[:directions]
+    line = [F.col("y") if dy == 0 else F.col("x") if dx == 0 else F.col("x") - dx * dy * F.col("y") for dx, dy in steps]
+    place = [dx * F.col("x") if dx else dy * F.col("y") for dx, dy in steps]
+    ways = F.array(*(F.struct(F.lit(k).alias("k"), ln.cast("long").alias("line"), at.cast("long").alias("at")) for k, (ln, at) in enumerate(zip(line, place, strict=True))))
+    rows = volume.select("x", "y", "costs", F.explode(ways).alias("w")).select("x", "y", "costs", "w.*")
+    rows = rows.withColumn("bundle", F.floor(F.col("line") / LINES))
+    keys = ["k", "bundle", "at", "line"]
+    rows = rows.repartition("k", "bundle").sortWithinPartitions(*keys).select("x", "y", *keys, "costs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at, held, now = None, None, {}, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, bundle, places, lines = (batch.column(c).to_numpy() for c in keys)
+            costs = batch.column("costs").flatten().to_numpy().reshape(batch.num_rows, -1)
+            edges = np.flatnonzero(np.diff(k) | np.diff(bundle) | np.diff(places)) + 1
+            out = np.empty_like(costs)
+            for i, j in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                here = (k[i], bundle[i]), places[i]
+                if here[0] != group:
+                    group, at, held, now = here[0], here[1], {}, {}
+                elif here[1] != at:  # a step on; lines without a pixel just before start anew
+                    held, now = (now if here[1] == at + 1 else {}), {}
+                    at = here[1]
+                known = np.array([n in held for n in lines[i:j].tolist()])
+                out[i:j] = costs[i:j]
+                if known.any():
+                    before = np.stack([held[n] for n in lines[i:j][known].tolist()])
+                    out[i:j][known] = follow(before, costs[i:j][known], p1, p2)
+                now.update(zip(lines[i:j].tolist(), out[i:j], strict=True))
+            path = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), path], ["x", "y", "path"])
+
+    kinds = ", ".join(f"{c} {volume.schema[c].dataType.simpleString()}" for c in "xy")
+    return rows.mapInArrow(run, f"{kinds}, path array<long>")
+
+
+def semi_global_match(
+    left: DataFrame, right: DataFrame, disparities: int, least: int = 0, half: int = 1, p1: int = 8, p2: int = 32, directions: int = 8,
+    unique: int = 0, check: int | None = None,
+) -> DataFrame:
+    """(x, y, d, cost): the disparity of the least sum of path costs over ``directions`` (4 or 8) scan lines; ties go to the smaller.
+
+    Values are whole numbers. Pixels without any whole window are left out. ``unique``: a pixel counts only if no disparity but the
+    best and its neighbours costs less than (100 + unique) / 100 of the best sum. ``check``: only if
+    the right pixel's own best disparity differs by no more.
+    """
+    volume = cost_volume(left, right, disparities, least, half)
+    each = [F.coalesce(F.max(F.when(F.col("d") == least + k, F.col("sad"))), F.lit(NO_WINDOW)).cast("long") for k in range(disparities)]
+    rows = path_costs(volume.groupBy("x", "y").agg(F.array(*each).alias("costs")), p1, p2, directions)
+    sums = rows.groupBy("x", "y").agg(F.array(*(F.sum(F.col("path")[k]) for k in range(disparities))).alias("s"))
+    sums = sums.withColumn("cost", F.array_min("s")).withColumn("i", (F.array_position("s", F.array_min("s")) - 1).cast("int"))
+    if unique > 0:
+        rival = F.exists(F.transform("s", lambda c, k: (F.abs(k - F.col("i")) > 1) & (c * 100 < F.col("cost") * (100 + unique))), lambda b: b)
+        sums = sums.where(~rival)
+    found = sums.select("x", "y", (F.col("i") + least).alias("d"), "cost")
+    if check is None:
+        return found
+    seen = sums.select("x", "y", F.posexplode("s").alias("k", "c")).select((F.col("x") - F.col("k") - least).alias("xr"), "y", "c", (F.col("k") + least).alias("dr"))
+    theirs = seen.groupBy("xr", "y").agg(F.min(F.struct("c", "dr")).alias("b")).select("xr", "y", F.col("b.dr").alias("dr"))
+    both = found.withColumn("xr", F.col("x") - F.col("d")).join(theirs, ["xr", "y"])
+    return both.where(F.abs(F.col("d") - F.col("dr")) <= check).select("x", "y", "d", "cost")
+
+
 def opened(disparity: DataFrame, passes: int = 2) -> DataFrame:
     """Erode, then dilate, ``passes`` times each by 3 x 3."""
     for largest in (False, True):

@@ -325,6 +325,22 @@ def i08_compose_poses(spark, d):
     a = F.col("value") / 1000
     rotation = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.sin(a), F.cos(a), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     rows = P.table(spark, d, "events").select("user_id", "event_id", rotation.alias("r"), F.array("value", F.lit(1.0), F.lit(0.0)).alias("t"))
-    found = registration.compose_poses(rows, ["user_id"], "event_id", "r", "t")
+    found = registration.compose_poses(rows, ["user_id"], "event_id", "r", "t", P.scratch(spark))
     near = lambda c, n: F.transform(c, lambda v: F.round(v, n) + 0.0).alias(c)
     return found.select("user_id", "n", near("r", 9), near("t", 6))
+
+
+@query(
+    """select user_id, event_id, n, round(cos(a), 9) as c, round(sin(a), 9) as s, round(sum(x) over w, 6) as tx, round(sum(y) over w, 6) as ty from (
+    select *, value * cos(p) - sin(p) as x, value * sin(p) + cos(p) as y, p + value / 1000 as a from (
+    select user_id, event_id, value, row_number() over w as n, coalesce(sum(value / 1000) over (w rows between unbounded preceding and 1 preceding), 0) as p
+    from events window w as (partition by user_id order by event_id))) window w as (partition by user_id order by event_id rows unbounded preceding)"""
+)
+def i08_global_poses(spark, d):
+    """The global pose of every frame of each user."""
+    a = F.col("value") / 1000
+    rotation = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.sin(a), F.cos(a), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    rows = P.table(spark, d, "events").select("user_id", "event_id", rotation.alias("r"), F.array("value", F.lit(1.0), F.lit(0.0)).alias("t"))
+    found = registration.global_poses(rows, ["user_id"], "event_id", "r", "t", P.scratch(spark))
+    values = {"c": F.col("r")[0], "s": F.col("r")[3], "tx": F.col("t")[0], "ty": F.col("t")[1]}
+    return found.select("user_id", "event_id", "n", *((F.round(v, 9 if n in "cs" else 6) + 0.0).alias(n) for n, v in values.items()))

@@ -22,6 +22,12 @@ def images(spark, d):
     return left, right
 
 
+VOLUME = f"""(select x, y, d, cast(sad as bigint) as sad from (select x, y, d, sum(ad) over w as sad, sum(n) over w as n from (
+    select x, y, d, sum(ad) over w as ad, count(*) over w as n from (
+        select l.x, l.y, d, abs(l.v - r.v) as ad from (select *, x - d as xr from {LEFT}, range(0, 6) t(d)) l join {RIGHT} r on r.x = l.xr and r.y = l.y)
+    window w as (partition by d, y order by x range between 1 preceding and 1 following))
+    window w as (partition by d, x order by y range between 1 preceding and 1 following)) where n = 9)"""
+
 MATCHED = f"""(select x, y, d, sad from (select *, row_number() over (partition by x, y order by sad, d) as k from (
     select x, y, d, sum(ad) over w as sad, sum(n) over w as n from (
         select x, y, d, sum(ad) over w as ad, count(*) over w as n from (
@@ -36,6 +42,31 @@ def j21_block_matching(spark, d):
     return stereo.block_match(*images(spark, d), 6)
 
 
+COSTS = f"""(select p.x, p.y, list(coalesce(c.sad, 1000000) order by t.d) as c from (select distinct x, y from {VOLUME}) p cross join range(0, 6) t(d)
+    left join {VOLUME} c on c.x = p.x and c.y = p.y and c.d = t.d group by p.x, p.y)"""
+
+
+def _paths(name: str, dx: int, dy: int) -> str:
+    """Path costs along one direction, pixel after pixel."""
+    near = "list_transform(range(1, 7), lambda i: c[i] + least(w.l[i], coalesce(w.l[i - 1], 1000000000) + 8, coalesce(w.l[i + 1], 1000000000) + 8, list_min(w.l) + 32) - list_min(w.l))"
+    return f"""{name} as (select x, y, c as l from costs a where not exists (select 1 from costs b where b.x = a.x - {dx} and b.y = a.y - {dy})
+        union all select a.x, a.y, {near.replace("c[i]", "a.c[i]")} from {name} w join costs a on a.x = w.x + {dx} and a.y = w.y + {dy})"""
+
+
+SEMI_GLOBAL = f"""select x, y, cast(list_position(s, list_min(s)) - 1 as integer) as d, cast(list_min(s) as bigint) as cost from (
+    select x, y, list_transform(range(1, 7), lambda i: list_sum(list_transform(list(l), lambda e: e[i]))) as s from (
+    select * from w0 union all select * from w1 union all select * from w2 union all select * from w3) group by x, y)"""
+
+
+@query(
+    P.with_views(SEMI_GLOBAL, "v_raster").replace("with ", "with recursive ", 1).replace(
+        SEMI_GLOBAL, f", costs as materialized {COSTS}, " + ", ".join(_paths(f"w{k}", *way) for k, way in enumerate(stereo.DIRECTIONS[:4])) + " " + SEMI_GLOBAL
+    )
+)
+def j21_semi_global(spark, d):
+    return stereo.semi_global_match(*images(spark, d), 6, directions=4)
+
+
 def _window(f: str, axis: str, inner: str) -> str:
     other = "y" if axis == "x" else "x"
     return f"(select x, y, {f}(v) over (partition by {other} order by {axis} range between 2 preceding and 2 following) as v from {inner})"
