@@ -88,8 +88,8 @@ def drawn(pairs: DataFrame, keys: Sequence[str], size: int, count: int, seed: in
     rows = rows.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "h", *keys), n)
     step = 1 + draw(1, F.floor((F.col("n") - 1) / (size - 1)))
-    places = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.pmod(draw(0, F.col("n")) + j * step, F.col("n")))
-    rows = rows.select(*keys, "h", F.explode(places).cast("int").alias("place")).join(placed, [*keys, "place"])
+    places = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.pmod(draw(0, F.col("n")) + j * step, F.col("n")).cast("int"))
+    rows = rows.select(*keys, "h", F.explode(places).alias("place")).join(placed, [*keys, "place"])
     return rows.groupBy(*keys, "h").agg(F.array_sort(F.collect_list(F.array("x", "y", "u", "v"))).alias("sample"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from selenite.operators import sfm, stereo
+from selenite.operators import frames, ransac, sfm, stereo
 from selenite.plans import match_queries as M
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
@@ -269,3 +269,44 @@ def sk09_matching_report(spark, d):
     k = F.col("s_suppkey")
     candidates = P.table(spark, d, "supplier").select(k.alias("cand"), *((k * (i + 1) % 10).cast("double").alias(f"d{i}") for i in range(6)), (k * 7 % 11).cast("double").alias("err"))
     return sfm.matching_report(candidates, aligned(spark, d).where("camera = 0"))
+
+
+SEEN = """(select event_id % 7 as film, event_id as id, cast(event_id * 37 % 640 as double) as x, cast(event_id * 91 % 480 as double) as y,
+    event_id % 5 = 0 as moved from events)"""
+
+
+@query(
+    f"""select film, id, pow(case when moved then id * 53 % 640 else hx / w end - hx / w, 2) + pow(case when moved then id * 29 % 480 else hy / w end - hy / w, 2) <= 9 as inlier
+    from (select *, 1.1 * x + 0.05 * y + 12 as hx, -0.04 * x + 0.95 * y - 7 as hy, 0.0001 * x - 0.00005 * y + 1 as w from {SEEN})"""
+)
+def i10_outlier_mask(spark, d):
+    """Pixels of seven films under a homography, every fifth moved elsewhere: which of them lie where the film's own model puts them."""
+    e, x, y = F.col("event_id"), F.col("x"), F.col("y")
+    seen = P.table(spark, d, "events").select((e % 7).alias("film"), e.alias("id"), (e * 37 % 640).cast("double").alias("x"), (e * 91 % 480).cast("double").alias("y"))
+    w = 0.0001 * x - 0.00005 * y + 1
+    there = {"u": ((1.1 * x + 0.05 * y + 12) / w, F.col("id") * 53 % 640), "v": ((-0.04 * x + 0.95 * y - 7) / w, F.col("id") * 29 % 480)}
+    pairs = seen.select("*", *(F.when(F.col("id") % 5 == 0, other.cast("double")).otherwise(own).alias(c) for c, (own, other) in there.items()))
+    return ransac.outlier_mask(pairs, ["film"], "homography").select("film", "id", "inlier")
+
+
+FRAMES = 5
+
+
+@query(
+    f"""select film, frame, cast(case when frame = 0 then 0 else n end as bigint) as matches, frame > 0 as moved, round(cos(frame * a), 6) as c, round(sin(frame * a), 6) as s,
+    round(cast(frame * (film + 1) as double), 4) as tx from (select vec_id // 128 as film, count(*) as n, (vec_id // 128 % 9 + 1) / 20.0 as a from embeddings group by vec_id // 128),
+    (select cast(unnest(range(0, {FRAMES})) as bigint) as frame) where n >= 12"""
+)
+def i07_frame_loop(spark, d):
+    """Films of 128 vectors, seen in five frames as key points of a scene that turns and moves; the pose of every frame."""
+    film = F.floor(F.col("vec_id") / 128).cast("long")
+    v = F.col("embedding")
+    rows = P.table(spark, d, "embeddings").select(film.alias("film"), F.slice(v, 1, 16).alias("desc"), *((v[16 + k].cast("double") * 50).alias(c) for k, c in enumerate(("wx", "wy", "wz"))))
+    whole = rows.groupBy("film").agg(F.count("*").alias("n")).where("n >= 12").select("film")
+    rows = rows.join(whole, "film").withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1)).cast("array<long>")))
+    angle = F.col("frame") * (F.col("film") % 9 + 1) / 20.0
+    moved = F.col("wx") - (F.col("film") + 1) * F.col("frame")  # the pose of frame k: a turn of k steps about z, k steps along x
+    place = {"x": F.cos(angle) * moved + F.sin(angle) * F.col("wy"), "y": -F.sin(angle) * moved + F.cos(angle) * F.col("wy"), "z": F.col("wz")}
+    poses = frames.frame_poses(rows.select("film", "frame", "desc", *(c.alias(n) for n, c in place.items())), P.scratch(spark))
+    near = lambda c, n: F.round(c, n) + 0.0
+    return poses.select("film", "frame", "matches", "moved", near(F.col("r")[0], 6).alias("c"), near(F.col("r")[3], 6).alias("s"), near(F.col("t")[0], 4).alias("tx"))
