@@ -8,10 +8,12 @@ from re import _parser
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from selenite.llm import bpe, cdc, crf, ego_join, html_blocks, licenses, ppm, sharding, simhash, tiling
+from tests.conftest import SF
 
 ODD = [
     "", "  ", "Hello's WORLD 123 <|endoftext|> it'S <|startoftext|>x", "ΑΣ ΑΣΒ İstanbul", "日本語テキスト　全角", "x" * 3000 + " ab" * 50,
@@ -191,6 +193,23 @@ PAGES = [
 ]
 
 
+PAGES += [
+    # text without markup, and next to none
+    ("Hello world.", "Hello world."), ("<p>Hello world.</p>", "Hello world."), ("Plain text, no markup,\n two lines.", "Plain text, no markup, two lines."),
+    # forms around the whole page
+    (f"<form id='aspnetForm'><nav><a>Home</a></nav><div><p>{PROSE}</p><p>{PROSE}</p></div><div class='site-footer'>(c) us</div></form>", f"{PROSE} {PROSE}"),
+    (f"<main><form><p>{PROSE}</p></form></main>", PROSE),
+    (f"<div class='sidebar'><p>{PROSE}</p><p>{PROSE}</p></div><form>Your mail <button>Go</button></form>", f"{PROSE} {PROSE}"),
+    # paragraphs of an article with a frame's name; adverts and readers' words by other names
+    (f"<article><h1>T</h1><p class='legal'>{PROSE}</p><p class='copyright'>It is ours.</p></article>", f"T {PROSE} It is ours."),
+    (f"<article><p>{PROSE}</p><div class='content-ad'>{PROSE}</div><ins class=adsbygoogle>{PROSE}</ins><div data-ad-slot=1>Buy</div></article>", PROSE),
+    (f"<article><p>{PROSE}</p></article><section class='responses'><p>{PROSE}</p></section><div class='user-reviews'><p>{PROSE} {PROSE}</p></div>", PROSE),
+    (f"<div class='comments'><p>{PROSE}</p><p>{PROSE}</p></div><p>{PROSE}</p>", PROSE),
+    # short items of a list outside of any article
+    (f"<p>{PROSE}</p><ul><li>One</li><li>Two words</li><li>Three</li></ul><p>{PROSE}</p>", f"{PROSE} One Two words Three {PROSE}"),
+]
+
+
 @pytest.mark.parametrize("page, text", PAGES)
 def test_odd_pages(page, text):
     assert html_blocks.main_texts([page]) == [text]
@@ -203,6 +222,24 @@ def test_tree_reads_words_and_links_of_the_neighbours():
     assert {"words", "links", "links_before", "words_after"} <= fields(html_blocks.trained())
 
 
+def test_tree_splits_by_text_first_and_tells_given_pages_without_their_tags():
+    tree = html_blocks.trained()
+    assert all(t[0] < html_blocks.TEXT_FIELDS for t in (tree, tree[2]))
+    right = words = by_tags = 0
+    for page in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist():
+        page = page or ""
+        want = html_blocks.blocks(page)[0]
+        bare = re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", page)
+        found = html_blocks.features(*html_blocks.blocks(bare))
+        kept = html_blocks.classify(found, tree)
+        assert len(found) == len(want)
+        for b, k, f in zip(want, kept, found):
+            words += b.words
+            right += b.words * (k == (b.article >= 0))
+            by_tags += b.words * ((f[6] == 1 and f[7] == 0) == (b.article >= 0))
+    assert right > 0.97 * words and by_tags < 0.3 * words  # the tags alone would lose the text
+
+
 def test_tree_agrees_with_its_table():
     table = np.array([line.split() for line in html_blocks.LABELLED.strip().splitlines()], float)
     assert (html_blocks.classify(table[:, :-1], html_blocks.trained()) == (table[:, -1] == 1)).all()
