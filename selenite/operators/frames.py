@@ -49,11 +49,14 @@ def in_order(desc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def nearest(now: np.ndarray, before: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``now`` and ``before`` that match: nearest, and nearer than ``ratio`` of the second nearest."""
+    """Rows of ``now`` and ``before`` that match: each the other's nearest, and nearer than ``ratio`` of the second nearest."""
     rows, others = [], []
+    back, reach = np.full(len(before), -1), np.full(len(before), np.inf)
     for at in range(0, len(now), BLOCK):
         part = now[at : at + BLOCK]
         d = (part * part).sum(1)[:, None] - 2 * part @ before.T + (before * before).sum(1)
+        nearer = d.min(0) < reach
+        back[nearer], reach[nearer] = at + d.argmin(0)[nearer], d.min(0)[nearer]
         best = d.argmin(1)
         least = np.sqrt(np.maximum(0, d[np.arange(len(part)), best]))
         d[np.arange(len(part)), best] = np.inf
@@ -61,7 +64,9 @@ def nearest(now: np.ndarray, before: np.ndarray, ratio: float) -> tuple[np.ndarr
         good = least < ratio * second
         rows.append(at + np.flatnonzero(good))
         others.append(best[good])
-    return np.concatenate(rows), np.concatenate(others)
+    rows, others = np.concatenate(rows), np.concatenate(others)
+    mutual = back[others] == rows
+    return rows[mutual], others[mutual]
 
 
 def frame_step(before, now, settings: Settings) -> tuple[int, np.ndarray | None, np.ndarray | None]:
