@@ -180,6 +180,62 @@ NOTICES = [
     ("eula", "user", f"end user {LICENCE} agreement", 2),
     ("as-is", "warranty warranties", "as is without (?:any )?warrant(?:y|ies)", 1),
 ]
+#: Fixed values, hand-written: short spellings with a version, as ids have them outside of tags: label, keywords, expression.
+SHORT = [
+    ("apache-1.1", "apache", "apache 1 1"),
+    ("apache-2.0", "apache", "apache(?: v)? 2 0"),
+    ("apache-2.0", "apache2 apachev2", "apachev?2(?: 0)?"),
+    ("apache-2.0", "asl", "asl (?:v?2 0|v2)"),
+    ("mpl-1.1", "mpl", "mpl(?: version)? v?1 1"),
+    ("mpl-2.0", "mpl", "mpl(?: version)? (?:v?2 0|v2)"),
+    ("mpl-2.0", "mplv2 mpl2", "mplv?2(?: 0)?"),
+    ("epl-1.0", "epl", "epl(?: version)? (?:v?1 0|v1)"),
+    ("epl-2.0", "epl", "epl(?: version)? (?:v?2 0|v2)"),
+    ("epl-2.0", "eplv2 epl2", "eplv?2(?: 0)?"),
+    ("eupl-1.2", "eupl", "eupl(?: version)? v?1 2"),
+    ("eupl-1.1", "eupl", "eupl(?: version)? v?1 1"),
+    ("lppl-1.3", "lppl", "lppl(?: version)? v?1 3[ac]?"),
+    ("bsl-1.0", "bsl", "bsl 1 0"),
+    ("busl-1.1", "busl", "busl 1 1"),
+    ("upl-1.0", "upl", "upl 1 0"),
+    ("ecl-2.0", "ecl", "ecl 2 0"),
+    ("afl-3.0", "afl", "afl 3 0"),
+    ("osl-3.0", "osl", "osl 3 0"),
+    ("ofl-1.1", "ofl", "ofl 1 1"),
+    ("odbl-1.0", "odbl", "odbl v?1 0"),
+    ("sspl-1.0", "sspl", "sspl v?1(?: 0)?"),
+    ("gpl-1", "gplv1", "gplv1"),
+    ("gpl-2", "gplv2 gpl2", "(?:gnu )?gplv?2(?: 0)?(?: only)?"),
+    ("gpl-3", "gplv3 gpl3", "(?:gnu )?gplv?3(?: 0)?(?: only)?"),
+    ("gpl-2-or-later", "gplv2 gpl2", "(?:gnu )?gplv?2(?: 0)? or(?: any)? later(?: version)?"),
+    ("gpl-3-or-later", "gplv3 gpl3", "(?:gnu )?gplv?3(?: 0)? or(?: any)? later(?: version)?"),
+    ("lgpl-2", "lgplv2 lgpl2", "(?:gnu )?lgplv?2(?: 0)?"),
+    ("lgpl-2.1", "lgplv2 lgpl2", "(?:gnu )?lgplv?2 1(?: only)?"),
+    ("lgpl-3", "lgplv3 lgpl3", "(?:gnu )?lgplv?3(?: 0)?(?: only)?"),
+    ("lgpl-2.1-or-later", "lgplv2 lgpl2", "(?:gnu )?lgplv?2 1 or(?: any)? later(?: version)?"),
+    ("lgpl-3-or-later", "lgplv3 lgpl3", "(?:gnu )?lgplv?3(?: 0)? or(?: any)? later(?: version)?"),
+    ("agpl-3", "agplv3 agpl3", "(?:gnu )?agplv?3(?: 0)?(?: only)?"),
+    ("agpl-3-or-later", "agplv3 agpl3", "(?:gnu )?agplv?3(?: 0)? or(?: any)? later(?: version)?"),
+    ("gfdl-1.3", "gfdl", "gfdl 1 3"),
+]
+#: Fixed values, hand-written: names so short that they count behind a grant only (``under MIT``): label, keywords, expression.
+GRANTED = [
+    ("mit", "mit", "mit(?: x11)?"),
+    ("apache-2.0", "apache", "apache(?: version)? v?2(?: 0)?"),
+    ("apache", "apache", "apache"),
+    ("bsd", "bsd", "bsd"),
+    ("isc", "isc", "isc"),
+    ("zlib", "zlib", "zlib"),
+    ("gpl", "gpl", "(?:gnu )?gpl"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
+    ("agpl", "agpl", "(?:gnu )?agpl"),
+    ("mpl", "mpl", "mpl"),
+    ("epl", "epl", "epl"),
+    ("cddl", "cddl", "cddl"),
+    ("artistic", "artistic", "artistic"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+]
+UNDER = "(?:licen[cs]ed|released|distributed|published|provided|offered|available|redistributed|covered|made available|licen[cs]e is|dual licen[cs]ed) (?:under|by)(?: the)?(?: terms of)?(?: the)? "
 WEIGHTS = {1: 0.5, 2: 0.7, 3: 0.9, 4: 1.0}
 BASE_WEIGHT = 0.4
 MAX_BLOCK = 256
@@ -187,8 +243,10 @@ MAX_BLOCK = 256
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: A plus sign behind a version: "or later".
+PLUS = r"(?<=[0-9])\+(?![0-9+])"
 #: Every match of every rule and base phrase holds a trigger.
-TRIGGER = rf"(?i)licen[cs]|gpl|permission|redistributions|advertising{NO_WORD}+materials|advertising{NO_WORD}+or|(?:promote|endorse){NO_WORD}|classpath|gcc{NO_WORD}+runtime|consortium|unencumbered|apache|bsd|cddl|cecill|as{NO_WORD}+is{NO_WORD}+without|copyright|reserved|spdx|proprietary|redistribution|warranties|public{NO_WORD}+domain|dedicated|cc0|wtfpl|cc{NO_WORD}+by|historical{NO_WORD}+permission|nasa{NO_WORD}+open|sil{NO_WORD}+ofl|creative{NO_WORD}+commons|mit{NO_WORD}+no"
+TRIGGER = rf"(?i)licen[cs]|gpl|permission|redistributions|advertising{NO_WORD}+materials|advertising{NO_WORD}+or|(?:promote|endorse){NO_WORD}|classpath|gcc{NO_WORD}+runtime|consortium|unencumbered|apache|bsd|cddl|cecill|as{NO_WORD}+is{NO_WORD}+without|copyright|reserved|spdx|proprietary|redistribution|warranties|public{NO_WORD}+domain|dedicated|cc0|wtfpl|cc{NO_WORD}+by|historical{NO_WORD}+permission|nasa{NO_WORD}+open|sil{NO_WORD}+ofl|creative{NO_WORD}+commons|mit{NO_WORD}+no|{NO_WORD}(?:asl|mpl|epl|eupl|lppl|bsl|busl|upl|ecl|afl|osl|ofl|odbl|sspl|gfdl)v?(?:{NO_WORD}|[0-9])|^(?:asl|mpl|epl|eupl|lppl|bsl|busl|upl|ecl|afl|osl|ofl|odbl|sspl|gfdl)v?(?:{NO_WORD}|[0-9])|(?:under|by){NO_WORD}+(?:the{NO_WORD}+)?(?:terms{NO_WORD}+)?(?:of{NO_WORD}+)?(?:the{NO_WORD}+)?(?:mit|isc|mpl|epl)|zlib|artistic"
 
 
 #: The versions that exist.
@@ -261,6 +319,8 @@ def rules() -> list[tuple[int, str, str, str, int]]:
     for label, key, name in [*FAMILIES, *versions()]:
         out.append((key, f"(?<= ){name}(?= )", label, 2))
         out.append((key, f"(?<= ){GRANT}(?:an? )?(?:{name})(?= )", label, 3))
+    out += [(key, f"(?<= ){e}(?= )", label, 2) for label, key, e in SHORT]
+    out += [(key, f"(?<= ){UNDER}{e}(?= )", label, 3) for label, key, e in GRANTED]
     out += [(key, f"(?<= ){e}(?= )", label, 3) for label, key, e in WORDINGS]
     out += [(key, f"(?<= ){e}(?= )", label, p) for label, key, e, p in NOTICES]
     return [(i, *r) for i, r in enumerate(out)]
@@ -324,7 +384,6 @@ def tags(norm: Column) -> Column:
     ids = sorted(map(tag_words, SPDX_IDS), key=lambda x: (-len(x), x))
     one = f"(?:{'|'.join(ids)})"
     opening = f"spdx {LICENCE} identifier "
-    # a plus sign behind an id is no word, so "or later" ids with one end there
     expression = F.lit(f"(?<= ){opening}{one}(?= )(?: (?:or|and|with) {one}(?= ))*")
     table = F.create_map(*(F.lit(x) for i in SPDX_IDS for x in (tag_words(i), tag_label(i))))
     between = " (?:or|and|with) (?!later )(?!later$)"
@@ -400,9 +459,13 @@ def scan(text: Column) -> Column:
     """A struct of n_words, n_base, first_word, last_word, base_labels, labels, n_detections and score."""
     text = F.coalesce(text, F.lit(""))
 
-    def found(words: Column) -> Column:
+    def found(words: Column, later: Column) -> Column:
+        """``later``: the words with a plus sign behind a version spelt out; the base phrases stand among ``words``."""
+
         def places(norm: Column) -> Column:
-            pair = F.struct(base_places(norm, F.size(words)).alias("base"), survivors(detections(norm, words)).alias("own"))
+            spelt = F.when(F.size(later) == F.size(words), norm).otherwise(F.concat(F.lit(" "), F.array_join(later, " "), F.lit(" ")))
+            own = let(spelt, lambda n: survivors(detections(n, later)))
+            pair = F.struct(base_places(norm, F.size(words)).alias("base"), own.alias("own"))
             return let(pair, lambda x: F.struct(
                 F.aggregate(x["base"], F.lit(0), lambda n, b: n + b["n"]).alias("n"),
                 F.array_min(F.transform(x["base"], lambda b: b["first"])).alias("first"),
@@ -413,7 +476,9 @@ def scan(text: Column) -> Column:
 
         return let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), places)
 
-    hit = F.when(text.rlike(TRIGGER), let(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), found))
+    hit = F.when(text.rlike(TRIGGER), let(lower_ascii(text), lambda low: let(
+        F.struct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"), F.when(low.rlike(PLUS), F.regexp_extract_all(F.regexp_replace(low, PLUS, " or later "), F.lit(WORD), F.lit(0))).alias("later")),
+        lambda w: found(w["words"], F.coalesce(w["later"], w["words"])))))
     none = F.array().cast("array<string>")
     return let(hit, lambda h: F.struct(
         F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"),

@@ -415,7 +415,8 @@ def spellings(expression):
 
 def license_names():
     """(label, keywords, expression) of every rule without its grant."""
-    return [*licenses.FAMILIES, *licenses.versions(), *licenses.WORDINGS, *(n[:3] for n in licenses.NOTICES)]
+    granted = [(x, k, f"licensed under (?:the )?{e}") for x, k, e in licenses.GRANTED]
+    return [*licenses.FAMILIES, *licenses.versions(), *licenses.SHORT, *granted, *licenses.WORDINGS, *(n[:3] for n in licenses.NOTICES)]
 
 
 def test_every_spelling_of_a_license_passes_the_trigger():

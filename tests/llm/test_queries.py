@@ -247,7 +247,7 @@ def test_licences(spark, docs, empty):
         "SPDX-License-Identifier: Apache-2.0 OR MIT": "apache-2.0,mit",
         "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR MPL-2.0 AND ISC) or not": "classpath-exception-2.0,gpl-2-only,isc,mpl-2.0",
         "spdx license identifier of no kind": "",
-        "the GPL 2.0 only, SPDX-License-Identifier: CC-BY-SA-4.0 and LGPL-2.1+": "cc-by,cc-by-sa-4.0,gpl-2-only,lgpl-2.1",
+        "the GPL 2.0 only, SPDX-License-Identifier: CC-BY-SA-4.0 and LGPL-2.1+": "cc-by,cc-by-sa-4.0,gpl-2-only,lgpl-2.1-or-later",
     }
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", licenses.scan(F.col("t"))["labels"].alias("l"))
     assert {r.t: r.l for r in rows.collect()} == cases
@@ -298,6 +298,19 @@ def test_blocks_of_the_benchmark_agree(docs, spark, monkeypatch):
     assert sorted(map(tuple, tiling.coverage(docs, bench, keep=["text"]).collect()), key=str) == one
 
 
+def test_short_spellings_of_licenses(spark):
+    cases = {
+        "GPLv3": "gpl-3", "This is GPLv2+ code": "gpl-2-or-later", "under GPL-3.0+": "gpl-3-or-later", "LGPLv2.1+": "lgpl-2.1-or-later", "AGPLv3": "agpl-3",
+        "MPL-2.0": "mpl-2.0", "MPL 2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "licensed under MIT": "mit", "Licensed under Apache 2.0": "apache-2.0",
+        "Apache-2.0": "apache-2.0", "released under the MIT": "mit", "SPDX-License-Identifier: GPL-2.0+": "gpl-2-or-later", "SPDX-License-Identifier: GPL-2.0": "gpl-2",
+        "dual licensed under the GPLv2 and the MPL 1.1": "gpl-2,mpl-1.1", "a simple example of a template": "", "the EPL 2 season": "", "C+ and 3+4": "", "mit der Zeit": "",
+        "distributed under the terms of the zlib": "zlib", "all rights reserved, GPLv2+": "all-rights-reserved,gpl-2-or-later,reserved",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", licenses.scan(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f.labels for r in rows} == cases
+    assert next(r.f for r in rows if r.t.startswith("all rights"))[:4] == (4, 1, 0, 0)
+
+
 def test_quality_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
