@@ -309,7 +309,8 @@ def j22_a09_best_transform(spark, d):
     c, s = F.cos("theta"), F.sin("theta")
     x = (c * F.col("px") - s * F.col("py") + F.col("dx")).cast("int").alias("x")
     y = (s * F.col("px") + c * F.col("py") + F.col("dy")).cast("int").alias("y")
-    seen = rows.select("cand", "value", x, y).join(P.raster(spark, d), ["x", "y"])
+    on_raster = F.col("x").between(0, 63) & F.col("y").between(0, P.height(spark, d) - 1)  # others meet no pixel
+    seen = rows.select("cand", "value", x, y).where(on_raster).join(P.raster(spark, d), ["x", "y"])
     errors = seen.groupBy("cand").agg(F.avg(F.pow(F.col("value") - F.col("v") * 100, 2)).alias("err"))
     best = matching.argmin(errors, [], "err", ["cand"], [], positive=True)
     return P.rounded(best.select("cand", "err"))

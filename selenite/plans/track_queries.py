@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selenite.functions import photometry
-from selenite.operators import stats, tracks
+from selenite.operators import stats, tracks, validity
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
 
@@ -308,3 +308,57 @@ def flagship_track_error_histogram(spark, d):
     both = rows.where("refl >= 0 and image >= 0").join(fitted, "track_id")
     synth = photometry.gain_bias(F.col("refl"), F.col("gain"), F.lit(0.0))
     return flat(stats.error_statistics(both.select((F.abs(F.col("image") - synth) * 1000).alias("err"))))
+
+
+SAMPLED = "(select *, case when x <= 45 then z - 20000 end as value from v_return)"
+
+
+def sampled(spark, d):
+    """Returns with what an image holds under them; some lie outside."""
+    return P.returns(spark, d).withColumn("value", F.when(F.col("x") <= 45, F.col("z") - 20000))
+
+
+@query(
+    P.with_views(
+        f"""select track_id, shot_id, cast(pt_idx as integer) as pt_idx, case when bad is null or pt_idx < bad then value end as value, bad is null as valid from (
+        select *, min(case when value is null or value <= -15000 then pt_idx end) over (partition by track_id, shot_id) as bad from {SAMPLED})""",
+        "v_return",
+    )
+)
+def f05_cube_validity(spark, d):
+    """What each return keeps of a cube's values, and whether its shot counts."""
+    rows = sampled(spark, d)
+    shots = validity.cube_shots(rows, ["track_id", "shot_id"], "pt_idx", "value", F.lit(-15000.0))
+    kept = validity.kept_values(rows, shots, ["track_id", "shot_id"], "pt_idx", ["value"])
+    return kept.select("track_id", "shot_id", "pt_idx", "value", "valid")
+
+
+@query(
+    P.with_views(
+        f"""select track_id, shot_id, n as n_returns, case when not ended and n <= 5 then cast(bad as integer) end as first_bad, not ended and n <= 5 as scanned,
+        case when ended then shot_id % 2 = 0 else n <= 5 and bad is null and has end as valid,
+        case when ended then 'not scanned' when n > 5 then 'many returns' when bad is not null then 'outside or zero' when not has then 'no detector' else '' end as cause from (
+        select *, coalesce(bool_or(n > 5) over (partition by track_id order by shot_id rows between unbounded preceding and 1 preceding), false) as ended from (
+        select track_id, shot_id, count(*) as n, min(case when value is null or value = 0 then pt_idx end) as bad, bool_or(s = 1) and bool_or(s = 2) and bool_or(s = 3) as has
+        from {SAMPLED} group by track_id, shot_id))""",
+        "v_return",
+    )
+)
+def f06_image_validity(spark, d):
+    """Which shots an image makes valid; a shot of many returns ends its track."""
+    rows = sampled(spark, d).withColumn("was", F.col("shot_id") % 2 == 0)
+    return validity.image_shots(rows, ["track_id"], "shot_id", "pt_idx", "s", "value", "was")
+
+
+@query(
+    P.with_views(
+        f"""select r.track_id, r.shot_id, r.n_returns, r.reflectance, r.n_returns <= 5 and centre and r.reflectance >= 0 as valid, case when r.n_returns > 5 then 'many returns' when not centre then 'no centre'
+        when r.reflectance < 0 then 'no triangle' else '' end as cause from ({ring_sql()}) r join
+        (select track_id, shot_id, bool_or(s = 1) as centre from v_return group by track_id, shot_id) c on c.track_id = r.track_id and c.shot_id = r.shot_id""",
+        "v_return",
+    )
+)
+def f07_reflectance_validity(spark, d):
+    """Shots with a reflectance, and why others have none."""
+    rows = P.returns(spark, d)
+    return P.rounded(validity.reflectance_shots(rows, ["track_id", "shot_id"], "s", ["x", "y", "z"], LIGHT, CAMERA))
