@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
-from selenite.sources import rasters
+from selenite.sources import labels, rasters
 
 
 @query(
@@ -82,3 +82,85 @@ def sk13_mosaic_images(spark, d):
     rasters.write_mosaic_tiles(pixels, folder, 32)
     tile = F.regexp_extract("path", r"(tile_\d+_\d+)\.tif$", 1).alias("tile")
     return rasters.read_rasters(spark, f"{folder}/*.tif").select(tile, "x", "y", "v").where("v > 0")
+
+
+@query(
+    P.with_views(
+        """select cast(y // 96 as bigint) as cube, x, cast(y % 96 as integer) as y, case when (x + y) % 7 <> 0 then v end as v from v_raster
+        where x between 20 and 50 and y % 96 between 3 and 60""",
+        "v_raster",
+    )
+)
+def sc10_camera_cubes(spark, d):
+    """The raster as tiled camera cubes of 96 rows with missing pixels, read back in a window; what was missing is null."""
+    folder, y = P.scratch(spark), F.col("y")
+    pixels = P.raster(spark, d).select(F.floor(y / 96).cast("long").alias("cube"), "x", (y % 96).cast("int").alias("y"), F.when((F.col("x") + y) % 7 != 0, F.col("v")).alias("v"))
+    rasters.write_cubes(pixels, folder, ["cube"], (32, 16))
+    rows = rasters.read_cubes(spark, f"{folder}/*.cub", x=20, y=3, width=31, height=58)
+    return rows.select(F.regexp_extract("path", r"(\d+)\.cub$", 1).cast("long").alias("cube"), "x", "y", "v")
+
+
+def label(spark, d):
+    """(id, t): a label for each supplier, whose numbers come from its key and nation."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    part = lambda c: c.cast("string") if isinstance(c, F.Column) else F.lit(c)
+    axes = [["  MODEL_COMPONENT_", str(i), " = (", k + i, ", ", n, ".5, -", i + k * 0, ")\n"] for i in range(1, 7)]
+    pieces = [
+        "PDS_VERSION_ID = PDS3 /* of ", k, " */\nROVER_MOTION_COUNTER = (1, 2,\n   3, ", n, ", 5)\nFRAME_ID = \"", F.element_at(F.array(F.lit("LEFT"), F.lit("RIGHT"), F.lit("MONO")), (k % 3 + 1).cast("int")),
+        "\"\nSPACECRAFT_CLOCK_START_COUNT = \"", k * 1000, ".25\"\nLOCAL_TRUE_SOLAR_TIME = \"", 10 + k % 10, ":30:15\"\nOBJECT = IMAGE\n  LINES = ", 512 + k,
+        "\n  LINE_SAMPLES = 256 <pixel>\n  GROUP = BANDS\n    NAMES = (\"RED, ", n, "\", BLUE)\n  END_GROUP = BANDS\nEND_OBJECT = IMAGE\nGROUP = GEOMETRIC_CAMERA_MODEL_PARMS\n",
+        *(x for i, row in enumerate(axes) for x in (row if i < 4 else [F.when(n % 2 == 0, F.concat(*map(part, row))).otherwise(F.lit(""))])),
+        "END_GROUP\n/* COORDINATE SYSTEM STATE: ROVER */\nORIGIN_OFFSET_VECTOR = (", k, ",", n, ",0.5)\nORIGIN_ROTATION_QUATERNION = (1,0,", n, ",0)\nGROUP = SITE_DERIVED_GEOMETRY_PARMS\n  SOLAR_AZIMUTH = ", n,
+        ".5 <deg>\n  SOLAR_ELEVATION = -", n, "\nEND_GROUP\nGROUP = DERIVED_IMAGE_PARMS\n  RADIANCE_OFFSET = ", F.when(k % 5 == 0, F.lit('"NULL"')).otherwise((k / 4.0).cast("string")),
+        "\n  RADIANCE_SCALING_FACTOR = 2.0e-3 <x>\nEND_GROUP\nEND\nBEHIND = 1\n",
+    ]
+    return P.table(spark, d, "supplier").select(k.alias("id"), F.concat(*map(part, pieces)).alias("t"))
+
+
+def scanned(spark, d, columns):
+    found = columns(F.col("t"))
+    return label(spark, d).select("id", *(c.alias(n) for n, c in found.items()))
+
+
+AXIS = ", ".join(f"case when {i} <= 4 or s_nationkey % 2 = 0 then [s_suppkey + {i}, s_nationkey + 0.5, -{i}]::double[] end as {c}" for i, c in enumerate("cahvor", 1))
+
+
+@query(f"select s_suppkey as id, {AXIS}, s_nationkey % 2 = 0 as got_or from supplier")
+def sc14_camera_axes(spark, d):
+    return scanned(spark, d, labels.camera_axes)
+
+
+@query("select s_suppkey as id, s_nationkey + 0.5::double as azimuth, -s_nationkey::double as elevation, ((10 + s_suppkey % 10) * 3600 + 30 * 60 + 15)::double as solar_seconds from supplier")
+def sc14_site_geometry(spark, d):
+    return scanned(spark, d, labels.site_geometry)
+
+
+@query("select s_suppkey as id, s_suppkey * 1000 + 0.25::double as clock, cast(case s_suppkey % 3 when 0 then 1 when 1 then 2 else 0 end as integer) as eye, cast(s_nationkey as integer) as mast from supplier")
+def sc14_frame_identity(spark, d):
+    return scanned(spark, d, labels.frame_identity)
+
+
+@query("select s_suppkey as id, [s_suppkey, s_nationkey, 0.5]::double[] as \"offset\", [1, 0, s_nationkey, 0]::double[] as rotation from supplier")
+def sc14_rover_origin(spark, d):
+    return scanned(spark, d, labels.rover_origin)
+
+
+@query("select s_suppkey as id, cast(512 + s_suppkey as integer) as rows, cast(256 as integer) as columns from supplier")
+def sc14_image_size(spark, d):
+    return scanned(spark, d, labels.image_size)
+
+
+@query("select s_suppkey as id, case when s_suppkey % 5 <> 0 then 0.002::double end as scale, case when s_suppkey % 5 <> 0 then s_suppkey / 4.0::double end as bias from supplier")
+def sc15_radiance(spark, d):
+    return scanned(spark, d, labels.radiance)
+
+
+@query(
+    """select s_suppkey as id, within, keyword, case i when 0 then 'PDS3' when 1 then cast(512 + s_suppkey as varchar) when 2 then '256' else 'RED, ' || s_nationkey || '|BLUE' end as value from supplier,
+    (values (0, '', 'PDS_VERSION_ID'), (1, 'IMAGE', 'LINES'), (2, 'IMAGE', 'LINE_SAMPLES'), (3, 'IMAGE/BANDS', 'NAMES')) t(i, within, keyword)"""
+)
+def sc14_label_statements(spark, d):
+    """Some of the statements of nested labels, lists with their entries."""
+    rows = labels.statements(label(spark, d), "t", ["id"])
+    some = rows.where("keyword = 'PDS_VERSION_ID' or keyword = 'BEHIND' or within like 'IMAGE%'")
+    return some.select("id", "within", "keyword", F.array_join(labels.listed(F.col("value")), "|").alias("value"))

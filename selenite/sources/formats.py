@@ -136,3 +136,67 @@ def encode_pds(pixels: np.ndarray) -> bytes:
     records = -(-(len(label) + 20) // record)
     data = np.clip(np.trunc(pixels), 0, 65_535).astype(">u2").tobytes()
     return label.format(records + 1).encode().ljust(records * record) + data
+
+
+#: Sample types of camera cubes: name, type, the least and the largest value that is no special pixel, the null pixel.
+#: Special pixels (null, and saturation low and high, of instrument or representation) lie outside.
+CUBE_TYPES = {
+    "UnsignedByte": ("u1", 1, 254, 0),
+    "SignedWord": ("i2", -32752, 32767, -32768),
+    "Real": ("f4", float(np.uint32(0xFF7FFFFA).view(np.float32)), float(np.finfo(np.float32).max), float(np.uint32(0xFF7FFFFB).view(np.float32))),
+}
+
+
+def cube_label(raw) -> dict[str, str]:
+    """The keywords of a camera cube's core, by ``object or group.keyword``."""
+    text = raw[:1 << 16].split(b"\0")[0].decode("latin-1")
+    out: dict[str, str] = {}
+    within: list[str] = []
+    for line in text.splitlines():
+        m = re.match(r"\s*([A-Za-z_]+)\s*(?:=\s*(.*?)\s*)?$", line)
+        if not m:
+            continue
+        key, value = m[1], (m[2] or "").strip('"')
+        if key.lower() in ("object", "group"):
+            within.append(value)
+        elif key.lower() in ("end_object", "end_group"):
+            within = within[:-1]
+        elif key.lower() == "end":
+            break
+        elif "Core" in within:
+            out.setdefault(f"{within[-1]}.{key}", value)
+    if not out:
+        raise ValueError("not a camera cube")
+    return out
+
+
+def cube_layout(raw) -> dict:
+    """Where a cube's pixels are and what they mean: type, start, width, height, bands, tile (None: rows of a band), base, multiplier, low, high."""
+    label = cube_label(raw)
+    kind = label["Pixels.Type"]
+    if kind not in CUBE_TYPES:
+        raise ValueError(f"pixels of type {kind}")
+    code, low, high, _ = CUBE_TYPES[kind]
+    order = "<" if label.get("Pixels.ByteOrder", "Lsb").lower() == "lsb" else ">"
+    tile = (int(label["Core.TileSamples"]), int(label["Core.TileLines"])) if label.get("Core.Format") == "Tile" else None
+    size = {n: int(label[f"Dimensions.{k}"]) for n, k in (("width", "Samples"), ("height", "Lines"), ("bands", "Bands"))}
+    scale = {n: float(label.get(f"Pixels.{k}", d)) for n, k, d in (("base", "Base", 0), ("multiplier", "Multiplier", 1))}
+    return {"dtype": order + code, "start": int(label["Core.StartByte"]) - 1, "tile": tile, "low": low, "high": high, **size, **scale}
+
+
+def encode_cube(bands: np.ndarray, tile: tuple[int, int], kind: str = "Real", base: float = 0.0, multiplier: float = 1.0) -> bytes:
+    """A tiled cube of (bands, rows, columns); not-a-number becomes the null pixel, tiles are padded with it."""
+    code, low, high, null = CUBE_TYPES[kind]
+    n, height, width = bands.shape
+    w, h = tile
+    raw = (bands - base) / multiplier
+    raw = np.where(np.isnan(raw), null, np.clip(raw if kind == "Real" else np.rint(raw), low, high))
+    padded = np.full((n, -(-height // h) * h, -(-width // w) * w), null, "<" + code)
+    padded[:, :height, :width] = raw
+    data = padded.reshape(n, padded.shape[1] // h, h, padded.shape[2] // w, w).transpose(0, 1, 3, 2, 4).tobytes()
+    rows = [
+        "Object = IsisCube", "  Object = Core", "    StartByte = 4097", "    Format = Tile", f"    TileSamples = {w}", f"    TileLines = {h}", "    Group = Dimensions",
+        f"      Samples = {width}", f"      Lines = {height}", f"      Bands = {n}", "    End_Group", "    Group = Pixels", f"      Type = {kind}", "      ByteOrder = Lsb",
+        f"      Base = {base!r}", f"      Multiplier = {multiplier!r}", "    End_Group", "  End_Object", "End_Object", "End", "",
+    ]
+    return "\n".join(rows).encode().ljust(4096, b"\0") + data

@@ -1,7 +1,7 @@
 """Data sources for images read by ranges of bytes, and for files that appear only when all are written.
 
-``selenite_tiff`` and ``selenite_pds`` read georeferenced rasters and planetary images as
-(path, band, x, y, v). A partition is a range of rows, strips or tiles of one file, some
+``selenite_tiff``, ``selenite_pds`` and ``selenite_cube`` read georeferenced rasters, planetary images and camera cubes as
+(path, band, x, y, v); special pixels of a cube are null. A partition is a range of rows, strips or tiles of one file, some
 ``partition_bytes`` long, so a large file spreads over many tasks and no task holds more than a block.
 The options x, y, width and height, and filters on ``x``, ``y``, ``band`` and ``path`` where the session pushes
 filters into such sources, keep the bytes of other rows from being read at all.
@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
-from selenite.sources.formats import DEFLATE, PIXELS, pds_layout, tiff_tags, tiff_type
+from selenite.sources.formats import DEFLATE, PIXELS, cube_layout, pds_layout, tiff_tags, tiff_type
 
 #: Bytes of a partition, pixels of a batch, bytes around a small read that are read with it.
 PARTITION = 16 << 20
@@ -121,6 +121,24 @@ class Piece(InputPartition):
     dtype: str
     blocks: list[Block]
     window: tuple[int, int, int, int]
+    #: What samples mean: base, multiplier, least and largest value that is one; nothing: they stand for themselves.
+    meaning: tuple[float, float, float, float] | None = None
+
+
+def cube_plan(raw, longest: int) -> tuple[str, list[Block], tuple[float, float, float, float]]:
+    """The tiles of a camera cube, band after band, or its rows cut to about ``longest`` bytes."""
+    c = cube_layout(raw)
+    size = np.dtype(c["dtype"]).itemsize
+    w, h = c["tile"] or (c["width"], max(1, longest // (c["width"] * size)))
+    across, down = -(-c["width"] // w), -(-c["height"] // h)
+    out, at = [], c["start"]
+    for band in range(c["bands"]):
+        for k in range(across * down):
+            x, y = k % across * w, k // across * h
+            rows = min(h, c["height"] - y)
+            out.append(Block(at, rows * w * size, band, 1, x, y, min(w, c["width"] - x), rows, w, False))
+            at += (h if c["tile"] else rows) * w * size
+    return c["dtype"], out, (c["base"], c["multiplier"], c["low"], c["high"])
 
 
 def tiff_plan(raw, longest: int) -> tuple[str, list[Block]]:
@@ -176,8 +194,9 @@ def inside(block: Block, window: tuple[int, int, int, int]) -> Block | None:
     return replace(block, at=block.at + (top - block.y) * row, n=(bottom - top) * row, y=top, h=bottom - top)
 
 
-def pixel_batches(path: str, dtype: str, block: Block, data: bytes, window: tuple[int, int, int, int]) -> Iterator[pa.RecordBatch]:
-    """The block's pixels in the window, some BATCH a batch."""
+def pixel_batches(piece: Piece, block: Block, data: bytes) -> Iterator[pa.RecordBatch]:
+    """The block's pixels in the piece's window, some BATCH a batch."""
+    path, dtype, window = piece.path, piece.dtype, piece.window
     if block.packed:
         data = zlib.decompress(data)
     kind = np.dtype(dtype)
@@ -191,10 +210,14 @@ def pixel_batches(path: str, dtype: str, block: Block, data: bytes, window: tupl
         for top in range(y0, y1, step):
             part = cube[top - block.y : min(top + step, y1) - block.y, x0 - block.x : x1 - block.x, k]
             ys, xs = np.divmod(np.arange(part.size, dtype=np.int32), np.int32(max(1, x1 - x0)))
+            v = np.ascontiguousarray(part).astype(np.float64).ravel()
+            if piece.meaning:
+                base, multiplier, low, high = piece.meaning
+                v = np.where((v >= low) & (v <= high), base + multiplier * v, np.nan)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([path] * part.size, pa.string()), pa.array(np.full(part.size, block.band + k, np.int32)), pa.array(xs + np.int32(x0)),
-                    pa.array(ys + np.int32(top)), pa.array(np.ascontiguousarray(part).astype(np.float64).ravel()),
+                    pa.array(ys + np.int32(top)), pa.array(v, from_pandas=piece.meaning is not None),
                 ],
                 ["path", "band", "x", "y", "v"],
             )
@@ -217,7 +240,7 @@ class ImageReader(DataSourceReader):
                 continue
             try:
                 raw = RangedFile(path)
-                dtype, blocks = self.plan(raw, size, self.asked) if self.asked and self.plan is pds_plan else self.plan(raw, size)
+                dtype, blocks, *meaning = self.plan(raw, size, self.asked) if self.asked and self.plan is pds_plan else self.plan(raw, size)
             except (ValueError, KeyError, struct.error) as e:
                 raise ValueError(f"{path}: {e}") from e
             window = self.window
@@ -229,12 +252,12 @@ class ImageReader(DataSourceReader):
                 if block is None or (self.bands is not None and not self.bands & set(range(block.band, block.band + block.samples))):
                     continue
                 if held and n + block.n > size:
-                    out.append(Piece(path, dtype, held, window))
+                    out.append(Piece(path, dtype, held, window, *meaning))
                     held, n = [], 0
                 held.append(block)
                 n += block.n
             if held:
-                out.append(Piece(path, dtype, held, window))
+                out.append(Piece(path, dtype, held, window, *meaning))
         return out or [Piece("", "<u1", [], EVERYTHING)]
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
@@ -243,7 +266,7 @@ class ImageReader(DataSourceReader):
         raw = RangedFile(piece.path)
         for block in piece.blocks:
             try:
-                yield from pixel_batches(piece.path, piece.dtype, block, raw.read(block.at, block.n), piece.window)
+                yield from pixel_batches(piece, block, raw.read(block.at, block.n))
             except (ValueError, zlib.error) as e:
                 raise ValueError(f"{piece.path}: {e}") from e
 
@@ -292,6 +315,14 @@ class PdsSource(TiffSource):
         return "selenite_pds"
 
 
+class CubeSource(TiffSource):
+    plan = staticmethod(cube_plan)
+
+    @classmethod
+    def name(cls) -> str:
+        return "selenite_cube"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selenite.sources import ranged
-from selenite.sources.formats import HEADER, encode_pds, encode_tiff, tiff_header
+from selenite.sources.formats import HEADER, encode_cube, encode_pds, encode_tiff, tiff_header
 
 
 def read_rasters(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -154,6 +154,19 @@ def read_pds(spark: SparkSession, path: str, tile: tuple[int, int, int, int] | N
     return ranged.read_images(spark, ranged.PdsSource, path, **window, **options)
 
 
+def read_cubes(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, band, x, y, v): the pixels of camera cubes with base and multiplier applied; special pixels are null."""
+    return ranged.read_images(spark, ranged.CubeSource, path, **options)
+
+
+def write_cubes(pixels: DataFrame, folder: str, keys: Sequence[str], tile: tuple[int, int]) -> None:
+    """Write (keys, x, y, v) as cubes of one band of reals, ``keys.cub``; missing pixels and nulls become the null pixel."""
+    nan = float("nan")
+    found = tiles_of(pixels, 1 << 20, keys, lambda p, tx, ty: encode_cube(p[None], tile), nan)
+    name = F.concat(F.concat_ws("_", *(F.col(c).cast("string") for c in keys)), F.lit(".cub"))
+    ranged.save_files(found.select(name.alias("name"), "content"), folder)
+
+
 def eight_bits(pixels: DataFrame, bits: int) -> DataFrame:
     """Samples as 8 bits: 16-bit ones by 256 over the file's largest, 32-bit ones by 256; three bands in reversed order."""
     limits = pixels.groupBy("path").agg(F.max("v").alias("_most"), F.max("band").alias("_last"))

@@ -188,3 +188,30 @@ def test_mosaic_tiles(spark, tmp_path):
     assert (tmp_path / "m/tile_0_0_point_cloud.txt").read_text() == "1.500000 2.000000 3.250000 7 7 7\n10000000.000000 0.000000 -1.000000 255 255 255\n"
     got = {(r.x, r.y): r.v for r in rasters.read_rasters(spark, f"{tmp_path}/m/tile_0_0.tif").collect()}
     assert got == {(x, y): {(0, 0): 7.0, (1, 0): 255.0}.get((x, y), 0.0) for x in range(4) for y in range(4)}
+
+
+@pytest.mark.parametrize("kind, base, multiplier", [("Real", 0.0, 1.0), ("SignedWord", 10.0, 0.5), ("UnsignedByte", 0.0, 2.0)])
+def test_cubes_round_trip(spark, tmp_path, counted, kind, base, multiplier):
+    a = np.arange(2 * 50 * 70).reshape(2, 50, 70) % 120 * multiplier + base + multiplier
+    a[0, 3, 4] = a[1, 49, 69] = np.nan
+    (tmp_path / "a.cub").write_bytes(formats.encode_cube(a, (32, 16), kind, base, multiplier))
+    want = {(k, x, y): None if np.isnan(a[k, y, x]) else a[k, y, x] for k in range(2) for x in range(70) for y in range(50)}
+    assert {(r.band, r.x, r.y): r.v for r in rasters.read_cubes(spark, str(tmp_path / "a.cub"), partition_bytes=2000).collect()} == want
+    counted.clear()
+    reader = ranged.FilteredReader({"path": str(tmp_path / "a.cub"), "x": "60", "y": "40", "width": "10", "height": "10"}, ranged.cube_plan)
+    list(reader.pushFilters([ranged.EqualTo(("band",), 1)]))
+    assert scan(reader) == {k: v for k, v in want.items() if k[0] == 1 and k[1] >= 60 and k[2] >= 40}
+    size = np.dtype(formats.CUBE_TYPES[kind][0]).itemsize
+    assert sum(counted) <= 3 * 32 * 16 * size + ranged.PAGE
+
+
+def test_cubes_by_rows_and_special_pixels(spark, tmp_path):
+    label = formats.encode_cube(np.zeros((1, 1, 1)), (1, 1))[:4096].decode().rstrip("\0")
+    label = label.replace("Format = Tile", "Format = BandSequential").replace("Samples = 1\n      Lines = 1", "Samples = 5\n      Lines = 2").replace("Type = Real", "Type = SignedWord").replace("Lsb", "Msb")
+    data = np.array([[-32768, -32767, -32764, -32752, 7], [0, 1, 2, 32767, -32753]], ">i2")
+    (tmp_path / "b.cub").write_bytes(label.encode().ljust(4096, b"\0") + data.tobytes())
+    got = {(r.x, r.y): r.v for r in rasters.read_cubes(spark, str(tmp_path / "b.cub")).collect()}
+    assert got == {(x, y): float(data[y, x]) if data[y, x] >= -32752 else None for x in range(5) for y in range(2)}
+    with pytest.raises(Exception, match="not a camera cube"):
+        (tmp_path / "b.cub").write_bytes(b"nothing")
+        rasters.read_cubes(spark, str(tmp_path / "b.cub")).count()
