@@ -62,6 +62,32 @@ def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return rows.where(overlap(box("l"), box("r")) & own).select("l_id", "r_id")
 
 
+def dense(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def k_nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, step: int = 512):
+    """(rows of a, rows of b, squared distance): the k rows of ``b`` nearest each of ``a``, ties to the lower id, exactly.
+
+    A product of matrices finds all that can be among them; their distances are then worked out as they stand.
+    """
+    lengths = (b * b).sum(1)
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        own = (part * part).sum(1)
+        d = own[:, None] - 2 * (part @ b.T) + lengths
+        least = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(part), np.inf)
+        slack = 1e-10 * (own + lengths.max())
+        u, v = np.nonzero(d <= (least + slack)[:, None])
+        exact = ((b[v] - part[u]) ** 2).sum(1)
+        order = np.lexsort((ids[v], exact, u))
+        u, v, exact = u[order], v[order], exact[order]
+        kept = np.arange(len(u)) - np.searchsorted(u, u) < k  # u is sorted
+        yield at + u[kept], v[kept], exact[kept]
+
+
 def nearest_descriptors(queries: DataFrame, table: DataFrame, k: int = 2, block: int = 2048) -> DataFrame:
     """(q_id, t_id, rank, dist2): the k nearest descriptors of each query, exactly; ties to the lower id.
 
@@ -80,14 +106,10 @@ def nearest_descriptors(queries: DataFrame, table: DataFrame, k: int = 2, block:
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"q_id": pa.array([], pa.int64()), "t_id": pa.array([], pa.int64()), "dist2": pa.array([], pa.float64())})
-        right = right.sort_by("id")
-        a, b = (np.array(x.column("desc").to_pylist()) for x in (left, right))
-        d = np.stack([((b - row) ** 2).sum(1) for row in a])
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        ids = right.column("id").to_numpy()
-        return pa.table(
-            {"q_id": np.repeat(left.column("id").to_numpy(), at.shape[1]), "t_id": ids[at].ravel(), "dist2": np.take_along_axis(d, at, 1).ravel()}
-        )
+        a, b = (dense(x.column("desc")) for x in (left, right))
+        own, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
+        parts = [(own[u], ids[v], d) for u, v, d in k_nearest(a, b, ids, k)]
+        return pa.table(dict(zip(("q_id", "t_id", "dist2"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     pairs = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(compare, "q_id long, t_id long, dist2 double")
     best = pairs.groupBy("q_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist2", "t_id"))), 1, k).alias("b"))

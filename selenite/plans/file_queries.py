@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
-from selenite.sources import labels, rasters
+from selenite.sources import appended, labels, rasters
 
 
 @query(
@@ -164,3 +164,13 @@ def sc14_label_statements(spark, d):
     rows = labels.statements(label(spark, d), "t", ["id"])
     some = rows.where("keyword = 'PDS_VERSION_ID' or keyword = 'BEHIND' or within like 'IMAGE%'")
     return some.select("id", "within", "keyword", F.array_join(labels.listed(F.col("value")), "|").alias("value"))
+
+
+@query("select event_id, user_id, round(value, 6) as x, cast(event_id % 256 as integer) as grey from events")
+def sk15_appended_clouds(spark, d):
+    """Points appended frame after frame, one frame twice as after a failure."""
+    folder, e = P.scratch(spark), F.col("event_id")
+    rows = P.table(spark, d, "events").select("event_id", "user_id", F.round("value", 6).alias("x"), (e % 256).cast("int").alias("grey"))
+    for batch in (0, 1, 1, 2, 0):
+        appended.append_batch(rows.where(e % 3 == batch), folder, batch)
+    return appended.read_appended(spark, folder, rows.schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from selenite.operators import raster, registration
+from selenite.functions import geo
+from selenite.operators import matching, raster, registration
 from selenite.plans import match_queries as M
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
@@ -32,6 +33,37 @@ def i02_j05_lidar_to_dem(spark, d):
     )
 
 
+PLACES = f"""select cast(x + y * 64 as bigint) as id, x, y, 0.0::double as err from v_raster where x % 8 = 0 and y % 8 = 0 and v > -0.05"""
+
+
+@query(P.with_views(PLACES, "v_raster"))
+def i02_lidar_matches(spark, d):
+    """The DEM's pixel that each lidar point meets under the motion found, and how far off it is: its own pixel, nothing."""
+    dem, features, center = M.candidates(spark, d), lidar(spark, d, SHIFT), (32.0, 0.0, 0.0)
+    r, t, _ = registration.lidar_to_dem(features, dem, 2, center)
+    found = matching.window_nearest(features, registration.moved_candidates(dem, r, t, center), ["id"], 2)
+    return found.select("id", "x", "y", (F.round("dist", 4) + 0.0).alias("err"))
+
+
+@query(
+    P.with_views(
+        """select cast(x + y * 64 as bigint) as id, x, y, cast(1 as integer) as start, 0.0::double as err from v_raster where x % 8 = 0 and y % 8 = 0 and v > -0.05""",
+        "v_raster",
+    )
+)
+def i05_start_matches(spark, d):
+    """The best start of several, and what each point meets under its motion: the pixel that it came from."""
+    starts = [(np.eye(3), np.array([30.0, 30.0, 0.0])), (np.eye(3), np.array([-2.1, 1.1, -0.4])), (np.eye(3), np.array([1e6, 0.0, 0.0]))]
+    features, dem = lidar(spark, d, (2.0, -1.0, 0.5)), M.candidates(spark, d)
+    best, found = registration.multi_start(features, dem, 2, starts, 2)
+    r, t, _ = found[best]
+    moved = [geo.dot([F.lit(float(v)) for v in r[i]], [F.col(f"f{c}") for c in "xyz"]) + float(t[i]) for i in range(3)]
+    rows = features.select("id", *(m.alias(f"f{c}") for c, m in zip("xyz", moved, strict=True)))
+    rows = rows.withColumn("px", F.round("fx").cast("int")).withColumn("py", F.round("fy").cast("int"))
+    near = matching.window_nearest(rows, dem, ["id"], 2)
+    return near.select("id", "x", "y", F.lit(best).alias("start"), (F.round("dist", 4) + 0.0).alias("err"))
+
+
 @query("select cast(1 as integer) as best, cast(-2 as double) as tx, cast(1 as double) as ty, cast(-0.5 as double) as tz, cast(0 as double) as err")
 def i05_multi_start(spark, d):
     """The start beside the known motion wins."""
