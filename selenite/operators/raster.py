@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from selenite.functions import geo
+
 
 def valid_pixel(v: Column, nodata: float) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (v != nodata)
@@ -79,6 +81,26 @@ def pool(raster: DataFrame, factor: int, keys: Sequence[str] = ()) -> DataFrame:
     return raster.groupBy(*keys, *cell).agg(F.avg("v").alias("v"))
 
 
+def pyramid(raster: DataFrame, zooms: Sequence[int] = (8, 4, 2, 1), keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, zoom, x, y, v): the means of all levels from one pass; sums and counts are added up before they are shuffled."""
+    level = [F.struct(F.lit(z).alias("zoom"), *(F.floor(F.col(c) / z).cast("int").alias(c) for c in ("x", "y"))) for z in zooms]
+    rows = raster.select(*keys, "v", F.explode(F.array(*level)).alias("_l")).select(*keys, "_l.*", "v")
+    return rows.groupBy(*keys, "zoom", "x", "y").agg(F.avg("v").alias("v"))
+
+
+def origin_cloud(raster: DataFrame, place: Sequence[float], semi_major: float, step: int = 20, nodata: float = -37687.0) -> DataFrame:
+    """(x, y, px, py, pz): every ``step``-th valid pixel as a point in space, counted from the point of the first pixel.
+
+    ``place``: (lon of the first pixel, its lat, degrees a column, degrees a row). Without a first pixel there are no points.
+    """
+    lon0, lat0, dx, dy = map(float, place)
+    lon, lat = F.lit(lon0) + F.col("x") * dx, F.lit(lat0) + F.col("y") * dy
+    at = [p.alias(c) for p, c in zip(geo.geodetic_to_xyz(lon, lat, F.col("v"), semi_major), ("px", "py", "pz"), strict=True)]
+    first = raster.where("x = 0 and y = 0").select(*at).limit(1).select(*(F.col(c).alias(f"_{c}") for c in ("px", "py", "pz")))
+    rows = subsample(raster, step, step, nodata).where(~F.isnan("v")).select("x", "y", *at)
+    return rows.join(F.broadcast(first)).select("x", "y", *((F.col(c) - F.col(f"_{c}")).alias(c) for c in ("px", "py", "pz")))  # one row
+
+
 def rasterize(points: DataFrame, x: Column, y: Column, value: str, order: Sequence[str]) -> DataFrame:
     """A grid of the last value that falls on each pixel."""
     cell = [F.floor(x).cast("int").alias("x"), F.floor(y).cast("int").alias("y")]

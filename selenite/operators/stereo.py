@@ -178,6 +178,13 @@ def reproject(x: Column, y: Column, d: Column, q: np.ndarray) -> list[Column]:
     return [F.when(w != 0, row(i) / w) for i in range(3)]
 
 
+def stereo_points(disparity: DataFrame, image: DataFrame, q: np.ndarray, most: float = 1e4) -> DataFrame:
+    """(x, y, px, py, pz, v): pixels with a disparity as points in front of the camera and nearer than ``most``, with their values."""
+    p = [c.alias(n) for c, n in zip(reproject(F.col("x"), F.col("y"), F.col("d"), q), ("px", "py", "pz"), strict=True)]
+    rows = disparity.select("x", "y", *p).where((F.col("pz") > 0) & (F.col("pz") < most))
+    return rows.join(image.select("x", "y", "v"), ["x", "y"])
+
+
 def normalized_disparity(disparity: DataFrame) -> DataFrame:
     """(x, y, v): disparities scaled to 0 .. 255 by the least and largest of all."""
     return raster.normalize(disparity.select("x", "y", F.col("d").cast("double").alias("v"))).withColumn("v", F.floor(F.col("v") * 255).cast("int"))

@@ -212,3 +212,22 @@ def j12_scatter(spark, d):
     moved = P.raster(spark, d).where("v <> 0").withColumn("ord", F.col("y") * 64 + F.col("x"))
     out = raster.rasterize(moved, F.col("x") + 2, F.col("y") - 1, "v", ["ord"])
     return out
+
+
+@query(P.with_views("select cast(z as integer) as zoom, cast(x // z as integer) as x, cast(y // z as integer) as y, round(avg(v), 8) as v from v_raster, (values (8), (4), (2), (1)) t(z) group by 1, 2, 3", "v_raster"))
+def o17_pyramid(spark, d):
+    return P.rounded(raster.pyramid(P.raster(spark, d)), 8)
+
+
+@query(
+    P.with_views(
+        """select x, y, round(px - first(px) over w, 3) as px, round(py - first(py) over w, 3) as py, round(pz - first(pz) over w, 3) as pz from (
+        select x, y, r * cos(lat) * cos(lon) as px, r * cos(lat) * sin(lon) as py, r * sin(lat) as pz from (
+        select x, y, 1737400 + v * 1000 as r, radians(30 + x * 0.01) as lon, radians(20 + y * -0.001) as lat from v_raster where x % 20 = 0 and y % 20 = 0))
+        window w as (order by y, x rows between unbounded preceding and unbounded following)""",
+        "v_raster",
+    )
+)
+def sk12_origin_cloud(spark, d):
+    heights = P.raster(spark, d).select("x", "y", (F.col("v") * 1000).alias("v"))
+    return P.rounded(raster.origin_cloud(heights, (30, 20, 0.01, -0.001), 1737400.0), 3)

@@ -310,3 +310,17 @@ def i07_frame_loop(spark, d):
     poses = frames.frame_poses(rows.select("film", "frame", "desc", *(c.alias(n) for n, c in place.items())), P.scratch(spark))
     near = lambda c, n: F.round(c, n) + 0.0
     return poses.select("film", "frame", "matches", "moved", near(F.col("r")[0], 6).alias("c"), near(F.col("r")[3], 6).alias("s"), near(F.col("t")[0], 4).alias("tx"))
+
+
+@query(
+    P.with_views(
+        f"""select m.x, m.y, round((m.x - 32) / (d * 0.5), 6) as px, round((m.y - 20) / (d * 0.5), 6) as py, round(100 / (d * 0.5), 6) as pz, cast(floor(abs(v) * 255) as integer) as grey
+        from {MATCHED} m join v_raster r on r.x = m.x and r.y = m.y where d > 0""",
+        "v_raster",
+    )
+)
+def sk16_stereo_points(spark, d):
+    """Points of the disparities, with the image's values."""
+    q = np.array([[1, 0, 0, -32], [0, 1, 0, -20], [0, 0, 0, 100], [0, 0, 0.5, 0]])
+    grey = P.raster(spark, d).select("x", "y", F.floor(F.abs("v") * 255).cast("int").alias("v"))
+    return P.rounded(stereo.stereo_points(stereo.block_match(*images(spark, d), 6), grey, q).withColumnRenamed("v", "grey"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
+from selenite.functions import words
 from selenite.sources import text
 
 LINE = "concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), ',', cast(event_id % 360 as varchar), ',', cast(event_id % 90 as varchar), ',', cast(1737 + event_id % 5 as varchar), ',a,b,c,d,e,f,g,', cast(event_id % 5 + 1 as varchar))"
@@ -114,3 +115,36 @@ def u01_u02_u03_concatenate(spark, d):
 @query("select s_suppkey as id, n_name as name from supplier join nation on s_nationkey = n_nationkey")
 def u04_index_lookup(spark, d):
     return P.table(spark, d, "supplier").join(P.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("name"))
+
+
+@query(
+    """select o_orderkey as id, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || 'AB' as four,
+    substr(h, 3, 2) || substr(h, 1, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 15, 2) || substr(h, 13, 2) || 'AB' as two
+    from (select o_orderkey, printf('%016X', o_orderkey * 1000003) as h from orders)"""
+)
+def p30_byte_swap(spark, d):
+    raw = F.unhex(F.concat(F.lpad(F.hex(F.col("o_orderkey") * 1000003), 16, "0"), F.lit("AB")))
+    return P.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.hex(words.swapped(raw, 4)).alias("four"), F.hex(words.swapped(raw, 2)).alias("two"))
+
+
+@query(
+    """select s_suppkey as id, cast(i as integer) as line_no, case i when 0 then 'minError= ' || cast(s_suppkey / 4.0::double as varchar) when 1 then 'maxError= ' || cast(s_suppkey + 0.5::double as varchar)
+    when 2 then 'avgError= 3.5' when 3 then 'numValidPts= ' || s_suppkey when 4 then 'hist_0= ' || s_suppkey else 'hist_1= ' || (s_suppkey % 5) end as value from supplier, range(0, 6) t(i)"""
+)
+def sk03_statistics_lines(spark, d):
+    k = F.col("s_suppkey")
+    stats = P.table(spark, d, "supplier").select(
+        k.alias("id"), (k / 4.0).alias("min_err"), (k + F.lit(0.5)).alias("max_err"), F.lit(3.5).alias("avg_err"), k.cast("long").alias("n"), F.array(k, k % 5).cast("array<long>").alias("hist")
+    )
+    return text.statistics_lines(stats, ["id"])
+
+
+@query(
+    """select s_suppkey as id, cast(case when i < 4 then i else 4 end as integer) as line_no, substr('CAHVR', cast(i as integer) + 1, 1) || ' = (' || printf('%.6f', (s_suppkey + i)::double) || ', ' || printf('%.6f', s_nationkey / 8.0::double)
+    || ', -0.500000)' as value from supplier, range(0, 5) t(i) where i < 4 or s_nationkey % 2 = 0"""
+)
+def sk17_camera_lines(spark, d):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    axis = lambda i: F.array((k + i).cast("double"), n / F.lit(8.0), F.lit(-0.5))
+    rows = P.table(spark, d, "supplier").select(k.alias("id"), *(axis(i).alias(c) for i, c in enumerate("CAHV")), F.when(n % 2 == 0, axis(4)).alias("R"))
+    return text.camera_lines(rows, ["id"])

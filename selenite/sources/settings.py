@@ -1,4 +1,8 @@
-"""Settings, calibrations and lists, read on the driver: small texts that steer a run."""
+"""Settings, calibrations and lists: small texts that steer a run.
+
+A path of this machine is opened as it is; an address (``store://...``) is read by Spark, from whatever
+storage the cluster knows.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,30 @@ import os
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
 
 
 def _lines(path: str) -> list[str] | None:
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        return [line.split("#")[0].strip() for line in f]
+    if "://" in path:
+        text = stored_text(path)
+    elif os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    else:
+        text = None
+    return None if text is None else [line.split("#")[0].strip() for line in text.splitlines()]
+
+
+def stored_text(address: str) -> str | None:
+    """The text of a file in shared storage, None where there is none."""
+    try:
+        row = SparkSession.active().read.text(address, wholetext=True).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return row[0] if row else ""
 
 
 def _as(kind: object, text: str):

@@ -68,10 +68,19 @@ def statistics_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def statistics_lines(stats: DataFrame) -> DataFrame:
+def statistics_lines(stats: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, line_no, value): the scalars, then the bins; without keys only the values."""
     head = [F.format_string(f"{k}= %s", F.col(c).cast("string")) for k, c in (("minError", "min_err"), ("maxError", "max_err"), ("avgError", "avg_err"), ("numValidPts", "n"))]
     bins = F.transform("hist", lambda v, i: F.format_string("hist_%d= %d", i, v))
-    return stats.select(F.explode(F.concat(F.array(*head), bins)).alias("value"))
+    lines = stats.select(*keys, F.posexplode(F.concat(F.array(*head), bins)).alias("line_no", "value"))
+    return lines if keys else lines.select("value")
+
+
+def camera_lines(cameras: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line_no, value): ``NAME = (a, b, c)`` for the vectors C, A, H, V, O, R (columns; null ones give no line)."""
+    names = [c for c in "CAHVOR" if c in cameras.columns]
+    line = lambda c: F.concat(F.lit(f"{c} = ("), F.array_join(F.transform(F.col(c), lambda v: F.format_string("%.6f", v.cast("double"))), ", "), F.lit(")"))
+    return cameras.select(*keys, F.posexplode(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), line(c)) for c in names)))).alias("line_no", "value"))
 
 
 def frame_points(rows: DataFrame) -> DataFrame:

@@ -101,6 +101,17 @@ def test_settings(tmp_path):
     assert settings.keyed_settings(str(tmp_path / "w"), defaults) == keyed
 
 
+def test_settings_in_shared_storage(spark, tmp_path):
+    defaults = {"MAX_ITER": 10, "WINDOW": [5, 5]}
+    (tmp_path / "k").write_text("MAX_ITER 3\nWINDOW 7 9 # wide\n")
+    assert settings.keyed_settings(f"file://{tmp_path}/k", defaults) == {"MAX_ITER": 3, "WINDOW": [7, 9]}
+    assert settings.keyed_settings(f"file://{tmp_path}/none", defaults) == defaults
+    (tmp_path / "l").write_text("a.tif\nb.tif\n")
+    assert settings.try_list(f"file://{tmp_path}/l") == (1, ["a.tif", "b.tif"]) and settings.try_list(f"file://{tmp_path}/x") == (0, [])
+    (tmp_path / "c").write_text("K 1 2 3 4")
+    assert settings.calibration(f"file://{tmp_path}/c", {"K": (2, 2)})["K"].tolist() == [[1, 2], [3, 4]]
+
+
 def test_calibration_and_lists(tmp_path):
     (tmp_path / "c").write_text("K = [700 0 320;\n 0 700 240;\n 0 0 1]\nD: 0.1 0.2\nsize 640 480\n")
     got = settings.calibration(str(tmp_path / "c"), {"K": (3, 3), "D": (2,), "size": (2,)})
