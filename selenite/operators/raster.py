@@ -217,6 +217,33 @@ def tiles_in_box(parameters: DataFrame, tile: int, box: Sequence[float]) -> Data
     return rows.withColumn("v", span(box[1], box[3], "offset_y")).select("image", "level", "h", "v")
 
 
+#: The finest ground resolution of a foreground that counts.
+FINEST = 1 / 32
+
+
+def sub_pyramid_tiles(boxes: DataFrame, tile: int, padding: Sequence[int] = (0, 0, 0, 0), elevation: bool = True) -> DataFrame:
+    """The background's tiles under each foreground's box, with their names and how much either is enlarged.
+
+    ``boxes``: image, left, top, right, bottom (pixels of the background), offset_x, offset_y (of its pyramid), back_res, fore_res
+    (ground units a pixel). The box is widened to breaks between tiles; ``padding`` (left, top, right,
+    bottom) is added around each. The background is enlarged by the power of two that reaches the foreground's resolution.
+    """
+    start = lambda c, o: F.floor((F.col(c) + F.col(o)) / tile).cast("long")
+    stop = lambda c, o: F.ceil((F.col(c) + F.col(o)) / tile).cast("long") - 1
+    span = lambda a, b, o: F.explode(F.when(start(a, o) <= stop(b, o), F.sequence(start(a, o), stop(b, o))))
+    back, fore = F.abs("back_res"), F.abs(F.when(F.col("fore_res") < FINEST, F.lit(FINEST)).otherwise(F.col("fore_res")))
+    enlarged = F.pow(F.lit(2.0), F.ceil(F.log2(back / fore)))
+    rows = boxes.withColumn("back_up", enlarged).withColumn("fore_up", F.col("back_up") / (back / F.abs("fore_res")))
+    rows = rows.withColumn("h", span("left", "right", "offset_x")).withColumn("v", span("top", "bottom", "offset_y"))
+    x, y = F.col("h") * tile - F.col("offset_x"), F.col("v") * tile - F.col("offset_y")
+    name = lambda kind: F.concat(F.lit("assembled_"), F.col("h").cast("string"), F.lit("_"), F.col("v").cast("string"), F.lit(kind))
+    names = {"name": "_dem.tif", "acc_name": "_acc.tif", "pc_name": "_pc.txt"} if elevation else {"name": "_drg.tif"}
+    return rows.select(
+        "image", "h", "v", (x - padding[0]).alias("xl"), (x + tile + padding[2]).alias("xr"), (y - padding[1]).alias("yt"), (y + tile + padding[3]).alias("yb"),
+        *(name(k).alias(c) for c, k in names.items()), "back_up", "fore_up",
+    )
+
+
 def crop(raster: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
     """The pixels of a window, counted from its corner."""
     inside = raster.where(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1))

@@ -266,30 +266,51 @@ def search_grid(spark):
     )
 
 
-@query(f"select cand, round(theta, 8) as theta, cast(dx as double) as dx, cast(dy as double) as dy from {GRID}")
-def o13_search_grid(spark, d):
-    return P.rounded(search_grid(spark), 8)
+SIZES = (3, 3, 9, 3, 3, 9)
+#: A point of each supplier and where it should come to lie.
+AIMS = "(select s_suppkey as id, (s_suppkey % 97)::double as x, (s_nationkey * 3)::double as y, (s_suppkey * 13 % 120)::double as u, (s_suppkey * 7 % 90)::double as v from supplier)"
 
 
-SIZES = (3, 3, 9, 3, 3, 9)
+def aims(spark, d):
+    k = F.col("s_suppkey")
+    values = {"x": k % 97, "y": F.col("s_nationkey") * 3, "u": k * 13 % 120, "v": k * 7 % 90}
+    return P.table(spark, d, "supplier").select(k.alias("id"), *(c.cast("double").alias(n) for n, c in values.items()))
+
+
+@query(
+    f"""select id, min_by(cand, (err, cand)) as cand, min(err) as err from (select id, cand, round(pow(cos(theta) * x - sin(theta) * y + dx - u, 2) + pow(sin(theta) * x + cos(theta) * y + dy - v, 2), 4) as err
+    from {AIMS}, {GRID}) group by id"""
+)
+def o13_search_grid(spark, d):
+    """Of 9 x 9 x 9 turns and shifts around the identity, for each point the one that brings it nearest to where it should lie."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(728))).alias("cand")
+    rows = aims(spark, d).select("*", i)
+    i = F.col("cand")
+    rows = rows.select("*", ((F.floor(i / 81) - 4) * F.lit(math.pi / 40)).alias("theta"), ((F.floor(i / 9) % 9 - 4) * 5.0).alias("dx"), ((i % 9 - 4) * 5.0).alias("dy"))
+    c, s, x, y = F.cos("theta"), F.sin("theta"), F.col("x"), F.col("y")
+    err = F.round((c * x - s * y + F.col("dx") - F.col("u")) ** 2 + (s * x + c * y + F.col("dy") - F.col("v")) ** 2, 4).alias("err")
+    return matching.argmin(rows.select("id", F.col("cand").cast("long").alias("cand"), err), ["id"], "err", ["cand"], []).select("id", "cand", "err")
 
 
 @query(
-    "select ((((p0 * 3 + p1) * 9 + p2) * 3 + p3) * 3 + p4) * 9 + p5 as cand, cast(1 + (p0 - 1) * 0.1 as double) as a, cast((p1 - 1) * 0.1 as double) as b, cast((p2 - 4) * 5 as double) as tx,"
-    " cast((p3 - 1) * 0.1 as double) as c, cast(1 + (p4 - 1) * 0.1 as double) as d, cast((p5 - 4) * 5 as double) as ty from "
+    f"""select id, min_by(cand, (err, cand)) as cand, min(err) as err from (select id, cand, round(pow(a * x + b * y + tx - u, 2) + pow(c * x + d * y + ty - v, 2), 4) as err from {AIMS}, (
+    select ((((p0 * 3 + p1) * 9 + p2) * 3 + p3) * 3 + p4) * 9 + p5 as cand, cast(1 + (p0 - 1) * 0.1 as double) as a, cast((p1 - 1) * 0.1 as double) as b, cast((p2 - 4) * 5 as double) as tx,
+    cast((p3 - 1) * 0.1 as double) as c, cast(1 + (p4 - 1) * 0.1 as double) as d, cast((p5 - 4) * 5 as double) as ty from """
     + ", ".join(f"range(0, {n}) r{k}(p{k})" for k, n in enumerate(SIZES))
+    + ")) group by id"
 )
 def o12_affine_grid(spark, d):
-    """3 x 3 x 9 x 3 x 3 x 9 affine candidates around the identity."""
-    i, parts, at = F.col("id"), {}, 1
+    """Of 3 x 3 x 9 x 3 x 3 x 9 affine maps around the identity, for each point the one that brings it nearest to where it should lie."""
+    rows = aims(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(math.prod(SIZES) - 1))).alias("cand"))
+    parts, at = {}, 1
     for k, n in reversed(list(enumerate(SIZES))):
-        parts[k] = F.floor(i / at) % n
+        parts[k] = F.floor(F.col("cand") / at) % n
         at *= n
-    one = lambda k: (1 + (parts[k] - 1) * 0.1).cast("double")
-    small, shift = (lambda k: ((parts[k] - 1) * 0.1).cast("double")), (lambda k: ((parts[k] - 4) * 5).cast("double"))
-    return spark.range(at).select(
-        i.alias("cand"), one(0).alias("a"), small(1).alias("b"), shift(2).alias("tx"), small(3).alias("c"), one(4).alias("d"), shift(5).alias("ty")
-    )
+    one, small, shift = (lambda k: 1 + (parts[k] - 1) * 0.1), (lambda k: (parts[k] - 1) * 0.1), (lambda k: (parts[k] - 4) * 5)
+    x, y = F.col("x"), F.col("y")
+    off = one(0) * x + small(1) * y + shift(2) - F.col("u"), small(3) * x + one(4) * y + shift(5) - F.col("v")
+    err = F.round(off[0] ** 2 + off[1] ** 2, 4).alias("err")
+    return matching.argmin(rows.select("id", F.col("cand").cast("long").alias("cand"), err), ["id"], "err", ["cand"], []).select("id", "cand", "err")
 
 
 @query(

@@ -66,17 +66,24 @@ def a23_counts(spark, d):
     )
 
 
-@query("select round(3.0 + i * 0.1, 6) as lon, round(25.0 + j * 0.1, 6) as lat from range(0, 40) a(i), range(0, 30) b(j)".replace("3.0 +", "3.0::double +").replace("25.0 +", "25.0::double +"))
+@query("select s_suppkey as id, round(s_suppkey % 300 - 150 + i * 0.1::double, 6) as lon, round(s_nationkey + j * 0.1::double, 6) as lat from supplier, range(0, 40) a(i), range(0, 30) b(j)")
 def o14_geo_grid(spark, d):
-    i = F.col("id")
-    return P.rounded(spark.range(1200).select((3.0 + F.floor(i / 30) * 0.1).alias("lon"), (25.0 + i % 30 * 0.1).alias("lat")))
+    """A grid of 40 x 30 places from each supplier's corner on."""
+    rows = P.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(1199))).alias("i"))
+    i = F.col("i")
+    lon, lat = F.col("s_suppkey") % 300 - 150 + F.floor(i / 30) * 0.1, F.col("s_nationkey") + i % 30 * 0.1
+    return P.rounded(rows.select(F.col("s_suppkey").alias("id"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat")))
 
 
-@query("select cast(i as integer) as corner_x, cast(j as integer) as corner_y, i * 2.5::double as x, j * 2.5::double as y from range(0, 9) a(i), range(0, 6) b(j)")
+@query(
+    """select s_suppkey as id, cast(i as integer) as corner_x, cast(j as integer) as corner_y, i * (2 + s_nationkey / 10.0::double) as x, j * (2 + s_nationkey / 10.0::double) as y
+    from supplier, range(0, 9) a(i), range(0, 6) b(j)"""
+)
 def o15_chessboard(spark, d):
-    i = F.col("id")
-    x, y = F.floor(i / 6).cast("int"), (i % 6).cast("int")
-    return spark.range(54).select(x.alias("corner_x"), y.alias("corner_y"), (x * 2.5).cast("double").alias("x"), (y * 2.5).cast("double").alias("y"))
+    """The corners of each supplier's board of 9 x 6 with squares of its own size."""
+    rows = P.table(spark, d, "supplier").select("s_suppkey", (2 + F.col("s_nationkey") / F.lit(10.0)).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(53))).alias("i"))
+    x, y = F.floor(F.col("i") / 6).cast("int"), (F.col("i") % 6).cast("int")
+    return rows.select(F.col("s_suppkey").alias("id"), x.alias("corner_x"), y.alias("corner_y"), (x * F.col("side")).alias("x"), (y * F.col("side")).alias("y"))
 
 
 @query("select s_suppkey as id, s_acctbal as h02, round(s_acctbal + 0.25, 6) as h02_fixed, round(s_acctbal * 2 - 0.5, 6) as h12_fixed from supplier")

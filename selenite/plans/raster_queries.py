@@ -231,3 +231,24 @@ def o17_pyramid(spark, d):
 def sk12_origin_cloud(spark, d):
     heights = P.raster(spark, d).select("x", "y", (F.col("v") * 1000).alias("v"))
     return P.rounded(raster.origin_cloud(heights, (30, 20, 0.01, -0.001), 1737400.0), 3)
+
+
+BOXES = """(select s_suppkey as image, (s_suppkey * 37 % 900)::double as l, (s_suppkey * 53 % 700)::double as t, (s_suppkey * 37 % 900 + 130 + s_nationkey)::double as r, (s_suppkey * 53 % 700 + 200.5)::double as b,
+    (s_suppkey % 64)::bigint as ox, (s_suppkey % 50)::bigint as oy, 1 + s_nationkey / 4.0::double as back_res, case when s_suppkey % 3 = 0 then 0.01 else 0.3 end::double as fore_res from supplier)"""
+
+
+@query(
+    f"""select image, h, v, h * 128 - ox - 4 as xl, h * 128 - ox + 128 + 6 as xr, v * 128 - oy - 5 as yt, v * 128 - oy + 128 + 7 as yb, 'assembled_' || h || '_' || v || '_dem.tif' as name,
+    'assembled_' || h || '_' || v || '_acc.tif' as acc_name, 'assembled_' || h || '_' || v || '_pc.txt' as pc_name, up as back_up, round(up / (back_res / fore_res), 6) as fore_up from (
+    select *, pow(2.0, ceil(log2(back_res / greatest(fore_res, 0.03125)))) as up, unnest(range(cast(floor((t + oy) / 128) as bigint), cast(ceil((b + oy) / 128) as bigint))) as v from (
+    select *, unnest(range(cast(floor((l + ox) / 128) as bigint), cast(ceil((r + ox) / 128) as bigint))) as h from {BOXES}))"""
+)
+def o09_sub_pyramid_tiles(spark, d):
+    """The tiles under a box of each supplier, snapped to tile breaks and padded, with their files' names."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    left, top = (k * 37 % 900).cast("double"), (k * 53 % 700).cast("double")
+    boxes = P.table(spark, d, "supplier").select(
+        k.alias("image"), left.alias("left"), top.alias("top"), (left + 130 + n).alias("right"), (top + 200.5).alias("bottom"), (k % 64).alias("offset_x"), (k % 50).alias("offset_y"),
+        (1 + n / 4.0).alias("back_res"), F.when(k % 3 == 0, 0.01).otherwise(0.3).alias("fore_res"),
+    )
+    return P.rounded(raster.sub_pyramid_tiles(boxes, 128, (4, 5, 6, 7)))
