@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.operators import matching
+from selenite.operators import graphs, matching
 from selenite.operators.registration import kabsch
 
 GRID = 1e-3
@@ -45,20 +45,51 @@ def link_chains(prev: np.ndarray, now: np.ndarray, first_frame: np.ndarray) -> n
     return out
 
 
-def chain_matches(matches: DataFrame, sequence: Sequence[str], frame: str, order: Sequence[str]) -> DataFrame:
+def chain_matches(matches: DataFrame, sequence: Sequence[str], frame: str, order: Sequence[str], folder: str) -> DataFrame:
     """``matches`` (px, py to qx, qy) with ``chain``, numbered from 0 in each sequence as the chains open.
 
-    A sequence is one camera's film: its state, the last pixel of every chain, is held in one task.
+    Chains that can ever meet share cells of ``GRID``: a match joins the cell where it ends to those around its start
+    where others end. Each component of cells is searched on its own, in order, so a film spreads over as many groups
+    as it has families of chains. Numbers come from counts of openings in ranges of the film. ``folder``: new and shared.
     """
-    schema = T.StructType([*matches.schema, T.StructField("chain", T.LongType())])
+    spark = matches.sparkSession
+    cell = lambda x, y, i=0, j=0: F.xxhash64(*sequence, F.floor(F.col(x) / GRID) + i, F.floor(F.col(y) / GRID) + j)
+    first = matches.groupBy(*sequence).agg(F.min(frame).alias("_frame"))
+    rows = matches.select("*", F.monotonically_increasing_id().alias("_id"), cell("qx", "qy").alias("_end")).join(first, list(sequence))
+    rows = rows.withColumn("_first", F.col(frame) == F.col("_frame")).drop("_frame")
+    rows.write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+    around = F.array(*(cell("px", "py", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    edges = rows.where(~F.col("_first")).select(F.col("_end").alias("u"), F.explode(around).alias("v")).distinct()
+    ends = rows.select(F.col("_end").alias("v")).distinct()
+    family = graphs.components(edges.join(ends, "v", "left_semi"), f"{folder}/cells")
+    rows = rows.join(family.select(F.col("node").alias("_end"), "root"), "_end", "left").withColumn("_family", F.coalesce("root", "_end")).drop("root", "_end")
+
+    schema = T.StructType([*(f for f in rows.schema if f.name not in ("_first", "_family")), T.StructField("_opener", T.LongType())])
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in (frame, *order)])
+        rows = rows.sort_by([(c, "ascending") for c in (frame, *order, "_id")])
         pixel = lambda a, b: np.column_stack([rows.column(c).to_numpy().astype(float) for c in (a, b)])
-        frames = rows.column(frame).to_numpy()
-        return rows.append_column("chain", pa.array(link_chains(pixel("px", "py"), pixel("qx", "qy"), frames == frames[0])))
-
-    return matches.groupBy(*sequence).applyInArrow(run, schema)
+        chain = link_chains(pixel("px", "py"), pixel("qx", "qy"), rows.column("_first").to_numpy())
+        _, opener = np.unique(chain, return_index=True)
+        ids = rows.column("_id").to_numpy()
+        return rows.drop(["_first", "_family"]).append_column("_opener", pa.array(ids[opener][chain]))
+
+    linked = rows.groupBy(*sequence, "_family").applyInArrow(run, schema)
+    linked.write.parquet(f"{folder}/linked")
+    linked = spark.read.schema(schema).parquet(f"{folder}/linked")
+    opened = linked.where("_id = _opener").select(*sequence, frame, *order, "_id")
+    opened = opened.repartitionByRange(*sequence, frame, *order, "_id").withColumn("_part", F.spark_partition_id())
+    opened.write.parquet(f"{folder}/opened")
+    opened = spark.read.schema(opened.schema).parquet(f"{folder}/opened")
+    counts = opened.groupBy(*sequence, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*sequence).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*sequence, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*sequence, "_part").orderBy(frame, *order, "_id"))
+    numbers = opened.withColumn("_place", inside).join(counts, [*sequence, "_part"])
+    numbers = numbers.select(F.col("_id").alias("_opener"), (F.col("_before") + F.col("_place") - 1).cast("long").alias("chain"))
+    return linked.join(numbers, "_opener").select(*matches.columns, "chain")
 
 
 def ordinals(rows: DataFrame, keys: Sequence[str], track: str, shot: str) -> DataFrame:

@@ -205,7 +205,7 @@ def j16_chain_links(spark, d):
         "user_id", F.floor(k / 400).cast("long").alias("frame"), "event_id", (k % 17).cast("double").alias("px"), (k % 5).cast("double").alias("py"),
         (k * 3 % 17).cast("double").alias("qx"), (k * 2 % 5).cast("double").alias("qy"),
     )
-    return sfm.chain_matches(rows, ["user_id"], "frame", ["event_id"])
+    return sfm.chain_matches(rows, ["user_id"], "frame", ["event_id"], P.scratch(spark))
 
 
 SUMS = ", ".join(f"sum(cast(r_{i} * m_{j} as double)) as s_{i}{j}" for i in "xyz" for j in "xyz")

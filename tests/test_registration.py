@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from selenite.operators import registration, sfm
+from selenite.operators import graphs, registration, sfm
+from selenite.plans import catalog
+from tests.conftest import SF
 
 
 def surface(x, y):
@@ -88,7 +90,7 @@ def plain_chains(rows):
     return out
 
 
-def test_chains_equal_a_plain_search(spark):
+def test_chains_equal_a_plain_search(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
     for s in range(3):
@@ -96,12 +98,42 @@ def test_chains_equal_a_plain_search(spark):
             p, q = rng.integers(0, 6, 4).reshape(2, 2) + rng.choice([0.0, 0.0004, -0.0006, 0.002], (2, 2))
             rows.append((s, i // 30, i, *map(float, p), *map(float, q)))
     df = spark.createDataFrame(rows, "seq int, frame int, i int, px double, py double, qx double, qy double").repartition(4)
-    got = {(r.seq, r.i): r.chain for r in sfm.chain_matches(df, ["seq"], "frame", ["i"]).collect()}
+    got = {(r.seq, r.i): r.chain for r in sfm.chain_matches(df, ["seq"], "frame", ["i"], f"file://{tmp_path}/c").collect()}
     for s in range(3):
         own = [r for r in rows if r[0] == s]
         assert [got[s, r[2]] for r in own] == plain_chains([(r[1], *r[3:]) for r in own])
 
 
+def test_chains_over_many_frames_and_the_query(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows, at, i = [], rng.uniform(0, 900, (25, 2)), 0
+    for f in range(40):
+        new = at + rng.uniform(-3, 3, at.shape)
+        new[rng.integers(0, 25, 2)] = rng.uniform(0, 900, (2, 2))  # lost, and found elsewhere
+        for k in rng.permutation(25)[:23]:
+            rows.append((0, f, i, *map(float, at[k]), *map(float, new[k])))
+            i += 1
+        at = new
+    df = spark.createDataFrame(rows, "seq int, frame int, i int, px double, py double, qx double, qy double").repartition(3)
+    got = {r.i: r.chain for r in sfm.chain_matches(df, ["seq"], "frame", ["i"], f"file://{tmp_path}/c").collect()}
+    assert [got[r[2]] for r in rows] == plain_chains([(r[1], *r[3:]) for r in rows])
+    assert sfm.chain_matches(df.where("false"), ["seq"], "frame", ["i"], f"file://{tmp_path}/e").count() == 0
+    seen = catalog.QUERIES["j16_chain_links"](spark, SF).collect()
+    for user in {r.user_id for r in seen}:
+        own = sorted((r for r in seen if r.user_id == user), key=lambda r: r.event_id)
+        assert [r.chain for r in own] == plain_chains([(r.frame, r.px, r.py, r.qx, r.qy) for r in own])
+
+
+def test_components_of_paths_and_stars(spark, tmp_path):
+    edges = [(i, i + 1) for i in range(0, 500)] + [(1000, 2000 + i) for i in range(50)] + [(3000, 3001), (3001, 3000), (7, 7), (4, 4), (9000, 9000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {}
+    for r in graphs.components(df, f"file://{tmp_path}/g").collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(len, got.values())) == [2, 51, 501] and all(root in nodes for root, nodes in got.items())
+    assert graphs.components(df.where("false"), f"file://{tmp_path}/h").count() == 0
+
+
 def test_relative_rotation_needs_pairs_and_a_body(spark):
     a = 0.3
     turn = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
