@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept. All but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty; rows without an id are documents like others, behind those with ids where
+one of a group stays; of rows with equal id and text one stays; further columns of ``documents``, whatever their names, are
+carried through all stages but the last; an empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
