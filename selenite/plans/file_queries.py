@@ -174,3 +174,22 @@ def sk15_appended_clouds(spark, d):
     for batch in (0, 1, 1, 2, 0):
         appended.append_batch(rows.where(e % 3 == batch), folder, batch)
     return appended.read_appended(spark, folder, rows.schema)
+
+
+@query(
+    """select s_suppkey as id, s_suppkey + 0.5::double as sample, s_nationkey + 0.25::double as line, -s_nationkey::double as min_lon, s_nationkey + 1::double as max_lon, -5.5::double as min_lat,
+    s_suppkey % 80::double as max_lat, cast(1000 + s_suppkey as integer) as columns, cast(512 as integer) as rows, cast(s_suppkey as integer) as x, cast(s_nationkey as integer) as y from supplier"""
+)
+def sc24_tool_reports(spark, d):
+    """What camera tools report of places and images, read from their texts."""
+    k, n = (F.col(c).cast("string") for c in ("s_suppkey", "s_nationkey"))
+    t = lambda *parts: F.concat(*(x if isinstance(x, F.Column) else F.lit(x) for x in parts))
+    high = (F.col("s_suppkey") % 80).cast("string")
+    place = t("Group = GroundPoint\n  Sample  = ", k, ".5 <pixels>\n  Line = ", n, ".25\nEnd_Group\n")
+    reach = t(
+        "Group = Target\n  MaximumLatitude = 1\nEnd_Group\nGroup = UniversalGroundRange\n  MinimumLatitude = -5.5 <degrees>\n  MaximumLatitude = ", high,
+        "\n  MaximumLongitude = 400\nEnd_Group\nGroup = PositiveEast180\n  MinimumLongitude = -", n, "\n  MaximumLongitude = ", (F.col("s_nationkey") + 1).cast("string"), "\nEnd_Group\n",
+    )
+    rows = P.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), place.alias("p"), reach.alias("r"), t("a,b,c,d,e,f\n1,2,3,4,", F.col("s_suppkey") + 1000, ",512,9\n").alias("s"), t("name,", k, ".75,", n, ".1\n").alias("f"))
+    found = labels.reported_pixel(F.col("p")) | labels.reported_range(F.col("r")) | labels.reported_size(F.col("s")) | labels.reported_projection(F.col("f"))
+    return rows.select("id", *(c.alias(name) for name, c in found.items()))

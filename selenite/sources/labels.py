@@ -131,3 +131,46 @@ def radiance(text: Column) -> dict[str, Column]:
     scale, bias = (object_value(text, "GROUP", RADIANCE, k).try_cast("double") for k in (SCALE, BIAS))
     both = scale.isNotNull() & bias.isNotNull()
     return {"scale": F.when(both, scale), "bias": F.when(both, bias)}
+
+
+def keyed_number(text: Column, keyword: str) -> Column:
+    """The first number of a line ``keyword = number``."""
+    return F.nullif(F.regexp_extract(text, rf"(?m)^\s*{keyword}\s+=\s+({NUMBER})", 1), F.lit("")).try_cast("double")
+
+
+def group_text(text: Column, name: str) -> Column:
+    """What stands between ``Group = name`` and its end."""
+    return F.regexp_extract(text, rf"(?ms)^\s*Group = {name}\b(.*?)^\s*End_Group", 1)
+
+
+def reported_pixel(text: Column) -> dict[str, Column]:
+    """Sample and line of a camera tool's report on a place; both null unless both are there."""
+    x, y = keyed_number(text, "Sample"), keyed_number(text, "Line")
+    both = x.isNotNull() & y.isNotNull()
+    return {"sample": F.when(both, x), "line": F.when(both, y)}
+
+
+def reported_range(text: Column) -> dict[str, Column]:
+    """The least and largest longitude (-180 .. 180) and latitude of a report on an image; all null unless all are there."""
+    lon, lat = group_text(text, "PositiveEast180"), group_text(text, "UniversalGroundRange")
+    found = {f"{n}_{c}": keyed_number(t, f"{k}{w}") for c, t, w in (("lon", lon, "Longitude"), ("lat", lat, "Latitude")) for n, k in (("min", "Minimum"), ("max", "Maximum"))}
+    every = None
+    for v in found.values():
+        every = v.isNotNull() if every is None else every & v.isNotNull()
+    return {k: F.when(every, v) for k, v in found.items()}
+
+
+def flat_numbers(text: Column, line: int, fields: tuple[int, int]) -> list[Column]:
+    """Two fields of a line (from 0) of a comma-separated report, cut to whole numbers."""
+    row = F.split(F.get(F.split(text, r"\r?\n"), F.lit(line)), ",")
+    return [F.get(row, F.lit(i)).try_cast("double").cast("int") for i in fields]
+
+
+def reported_size(text: Column) -> dict[str, Column]:
+    """Columns and rows of an image from a report with a header line."""
+    return dict(zip(("columns", "rows"), flat_numbers(text, 1, (4, 5)), strict=True))
+
+
+def reported_projection(text: Column) -> dict[str, Column]:
+    """The whole pixel of a place from a report without a header line."""
+    return dict(zip(("x", "y"), flat_numbers(text, 0, (1, 2)), strict=True))

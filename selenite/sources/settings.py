@@ -110,3 +110,8 @@ def tile_box_line(tile: Sequence[int]) -> str:
     """A tile's corners: left, top, right, bottom."""
     x, y, w, h = tile
     return f"{x} {y} {x + w} {y + h}"
+
+
+def matching_wanted(settings: Mapping[str, object], iterations: str = "MAX_ITER", window: str = "WINDOW") -> bool:
+    """Whether settings ask for matching: not with no iterations and a window of half sizes 1 and 1."""
+    return not (settings[iterations] == 0 and list(settings[window]) == [1, 1])

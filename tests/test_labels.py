@@ -74,3 +74,10 @@ def test_scans(spark):
     assert (got[1]["o"], got[1]["r"], got[1]["got_or"], got[1]["eye"]) == ([1.0, 2.0, 3.0], [3.0, 2.0, 1.0], True, 1)
     assert got[1]["scale"] is None and got[1]["bias"] is None and got[4]["c"] is None and got[4]["got_or"] is None
     assert all(v is None for k in (2, 3) for n, v in got[k].items() if n != "id") and got[5]["eye"] is None
+
+
+def test_reports_without_their_numbers(spark):
+    df = spark.createDataFrame([(None,), ("",), ("Sample = 3\n",), ("Group = PositiveEast180\nMinimumLongitude = 1\nEnd_Group",), ("a,b\n1",)], "t string")
+    t = F.col("t")
+    found = labels.reported_pixel(t) | labels.reported_range(t) | labels.reported_size(t) | labels.reported_projection(t)
+    assert all(v is None for r in df.select(*(c.alias(n) for n, c in found.items())).collect() for v in r)

@@ -101,6 +101,11 @@ def test_settings(tmp_path):
     assert settings.keyed_settings(str(tmp_path / "w"), defaults) == keyed
 
 
+def test_settings_that_want_no_matching():
+    wanted = lambda n, *w: settings.matching_wanted({"MAX_ITER": n, "WINDOW": list(w)})
+    assert [wanted(0, 1, 1), wanted(1, 1, 1), wanted(0, 1, 2), wanted(0, 5, 5)] == [False, True, True, True]
+
+
 def test_settings_in_shared_storage(spark, tmp_path):
     defaults = {"MAX_ITER": 10, "WINDOW": [5, 5]}
     (tmp_path / "k").write_text("MAX_ITER 3\nWINDOW 7 9 # wide\n")
