@@ -20,6 +20,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -332,6 +333,8 @@ class FileWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.store_path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.job = uuid.uuid4().hex
+        store, _, stage = self.base()
+        store.create_dir(stage, recursive=True)
 
     def base(self) -> tuple[fs.FileSystem, str, str]:
         store, at = opened(self.store_path)
@@ -347,8 +350,8 @@ class FileWriter(DataSourceArrowWriter):
                 if not name or name.startswith("/") or ".." in name.split("/"):
                     raise ValueError(f"no name for a file: {name!r}")
                 part = f"{folder}/{len(out)}"
-                if not out:
-                    store.create_dir(folder, recursive=True)
+                if not out:  # fails where the job was given up and its folder is gone
+                    store.create_dir(folder, recursive=False)
                 with store.open_output_stream(part) as stream:
                     stream.write(content.as_buffer() if content.is_valid else b"")
                 out.append((part, name))
@@ -376,8 +379,15 @@ class FileWriter(DataSourceArrowWriter):
         self.clear(*self.base())
 
     def clear(self, store: fs.FileSystem, at: str, stage: str) -> None:
-        if store.get_file_info(stage).type == fs.FileType.Directory:
-            store.delete_dir(stage)
+        for wait in (0.05, 0.2, 0.5, None):
+            try:
+                if store.get_file_info(stage).type == fs.FileType.Directory:
+                    store.delete_dir(stage)
+                break
+            except OSError:  # a task that has not yet been told still writes
+                if wait is None:
+                    raise
+                time.sleep(wait)
         if not store.get_file_info(fs.FileSelector(f"{at}/_temporary", allow_not_found=True)):
             if store.get_file_info(f"{at}/_temporary").type == fs.FileType.Directory:
                 store.delete_dir(f"{at}/_temporary")
