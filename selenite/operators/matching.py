@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selenite.operators import raster
+
 
 def argmin(rows: DataFrame, keys: Sequence[str], error: str, order: Sequence[str], keep: Sequence[str], positive: bool = False) -> DataFrame:
     """The row of least error for each key; ties go to the first in ``order``. With ``positive`` errors of 0 or less lose."""
@@ -32,7 +34,7 @@ def window_nearest(features: DataFrame, candidates: DataFrame, ident: Sequence[s
     spread = lambda c: F.sequence(to_bin(F.col(c) - half), to_bin(F.col(c) + half))
     left = features.withColumn("_bx", F.explode(spread("px"))).withColumn("_by", F.explode(spread("py")))
     right = candidates.withColumn("_bx", to_bin(F.col("x"))).withColumn("_by", to_bin(F.col("y")))
-    near = left.join(right, ["_bx", "_by"]).where((F.abs(F.col("x") - F.col("px")) <= half) & (F.abs(F.col("y") - F.col("py")) <= half))
+    near = left.join(raster.dealt(right), ["_bx", "_by"]).where((F.abs(F.col("x") - F.col("px")) <= half) & (F.abs(F.col("y") - F.col("py")) <= half))
     gap = sum(((F.col(f"f{c}") - F.col(f"c{c}")) * (F.col(f"f{c}") - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
     best = argmin(near.withColumn("dist", F.sqrt(gap)), ident, "dist", ["y", "x"], ["cx", "cy", "cz"])
     return features.select(*ident).join(best, list(ident), "left")

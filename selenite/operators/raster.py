@@ -1,7 +1,8 @@
 """Rasters as long tables (raster keys, x, y, v): sampling, statistics, tiles, pyramids.
 
 Lookups are equality joins on integer pixels, so a raster of any size is dealt
-out by pixel; nothing is broadcast by hint except one-row parameters.
+out by pixel; nothing is broadcast except one-row parameters. What comes out of an explode is many times larger than
+Spark takes it for, so such joins ask for a merge (``dealt``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def value_range(raster: DataFrame, nodata: float, keys: Sequence[str] = ()) -> D
     return raster.where(valid_pixel(F.col("v"), nodata)).groupBy(*keys).agg(F.min("v").alias("v_min"), F.max("v").alias("v_max"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that joins deal out by key and never send whole to every executor."""
+    return rows.hint("merge")
+
+
 def bilinear(points: DataFrame, raster: DataFrame, ident: Sequence[str], width: int, height: int) -> DataFrame:
     """``value`` at the points (px, py), from the four pixels around, edges extended; null if one is missing.
 
@@ -40,7 +46,7 @@ def bilinear(points: DataFrame, raster: DataFrame, ident: Sequence[str], width:
         )
     )
     inside = points.where((F.col("px") >= 0) & (F.col("px") <= width - 1) & (F.col("py") >= 0) & (F.col("py") <= height - 1))
-    rows = inside.select(*ident, F.inline(corners)).join(raster.select("x", "y", "v"), ["x", "y"])
+    rows = inside.select(*ident, F.inline(corners)).join(dealt(raster.select("x", "y", "v")), ["x", "y"])
     found = rows.groupBy(*ident).agg(F.sum(F.col("w") * F.col("v")).alias("_v"), F.count("v").alias("_n"))
     return found.select(*ident, F.when(F.col("_n") == 4, F.col("_v")).alias("value"))
 
@@ -48,7 +54,7 @@ def bilinear(points: DataFrame, raster: DataFrame, ident: Sequence[str], width:
 def nearest(points: DataFrame, raster: DataFrame, ident: Sequence[str]) -> DataFrame:
     """The pixel that the coordinates are cut to; -1 where there is none."""
     keyed = points.select(*ident, F.col("px").cast("int").alias("x"), F.col("py").cast("int").alias("y"))
-    joined = keyed.join(raster.select("x", "y", "v"), ["x", "y"], "left")
+    joined = keyed.join(dealt(raster.select("x", "y", "v")), ["x", "y"], "left")
     return joined.select(*ident, F.coalesce("v", F.lit(-1.0)).alias("value"))
 
 
@@ -169,7 +175,7 @@ def mosaic(pixels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def assemble(background: DataFrame, foreground: DataFrame, keys: Sequence[str], weighted: bool = False) -> DataFrame:
     """Foreground over background (columns v, acc): the foreground where there is one, or both blended by accuracy."""
     fore = foreground.select(*keys, F.col("v").alias("fv"), F.col("acc").alias("fa"))
-    rows = background.join(fore, list(keys), "left")
+    rows = background.join(dealt(fore), list(keys), "left")
     if not weighted:
         return rows.select(*keys, F.coalesce("fv", "v").alias("v"), F.coalesce("fa", "acc").alias("acc"))
     w = F.col("acc") / (F.col("fa") + F.col("acc"))
@@ -198,7 +204,7 @@ def padded_pyramid(raster: DataFrame, width: int, height: int, tile: int, pad: i
     place = [((F.col(t) * tile + F.col(o)) * F.col("scale")).cast("double").alias(p) for t, o, p in (("tx", "i", "px"), ("ty", "j", "py"))]
     key = ["level", "tx", "ty", "i", "j"]
     found = bilinear(rows.select(*key, *place), raster, key, width, height)
-    return rows.select(*key).join(found, key, "left").select(*key, F.coalesce("value", F.lit(fill)).alias("v"))
+    return rows.select(*key).join(dealt(found), key, "left").select(*key, F.coalesce("value", F.lit(fill)).alias("v"))
 
 
 def tiles_in_box(parameters: DataFrame, tile: int, box: Sequence[float]) -> DataFrame:
@@ -257,7 +263,7 @@ def assemble_at(background: DataFrame, foreground: DataFrame, keys: Sequence[str
     """
     at = background.withColumn("_x", F.floor(fx + 0.5).cast("int")).withColumn("_y", F.floor(fy + 0.5).cast("int"))
     fore = foreground.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("v").alias("fv"), F.col("acc").alias("fa"))
-    rows = at.join(fore, ["_x", "_y"], "left")
+    rows = at.join(dealt(fore), ["_x", "_y"], "left")
     if not weighted:
         return rows.select(*keys, F.coalesce("fv", "v").alias("v"), F.coalesce("fa", "acc").alias("acc"))
     w = F.col("acc") / (F.col("fa") + F.col("acc"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selenite.operators import graphs, matching
+from selenite.operators import graphs, matching, raster
 from selenite.operators.registration import kabsch
 
 GRID = 1e-3
@@ -187,7 +187,7 @@ def patch_match(shots: DataFrame, image: DataFrame, half_x: int, half_y: int, sa
     rows = around.join(shots.select("track_id", "shot_idx", "px", "py", "refl", "gain", "bias"), ["track_id", "shot_idx"])
     rows = rows.where("gain <> 0 and bias <> 0").withColumn("dy", sides(half_y)).withColumn("dx", sides(half_x))
     rows = rows.withColumn("x", (F.floor("px") + F.col("dx")).cast("int")).withColumn("y", (F.floor("py") + F.col("dy")).cast("int"))
-    seen = rows.where("x > 0 and y > 0").join(image.where(F.col("v") != nodata).select("x", "y", "v"), ["x", "y"])
+    seen = rows.where("x > 0 and y > 0").join(raster.dealt(image.where(F.col("v") != nodata).select("x", "y", "v")), ["x", "y"])
     gap = F.abs(F.col("v") - F.col("bias") - F.col("gain") * F.col("refl"))
     errors = seen.groupBy("track_id", "at", "dy", "dx").agg(F.avg(gap).alias("err"), F.count("*").alias("n")).where(F.col("n") > samples // 2)
     best = matching.argmin(errors, ["track_id", "at"], "err", ["dy", "dx"], []).withColumnRenamed("at", "shot_idx")

@@ -22,7 +22,7 @@ def cost_volume(left: DataFrame, right: DataFrame, disparities: int, least: int
     """(x, y, d, sad): sums of absolute differences over square windows that lie whole in both images."""
     shifted = left.select("x", "y", "v", F.explode(F.sequence(F.lit(least), F.lit(least + disparities - 1))).alias("d"))
     other = right.select(F.col("x").alias("xr"), "y", F.col("v").alias("u"))
-    both = shifted.withColumn("xr", F.col("x") - F.col("d")).join(other, ["xr", "y"])
+    both = shifted.withColumn("xr", F.col("x") - F.col("d")).join(raster.dealt(other), ["xr", "y"])
     along = W.partitionBy("d", "y").orderBy("x").rangeBetween(-half, half)
     down = W.partitionBy("d", "x").orderBy("y").rangeBetween(-half, half)
     rows = both.select("x", "y", "d", F.abs(F.col("v") - F.col("u")).alias("ad"))
@@ -182,7 +182,7 @@ def stereo_points(disparity: DataFrame, image: DataFrame, q: np.ndarray, most: f
     """(x, y, px, py, pz, v): pixels with a disparity as points in front of the camera and nearer than ``most``, with their values."""
     p = [c.alias(n) for c, n in zip(reproject(F.col("x"), F.col("y"), F.col("d"), q), ("px", "py", "pz"), strict=True)]
     rows = disparity.select("x", "y", *p).where((F.col("pz") > 0) & (F.col("pz") < most))
-    return rows.join(image.select("x", "y", "v"), ["x", "y"])
+    return rows.join(raster.dealt(image.select("x", "y", "v")), ["x", "y"])
 
 
 def normalized_disparity(disparity: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from selenite.functions import geo
-from selenite.operators import matching, registration
+from selenite.operators import matching, raster, registration
 from selenite.plans import proxies as P
 from selenite.plans.catalog import query
 
@@ -205,7 +205,7 @@ def j09_p08_overlay(spark, d):
     x, y = geo.homography([[1.1, 0.01, 1.0], [0.0, 0.9, 2.0], [0.0, 0.0, 1.0]], F.col("x"), F.col("y"))
     moved = rows.select("x", "y", "v", x.alias("tx"), y.alias("ty"))
     other = rows.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("v").alias("u"))
-    return P.rounded(moved.join(other, ["tx", "ty"]).select("x", "y", ((F.col("v") + F.col("u")) / 2).alias("v")), 8)
+    return P.rounded(moved.join(raster.dealt(other), ["tx", "ty"]).select("x", "y", ((F.col("v") + F.col("u")) / 2).alias("v")), 8)
 
 
 KEYS = "(select vec_id, embedding, vec_id % 2 as side from embeddings)"

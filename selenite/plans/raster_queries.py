@@ -198,7 +198,7 @@ def j10_p15_p16_weighted_assemble(spark, d):
 def a14_i06_average_difference(spark, d):
     rows = P.raster(spark, d)
     other = rows.select((F.col("x") - 1).alias("x"), "y", F.col("v").alias("u"))
-    both = raster.subsample(rows, 8, 8, -9999.0).join(other, ["x", "y"])
+    both = raster.subsample(rows, 8, 8, -9999.0).join(raster.dealt(other), ["x", "y"])
     diff = F.col("v") - F.col("u")
     return both.agg(F.round(F.avg(diff), 8).alias("mean_diff"), F.min(diff).alias("min_diff"), F.max(diff).alias("max_diff"), F.count("*").alias("n"))
 
