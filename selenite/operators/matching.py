@@ -40,6 +40,35 @@ def window_nearest(features: DataFrame, candidates: DataFrame, ident: Sequence[s
     return features.select(*ident).join(best, list(ident), "left")
 
 
+def shift_errors(points: DataFrame, rows: DataFrame, thetas: Sequence[float], shifts: Sequence[float], width: int, scale: float) -> DataFrame:
+    """(cand, err): the mean squared gap between points and the pixels that they meet, for every turn and pair of shifts.
+
+    ``points``: px, py, value. ``rows``: y, v (an array along x). A candidate turns by one of ``thetas``, then moves along x and along y by
+    one of ``shifts`` (at most 30, whole numbers, rising); they are numbered in that order. Pixels are multiplied by ``scale``. Points of a turn that meet
+    the same pixels under all shifts are summed up before any row is met, so the work behind that grows with the image.
+    """
+    n = len(shifts)
+    turn = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.cos(F.lit(t)).alias("c"), F.sin(F.lit(t)).alias("s")) for i, t in enumerate(thetas)))).alias("t")
+    place = points.where("value is not null").select("px", "py", "value", turn)
+    place = place.select("value", "t.i", (F.col("t.c") * F.col("px") - F.col("t.s") * F.col("py")).alias("u"), (F.col("t.s") * F.col("px") + F.col("t.c") * F.col("py")).alias("w"))
+    base = lambda a: F.floor(a).cast("long")
+    cut = lambda a, k: (F.col(a) + float(shifts[k])).cast("long")
+    # cut towards 0, a place lies at its floor plus the shift, or one above: where it is below 0 or the sum rounds up
+    above = lambda a: sum(((cut(a, k) - base(a) - int(shifts[k])) * (1 << k) for k in range(n)), F.lit(0)).cast("int")
+    near = F.col("u").between(-1.0 - shifts[-1], width - float(shifts[0])) & (F.col("w") >= -1.0 - shifts[-1])
+    key = [base("u").alias("bu"), above("u").alias("au"), base("w").alias("bw"), above("w").alias("aw")]
+    sums = place.where(near).select("i", *key, "value").groupBy("i", "bu", "au", "bw", "aw")
+    sums = sums.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    at = lambda b, a: F.array(*(F.struct(F.lit(k).alias("k"), (F.col(b) + int(shifts[k]) + F.shiftright(a, k).bitwiseAND(F.lit(1))).alias("at")) for k in range(n)))
+    down = sums.select("*", F.explode(at("bw", "aw")).alias("d")).select("i", "bu", "au", "n", "mean", "var", F.col("d.k").alias("k"), F.col("d.at").alias("y"))
+    met = down.where("y >= 0").join(rows.select(F.col("y").cast("long").alias("y"), "v"), "y")
+    met = met.select("*", F.explode(at("bu", "au")).alias("a")).where(F.col("a.at").between(0, width - 1))
+    pixel = F.get("v", F.col("a.at").cast("int")).cast("double")
+    seen = met.select(((F.col("i") * n + F.col("a.k")) * n + F.col("k")).cast("long").alias("cand"), "n", "mean", "var", pixel.alias("pixel")).where("pixel is not null")
+    gap = F.col("n") * (F.col("var") + F.pow(F.col("mean") - F.col("pixel") * scale, 2))
+    return seen.groupBy("cand").agg((F.sum(gap) / F.sum("n")).alias("err"))
+
+
 def overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Boxes (low x, high x, low y, high y) that share a point, borders included."""
     return (a[0] <= b[1]) & (b[0] <= a[1]) & (a[2] <= b[3]) & (b[2] <= a[3])

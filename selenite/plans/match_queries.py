@@ -258,12 +258,9 @@ def _angles(low: float, high: float, n: int) -> list[float]:
 GRID = "(select i * 81 + j * 9 + k as cand, (i - 4) * pi() / 40 as theta, (j - 4) * 5.0 as dx, (k - 4) * 5.0 as dy from range(0, 9) a(i), range(0, 9) b(j), range(0, 9) c(k))"
 
 
-def search_grid(spark):
-    """Rotations and shifts around the identity: 9 x 9 x 9 candidates."""
-    i = F.col("id")
-    return spark.range(729).select(
-        i.alias("cand"), ((F.floor(i / 81) - 4) * F.lit(math.pi / 40)).alias("theta"), ((F.floor(i / 9) % 9 - 4) * 5.0).alias("dx"), ((i % 9 - 4) * 5.0).alias("dy")
-    )
+#: Turns and shifts around the identity: 9 x 9 x 9 candidates.
+TURNS = [(i - 4) * math.pi / 40 for i in range(9)]
+SHIFTS = [(i - 4) * 5.0 for i in range(9)]
 
 
 SIZES = (3, 3, 9, 3, 3, 9)
@@ -324,15 +321,9 @@ def o12_affine_grid(spark, d):
     )
 )
 def j22_a09_best_transform(spark, d):
-    """The candidate of least error: every point under every candidate of the stated grid, joined on its pixel."""
-    points = P.pixels(spark, d)
-    rows = points.join(F.broadcast(search_grid(spark)))  # 729 candidates
-    c, s = F.cos("theta"), F.sin("theta")
-    x = (c * F.col("px") - s * F.col("py") + F.col("dx")).cast("int").alias("x")
-    y = (s * F.col("px") + c * F.col("py") + F.col("dy")).cast("int").alias("y")
-    on_raster = F.col("x").between(0, 63) & F.col("y").between(0, P.height(spark, d) - 1)  # others meet no pixel
-    seen = rows.select("cand", "value", x, y).where(on_raster).join(P.raster(spark, d), ["x", "y"])
-    errors = seen.groupBy("cand").agg(F.avg(F.pow(F.col("value") - F.col("v") * 100, 2)).alias("err"))
+    """The candidate of least error: every point under every candidate of the stated grid meets its pixel."""
+    rows = P.table(spark, d, "embeddings").select(F.col("vec_id").alias("y"), F.col("embedding").alias("v"))
+    errors = matching.shift_errors(P.pixels(spark, d), rows, TURNS, SHIFTS, 64, 100.0)
     best = matching.argmin(errors, [], "err", ["cand"], [], positive=True)
     return P.rounded(best.select("cand", "err"))
 

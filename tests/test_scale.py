@@ -1,8 +1,11 @@
 """Plans and shapes that must hold on large tables."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from selenite.operators import raster
+from selenite.operators import matching, raster
 
 
 def physical(df):
@@ -21,3 +24,25 @@ def test_exploded_rows_are_never_broadcast(spark):
     assert "Broadcast" not in physical(found)
     assert {(r["level"], r["tx"], r["ty"], r["i"], r["j"]): r["v"] for r in found.collect()}[1, 0, 1, 3, 2] == 6 * 0.5 + 36
     assert "Broadcast" not in physical(raster.nearest(spark.range(3).selectExpr("id", "id as px", "id as py"), image, ["id"]))
+
+
+def test_shift_errors_meet_the_pixels_of_every_candidate(spark):
+    """Also left of the image, where a cut towards 0 goes up, and where a sum rounds up to a whole number."""
+    rng = np.random.default_rng(3)
+    image = rng.normal(size=(30, 12))
+    points = [(float(x), float(y), float(v)) for x, y, v in zip(rng.uniform(-12, 20, 200), rng.uniform(-12, 40, 200), rng.normal(size=200), strict=True)]
+    points += [(2.9999999999999996, 3.0, 1.0), (-0.5, -5.5, 2.0), (-5.0, 0.0, -1.0)] * 2
+    thetas, shifts = [-0.2, 0.0, 0.3], [-5.0, 0.0, 5.0]
+    sums = {}
+    for i, t in enumerate(thetas):
+        for j, dx in enumerate(shifts):
+            for k, dy in enumerate(shifts):
+                for px, py, v in points:
+                    x, y = int(math.cos(t) * px - math.sin(t) * py + dx), int(math.sin(t) * px + math.cos(t) * py + dy)
+                    if 0 <= x < 12 and 0 <= y < 30 and (math.cos(t) * px - math.sin(t) * py + dx > -1) and (math.sin(t) * px + math.cos(t) * py + dy > -1):
+                        sums.setdefault((i * 3 + j) * 3 + k, []).append((v - 2 * image[y, x]) ** 2)
+    rows = spark.createDataFrame([(y, [float(v) for v in image[y]]) for y in range(30)], "y long, v array<double>")
+    found = matching.shift_errors(spark.createDataFrame(points, "px double, py double, value double"), rows, thetas, shifts, 12, 2.0)
+    got = {r["cand"]: r["err"] for r in found.collect()}
+    assert got.keys() == sums.keys()
+    assert all(abs(got[c] - np.mean(v)) < 1e-9 for c, v in sums.items())
