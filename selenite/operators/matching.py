@@ -23,6 +23,27 @@ def argmin(rows: DataFrame, keys: Sequence[str], error: str, order: Sequence[str
     return some.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_b.{c}").alias(c) for c in dict.fromkeys([error, *order, *keep])))
 
 
+def least_sum(rows: DataFrame, key: str, gaps: Sequence[tuple[Sequence[Column], Sequence[Column]]], places: int) -> DataFrame:
+    """(key, cand, err): the least of all sums of two gaps, one of either list of a pair of lists, rounded; ties go to the smallest number.
+
+    Sums are numbered by pair of lists, then first gap, then second. Adding and rounding keep the order, so the least sum holds the least gaps and
+    each number is found by its own list: a row costs as many steps as there are gaps, not sums. Where gaps are null, the sum is null under number 0.
+    """
+    wide = len(gaps[0][0]), len(gaps[0][1])
+    total = lambda a, b: F.round(a + b, places)
+    found = rows.select(key, F.array(*(F.struct(F.array(*a).alias("a"), F.array(*b).alias("b")) for a, b in gaps)).alias("g"))
+    found = found.select(key, "g", F.transform("g", lambda g: total(F.array_min(g["a"]), F.array_min(g["b"]))).alias("least"))
+    found = found.select(key, "g", "least", F.array_min("least").alias("err"))
+    first = lambda values: F.coalesce(F.array_position(values, F.col("err")) - 1, F.lit(0))
+    found = found.select(key, "g", "err", first(F.col("least")).alias("i"))
+    found = found.select(key, "err", "i", F.get("g", F.col("i").cast("int")).alias("g"))
+    found = found.select(key, "err", "i", "g", first(F.transform("g.a", lambda a: total(a, F.array_min("g.b")))).alias("j"))
+    found = found.select(key, "err", "i", "g", "j", F.get("g.a", F.col("j").cast("int")).alias("own"))
+    found = found.select(key, "err", "i", "j", first(F.transform("g.b", lambda b: total(F.col("own"), b))).alias("k"))
+    found = found.select(key, "err", ((F.col("i") * wide[0] + F.col("j")) * wide[1] + F.col("k")).cast("long").alias("cand"))
+    return argmin(found, [key], "err", ["cand"], []).select(key, "cand", "err")
+
+
 def window_nearest(features: DataFrame, candidates: DataFrame, ident: Sequence[str], half: int) -> DataFrame:
     """For each feature (px, py, fx, fy, fz) the nearest candidate (x, y, cx, cy, cz) at most ``half`` pixels away.
 

@@ -280,13 +280,11 @@ def aims(spark, d):
 )
 def o13_search_grid(spark, d):
     """Of 9 x 9 x 9 turns and shifts around the identity, for each point the one that brings it nearest to where it should lie."""
-    i = F.explode(F.sequence(F.lit(0), F.lit(728))).alias("cand")
-    rows = aims(spark, d).select("*", i)
-    i = F.col("cand")
-    rows = rows.select("*", ((F.floor(i / 81) - 4) * F.lit(math.pi / 40)).alias("theta"), ((F.floor(i / 9) % 9 - 4) * 5.0).alias("dx"), ((i % 9 - 4) * 5.0).alias("dy"))
-    c, s, x, y = F.cos("theta"), F.sin("theta"), F.col("x"), F.col("y")
-    err = F.round((c * x - s * y + F.col("dx") - F.col("u")) ** 2 + (s * x + c * y + F.col("dy") - F.col("v")) ** 2, 4).alias("err")
-    return matching.argmin(rows.select("id", F.col("cand").cast("long").alias("cand"), err), ["id"], "err", ["cand"], []).select("id", "cand", "err")
+    x, y = F.col("x"), F.col("y")
+    gaps = []
+    for c, s in ((F.cos(F.lit(t)), F.sin(F.lit(t))) for t in TURNS):
+        gaps.append([[(at + shift - F.col(to)) ** 2 for shift in SHIFTS] for at, to in ((c * x - s * y, "u"), (s * x + c * y, "v"))])
+    return matching.least_sum(aims(spark, d), "id", gaps, 4)
 
 
 @query(
@@ -298,16 +296,10 @@ def o13_search_grid(spark, d):
 )
 def o12_affine_grid(spark, d):
     """Of 3 x 3 x 9 x 3 x 3 x 9 affine maps around the identity, for each point the one that brings it nearest to where it should lie."""
-    rows = aims(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(math.prod(SIZES) - 1))).alias("cand"))
-    parts, at = {}, 1
-    for k, n in reversed(list(enumerate(SIZES))):
-        parts[k] = F.floor(F.col("cand") / at) % n
-        at *= n
-    one, small, shift = (lambda k: 1 + (parts[k] - 1) * 0.1), (lambda k: (parts[k] - 1) * 0.1), (lambda k: (parts[k] - 4) * 5)
+    near = [1 + (k - 1) * 0.1 for k in range(SIZES[0])], [(k - 1) * 0.1 for k in range(SIZES[1])]
     x, y = F.col("x"), F.col("y")
-    off = one(0) * x + small(1) * y + shift(2) - F.col("u"), small(3) * x + one(4) * y + shift(5) - F.col("v")
-    err = F.round(off[0] ** 2 + off[1] ** 2, 4).alias("err")
-    return matching.argmin(rows.select("id", F.col("cand").cast("long").alias("cand"), err), ["id"], "err", ["cand"], []).select("id", "cand", "err")
+    off = lambda a, b, to: [(p * x + q * y + shift - F.col(to)) ** 2 for p in a for q in b for shift in SHIFTS]
+    return matching.least_sum(aims(spark, d), "id", [(off(near[0], near[1], "u"), off(near[1], near[0], "v"))], 4)
 
 
 @query(

@@ -46,3 +46,16 @@ def test_shift_errors_meet_the_pixels_of_every_candidate(spark):
     got = {r["cand"]: r["err"] for r in found.collect()}
     assert got.keys() == sums.keys()
     assert all(abs(got[c] - np.mean(v)) < 1e-9 for c, v in sums.items())
+
+
+def test_least_sum_finds_the_first_of_all_sums(spark):
+    """Ties by rounding too; null gaps give number 0."""
+    lists = [([0.3, 0.1, 0.10004], [0.2, 0.20004]), ([0.1, 5.0, 0.0], [0.2, 0.7]), ([9.0, 9.0, 9.0], [1.0, 1.0])]
+    rows = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None)], "id int, z double")
+    z = F.col("z")
+    gaps = [([z * 0 + a for a in (own if k else own[::-1])], [z + b for b in other]) for k, (own, other) in enumerate(lists)]
+    got = {r["id"]: (r["cand"], r["err"]) for r in matching.least_sum(rows, "id", gaps, 3).collect()}
+    for key, shift in ((1, 0.0), (2, 1.0)):
+        sums = [round(a + b + shift, 3) for k, (own, other) in enumerate(lists) for a in (own if k else own[::-1]) for b in other]
+        assert got[key] == (sums.index(min(sums)), min(sums))
+    assert got[3] == (0, None)
