@@ -95,23 +95,45 @@ def overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return (a[0] <= b[1]) & (b[0] <= a[1]) & (a[2] <= b[3]) & (b[2] <= a[3])
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxes (l_id / r_id, x0, x1, y0, y1) that overlap, each once: equality on grid cells, then the check.
+SHAPE = ("x0", "x1", "y0", "y1")
+
 
-    A pair is reported by the cell of the lower corner of its intersection only.
+def shape_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(l_x0 .. l_y1, r_x0 .. r_y1): the distinct boxes of either side that overlap, each pair once: equality on grid cells, then the check.
+
+    A pair is reported by the cell of the lower corner of its intersection only. Boxes of one shape are one here, so a cell holds no more rows than there are shapes.
     """
     to_cell = lambda c: F.floor(c / cell).cast("long")
     cells = lambda a, b: F.sequence(to_cell(F.col(a)), to_cell(F.col(b)))
 
     def dealt(boxes: DataFrame, name: str) -> DataFrame:
-        rows = boxes.select(F.col("id").alias(f"{name}_id"), *(F.col(c).alias(f"{name}_{c}") for c in ("x0", "x1", "y0", "y1")))
+        rows = boxes.select(*(F.col(c).alias(f"{name}_{c}") for c in SHAPE)).distinct()
         rows = rows.withColumn("_cx", F.explode(cells(f"{name}_x0", f"{name}_x1")))
         return rows.withColumn("_cy", F.explode(cells(f"{name}_y0", f"{name}_y1")))
 
-    rows = dealt(left, "l").join(dealt(right, "r"), ["_cx", "_cy"])
-    box = lambda n: [F.col(f"{n}_{c}") for c in ("x0", "x1", "y0", "y1")]
+    rows = raster.dealt(dealt(left, "l")).join(dealt(right, "r"), ["_cx", "_cy"])
+    box = lambda n: [F.col(f"{n}_{c}") for c in SHAPE]
     own = (F.col("_cx") == to_cell(F.greatest("l_x0", "r_x0"))) & (F.col("_cy") == to_cell(F.greatest("l_y0", "r_y0")))
-    return rows.where(overlap(box("l"), box("r")) & own).select("l_id", "r_id")
+    return rows.where(overlap(box("l"), box("r")) & own).select(*box("l"), *box("r"))
+
+
+def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes (l_id / r_id, x0, x1, y0, y1) that overlap, each once: shapes that overlap, then the boxes of either shape.
+
+    What a task gives out is dealt by the right box's shape, not by cell.
+    """
+    named = lambda boxes, n: boxes.select(F.col("id").alias(f"{n}_id"), *(F.col(c).alias(f"{n}_{c}") for c in SHAPE))
+    rows = raster.dealt(shape_pairs(left, right, cell))
+    for n, boxes in (("l", left), ("r", right)):
+        rows = raster.dealt(rows.join(named(boxes, n), [f"{n}_{c}" for c in SHAPE]))
+    return rows.select("l_id", "r_id")
+
+
+def overlap_flags(boxes: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+    """(id, overlaps): 1 for boxes that overlap any of the others, else 0; boxes of one id are one. No pair of boxes is listed, only of shapes."""
+    shape = list(SHAPE)
+    hit = shape_pairs(others, boxes, cell).select(*(F.col(f"r_{c}").alias(c) for c in SHAPE), F.lit(1).alias("overlaps")).distinct()
+    return boxes.join(hit, shape, "left").groupBy("id").agg(F.max(F.coalesce("overlaps", F.lit(0))).alias("overlaps"))
 
 
 def dense(column: pa.ChunkedArray) -> np.ndarray:

@@ -189,9 +189,7 @@ def j07_box_overlap(spark, d):
 
 @query(f"select r.id, cast(bool_or(coalesce(l.x0 <= r.x1 and r.x0 <= l.x1 and l.y0 <= r.y1 and r.y0 <= l.y1, false)) as integer) as overlaps from ({RIGHT}) r left join ({LEFT}) l on true group by r.id")
 def j08_j23_overlap_flags(spark, d):
-    right = boxes(spark, d, "customer", "c_custkey", 4)
-    hit = matching.box_join(boxes(spark, d, "supplier", "s_suppkey", 5), right, 8.0).select(F.col("r_id").alias("id")).distinct()
-    return right.select("id").join(hit.withColumn("overlaps", F.lit(1)), "id", "left").select("id", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
+    return matching.overlap_flags(boxes(spark, d, "customer", "c_custkey", 4), boxes(spark, d, "supplier", "s_suppkey", 5), 8.0)
 
 
 @query(

@@ -59,3 +59,15 @@ def test_least_sum_finds_the_first_of_all_sums(spark):
         sums = [round(a + b + shift, 3) for k, (own, other) in enumerate(lists) for a in (own if k else own[::-1]) for b in other]
         assert got[key] == (sums.index(min(sums)), min(sums))
     assert got[3] == (0, None)
+
+
+def test_boxes_of_one_shape_are_compared_once(spark):
+    """Shapes that overlap are few however often they come; pairs and flags are those of all boxes."""
+    box = lambda k, w: (k % 5 * 1.0, k % 5 + w, k % 3 * 2.0, k % 3 * 2.0 + 0.5)
+    left, right = [(k, *box(k, 0.25)) for k in range(60)], [(k, *box(k, 1.5)) for k in range(45)] + [(45, 90.0, 91.0, 90.0, 91.0), (45, *box(0, 1.5)), (46, 90.0, 91.0, 90.0, 91.0)]
+    a, b = (spark.createDataFrame(rows, "id long, x0 double, x1 double, y0 double, y1 double") for rows in (left, right))
+    pairs = [(k, n) for k, *p in left for n, *q in right if p[0] <= q[1] and q[0] <= p[1] and p[2] <= q[3] and q[2] <= p[3]]
+    assert sorted((r["l_id"], r["r_id"]) for r in matching.box_join(a, b, 1.0).collect()) == sorted(pairs)
+    assert matching.shape_pairs(a, b, 1.0).count() == len({(tuple(p), tuple(q)) for k, *p in left for n, *q in right if (k, n) in pairs and p[0] <= q[1] and q[0] <= p[1] and p[2] <= q[3] and q[2] <= p[3]})
+    hit = {n for _, n in pairs}
+    assert sorted((r["id"], r["overlaps"]) for r in matching.overlap_flags(b, a, 1.0).collect()) == [(n, int(n in hit)) for n in range(47)]
