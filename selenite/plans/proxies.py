@@ -42,9 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a part that one task sorts and groups.
+PART_ROWS = 1 << 17
+
+
+def parts(rows: DataFrame) -> int:
+    """Into how many parts a table of that length is dealt, so that a task's memory does not grow with the table."""
+    return rows.count() // PART_ROWS + 1
+
+
 def returns(spark: SparkSession, d: str) -> DataFrame:
     """Laser returns: a track for each customer, a shot for each order, a return for each line."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    n = parts(lines)
+    lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.select(
@@ -58,6 +69,7 @@ def shots(spark: SparkSession, d: str) -> DataFrame:
     """One row a shot, ordered in its track, with sentinels of -1 for missing values."""
     first = [F.min_by(c, "pt_idx").alias(c) for c in ("x", "y", "z")]
     rows = returns(spark, d).groupBy("track_id", "shot_id").agg(F.min("ts").alias("ts"), *first, F.count("*").alias("n_pts"))
+    rows = rows.repartition(parts(table(spark, d, "orders")), "track_id")
     order = W.partitionBy("track_id").orderBy("ts", "shot_id")
     return rows.select(
         "track_id", "shot_id", (F.row_number().over(order) - 1).alias("shot_idx"),

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from selenite.operators import matching, raster
+from selenite.plans import proxies
+from tests.conftest import SF
 
 
 def physical(df):
@@ -71,3 +73,11 @@ def test_boxes_of_one_shape_are_compared_once(spark):
     assert matching.shape_pairs(a, b, 1.0).count() == len({(tuple(p), tuple(q)) for k, *p in left for n, *q in right if (k, n) in pairs and p[0] <= q[1] and q[0] <= p[1] and p[2] <= q[3] and q[2] <= p[3]})
     hit = {n for _, n in pairs}
     assert sorted((r["id"], r["overlaps"]) for r in matching.overlap_flags(b, a, 1.0).collect()) == [(n, int(n in hit)) for n in range(47)]
+
+
+def test_returns_and_shots_are_dealt_by_the_length_of_their_tables(spark, monkeypatch):
+    monkeypatch.setattr(proxies, "PART_ROWS", 500)
+    lines = proxies.table(spark, SF, "lineitem").count()
+    for found in (proxies.returns(spark, SF), proxies.shots(spark, SF)):
+        sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 1200 < lines
