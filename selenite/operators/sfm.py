@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +18,39 @@ GRID = 1e-3
 NO_MATCH = 1e7
 
 
-def link_chains(prev: np.ndarray, now: np.ndarray, first_frame: np.ndarray) -> np.ndarray:
-    """The chain of each match of a sequence, in order.
+class Chains:
+    """Chains of one sequence of matches, added in order; last pixels are held by cell, so a match looks at nine."""
 
-    A match continues the first chain (by number) whose last pixel is nearer than ``GRID``
-    (sum of both distances) to where it starts, and moves that pixel; others open a chain,
-    as all of the first frame do. Last pixels are held by cell, so a match looks at nine.
-    """
-    cells: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
-    where: list[tuple[int, int]] = []
-    out = np.zeros(len(prev), np.int64)
-    for i, ((x, y), (u, v)) in enumerate(zip(prev.tolist(), now.tolist(), strict=True)):
+    def __init__(self) -> None:
+        self.cells: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
+        self.where: list[tuple[int, int]] = []
+
+    def add(self, x: float, y: float, u: float, v: float, first_frame: bool) -> int:
+        """The chain of a match from (x, y) to (u, v)."""
         cx, cy = int(x // GRID), int(y // GRID)
         found = None
-        if not first_frame[i]:
-            near = (cells.get((cx + a, cy + b), {}) for a in (-1, 0, 1) for b in (-1, 0, 1))
+        if not first_frame:
+            near = (self.cells.get((cx + a, cy + b), {}) for a in (-1, 0, 1) for b in (-1, 0, 1))
             found = min((k for c in near for k, (p, q) in c.items() if abs(p - x) + abs(q - y) < GRID), default=None)
         if found is None:
-            found = len(where)
-            where.append((0, 0))
+            found = len(self.where)
+            self.where.append((0, 0))
         else:
-            del cells[where[found]][found]
-        where[found] = (int(u // GRID), int(v // GRID))
-        cells.setdefault(where[found], {})[found] = (u, v)
-        out[i] = found
-    return out
+            del self.cells[self.where[found]][found]
+        self.where[found] = (int(u // GRID), int(v // GRID))
+        self.cells.setdefault(self.where[found], {})[found] = (u, v)
+        return found
+
+
+def link_chains(prev: np.ndarray, now: np.ndarray, first_frame: np.ndarray) -> np.ndarray:
+    """The chain of each match of a sequence, in order.
+
+    A match continues the first chain (by number) whose last pixel is nearer than ``GRID``
+    (sum of both distances) to where it starts, and moves that pixel; others open a chain,
+    as all of the first frame do.
+    """
+    chains = Chains()
+    return np.array([chains.add(*p, *q, f) for p, q, f in zip(prev.tolist(), now.tolist(), first_frame, strict=True)], np.int64)
 
 
 def chain_matches(matches: DataFrame, sequence: Sequence[str], frame: str, order: Sequence[str], folder: str) -> DataFrame:
@@ -68,15 +76,27 @@ def chain_matches(matches: DataFrame, sequence: Sequence[str], frame: str, order
 
     schema = T.StructType([*(f for f in rows.schema if f.name not in ("_first", "_family")), T.StructField("_opener", T.LongType())])
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in (frame, *order, "_id")])
-        pixel = lambda a, b: np.column_stack([rows.column(c).to_numpy().astype(float) for c in (a, b)])
-        chain = link_chains(pixel("px", "py"), pixel("qx", "qy"), rows.column("_first").to_numpy())
-        _, opener = np.unique(chain, return_index=True)
-        ids = rows.column("_id").to_numpy()
-        return rows.drop(["_first", "_family"]).append_column("_opener", pa.array(ids[opener][chain]))
-
-    linked = rows.groupBy(*sequence, "_family").applyInArrow(run, schema)
+    family = [*sequence, "_family"]
+    kept = [f.name for f in schema][:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Family after family in sorted order; only the chains of the last one are held."""
+        at, chains, openers = None, Chains(), []
+        for batch in batches:
+            here = zip(*(batch.column(c).to_pylist() for c in family), strict=True)
+            pixels = zip(*(batch.column(c).to_numpy(zero_copy_only=False).astype(float).tolist() for c in ("px", "py", "qx", "qy")), strict=True)
+            out = []
+            for key, pixel, first, own in zip(here, pixels, batch.column("_first").to_pylist(), batch.column("_id").to_pylist(), strict=True):
+                if key != at:
+                    at, chains, openers = key, Chains(), []
+                chain = chains.add(*pixel, first)
+                if chain == len(openers):
+                    openers.append(own)
+                out.append(openers[chain])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int64())], [*kept, "_opener"])
+
+    dealt = rows.repartition(*family).sortWithinPartitions(*family, *(F.col(c).asc_nulls_last() for c in (frame, *order, "_id")))
+    linked = dealt.mapInArrow(run, schema)
     linked.write.parquet(f"{folder}/linked")
     linked = spark.read.schema(schema).parquet(f"{folder}/linked")
     opened = linked.where("_id = _opener").select(*sequence, frame, *order, "_id")

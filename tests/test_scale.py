@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from selenite.operators import matching, raster
+from selenite.operators import matching, raster, sfm
 from selenite.plans import proxies
 from tests.conftest import SF
 
@@ -81,3 +81,9 @@ def test_returns_and_shots_are_dealt_by_the_length_of_their_tables(spark, monkey
     for found in (proxies.returns(spark, SF), proxies.shots(spark, SF)):
         sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert max(sizes) < 1200 < lines
+
+
+def test_chains_are_added_one_by_one():
+    """A stream of matches needs no group: a family is left behind when the next begins."""
+    chains = sfm.Chains()
+    assert [chains.add(*m) for m in ((0, 0, 1, 1, True), (5, 5, 6, 6, True), (1, 1, 2, 2, False), (2, 2, 9, 9, False), (1, 1, 3, 3, False))] == [0, 1, 0, 0, 2]
