@@ -162,16 +162,17 @@ def k_nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, step: int =
         yield at + u[kept], v[kept], exact[kept]
 
 
-def nearest_descriptors(queries: DataFrame, table: DataFrame, k: int = 2, block: int = 2048) -> DataFrame:
+def nearest_descriptors(queries: DataFrame, table: DataFrame, k: int = 2, block: int = 8192) -> DataFrame:
     """(q_id, t_id, rank, dist2): the k nearest descriptors of each query, exactly; ties to the lower id.
 
     Queries and table are dealt into blocks, every pair of blocks is one group for
-    dense arithmetic, and only k rows of each query leave a group.
+    dense arithmetic in doubles, and only k rows of each query leave a group. Descriptors
+    travel as they are given, once for each block of the other side.
     """
 
     def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
         n = max(1, rows.count() // block)
-        return rows.select(F.col("id").alias("id"), F.col("desc").cast("array<double>").alias("desc"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)), n
+        return rows.select(F.col("id").alias("id"), "desc", F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)), n
 
     (q, nq), (t, nt) = blocks(queries, "qb"), blocks(table, "tb")
     q = q.withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))))

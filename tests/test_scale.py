@@ -87,3 +87,11 @@ def test_chains_are_added_one_by_one():
     """A stream of matches needs no group: a family is left behind when the next begins."""
     chains = sfm.Chains()
     assert [chains.add(*m) for m in ((0, 0, 1, 1, True), (5, 5, 6, 6, True), (1, 1, 2, 2, False), (2, 2, 9, 9, False), (1, 1, 3, 3, False))] == [0, 1, 0, 0, 2]
+
+
+def test_descriptors_travel_as_given(spark):
+    """Floats are not widened before they are dealt out."""
+    rows = spark.createDataFrame([(k, [float(k), 0.1]) for k in range(4)], "id long, desc array<float>")
+    found = matching.nearest_descriptors(rows, rows.where("id > 0"), 1)
+    assert "cast(desc" not in physical(found)
+    assert sorted((r["q_id"], r["t_id"]) for r in found.collect()) == [(0, 1), (1, 1), (2, 2), (3, 3)]
