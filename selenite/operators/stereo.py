@@ -45,7 +45,7 @@ DIRECTIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1,
 #: What a disparity without a whole window costs.
 NO_WINDOW = 1_000_000
 #: Scan lines that are followed together in one task.
-LINES = 64
+LINES = 8
 
 
 def follow(before: np.ndarray | None, costs: np.ndarray, p1: int, p2: int) -> np.ndarray:

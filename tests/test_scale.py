@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from selenite.operators import matching, raster, sfm
+from selenite.operators import matching, raster, sfm, stereo
 from selenite.plans import proxies
 from tests.conftest import SF
 
@@ -95,3 +95,8 @@ def test_descriptors_travel_as_given(spark):
     found = matching.nearest_descriptors(rows, rows.where("id > 0"), 1)
     assert "cast(desc" not in physical(found)
     assert sorted((r["q_id"], r["t_id"]) for r in found.collect()) == [(0, 1), (1, 1), (2, 2), (3, 3)]
+
+
+def test_scan_lines_of_a_narrow_image_make_several_bundles():
+    """A tall image of 64 columns has 64 lines along y, which one task must not follow alone."""
+    assert 64 // stereo.LINES >= 8
