@@ -40,8 +40,10 @@ def cube_shots(samples: DataFrame, keys: Sequence[str], order: str, value: str,
     return samples.groupBy(*keys).agg(first_bad(bad, order).alias("first_bad")).withColumn("valid", F.col("first_bad").isNull())
 
 
-def image_shots(samples: DataFrame, track: Sequence[str], shot: str, order: str, detector: str, value: str, was: str | None = None) -> DataFrame:
-    """(track, shot, n_returns, first_bad, scanned, valid, cause) of shots under an image.
+def image_shots(
+    samples: DataFrame, track: Sequence[str], shot: str, order: str, detector: str, value: str, was: str | None = None, parts: int | None = None
+) -> DataFrame:
+    """(track, shot, n_returns, first_bad, scanned, valid, cause) of shots under an image; tracks are dealt into ``parts``, where given.
 
     A shot of more than ``MOST_RETURNS`` is invalid and ends its track's scan: shots behind it stay as they were
     (``was``, a column of ``samples`` that a shot's returns share; null: unknown). A return is bad outside the image or at 0. Detectors 1, 2 and 3 must be there.
@@ -52,6 +54,8 @@ def image_shots(samples: DataFrame, track: Sequence[str], shot: str, order: str,
     rows = samples.groupBy(*track, shot).agg(
         F.count("*").alias("n_returns"), first_bad(bad, order).alias("first_bad"), (has[0] & has[1] & has[2]).alias("_has"), before.alias("_was")
     )
+    if parts:
+        rows = rows.repartition(parts, *track)
     many = F.col("n_returns") > MOST_RETURNS
     earlier = W.partitionBy(*track).orderBy(shot).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_ended", F.coalesce(F.bool_or(many).over(earlier), F.lit(False)))

@@ -347,7 +347,7 @@ def f05_cube_validity(spark, d):
 def f06_image_validity(spark, d):
     """Which shots an image makes valid; a shot of many returns ends its track."""
     rows = sampled(spark, d).withColumn("was", F.col("shot_id") % 2 == 0)
-    return validity.image_shots(rows, ["track_id"], "shot_id", "pt_idx", "s", "value", "was")
+    return validity.image_shots(rows, ["track_id"], "shot_id", "pt_idx", "s", "value", "was", P.parts(P.table(spark, d, "orders")))
 
 
 @query(

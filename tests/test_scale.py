@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from selenite.operators import matching, raster, sfm, stereo
-from selenite.plans import proxies
+from selenite.plans import catalog, proxies
 from tests.conftest import SF
 
 
@@ -100,3 +100,10 @@ def test_descriptors_travel_as_given(spark):
 def test_scan_lines_of_a_narrow_image_make_several_bundles():
     """A tall image of 64 columns has 64 lines along y, which one task must not follow alone."""
     assert 64 // stereo.LINES >= 8
+
+
+def test_tracks_of_the_image_scan_are_dealt_by_the_number_of_shots(spark, monkeypatch):
+    monkeypatch.setattr(proxies, "PART_ROWS", 500)
+    found = catalog.QUERIES["f06_image_validity"](spark, SF)
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 1200 < sum(sizes)
